@@ -148,6 +148,12 @@ _SQL["thresholds"] = (("candidates",), """
 _SQL["ordered_slices"] = (("slices",), """
         SELECT *, row_number() OVER (PARTITION BY series ORDER BY position, line, part, supp) - 1 AS idx,
                count(*) OVER (PARTITION BY series) AS n FROM slices""")
+for _source in ("old", "new", "gold"):
+    _SQL[f"wide_{_source}"] = (("cells",), "SELECT uid, " + ", ".join(
+        f"max({_source}) FILTER (target = '{t}') AS {t}" for t in TARGETS) + " FROM cells GROUP BY uid")
+_SQL["members"] = (("cells",), """
+        SELECT DISTINCT uid, CAST(CASE WHEN uid % 17 = 0 THEN -1 ELSE fold END AS INTEGER) AS fold,
+               CASE WHEN uid % 17 = 0 THEN 'gold_holdout' ELSE 'weak' END AS split FROM cells""")
 
 
 def sql(body: str, *names: str) -> str:
@@ -258,6 +264,25 @@ def label_sources(spark: SparkSession, d: str) -> DataFrame:
     return sums.select(*columns)
 
 
+def wide(spark: SparkSession, d: str, source: str) -> DataFrame:
+    """One row per order with the labels of one source as plain target columns."""
+    rows = label_sources(spark, d)
+    return rows.select("uid", *[F.col(f"{source}__{t}").alias(t) for t in TARGETS])
+
+
+def wide_with_gold(spark: SparkSession, d: str) -> DataFrame:
+    rows = label_sources(spark, d)
+    return rows.select("uid", *[F.col(f"new__{t}").alias(t) for t in TARGETS], *[f"gold__{t}" for t in TARGETS])
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """A given membership: gold orders apart, the others in five folds by key."""
+    gold = F.col("uid") % 17 == 0
+    orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("uid")).distinct()
+    return orders.select("uid", F.when(gold, -1).otherwise(F.col("uid") % 5).cast("int").alias("fold"),
+                         F.when(gold, "gold_holdout").otherwise("weak").alias("split"))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """One row per order and target with every label source."""
     return to_long(label_sources(spark, d), TARGETS, ["old", "new", "p0", "p1", "p2", "gold"], keep=["uid", "fold"])
