@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry
-from sliceweave.operators.ordering import Sequence, first_per_group, group_quantiles, hot_groups
+from sliceweave.operators.ordering import Sequence, group_quantiles, hot_groups
 from sliceweave.schemas import PLANES
 
 
@@ -39,9 +39,8 @@ def header_scan(headers: DataFrame, series: str, unreadable: Column) -> DataFram
 
 def order_slices(slices: DataFrame, keys: Seq[str], position: str, tie: Seq[str], check: DataFrame | None = None) -> DataFrame:
     """Zero-based ``idx`` in spatial order and the group size ``n``."""
-    ordered = Sequence(slices, keys, [F.col(position), *[F.col(name) for name in tie]], check=check).row_number("_rn").df
-    sizes = (slices if check is None else check).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return ordered.withColumn("idx", F.col("_rn") - 1).drop("_rn").join(sizes, list(keys))
+    seq = Sequence(slices, keys, [F.col(position), *[F.col(name) for name in tie]], check=check).row_number("_rn").size("n")
+    return seq.df.withColumn("idx", F.col("_rn") - 1).drop("_rn")
 
 
 def spatial_position(headers: DataFrame, orientation: str = "orientation", location: str = "location") -> DataFrame:
@@ -68,46 +67,42 @@ def series_quality(headers: DataFrame, series: str, file_order: Seq[str], unread
     The normal of the first valid header places every slice; equal positions
     (4 decimals) count once. Spacing and field of view come from the middle.
     """
-    flagged = header_flags(headers, unreadable)
-    errors = flagged.groupBy(series).agg(
+    flagged = header_flags(headers, unreadable).withColumn("_ok", ~F.col("header_error") & ~F.col("geometry_error"))
+    normal = F.when(F.col("_ok"), geometry.slice_normal(F.col("orientation")))
+    groups = flagged.groupBy(series).agg(
+        F.min_by(normal, F.when(F.col("_ok"), F.struct(*file_order))).alias("_first"), F.count_if("_ok").alias("_n"))
+    # Faulty headers stay in, behind the valid ones, so a series without any valid header is still reported.
+    placed = flagged.join(groups, series).select(
+        series, *file_order, "_ok", "_n", "header_error", "geometry_error",
+        F.when(F.col("_ok"), F.struct("rows", "columns")).alias("_matrix"),
+        F.when(F.col("_ok"), geometry.valid_spacing(F.col("pixel_spacing"))).alias("_spacing"),
+        F.abs(geometry.dot(normal, F.col("_first"))).alias("_cosine"),
+        F.when(F.col("_ok"), F.bround(geometry.dot(F.col("location"), F.col("_first")), 4)).alias("_pos"))
+    seq = Sequence(placed, [series], [F.col("_ok").desc(), F.col("_pos"), *[F.col(c) for c in file_order]], check=check)
+    rows = seq.row_number("_rn").neighbour("_before", F.col("_pos")).df
+    new = F.col("_ok") & ((F.col("_rn") == 1) | (F.col("_pos") != F.col("_before")))
+    rows = rows.withColumn("_new", new).withColumn("_gap", F.when(F.col("_new") & (F.col("_rn") > 1), F.col("_pos") - F.col("_before")))
+    middle, idx = F.floor(F.col("_n") / 2), F.col("_rn") - 1
+    median = [] if seq.split else [F.percentile("_gap", 0.5).alias("slice_spacing_mm")]
+    shape = rows.groupBy(series).agg(
         F.count_if("header_error").alias("header_errors"), F.count_if("geometry_error").alias("_bad"),
-        F.min_by(F.when(~F.col("header_error") & ~F.col("geometry_error"), geometry.slice_normal(F.col("orientation"))),
-                 F.when(~F.col("header_error") & ~F.col("geometry_error"), F.struct(*file_order))).alias("_first"))
-    valid = flagged.where(~F.col("header_error") & ~F.col("geometry_error")).join(errors.select(series, "_first"), series)
-    placed = valid.select(
-        series, *file_order, "rows", "columns", geometry.valid_spacing(F.col("pixel_spacing")).alias("_spacing"),
-        F.abs(geometry.dot(geometry.slice_normal(F.col("orientation")), F.col("_first"))).alias("_cosine"),
-        F.bround(geometry.dot(F.col("location"), F.col("_first")), 4).alias("_pos"))
-
-    extent = placed.groupBy(series, "_pos").agg(F.min("_cosine").alias("_cosine"))
-    gaps = Sequence(extent, [series], [F.col("_pos")], check=check).neighbour("_before", F.col("_pos")).df
-    gaps = gaps.withColumn("_gap", F.col("_pos") - F.col("_before"))
-    shape = gaps.groupBy(series).agg(
-        F.count(F.lit(1)).alias("unique_slices"), F.round(F.max("_pos") - F.min("_pos"), 4).alias("coverage_mm"),
-        (F.min("_cosine") >= 0.999).alias("_aligned"))
-    median = group_quantiles(gaps.select(series, "_gap"), [series], "_gap", {"slice_spacing_mm": 0.5}, check=check)
-
-    numbered = Sequence(placed, [series], [F.col("_pos"), *[F.col(c) for c in file_order]], check=check).row_number("_rn").df
-    sizes = placed.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    numbered = numbered.join(sizes, series).withColumn("idx", F.col("_rn") - 1)
-    middle = F.floor(F.col("n") / 2)
-    centre = numbered.groupBy(series).agg(
-        F.max(F.when(F.col("idx") == middle, F.struct("rows", "columns"))).alias("_matrix"),
-        F.min_by("_spacing", F.when(F.col("_spacing").isNotNull(), F.struct(F.abs(F.col("idx") - middle), F.col("idx")))).alias("_spacing"))
+        F.count_if("_new").alias("unique_slices"), (F.max("_pos") - F.min("_pos")).alias("coverage_mm"), F.min("_cosine").alias("_cosine"),
+        F.max(F.when(idx == middle, F.col("_matrix"))).alias("_matrix"),
+        F.min_by("_spacing", F.when(F.col("_spacing").isNotNull(), F.struct(F.abs(idx - middle), idx))).alias("_spacing"), *median)
+    if seq.split:
+        shape = shape.join(group_quantiles(rows.select(series, "_gap"), [series], "_gap", {"slice_spacing_mm": 0.5}, check=check), series, "left")
+
     spacing = F.transform("_spacing", lambda v: v.cast("float"))
-    rows, columns = F.col("_matrix.rows"), F.col("_matrix.columns")
-    fov = F.when((rows > 0) & (columns > 0),
-                 F.least(rows.cast("float") * spacing[0], columns.cast("float") * spacing[1]).cast("double"))
-    centre = centre.select(series, F.greatest(spacing[0], spacing[1]).cast("double").alias("pixel_spacing_mm"), fov.alias("fov_mm"))
-
-    unique = F.coalesce("unique_slices", F.lit(0))
-    geometry_errors = F.col("_bad") + F.when(F.col("unique_slices").isNotNull() & F.col("fov_mm").isNull(), 1).otherwise(0)
-    usable = ((unique >= 2) & F.col("_aligned") & (F.col("header_errors") == 0)
+    height, width = F.col("_matrix.rows"), F.col("_matrix.columns")
+    fov = F.when((height > 0) & (width > 0),
+                 F.least(height.cast("float") * spacing[0], width.cast("float") * spacing[1]).cast("double"))
+    shape = shape.withColumn("fov_mm", fov).withColumn("pixel_spacing_mm", F.greatest(spacing[0], spacing[1]).cast("double"))
+    no_view = (F.col("unique_slices") > 0) & F.col("fov_mm").isNull()
+    usable = ((F.col("unique_slices") >= 2) & (F.col("_cosine") >= 0.999) & (F.col("header_errors") == 0)
               & (F.col("_bad") == 0) & F.col("fov_mm").isNotNull())
-    return (errors.join(shape, series, "left").join(median, series, "left").join(centre, series, "left").select(
-        series, "header_errors", geometry_errors.alias("geometry_errors"), unique.alias("unique_slices"), "coverage_mm",
-        F.round("slice_spacing_mm", 4).alias("slice_spacing_mm"), F.round("pixel_spacing_mm", 4).alias("pixel_spacing_mm"),
-        F.round("fov_mm", 2).alias("fov_mm"), F.coalesce(usable, F.lit(False)).cast("int").alias("usable")))
+    return shape.select(
+        series, "header_errors", (F.col("_bad") + F.when(no_view, 1).otherwise(0)).alias("geometry_errors"), "unique_slices",
+        "coverage_mm", "slice_spacing_mm", "pixel_spacing_mm", "fov_mm", F.coalesce(usable, F.lit(False)).cast("int").alias("usable"))
 
 
 def coverage_thresholds(rows: DataFrame, quantile: float = 0.2) -> DataFrame:
@@ -115,7 +110,7 @@ def coverage_thresholds(rows: DataFrame, quantile: float = 0.2) -> DataFrame:
     good = rows.where((F.col("usable") == 1) & (F.col("coverage_mm") > 0) & F.col("plane").isin(*PLANES))
     fitted = group_quantiles(good.select("plane", "coverage_mm"), ["plane"], "coverage_mm", {"threshold": quantile})
     planes = rows.sparkSession.createDataFrame([(p,) for p in PLANES], "plane string")
-    return planes.join(fitted, "plane", "left").select("plane", F.coalesce(F.round("threshold", 4), F.lit(0.0)).alias("threshold"))
+    return planes.join(fitted, "plane", "left").select("plane", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
 
 def series_type(plane: Column, fat: Column) -> Column:
@@ -228,4 +223,4 @@ def shared_children(df: DataFrame, child: str, parent: str) -> DataFrame:
 
 def middle_slice(ordered: DataFrame, key: str, columns: Seq[str]) -> DataFrame:
     """The middle row of each ordered group."""
-    return first_per_group(ordered.where(F.col("idx") == F.floor(F.col("n") / 2)).select(key, "idx", *columns), [key], F.col("idx"))
+    return ordered.where(F.col("idx") == F.floor(F.col("n") / 2)).select(key, "idx", *columns)

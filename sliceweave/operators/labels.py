@@ -58,8 +58,8 @@ def positive_weight(cells: DataFrame, value: str) -> DataFrame:
     sums = cells.groupBy("target").agg(
         F.sum(F.when(L.positive(v), c).otherwise(0.0)).alias("pos"), F.sum(F.when(L.positive(v), 0.0).otherwise(c)).alias("neg"))
     ratio = F.col("neg") / F.greatest(F.col("pos"), F.lit(1.0))
-    return sums.select("target", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"),
-                       F.round(F.least(F.greatest(ratio, F.lit(1.0)), F.lit(10.0)), 6).alias("pos_weight"))
+    return sums.select("target", "pos", "neg",
+                       F.least(F.greatest(ratio, F.lit(1.0)), F.lit(10.0)).alias("pos_weight"))
 
 
 def comparison_rows(old: DataFrame, blend: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ def masked_log_loss(cells: DataFrame, target: str, score: str, weights: DataFram
     loss = -(F.col("pos_weight") * y * F.log(p) + (1 - y) * F.log(1 - p))
     joined = cells.join(F.broadcast(weights.select("target", "pos_weight")), "target")
     total = F.sum(F.when(y.isNotNull(), loss * weight).otherwise(0.0)) / F.greatest(F.sum(weight), F.lit(1.0))
-    return joined.groupBy(*groups).agg(F.round(total, 6).alias("loss"))
+    return joined.groupBy(*groups).agg(total.alias("loss"))
 
 
 def auc(cells: DataFrame, groups: Seq[str], target: str, score: str) -> DataFrame:
@@ -44,7 +44,7 @@ def auc(cells: DataFrame, groups: Seq[str], target: str, score: str) -> DataFram
 
 def macro_auc(per_label: DataFrame, groups: Seq[str] = ()) -> DataFrame:
     """Mean over labels that have an AUC."""
-    return per_label.groupBy(*groups).agg(F.count("auc").alias("labels"), F.round(F.avg("auc"), 9).alias("macro_auc"))
+    return per_label.groupBy(*groups).agg(F.count("auc").alias("labels"), F.avg("auc").alias("macro_auc"))
 
 
 def efficiency(runs: DataFrame, benchmark: float, limit_seconds: float = 32400.0) -> DataFrame:

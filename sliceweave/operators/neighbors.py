@@ -48,50 +48,41 @@ def evenly_spaced(ordered: DataFrame, keys: Seq[str], position: str, count: int)
     return each.select(*keys, "j", "target", F.when(use_before, -F.col("_before.back")).otherwise(F.col("_after.idx")).alias("idx"))
 
 
-def _lookup(points: DataFrame, probes: DataFrame, keys: Seq[str], check: DataFrame | None) -> DataFrame:
-    """Probes with the nearest point at or below (``below``) and at or above (``above``) them.
-
-    Points carry pos, lo_idx and hi_idx and are distinct by position; probes
-    carry pos and a unique id. Both are merged into one ordered sequence.
-    """
-    payload = F.struct(F.col("pos").alias("pos"), F.col("lo_idx"), F.col("hi_idx"))
-    left = points.select(*keys, "pos", F.lit(0).alias("_probe"), F.lit(None).cast("long").alias("anchor"), payload.alias("_point"))
-    # A probe precedes an equal point for the view upwards and is matched downwards by equality.
-    right = probes.select(*keys, "pos", F.lit(1).alias("_probe"), F.col("anchor").cast("long").alias("anchor"), F.lit(None).alias("_point"))
-    merged = left.unionByName(right)
-    seq = Sequence(merged, keys, [F.col("pos"), F.col("_probe"), F.col("anchor")], check=None if check is None else check.unionByName(check))
-    seq.running("below", "last", F.col("_point")).running("above", "last", F.col("_point"), reverse=True)
-    found = seq.df.where("_probe = 1")
-    exact = F.col("below.pos") == F.col("pos")
-    return found.select(*keys, F.col("anchor"), F.col("pos").alias("probe"), "below",
-                        F.when(F.coalesce(exact, F.lit(False)), F.col("below")).otherwise(F.col("above")).alias("above"))
-
-
 def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, distance_mm: float,
                         check: DataFrame | None = None) -> DataFrame:
-    """For each row the rows nearest to position -d and +d.
+    """For each row the rows nearest to position -d and +d, with their positions.
 
     Errors within 1e-4 tie; ties go to the row closer to the anchor, then to the
     nearer index, then to the lower index. Either the anchor itself is within
     tolerance of the best error and wins, or every tied row lies on the asked
-    side and the one next to the anchor wins. Two ordered lookups find it.
+    side and the one next to the anchor wins.
+
+    Rows and their two probes form one ordered sequence. A first pass finds the
+    best error of each probe; a second moves the probe to the rim of its tied
+    rows and takes the row there. Both passes keep the partitioning by key.
     """
-    points = ordered.groupBy(*keys, F.col(position).alias("pos")).agg(F.min("idx").alias("lo_idx"), F.max("idx").alias("hi_idx"))
-    anchors = ordered.select(*keys, F.col(position).alias("z"), F.col("idx").alias("anchor"))
-    result = anchors
-    for side, offset in (("prev", -distance_mm), ("next", distance_mm)):
-        probes = anchors.withColumn("pos", F.col("z") + F.lit(offset))
-        near = _lookup(points, probes.select(*keys, "anchor", "pos"), keys, check)
-        best = F.least(F.abs(F.col("below.pos") - F.col("probe")), F.abs(F.col("above.pos") - F.col("probe")))
-        near = near.select(*keys, "anchor", "probe", (best + TOLERANCE_MM).alias("reach"))
-        edge = near.withColumn("pos", F.col("probe") + F.col("reach") * (1 if offset < 0 else -1))
-        tied = _lookup(points, edge.select(*keys, "anchor", "pos"), keys, check)
-        tied = tied.select(*keys, "anchor", "below", "above").join(near, [*keys, "anchor"])
-        pick = F.col("below.hi_idx") if offset < 0 else F.col("above.lo_idx")
-        result = result.join(tied.select(*keys, "anchor", "probe", "reach", pick.alias("_pick")), [*keys, "anchor"])
-        own = F.abs(F.col("z") - F.col("probe")) <= F.col("reach")
-        result = result.withColumn(f"{side}_idx", F.when(own, F.col("anchor")).otherwise(F.col("_pick"))).drop("probe", "reach", "_pick")
-    return result.withColumnRenamed("anchor", "idx").withColumnRenamed("z", position)
+    point = F.struct(F.col(position).alias("pos"), F.col("idx").cast("long").alias("idx"))
+    entry = lambda pos, side: F.struct(pos.alias("pos"), F.lit(side).alias("side"), F.col("idx").cast("long").alias("idx"), F.col(position).alias("z"),
+                                       (point if side == 0 else F.lit(None).cast("struct<pos:double,idx:bigint>")).alias("point"))
+    entries = ordered.withColumn(position, F.col(position).cast("double")).select(*keys, F.inline(F.array(
+        entry(F.col(position), 0), entry(F.col(position) - distance_mm, -1), entry(F.col(position) + distance_mm, 1))))
+    checked = None if check is None else check.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_copy"))
+    # A probe follows the rows at its own position.
+    seq = Sequence(entries, keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("idx")], check=checked)
+    near = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df
+    reach = F.least(F.abs(F.col("_below.pos") - F.col("pos")), F.abs(F.col("_above.pos") - F.col("pos"))) + TOLERANCE_MM
+    own = (F.col("side") != 0) & (F.abs(F.col("z") - F.col("pos")) <= reach)
+    rim = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") - F.col("side") * reach)
+    moved = near.select(*keys, rim.alias("pos"), "side", "idx", "z", "point", own.alias("own"))
+    # At the rim a lower probe follows equal rows and an upper probe precedes them.
+    seq = Sequence(moved, keys, [F.col("pos"), -F.col("side"), F.col("idx")], check=checked)
+    found = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df.where("side <> 0")
+    anchor = F.struct(F.col("z").alias("pos"), F.col("idx"))
+    pick = F.when(F.col("own"), anchor).when(F.col("side") < 0, F.col("_below")).otherwise(F.col("_above"))
+    both = found.groupBy(*keys, "idx").agg(F.first("z").alias(position), F.max(F.when(F.col("side") < 0, pick)).alias("_prev"),
+                                           F.max(F.when(F.col("side") > 0, pick)).alias("_next"))
+    return both.select(*keys, "idx", position, F.col("_prev.idx").alias("prev_idx"), F.col("_next.idx").alias("next_idx"),
+                       F.col("_prev.pos").alias("prev_pos"), F.col("_next.pos").alias("next_pos"))
 
 
 def unique_anchors(ordered: DataFrame, keys: Seq[str], position: str, count: int) -> DataFrame:

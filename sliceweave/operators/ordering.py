@@ -102,6 +102,15 @@ class Sequence:
         # One row per split of a hot key: rows/limit at most, so it is safe to broadcast.
         return F.broadcast(totals.select(*_columns(self.keys), SPLIT, fold(F.col("_closing"), over).alias("_carry")))
 
+    def size(self, name: str = "n") -> "Sequence":
+        """Rows of the group beside each row."""
+        if not self.split:
+            self.rows = self.rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*_columns(self.keys))))
+            return self
+        sizes = self.rows.groupBy(*_columns(self.keys)).agg(F.count(F.lit(1)).alias(name))
+        self.rows = self.rows.join(sizes, self.keys)
+        return self
+
     def row_number(self, name: str = "rn") -> "Sequence":
         return self.running(name, "sum", F.lit(1))
 

@@ -110,16 +110,16 @@ _SQL["quality"] = (("headers",), """
                      count(*) FILTER (NOT unreadable AND supp % 41 <> 0) AS valid
               FROM headers GROUP BY 1) h
         LEFT JOIN (
-            SELECT series, count(DISTINCT pos) AS unique_slices, round(max(pos) - min(pos), 4) AS coverage_mm,
+            SELECT series, count(DISTINCT pos) AS unique_slices, round(max(pos) - min(pos), 6) AS coverage_mm,
                    min(abs(nx * fx + ny * fy + nz * fz)) >= 0.999 AS aligned
             FROM placed GROUP BY 1) g ON h.series = g.series
         LEFT JOIN (
-            SELECT series, round(median(gap), 4) AS slice_spacing_mm
+            SELECT series, round(median(gap), 6) AS slice_spacing_mm
             FROM (SELECT series, pos - lag(pos) OVER (PARTITION BY series ORDER BY pos) AS gap
                   FROM (SELECT DISTINCT series, pos FROM placed)) GROUP BY 1) s ON h.series = s.series
         LEFT JOIN (
-            SELECT m.series, round(CAST(greatest(spacing[1], spacing[2]) AS DOUBLE), 4) AS pixel_spacing_mm,
-                   1 AS fov, round(CAST(least(m.rows * spacing[1], m.columns * spacing[2]) AS DOUBLE), 2) AS fov_mm
+            SELECT m.series, round(CAST(greatest(spacing[1], spacing[2]) AS DOUBLE), 6) AS pixel_spacing_mm,
+                   1 AS fov, round(CAST(least(m.rows * spacing[1], m.columns * spacing[2]) AS DOUBLE), 3) AS fov_mm
             FROM (SELECT series, CAST(rows AS FLOAT) AS rows, CAST(columns AS FLOAT) AS columns FROM numbered WHERE rn - 1 = n // 2) m
             JOIN (SELECT series, arg_min(CAST(pixel_spacing AS FLOAT[]), abs(rn - 1 - n // 2) * 1000000 + rn) AS spacing
                   FROM numbered WHERE pixel_spacing IS NOT NULL GROUP BY 1) c ON m.series = c.series) f ON h.series = f.series""")
@@ -220,8 +220,11 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.series_quality(headers(spark, d), "series", FILE_ORDER, F.col("unreadable"),
-                                  check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
+    """Measured quality, rounded so that both engines rank equal series equally."""
+    found = catalog.series_quality(headers(spark, d), "series", FILE_ORDER, F.col("unreadable"),
+                                   check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
+    digits = {"coverage_mm": 6, "slice_spacing_mm": 6, "pixel_spacing_mm": 6, "fov_mm": 3}
+    return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in found.columns])
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +234,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def train_thresholds(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     """Coverage thresholds fitted on training studies only."""
-    return catalog.coverage_thresholds(rows.where(F.col("study") % 5 != 0), 0.2)
+    fitted = catalog.coverage_thresholds(rows.where(F.col("study") % 5 != 0), 0.2)
+    return fitted.select("plane", F.round("threshold", 4).alias("threshold"))
 
 
 def ordered_slices(spark: SparkSession, d: str) -> DataFrame:

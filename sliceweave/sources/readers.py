@@ -62,9 +62,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def bad_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """File and text of every line that is not valid JSON of the schema."""
     audit = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(audit).option("columnNameOfCorruptRecord", "_bad").json(path)
-    # The raw column alone cannot be selected from a JSON scan, so a parsed field is kept beside it.
-    return rows.select(F.col("_metadata.file_path").alias("file"), "_bad", schema.fields[0].name).where("_bad IS NOT NULL").select("file", "_bad")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = F.from_json("value", audit, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.withColumn("_bad", parsed["_bad"]).where("_bad IS NOT NULL").select("file", "_bad")
 
 
 def read_unique(spark: SparkSession, path: str, schema: T.StructType, key: str = "StudyInstanceUID") -> DataFrame:
