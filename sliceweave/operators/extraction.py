@@ -170,12 +170,12 @@ def usage_summary(attempts: DataFrame, fields: Sequence[str]) -> DataFrame:
         F.count_if(F.col("total_tokens").isNull()).alias("attempts_without_usage"),
         F.round(F.sum("elapsed"), 3).alias("elapsed_seconds"),
         F.round(F.avg(F.when(ok, F.col("elapsed"))), 3).alias("mean_success_seconds"),
-        F.round(F.avg(F.when(ok, F.col("total_tokens"))), 3).alias("mean_success_tokens"))
+        F.avg(F.when(ok, F.col("total_tokens"))).alias("mean_success_tokens"))
 
 
 def score_distribution(validated: DataFrame) -> DataFrame:
     return validated.groupBy("target").agg(
-        F.count("label").alias("count"), F.round(F.avg("label"), 6).alias("mean"), F.min("label").alias("min"), F.max("label").alias("max"))
+        F.count("label").alias("count"), F.avg("label").alias("mean"), F.min("label").alias("min"), F.max("label").alias("max"))
 
 
 def extraction_coverage(state: DataFrame, validated: DataFrame, target_count: int) -> DataFrame:

@@ -148,6 +148,9 @@ _SQL["thresholds"] = (("candidates",), """
 _SQL["ordered_slices"] = (("slices",), """
         SELECT *, row_number() OVER (PARTITION BY series ORDER BY position, line, part, supp) - 1 AS idx,
                count(*) OVER (PARTITION BY series) AS n FROM slices""")
+_SQL["windows"] = (("ordered_slices", "series"), """
+        SELECT s.study, CASE plane WHEN 'Sagittal' THEN CASE WHEN fluid = 1 THEN 0 ELSE 1 END WHEN 'Coronal' THEN CASE WHEN fluid = 1 THEN 2 ELSE 3 END ELSE 4 END AS slot,
+               o.series, o.idx, o.position FROM ordered_slices o JOIN series s ON o.series = s.series""")
 for _source in ("old", "new", "gold"):
     _SQL[f"wide_{_source}"] = (("cells",), "SELECT uid, " + ", ".join(
         f"max({_source}) FILTER (target = '{t}') AS {t}" for t in TARGETS) + " FROM cells GROUP BY uid")
@@ -243,6 +246,14 @@ def ordered_slices(spark: SparkSession, d: str) -> DataFrame:
                                 check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
 
 
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every ordered slice as a window of its study and slot."""
+    lit = F.col("fluid") == 1
+    slot = (F.when(F.col("plane") == "Sagittal", F.when(lit, 0).otherwise(1)).when(F.col("plane") == "Coronal", F.when(lit, 2).otherwise(3)).otherwise(4))
+    owner = series(spark, d).select("series", "study", slot.alias("slot"))
+    return ordered_slices(spark, d).join(owner, "series").select("study", "slot", "series", "idx", "position")
+
+
 def label_sources(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with every label source as ``source__target`` columns."""
     cents = lambda name: F.round(F.col(name) * 100).cast("int")
@@ -296,8 +307,9 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.when(F.col("event_id") % 9 != 0, F.get_json_object("props", "$.k").cast("long"))
     code = F.when(F.col("event_id") % 4 == 0, 429).when(F.col("event_id") % 4 == 1, 400).when(F.col("event_id") % 4 == 2, 503)
     failed = F.col("event_type") == "error"
+    started = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp")
     return table(spark, d, "events").select(
-        F.col("user_id").alias("uid"), F.col("event_id").alias("attempt"), F.col("ts").alias("started_at"), F.col("value").alias("elapsed"),
+        F.col("user_id").alias("uid"), F.col("event_id").alias("attempt"), started.alias("started_at"), F.col("value").alias("elapsed"),
         F.when(failed, "ERROR").otherwise("SUCCESS").alias("status"), F.when(failed, code).alias("http_status"),
         (tokens * 3).alias("input_tokens"), tokens.alias("output_tokens"), (tokens * 4).alias("total_tokens"))
 

@@ -197,10 +197,10 @@ def latest_attempt(spark, d):
 @query("a13_usage_totals", sql("""
     SELECT count(*) AS attempts, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
            count(*) FILTER (total_tokens IS NULL) AS attempts_without_usage, round(sum(elapsed), 2) AS elapsed_seconds,
-           round(avg(elapsed) FILTER (status = 'SUCCESS'), 4) AS mean_success_seconds, round(avg(total_tokens) FILTER (status = 'SUCCESS'), 4) AS mean_success_tokens FROM attempts""", "attempts"))
+           round(avg(elapsed) FILTER (status = 'SUCCESS'), 3) AS mean_success_seconds, round(avg(total_tokens) FILTER (status = 'SUCCESS'), 4) AS mean_success_tokens FROM attempts""", "attempts"))
 def usage_totals(spark, d):
     rows = extraction.usage_summary(m.attempts(spark, d), ["input_tokens", "output_tokens", "total_tokens"])
-    digits = {"elapsed_seconds": 2, "mean_success_seconds": 4, "mean_success_tokens": 4}
+    digits = {"elapsed_seconds": 2, "mean_success_seconds": 3, "mean_success_tokens": 4}
     return rows.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in rows.columns])
 
 
@@ -314,7 +314,7 @@ def usage_stream(spark, d):
     source = stream.read_attempts(spark, f"{root}/in", rows.schema)
     stream.start_usage(source, f"{root}/out", f"{root}/check").awaitTermination()
     out = spark.read.parquet(f"{root}/out")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), *[c for c in out.columns if not c.startswith("window_")])
+    return out.select(F.date_from_unix_date(F.floor(F.unix_timestamp("window_start") / 86400).cast("int")).cast("string").alias("day"), *[c for c in out.columns if not c.startswith("window_")])
 
 
 @query("t01_latest_stream", sql("SELECT CAST(uid AS VARCHAR) AS uid, max(attempt) AS attempt, arg_max(status, attempt) AS status, count(*) AS attempts FROM attempts GROUP BY 1", "attempts"))
