@@ -2,56 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def all_finite(values: Column) -> Column:
-    return F.forall(values, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
+# Elements are read with ``get``, which is NULL past the end, and unrolled, so
+# the arithmetic stays inside generated code.
+
+def all_finite(values: Column, size: int) -> Column:
+    """The first ``size`` elements exist and are finite: zero times each of them is zero."""
+    zeros = reduce(lambda a, b: a + b, [F.get(values, F.lit(i)) * 0.0 for i in range(size)])
+    return F.coalesce(zeros == 0.0, F.lit(False))
 
 
-def cross(orientation: Column) -> Column:
+def cross(orientation: Column) -> list[Column]:
     """Cross product of the row and column directions."""
-    a = [orientation[i] for i in range(6)]
-    return F.array(a[1] * a[5] - a[2] * a[4], a[2] * a[3] - a[0] * a[5], a[0] * a[4] - a[1] * a[3])
+    a = [F.get(orientation, F.lit(i)) for i in range(6)]
+    return [a[1] * a[5] - a[2] * a[4], a[2] * a[3] - a[0] * a[5], a[0] * a[4] - a[1] * a[3]]
 
 
 def dot(left: Column, right: Column) -> Column:
-    return left[0] * right[0] + left[1] * right[1] + left[2] * right[2]
-
+    part = lambda i: F.get(left, F.lit(i)) * F.get(right, F.lit(i))
+    return part(0) + part(1) + part(2)
 
-def length(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
 
-
-def unit(vector: Column) -> Column:
-    return F.array(*[vector[i] / length(vector) for i in range(3)])
+def _length(vector: list[Column]) -> Column:
+    return F.sqrt(F.pow(vector[0], F.lit(2)) + F.pow(vector[1], F.lit(2)) + F.pow(vector[2], F.lit(2)))
 
 
 def valid_geometry(orientation: Column, position: Column) -> Column:
     """Right sizes, finite values and a normal of usable length."""
     shape = (F.size(orientation) == 6) & (F.size(position) == 3)
-    sound = F.when(F.coalesce(shape, F.lit(False)), all_finite(orientation) & all_finite(position))
-    return F.coalesce(F.when(sound, length(cross(orientation)) >= 1e-6), F.lit(False))
+    sound = shape & all_finite(orientation, 6) & all_finite(position, 3) & (_length(cross(orientation)) >= 1e-6)
+    return F.coalesce(sound, F.lit(False))
+
 
+def with_normal(df: DataFrame, orientation: str, name: str) -> DataFrame:
+    """Adds the unit normal of the slice; its elements are NULL for a degenerate orientation.
 
-def slice_normal(orientation: Column) -> Column:
-    return unit(cross(orientation))
+    Built in steps, so each product is computed once per row.
+    """
+    staged = df.withColumn("_cross", F.array(*cross(F.col(orientation))))
+    staged = staged.withColumn("_norm", _length([F.get("_cross", F.lit(i)) for i in range(3)]))
+    size = F.when(F.col("_norm") > 0, F.col("_norm"))
+    return staged.withColumn(name, F.array(*[F.get("_cross", F.lit(i)) / size for i in range(3)])).drop("_cross", "_norm")
 
 
-def dominant_positive(normal: Column) -> Column:
-    """Flip the normal so that its largest component (first on ties) is positive."""
-    size = [F.abs(normal[i]) for i in range(3)]
-    lead = (F.when((size[0] >= size[1]) & (size[0] >= size[2]), normal[0])
-            .when(size[1] >= size[2], normal[1]).otherwise(normal[2]))
-    return F.when(lead < 0, F.transform(normal, lambda v: -v)).otherwise(normal)
+def dominant_sign(normal: Column) -> Column:
+    """-1 when the largest component of the normal (first on ties) is negative, else 1."""
+    part = [F.get(normal, F.lit(i)) for i in range(3)]
+    size = [F.abs(p) for p in part]
+    lead = (F.when((size[0] >= size[1]) & (size[0] >= size[2]), part[0])
+            .when(size[1] >= size[2], part[1]).otherwise(part[2]))
+    return F.when(lead < 0, -1.0).otherwise(1.0)
 
 
 def valid_spacing(spacing: Column) -> Column:
     """First two spacing values when both are finite and positive, else NULL."""
-    pair = F.slice(spacing, 1, 2)
-    good = (F.size(spacing) >= 2) & all_finite(pair) & F.forall(pair, lambda v: v > 0)
-    return F.when(F.coalesce(good, F.lit(False)), pair)
+    pair = [F.get(spacing, F.lit(i)) for i in range(2)]
+    return F.when(all_finite(spacing, 2) & (pair[0] > 0) & (pair[1] > 0), F.array(*pair))
 
 
 def contrast(te: Column, tr: Column, fat_suppression: Column) -> Column:

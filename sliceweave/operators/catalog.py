@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry
-from sliceweave.operators.ordering import Sequence, group_quantiles, hot_groups
+from sliceweave.operators.ordering import Sequence, group_quantiles, group_summary
 from sliceweave.schemas import PLANES
 
 
@@ -45,8 +45,9 @@ def order_slices(slices: DataFrame, keys: Seq[str], position: str, tie: Seq[str]
 
 def spatial_position(headers: DataFrame, orientation: str = "orientation", location: str = "location") -> DataFrame:
     """Position along the slice normal whose dominant axis is positive."""
-    normal = geometry.dominant_positive(geometry.slice_normal(F.col(orientation)))
-    return headers.withColumn("position", geometry.dot(F.col(location), normal))
+    placed = geometry.with_normal(headers, orientation, "_normal")
+    along = geometry.dot(F.col(location), F.col("_normal")) * geometry.dominant_sign(F.col("_normal"))
+    return placed.withColumn("position", along).drop("_normal")
 
 
 def middle_reference(ordered: DataFrame, key: str, value: Column, name: str) -> DataFrame:
@@ -68,15 +69,15 @@ def series_quality(headers: DataFrame, series: str, file_order: Seq[str], unread
     (4 decimals) count once. Spacing and field of view come from the middle.
     """
     flagged = header_flags(headers, unreadable).withColumn("_ok", ~F.col("header_error") & ~F.col("geometry_error"))
-    normal = F.when(F.col("_ok"), geometry.slice_normal(F.col("orientation")))
-    groups = flagged.groupBy(series).agg(
-        F.min_by(normal, F.when(F.col("_ok"), F.struct(*file_order))).alias("_first"), F.count_if("_ok").alias("_n"))
+    flagged = geometry.with_normal(flagged, "orientation", "_normal")
+    first = F.min_by("_normal", F.when(F.col("_ok"), F.struct(*file_order)))
+    groups = flagged.groupBy(series).agg(first.alias("_first"), F.count_if("_ok").alias("_n"))
     # Faulty headers stay in, behind the valid ones, so a series without any valid header is still reported.
     placed = flagged.join(groups, series).select(
         series, *file_order, "_ok", "_n", "header_error", "geometry_error",
         F.when(F.col("_ok"), F.struct("rows", "columns")).alias("_matrix"),
         F.when(F.col("_ok"), geometry.valid_spacing(F.col("pixel_spacing"))).alias("_spacing"),
-        F.abs(geometry.dot(normal, F.col("_first"))).alias("_cosine"),
+        F.when(F.col("_ok"), F.abs(geometry.dot(F.col("_normal"), F.col("_first")))).alias("_cosine"),
         F.when(F.col("_ok"), F.bround(geometry.dot(F.col("location"), F.col("_first")), 4)).alias("_pos"))
     seq = Sequence(placed, [series], [F.col("_ok").desc(), F.col("_pos"), *[F.col(c) for c in file_order]], check=check)
     rows = seq.row_number("_rn").neighbour("_before", F.col("_pos")).df
@@ -92,7 +93,7 @@ def series_quality(headers: DataFrame, series: str, file_order: Seq[str], unread
     if seq.split:
         shape = shape.join(group_quantiles(rows.select(series, "_gap"), [series], "_gap", {"slice_spacing_mm": 0.5}, check=check), series, "left")
 
-    spacing = F.transform("_spacing", lambda v: v.cast("float"))
+    spacing = [F.get("_spacing", F.lit(i)).cast("float") for i in range(2)]
     height, width = F.col("_matrix.rows"), F.col("_matrix.columns")
     fov = F.when((height > 0) & (width > 0),
                  F.least(height.cast("float") * spacing[0], width.cast("float") * spacing[1]).cast("double"))
@@ -105,10 +106,10 @@ def series_quality(headers: DataFrame, series: str, file_order: Seq[str], unread
         "coverage_mm", "slice_spacing_mm", "pixel_spacing_mm", "fov_mm", F.coalesce(usable, F.lit(False)).cast("int").alias("usable"))
 
 
-def coverage_thresholds(rows: DataFrame, quantile: float = 0.2) -> DataFrame:
+def coverage_thresholds(rows: DataFrame, quantile: float = 0.2, check: DataFrame | None = None) -> DataFrame:
     """Coverage quantile per plane over usable series; 0 where a plane has none. Always three rows."""
     good = rows.where((F.col("usable") == 1) & (F.col("coverage_mm") > 0) & F.col("plane").isin(*PLANES))
-    fitted = group_quantiles(good.select("plane", "coverage_mm"), ["plane"], "coverage_mm", {"threshold": quantile})
+    fitted = group_quantiles(good.select("plane", "coverage_mm"), ["plane"], "coverage_mm", {"threshold": quantile}, check=check)
     planes = rows.sparkSession.createDataFrame([(p,) for p in PLANES], "plane string")
     return planes.join(fitted, "plane", "left").select("plane", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
@@ -167,16 +168,10 @@ def contrast_mix(series: DataFrame) -> DataFrame:
     return counts.select("*", *[(F.col(name) / F.col("series")).alias(f"{name}_share") for name in ["t1", "pd", "t2", "pd_t2", "unknown"]])
 
 
-def geometry_medians(series: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+def geometry_medians(series: DataFrame, columns: Mapping[str, str], check: DataFrame | None = None) -> DataFrame:
     """Median of each geometry column per series type, and the depth to pixel ratio."""
     typed = series.withColumn("type", series_type(F.col("plane"), F.col("fat"))).select("type", *columns.values())
-    split = hot_groups(typed, ["type"]) is not None
-    if not split:
-        result = typed.groupBy("type").agg(*[F.percentile(c, 0.5).alias(name) for name, c in columns.items()])
-    else:
-        result = typed.select("type").distinct()
-        for name, column in columns.items():
-            result = result.join(group_quantiles(typed, ["type"], column, {name: 0.5}), "type", "left")
+    result = group_summary(typed, ["type"], {column: {name: 0.5} for name, column in columns.items()}, check=check)
     return result.withColumn("depth_pixel_ratio", F.col("median_slice_spacing") / F.col("median_pixel_spacing"))
 
 

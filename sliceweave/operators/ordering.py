@@ -27,12 +27,17 @@ def broadcast_checked(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def hot_groups(df: DataFrame, keys: Seq[str], limit: int | None = None) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None. At most rows/limit of them exist."""
+def hot_groups(df: DataFrame, keys: Seq[str], limit: int | None = None, check: DataFrame | None = None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None. At most rows/limit of them exist.
+
+    ``check`` is a cheaper frame with at least as many rows; when it has the
+    keys, its groups must be at least as large as those of ``df``.
+    """
     limit = hot_rows(df.sparkSession) if limit is None else limit
-    counted = df.select(*_columns(keys))
-    if counted.count() <= limit:
+    probe = df if check is None else check
+    if probe.count() <= limit:
         return None
+    counted = (probe if set(keys) <= set(probe.columns) else df).select(*_columns(keys))
     hot = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     hot = materialize(hot)
     return None if hot.isEmpty() else hot
@@ -67,7 +72,7 @@ class Sequence:
             check = None if check is None else check.withColumn("_all", F.lit(0))
         self.keys, self.order = list(keys), list(order)
         limit = hot_rows(df.sparkSession) if limit is None else limit
-        hot = hot_groups(df if check is None else check, self.keys, limit)
+        hot = hot_groups(df, self.keys, limit, check)
         self.split = hot is not None
         if self.split:
             total = hot.agg(F.sum("_rows")).first()[0]
@@ -166,14 +171,36 @@ class Sequence:
         return self
 
 
+def group_summary(df: DataFrame, keys: Seq[str], quantiles: Mapping[str, Mapping[str, float]], aggregates: Seq[Column] = (),
+                  check: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Aggregates and exact, linearly interpolated quantiles (column to name to level) per group.
+
+    One aggregate while groups are small. The exact quantile of a large group
+    comes from its counted distinct values and their running count instead.
+    """
+    if hot_groups(df, keys, limit, check) is None:
+        exact = [F.percentile(column, q).alias(name) for column, levels in quantiles.items() for name, q in levels.items()]
+        return df.groupBy(*_columns(keys)).agg(*aggregates, *exact)
+    df = materialize(df)
+    result = df.groupBy(*_columns(keys)).agg(*(aggregates or [F.count(F.lit(1)).alias("_rows")]))
+    for column, levels in quantiles.items():
+        part = _counted_quantiles(df, keys, column, levels, limit)
+        if not keys:
+            result = result.crossJoin(F.broadcast(part))
+            continue
+        named = part.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *levels)
+        match = [result[f"`{k}`"].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
+        result = result.join(named, match, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return result if aggregates else result.drop("_rows")
+
+
 def group_quantiles(df: DataFrame, keys: Seq[str], value: str, quantiles: Mapping[str, float],
                     check: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; NULL values are ignored."""
-    df = df.where(F.col(value).isNotNull())
-    if hot_groups(df if check is None else check, keys, limit) is None:
-        grouped = df.groupBy(*_columns(keys))
-        return grouped.agg(*[F.percentile(value, q).alias(name) for name, q in quantiles.items()])
-    counts = df.groupBy(*_columns(keys), value).agg(F.count(F.lit(1)).alias("_n"))
+    return group_summary(df, keys, {value: quantiles}, check=check, limit=limit)
+
+
+def _counted_quantiles(df: DataFrame, keys: Seq[str], value: str, quantiles: Mapping[str, float], limit: int | None) -> DataFrame:
+    counts = df.where(F.col(value).isNotNull()).groupBy(*_columns(keys), value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = Sequence(counts, keys, [F.col(value)], limit=limit).running("_upto", "sum", F.col("_n")).df
     sizes = counts.groupBy(*_columns(keys)).agg(F.sum("_n").alias("_total"))
     ranked = ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(F.broadcast(sizes))

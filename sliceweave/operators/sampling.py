@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,29 +122,24 @@ def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item:
     high = top_k(rows, [*keys, "_bin"], [F.col(position).desc(), F.col(item)], quota + 1, "_r").drop("_r")
     level = top_k(rows.where(F.col("_lo") == F.col("_hi")), keys, [F.col("_h"), F.col(item)], quota, "_r").drop("_r")
     columns = [*keys, position, item, "_bin", "_h", "_lo", "_hi"]
-    pool = low.select(*columns).unionByName(high.select(*columns)).unionByName(level.select(*columns)).unionByName(best.select(*columns)).distinct()
-    pool = pool.join(best.select(*keys, item, "_picked"), [*keys, item], "left").select(*columns, F.coalesce("_picked", F.lit(False)).alias("_picked"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields if f.name in {*keys, position, item}])
-    names = [f.name for f in pool.schema.fields if f.name in {*keys, position, item}]
-
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame["_lo"].iloc[0] == frame["_hi"].iloc[0]:
-            return frame.sort_values(["_h", item])[names].head(quota)
-        chosen = frame[frame["_picked"]]
-        rest = frame[~frame["_picked"]]
-        lo, hi = frame["_lo"].iloc[0], frame["_hi"].iloc[0]
-        for bucket in range(quota):
-            if (chosen["_bin"] == bucket).any() and (frame["_bin"] == bucket).any():
-                continue
-            if rest.empty:
-                break
-            centre = lo + (bucket + 0.5) * (hi - lo) / quota
-            pick = rest.assign(_d=(rest[position] - centre).abs()).sort_values(["_d", "_h", item]).iloc[:1]
-            chosen = pd.concat([chosen, pick[chosen.columns]])
-            rest = rest.drop(pick.index)
-        return chosen[names]
-
-    return pool.groupBy(*keys).applyInPandas(fill, schema)
+    marked = lambda df, picked: df.select(*columns, F.lit(picked).alias("_picked"))
+    pool = marked(low, 0).unionByName(marked(high, 0)).unionByName(marked(level, 0)).unionByName(marked(best, 1))
+    pool = pool.groupBy(*columns).agg(F.max("_picked").alias("_picked"))
+    entry = F.struct(F.col("_h").alias("h"), F.col(item).alias("item"), F.col(position).alias("pos"), F.col("_bin").alias("bin"), F.col("_picked").alias("picked"))
+    held = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_pool"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    taken = F.filter("_pool", lambda e: e["picked"] == 1)
+    filled = F.transform(taken, lambda e: e["bin"])
+    empty = F.filter(F.array(*[F.lit(i) for i in range(quota)]), lambda i: ~F.array_contains(filled, i))
+
+    def fill(chosen, bucket):
+        centre = F.col("_lo") + (bucket + 0.5) * (F.col("_hi") - F.col("_lo")) / quota
+        rest = F.filter("_pool", lambda e: ~F.exists(chosen, lambda c: c["item"] == e["item"]))
+        nearest = F.array_min(F.transform(rest, lambda e: F.struct(F.abs(e["pos"] - centre).alias("d"), e.alias("e"))))["e"]
+        return F.concat(chosen, F.array_compact(F.array(nearest)))
+
+    flat = F.slice("_pool", 1, quota)
+    picks = F.when(F.col("_lo") == F.col("_hi"), flat).otherwise(F.aggregate(empty, taken, fill))
+    return held.select(*keys, F.explode(picks).alias("_e")).select(*keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
 
 
 def cover_examples(rows: DataFrame, key: str, text: str, targets: Seq[str], count: int, seed) -> DataFrame:

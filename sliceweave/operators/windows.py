@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions.labels import finite
-from sliceweave.operators.ordering import Sequence, group_quantiles, top_k
+from sliceweave.operators.ordering import Sequence, group_summary, top_k
 
 
 def adjacent_triples(ordered: DataFrame) -> DataFrame:
@@ -89,16 +89,14 @@ def average_ranks(df: DataFrame, keys: Seq[str], value: str, check: DataFrame |
     return seq.df.select(*keys, value, "ties", (F.col("_upto") - (F.col("ties") - 1) / 2).alias("average_rank"))
 
 
-def offset_report(offsets: DataFrame, slot: str, columns: Seq[str], changed: str) -> DataFrame:
+def offset_report(offsets: DataFrame, slot: str, columns: Seq[str], changed: str, check: DataFrame | None = None) -> DataFrame:
     """Offset quantiles and changed share per slot and overall (slot NULL)."""
     levels = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     both = offsets.select(F.explode(F.array(F.col(slot), F.lit(None))).alias(slot), *columns, changed)
-    both = both.withColumn("_slot", F.coalesce(F.col(slot).cast("string"), F.lit("")))
-    counts = both.groupBy("_slot", slot).agg(F.count(F.lit(1)).alias("windows"), F.sum(changed).alias("changed_windows"))
-    for column in columns:
-        quantiles = group_quantiles(both, ["_slot"], column, {f"{column}_{name}": q for name, q in levels.items()})
-        counts = counts.join(F.broadcast(quantiles), "_slot", "left")
-    return counts.drop("_slot").withColumn("changed_fraction", F.col("changed_windows") / F.col("windows"))
+    doubled = None if check is None else check.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy"))
+    report = group_summary(both, [slot], {c: {f"{c}_{name}": q for name, q in levels.items()} for c in columns},
+                           [F.count(F.lit(1)).alias("windows"), F.sum(changed).alias("changed_windows")], check=doubled)
+    return report.withColumn("changed_fraction", F.col("changed_windows") / F.col("windows"))
 
 
 def cumulative_share(counts: DataFrame, order: Seq[Column], value: str) -> DataFrame:

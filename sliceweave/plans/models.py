@@ -194,19 +194,21 @@ def slices(spark: SparkSession, d: str) -> DataFrame:
 FILE_ORDER = ["line", "part", "supp"]
 
 
-def _vector(*values) -> Column:
-    return F.array(*[F.lit(v).cast("double") if not isinstance(v, Column) else v for v in values])
+# Header directions by kind: orientation, and the axis along which positions lie.
+_DIRECTIONS = [(0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 1.0]), (1, [0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0]),
+               (2, [0.0, 0.6, 0.8, 1.0, 0.0, 0.0], [0.0, 0.8, -0.6]), (3, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0])]
 
 
 def headers(spark: SparkSession, d: str) -> DataFrame:
-    kind = (F.col("series") + F.when(F.col("supp") % 43 == 0, 1).otherwise(0)) % 3
-    position = F.col("position")
-    return slices(spark, d).select(
-        "series", *FILE_ORDER, (F.col("part") % 97 == 0).alias("unreadable"), "te", "tr",
-        F.when(F.col("supp") % 41 == 0, _vector(1, 0, 0, 1, 0, 0)).when(kind == 0, _vector(1, 0, 0, 0, 1, 0))
-        .when(kind == 1, _vector(0, 1, 0, 0, 0, 1)).otherwise(_vector(0, 0.6, 0.8, 1, 0, 0)).alias("orientation"),
-        F.when(F.col("series") % 3 == 0, _vector(0, 0, position)).when(F.col("series") % 3 == 1, _vector(position, 0, 0))
-        .otherwise(_vector(0, position * 0.8, position * -0.6)).alias("location"),
+    directions = spark.createDataFrame(_DIRECTIONS, "kind int, orientation array<double>, axis array<double>")
+    turned = (F.col("series") + F.when(F.col("supp") % 43 == 0, 1).otherwise(0)) % 3
+    rows = slices(spark, d).withColumn("kind", F.when(F.col("supp") % 41 == 0, 3).otherwise(turned).cast("int"))
+    rows = rows.withColumn("lane", (F.col("series") % 3).cast("int"))
+    rows = rows.join(F.broadcast(directions.select("kind", "orientation")), "kind")
+    rows = rows.join(F.broadcast(directions.select(F.col("kind").alias("lane"), "axis")), "lane")
+    return rows.select(
+        "series", *FILE_ORDER, (F.col("part") % 97 == 0).alias("unreadable"), "te", "tr", "orientation",
+        F.array(*[F.col("position") * F.col("axis")[i] for i in range(3)]).alias("location"),
         F.when(F.col("line") % 5 != 0, F.array(0.2 + (F.col("part") % 9) / 20, 0.2 + (F.col("supp") % 11) / 25)).alias("pixel_spacing"),
         (200 + F.col("part") % 300).cast("int").alias("rows"), (200 + F.col("supp") % 300).cast("int").alias("columns"))
 
@@ -237,7 +239,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def train_thresholds(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     """Coverage thresholds fitted on training studies only."""
-    fitted = catalog.coverage_thresholds(rows.where(F.col("study") % 5 != 0), 0.2)
+    fitted = catalog.coverage_thresholds(rows.where(F.col("study") % 5 != 0), 0.2, check=table(spark, d, "orders").select("o_orderkey"))
     return fitted.select("plane", F.round("threshold", 4).alias("threshold"))
 
 

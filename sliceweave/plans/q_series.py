@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sliceweave.functions import geometry
 from sliceweave.functions import labels as L
 from sliceweave.operators import catalog, joins, neighbors, selection, windows
-from sliceweave.operators.ordering import Sequence
+from sliceweave.operators.ordering import Sequence, group_summary
 from sliceweave.plans import models as m
 from sliceweave.plans.models import CROP_MM, FILE_ORDER, IMAGE_SIZE, sql
 from sliceweave.plans.registry import query
@@ -206,7 +206,8 @@ def contrast_mix(spark, d):
            round(quantile_cont(slice_spacing_mm, 0.5), 6) AS median_slice_spacing, round(quantile_cont(coverage_mm, 0.5), 6) AS median_coverage FROM candidates GROUP BY 1)""", "candidates"))
 def geometry_medians(spark, d):
     rows = catalog.geometry_medians(m.candidates(spark, d), {
-        "median_slices": "unique_slices", "median_pixel_spacing": "pixel_spacing_mm", "median_slice_spacing": "slice_spacing_mm", "median_coverage": "coverage_mm"})
+        "median_slices": "unique_slices", "median_pixel_spacing": "pixel_spacing_mm", "median_slice_spacing": "slice_spacing_mm", "median_coverage": "coverage_mm"},
+        check=table(spark, d, "orders").select("o_orderkey"))
     return rows.select("type", "median_slices", *[F.round(c, 6).alias(c) for c in ("median_pixel_spacing", "median_slice_spacing", "median_coverage")],
                        F.round("depth_pixel_ratio", 4).alias("depth_pixel_ratio"))
 
@@ -375,10 +376,8 @@ def repeat_causes(spark, d):
     rows = m.candidates(spark, d).join(middle, "series").withColumn("type", catalog.series_type(F.col("plane"), F.col("fat")))
     rows = rows.withColumn("derived", F.col("part") % 10 == 0).withColumn("normal", F.when(axis == 0, unit(0)).when(axis == 1, unit(1)).otherwise(unit(2)))
     causes = selection.repeat_causes(rows, "study", check=m.series(spark, d).withColumn("type", catalog.series_type(F.col("plane"), F.col("fat"))).select("study", "type"))
-    from sliceweave.operators.ordering import group_quantiles
-
-    counts = causes.groupBy("cause").agg(F.count(F.lit(1)).alias("repeats"))
-    return counts.join(group_quantiles(causes, ["cause"], "angle", {"median_angle": 0.5}), "cause").select("cause", "repeats", F.round("median_angle", 2).alias("median_angle"))
+    report = group_summary(causes, ["cause"], {"angle": {"median_angle": 0.5}}, [F.count(F.lit(1)).alias("repeats")], check=table(spark, d, "orders").select("o_orderkey"))
+    return report.select("cause", "repeats", F.round("median_angle", 2).alias("median_angle"))
 
 
 # Slice windows
@@ -496,7 +495,7 @@ def offset_report(spark, d):
     sizes = _keys(spark, d).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(sizes, "series").join(m.series(spark, d).select("series", F.col("plane").alias("slot")), "series")
     moved = (F.col("prev_idx") != F.greatest(F.col("idx") - 1, F.lit(0))) | (F.col("next_idx") != F.least(F.col("idx") + 1, F.col("n") - 1))
-    report = windows.offset_report(rows.withColumn("changed", moved.cast("int")), "slot", ["negative", "positive"], "changed")
+    report = windows.offset_report(rows.withColumn("changed", moved.cast("int")), "slot", ["negative", "positive"], "changed", check=_keys(spark, d))
     return report.select(*[F.round(c, 4).alias(c) if "_p" in c else (F.round(c, 6).alias(c) if c == "changed_fraction" else F.col(c)) for c in report.columns])
 
 
