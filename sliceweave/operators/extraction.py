@@ -56,8 +56,8 @@ def parse_responses(rows: DataFrame, targets: Sequence[str], response: str = "re
             F.forall(item["evidence"], lambda quote: F.coalesce(F.length(quote) >= 1, F.lit(False))),
             item["score_reason"].isNotNull(), item["uncertainty_reason"].isNotNull()]), F.lit(False))
 
-    number = r'^\s*(-?\d.*|null)\s*$'
-    typed = lambda text: F.coalesce(F.get_json_object(text, "$.label").isNull() | F.get_json_object(text, "$.label").rlike(number), F.lit(False))
+    # A quoted quote is escaped inside JSON text, so this only meets the key itself.
+    typed = lambda text: ~text.rlike(r'"label"\s*:\s*["\[{tf]')
     shape = (same(F.col("_outer"), ["labels", "report_scope", "uid"]) & same(F.map_keys("answer.labels"), expected)
              & F.coalesce(F.forall(texts, lambda text: same(F.json_object_keys(text), fields) & typed(text)), F.lit(False)))
     reason = (F.when(F.col("answer").isNull() | F.col("_outer").isNull(), "not JSON").when(~shape, "keys")

@@ -21,6 +21,14 @@ def _columns(names: Seq[str]) -> list[Column]:
     return [F.col(f"`{name}`") for name in names]
 
 
+def match_groups(left: DataFrame, right: DataFrame, keys: Seq[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where NULL is a group like any other."""
+    named = right.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)],
+                         *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return left.join(named, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def broadcast_checked(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast only after counting; a larger side keeps the shuffle join."""
     limit = broadcast_rows(df.sparkSession) if limit is None else limit
@@ -78,9 +86,9 @@ class Sequence:
             total = hot.agg(F.sum("_rows")).first()[0]
             parts = max(2, -(-2 * total // limit))
             hot_keys = F.broadcast(hot.select(*_columns(self.keys)))
-            cold = df.join(hot_keys, self.keys, "left_anti").withColumn(SPLIT, F.lit(0))
+            cold = match_groups(df, hot_keys, self.keys, "left_anti").withColumn(SPLIT, F.lit(0))
             ranged = (
-                df.join(hot_keys, self.keys, "left_semi")
+                match_groups(df, hot_keys, self.keys, "left_semi")
                 .repartitionByRange(int(parts), *_columns(self.keys), *self.order)
                 .withColumn(SPLIT, F.spark_partition_id() + 1)
             )
@@ -104,7 +112,7 @@ class Sequence:
         )
         over = Window.partitionBy(*_columns(self.keys)).orderBy(F.col(SPLIT))
         over = over.rowsBetween(Window.unboundedPreceding, -1) if last else over.rowsBetween(1, Window.unboundedFollowing)
-        # One row per split of a hot key: rows/limit at most, so it is safe to broadcast.
+        # One row per split of a hot key, a few times rows/limit at most.
         return F.broadcast(totals.select(*_columns(self.keys), SPLIT, fold(F.col("_closing"), over).alias("_carry")))
 
     def size(self, name: str = "n") -> "Sequence":
@@ -113,7 +121,7 @@ class Sequence:
             self.rows = self.rows.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*_columns(self.keys))))
             return self
         sizes = self.rows.groupBy(*_columns(self.keys)).agg(F.count(F.lit(1)).alias(name))
-        self.rows = self.rows.join(sizes, self.keys)
+        self.rows = match_groups(self.rows, sizes, self.keys)
         return self
 
     def row_number(self, name: str = "rn") -> "Sequence":
@@ -151,7 +159,7 @@ class Sequence:
             "max": F.greatest("_local", "_carry"),
             "last": F.coalesce("_local", "_carry"),
         }[kind]
-        joined = rows.join(carry, [*self.keys, SPLIT], "left").withColumn(name, both)
+        joined = match_groups(rows, carry, [*self.keys, SPLIT], "left").withColumn(name, both)
         self.rows = joined.drop("_local", "_carry", "_at")
         return self
 
@@ -166,7 +174,7 @@ class Sequence:
         rows = rows.withColumn("_at", F.row_number().over(window)).withColumn("_value", value)
         edge = (lambda c, w: F.first(c).over(w)) if ahead else (lambda c, w: F.last(c).over(w))
         carry = self._carry(rows, F.col("_value"), F.col("_at"), not ahead, edge)
-        joined = rows.join(carry, [*self.keys, SPLIT], "left")
+        joined = match_groups(rows, carry, [*self.keys, SPLIT], "left")
         self.rows = joined.withColumn(name, F.coalesce("_local", "_carry")["v"]).drop("_local", "_carry", "_at", "_value")
         return self
 
@@ -188,9 +196,7 @@ def group_summary(df: DataFrame, keys: Seq[str], quantiles: Mapping[str, Mapping
         if not keys:
             result = result.crossJoin(F.broadcast(part))
             continue
-        named = part.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], *levels)
-        match = [result[f"`{k}`"].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)]
-        result = result.join(named, match, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+        result = match_groups(result, part, keys, "left")
     return result if aggregates else result.drop("_rows")
 
 
@@ -203,7 +209,7 @@ def _counted_quantiles(df: DataFrame, keys: Seq[str], value: str, quantiles: Map
     counts = df.where(F.col(value).isNotNull()).groupBy(*_columns(keys), value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = Sequence(counts, keys, [F.col(value)], limit=limit).running("_upto", "sum", F.col("_n")).df
     sizes = counts.groupBy(*_columns(keys)).agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(F.broadcast(sizes))
+    ranked = match_groups(ranked, sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
 
     def at(rank: Column) -> Column:
         inside = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)

@@ -56,13 +56,15 @@ def compare(spark, con, function, sql: str, folder: str) -> str | None:
             f"    ours   {sorted(left, key=str)[:3]}\n    theirs {sorted(right, key=str)[:3]}")
 
 
-def main(folder: str, pattern: str = "") -> int:
+def main(folder: str, pattern: str = "", hot: str = "") -> int:
     sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
     import __spark_entry__ as entry
-    from sliceweave.session import local_session
+    from sliceweave.session import HOT_ROWS_CONF, local_session
 
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if hot:
+        spark.conf.set(HOT_ROWS_CONF, hot)
     con, failures = connect(folder), 0
     oracles = entry.oracle_sql()
     for name, function in entry.queries().items():
