@@ -57,31 +57,44 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
     tolerance of the best error and wins, or every tied row lies on the asked
     side and the one next to the anchor wins.
 
-    Rows and their two probes form one ordered sequence. A first pass finds the
-    best error of each probe; a second moves the probe to the rim of its tied
-    rows and takes the row there. Both passes keep the partitioning by key.
+    Positions and the two probes of every row form one ordered sequence. A
+    first pass finds the best error of each probe; a second moves the probe to
+    the rim of its tied positions. The positions around the rim are then tested
+    with the exact error, from the anchor's side. Both passes keep the
+    partitioning by key.
     """
-    point = F.struct(F.col(position).alias("pos"), F.col("idx").cast("long").alias("idx"))
-    entry = lambda pos, side: F.struct(pos.alias("pos"), F.lit(side).alias("side"), F.col("idx").cast("long").alias("idx"), F.col(position).alias("z"),
-                                       (point if side == 0 else F.lit(None).cast("struct<pos:double,idx:bigint>")).alias("point"))
-    entries = ordered.withColumn(position, F.col(position).cast("double")).select(*keys, F.inline(F.array(
-        entry(F.col(position), 0), entry(F.col(position) - distance_mm, -1), entry(F.col(position) + distance_mm, 1))))
-    checked = None if check is None else check.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_copy"))
+    z, idx = F.col(position).cast("double"), F.col("idx").cast("long")
+    tripled = None if check is None else check.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_copy"))
+    bare = F.struct("pos", "lo", "hi")
+    points = ordered.groupBy(*keys, z.alias("pos")).agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"))
+    points = Sequence(points, keys, [F.col("pos")], check=check).neighbour("before", bare).neighbour("after", bare, ahead=True).df
+    kind = "struct<pos:double,lo:bigint,hi:bigint>"
+    point_type = f"struct<pos:double,lo:bigint,hi:bigint,before:{kind},after:{kind}>"
+    points = points.select(*keys, "pos", F.lit(0).alias("side"), F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("double").alias("z"),
+                           F.struct("pos", "lo", "hi", "before", "after").alias("point"))
+    probe = lambda side: F.struct((z + side * distance_mm).alias("pos"), F.lit(side).alias("side"), idx.alias("anchor"), z.alias("z"))
+    probes = ordered.select(*keys, F.inline(F.array(probe(-1), probe(1)))).withColumn("point", F.lit(None).cast(point_type))
     # A probe follows the rows at its own position.
-    seq = Sequence(entries, keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("idx")], check=checked)
+    seq = Sequence(points.unionByName(probes), keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], check=tripled)
     near = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df
-    reach = F.least(F.abs(F.col("_below.pos") - F.col("pos")), F.abs(F.col("_above.pos") - F.col("pos"))) + TOLERANCE_MM
-    own = (F.col("side") != 0) & (F.abs(F.col("z") - F.col("pos")) <= reach)
-    rim = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") - F.col("side") * reach)
-    moved = near.select(*keys, rim.alias("pos"), "side", "idx", "z", "point", own.alias("own"))
-    # At the rim a lower probe follows equal rows and an upper probe precedes them.
-    seq = Sequence(moved, keys, [F.col("pos"), -F.col("side"), F.col("idx")], check=checked)
+    error = lambda place: F.abs(place - F.col("target"))
+    near = near.withColumn("target", F.col("pos")).withColumn(
+        "reach", F.least(error(F.col("_below.pos")), error(F.col("_above.pos"))) + TOLERANCE_MM)
+    rim = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("target") - F.col("side") * F.col("reach"))
+    moved = near.select(*keys, rim.alias("pos"), "side", "anchor", "z", "point", "target", "reach")
+    seq = Sequence(moved, keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], check=tripled)
     found = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df.where("side <> 0")
-    anchor = F.struct(F.col("z").alias("pos"), F.col("idx"))
-    pick = F.when(F.col("own"), anchor).when(F.col("side") < 0, F.col("_below")).otherwise(F.col("_above"))
-    both = found.groupBy(*keys, "idx").agg(F.first("z").alias(position), F.max(F.when(F.col("side") < 0, pick)).alias("_prev"),
-                                           F.max(F.when(F.col("side") > 0, pick)).alias("_next"))
-    return both.select(*keys, "idx", position, F.col("_prev.idx").alias("prev_idx"), F.col("_next.idx").alias("next_idx"),
+    flat = lambda name: F.struct(*[F.col(f"{name}.{part}").alias(part) for part in ("pos", "lo", "hi")])
+    around = [F.col("_below.before"), flat("_below"), flat("_above"), F.col("_above.after")]
+    tied = lambda order: F.filter(F.array(*order), lambda p: F.coalesce(error(p["pos"]) <= F.col("reach"), F.lit(False)))
+    low, high = F.get(tied(around), F.lit(0)), F.get(tied(around[::-1]), F.lit(0))
+    own = error(F.col("z")) <= F.col("reach")
+    pick = (F.when(own, F.struct(F.col("z").alias("pos"), F.col("anchor").alias("idx")))
+            .when(F.col("side") < 0, F.struct(high["pos"].alias("pos"), high["hi"].alias("idx")))
+            .otherwise(F.struct(low["pos"].alias("pos"), low["lo"].alias("idx"))))
+    both = found.groupBy(*keys, "anchor").agg(F.first("z").alias(position), F.max(F.when(F.col("side") < 0, pick)).alias("_prev"),
+                                              F.max(F.when(F.col("side") > 0, pick)).alias("_next"))
+    return both.select(*keys, F.col("anchor").alias("idx"), position, F.col("_prev.idx").alias("prev_idx"), F.col("_next.idx").alias("next_idx"),
                        F.col("_prev.pos").alias("prev_pos"), F.col("_next.pos").alias("next_pos"))
 
 

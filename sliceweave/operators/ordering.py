@@ -99,19 +99,21 @@ class Sequence:
     def df(self) -> DataFrame:
         return self.rows.drop(SPLIT, "_all") if self._whole else self.rows.drop(SPLIT)
 
+    def _parts(self) -> list[Column]:
+        return _columns(self.keys) + ([F.col(SPLIT)] if self.split else [])
+
     def _window(self):
-        parts = _columns(self.keys) + ([F.col(SPLIT)] if self.split else [])
-        return Window.partitionBy(*parts).orderBy(*self.order)
+        return Window.partitionBy(*self._parts()).orderBy(*self.order)
 
-    def _carry(self, rows: DataFrame, value: Column, position: Column, last: bool, fold) -> DataFrame:
+    def _carry(self, rows: DataFrame, value: Column, position: Column, forward: bool, fold) -> DataFrame:
         """Per split its closing value, folded over the splits before (or after) it."""
-        pick = F.max_by if last else F.min_by
+        pick = F.max_by if forward else F.min_by
         totals = (
             rows.where(F.col(SPLIT) > 0).groupBy(*_columns(self.keys), SPLIT)
             .agg(pick(F.struct(value.alias("v")), position).alias("_closing"))
         )
-        over = Window.partitionBy(*_columns(self.keys)).orderBy(F.col(SPLIT))
-        over = over.rowsBetween(Window.unboundedPreceding, -1) if last else over.rowsBetween(1, Window.unboundedFollowing)
+        order = F.col(SPLIT).asc() if forward else F.col(SPLIT).desc()
+        over = Window.partitionBy(*_columns(self.keys)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         # One row per split of a hot key, a few times rows/limit at most.
         return F.broadcast(totals.select(*_columns(self.keys), SPLIT, fold(F.col("_closing"), over).alias("_carry")))
 
@@ -132,25 +134,29 @@ class Sequence:
 
         ``reverse`` runs from the end; ``last`` then means the next non-null value.
         """
-        window = self._window()
-        frame = (window.rowsBetween(0, Window.unboundedFollowing) if reverse
-                 else window.rowsBetween(Window.unboundedPreceding, 0))
-        pick = F.first if reverse else F.last
+        window, rows = self._window(), self.rows
+        # Frames grow from their start only. Backwards, the rows are numbered and
+        # walked in descending order, since a frame that shrinks costs a rescan per row.
+        if reverse or self.split:
+            rows = rows.withColumn("_at", F.row_number().over(window))
+        if reverse:
+            window = Window.partitionBy(*self._parts()).orderBy(F.col("_at").desc())
+        frame = window.rowsBetween(Window.unboundedPreceding, 0)
         local = {
             "sum": lambda: F.sum(value).over(frame),
             "min": lambda: F.min(value).over(frame),
             "max": lambda: F.max(value).over(frame),
-            "last": lambda: pick(value, ignorenulls=True).over(frame),
+            "last": lambda: F.last(value, ignorenulls=True).over(frame),
         }[kind]()
         if not self.split:
-            self.rows = self.rows.withColumn(name, local)
+            self.rows = rows.withColumn(name, local).drop("_at")
             return self
-        rows = self.rows.withColumn("_local", local).withColumn("_at", F.row_number().over(window))
+        rows = rows.withColumn("_local", local)
         closing = {
             "sum": lambda c, w: F.sum(c["v"]).over(w),
             "min": lambda c, w: F.min(c["v"]).over(w),
             "max": lambda c, w: F.max(c["v"]).over(w),
-            "last": lambda c, w: pick(c["v"], ignorenulls=True).over(w),
+            "last": lambda c, w: F.last(c["v"], ignorenulls=True).over(w),
         }[kind]
         carry = self._carry(rows, F.col("_local"), F.col("_at"), not reverse, closing)
         both = {
@@ -172,8 +178,7 @@ class Sequence:
             return self
         rows = self.rows.withColumn("_local", step(F.struct(value.alias("v"))).over(window))
         rows = rows.withColumn("_at", F.row_number().over(window)).withColumn("_value", value)
-        edge = (lambda c, w: F.first(c).over(w)) if ahead else (lambda c, w: F.last(c).over(w))
-        carry = self._carry(rows, F.col("_value"), F.col("_at"), not ahead, edge)
+        carry = self._carry(rows, F.col("_value"), F.col("_at"), not ahead, lambda c, w: F.last(c).over(w))
         joined = match_groups(rows, carry, [*self.keys, SPLIT], "left")
         self.rows = joined.withColumn(name, F.coalesce("_local", "_carry")["v"]).drop("_local", "_carry", "_at", "_value")
         return self
