@@ -122,23 +122,21 @@ def children_profile(parents: DataFrame, children: DataFrame, key: str, level: s
     """Children per parent: parents, children, childless parents and the spread."""
     counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("children"))
     joined = parents.select(key).join(counts, key, "left").withColumn("children", F.coalesce("children", F.lit(0)))
-    base = joined.agg(F.count(F.lit(1)).alias("parents"), F.sum("children").alias("children"),
-                      F.count_if(F.col("children") == 0).alias("childless"),
-                      F.min("children").alias("min_children"), F.max("children").alias("max_children"))
-    median = group_quantiles(joined, [], "children", {"median_children": 0.5})
-    return base.crossJoin(F.broadcast(median)).select(F.lit(level).alias("level"), "*")
+    whole = [F.count(F.lit(1)).alias("parents"), F.sum("children").alias("children"), F.count_if(F.col("children") == 0).alias("childless"),
+             F.min("children").alias("min_children"), F.max("children").alias("max_children")]
+    return group_summary(joined, [], {"children": {"median_children": 0.5}}, whole).select(F.lit(level).alias("level"), "*")
 
 
 def type_presence(series: DataFrame, study: str) -> DataFrame:
     """Per series type: share of studies that have it, share that repeat it, most in one study, median slices."""
     typed = series.withColumn("type", series_type(F.col("plane"), F.col("fat")))
     per_study = typed.groupBy(study, "type").agg(F.count(F.lit(1)).alias("n"))
-    studies = F.broadcast(series.agg(F.count_distinct(study).alias("studies")))
+    studies = series.agg(F.count_distinct(study)).scalar()
     shares = per_study.groupBy("type").agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("n") > 1).alias("repeated"),
                                            F.max("n").alias("max_per_study"))
     medians = group_quantiles(typed.select("type", "num_slices"), ["type"], "num_slices", {"median_slices": 0.5})
-    return shares.join(F.broadcast(medians), "type", "left").crossJoin(studies).select(
-        "type", (F.col("present") / F.col("studies")).alias("presence_rate"),
+    return shares.join(F.broadcast(medians), "type", "left").select(
+        "type", (F.col("present") / studies).alias("presence_rate"),
         (F.col("repeated") / F.col("present")).alias("repeat_rate"), "max_per_study", "median_slices")
 
 
@@ -153,9 +151,8 @@ def layouts(series: DataFrame, study: str) -> DataFrame:
         F.concat_ws("x", "type", F.col("n").cast("string")))), " + ").alias("layout"))
     counts = signature.groupBy("layout").agg(F.count(F.lit(1)).alias("studies"))
     running = Sequence(counts, [], [F.desc("studies"), F.col("layout")]).running("upto", "sum", F.col("studies")).df
-    whole = F.broadcast(counts.agg(F.sum("studies").alias("total")))
-    return running.crossJoin(whole).select("layout", "studies", (F.col("studies") / F.col("total")).alias("share"),
-                                           (F.col("upto") / F.col("total")).alias("cumulative_share"))
+    total = counts.agg(F.sum("studies")).scalar()
+    return running.select("layout", "studies", (F.col("studies") / total).alias("share"), (F.col("upto") / total).alias("cumulative_share"))
 
 
 def contrast_mix(series: DataFrame) -> DataFrame:
@@ -178,9 +175,8 @@ def geometry_medians(series: DataFrame, columns: Mapping[str, str], check: DataF
 def device_mix(rows: DataFrame, device: str, field: Column) -> DataFrame:
     """Share of each device and how often it fills a field."""
     counts = rows.groupBy(device).agg(F.count(F.lit(1)).alias("rows"), F.count_if(field.isNotNull()).alias("filled"))
-    whole = F.broadcast(counts.agg(F.sum("rows").alias("total")))
-    return counts.crossJoin(whole).select(device, "rows", (F.col("rows") / F.col("total")).alias("share"),
-                                          (F.col("filled") / F.col("rows")).alias("coverage"))
+    total = counts.agg(F.sum("rows")).scalar()
+    return counts.select(device, "rows", (F.col("rows") / total).alias("share"), (F.col("filled") / F.col("rows")).alias("coverage"))
 
 
 def numbering_direction(slices: DataFrame, series: str, number: Column, position: Column) -> DataFrame:

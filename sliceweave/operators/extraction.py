@@ -181,8 +181,8 @@ def score_distribution(validated: DataFrame) -> DataFrame:
 def extraction_coverage(state: DataFrame, validated: DataFrame, target_count: int) -> DataFrame:
     """Studies by outcome, and scored and masked labels over all requested studies."""
     studies = state.agg(F.count(F.lit(1)).alias("selected"), F.count_if(F.col("extraction_status") == "SUCCESS").alias("successful"))
-    scored = validated.agg(F.count("label").alias("scored_labels"))
-    return studies.crossJoin(F.broadcast(scored)).select(
+    scored = validated.agg(F.count("label")).scalar()
+    return studies.withColumn("scored_labels", scored).select(
         "selected", "successful", (F.col("selected") - F.col("successful")).alias("pending_or_failed"), "scored_labels",
         (F.col("selected") * target_count - F.col("scored_labels")).alias("masked_labels"))
 

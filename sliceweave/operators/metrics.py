@@ -49,9 +49,9 @@ def macro_auc(per_label: DataFrame, groups: Seq[str] = ()) -> DataFrame:
 
 def efficiency(runs: DataFrame, benchmark: float, limit_seconds: float = 32400.0) -> DataFrame:
     """Score to minimise: AUC over (benchmark - best AUC) plus the used share of the time limit."""
-    best = F.broadcast(runs.agg(F.max("auc").alias("_best")))
-    score = F.col("auc") / (F.lit(benchmark) - F.col("_best")) + F.col("runtime_seconds") / limit_seconds
-    return runs.crossJoin(best).withColumn("efficiency", F.round(score, 6)).drop("_best")
+    best = runs.agg(F.max("auc")).scalar()
+    score = F.col("auc") / (F.lit(benchmark) - best) + F.col("runtime_seconds") / limit_seconds
+    return runs.withColumn("efficiency", F.round(score, 6))
 
 
 def isolated(wide: DataFrame, targets: Seq[str]) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.operators.ordering import Sequence
+from sliceweave.operators.ordering import Sequence, hot_groups
+from sliceweave.session import hot_rows
 
 TOLERANCE_MM = 1e-4
 
@@ -64,10 +65,12 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
     partitioning by key.
     """
     z, idx = F.col(position).cast("double"), F.col("idx").cast("long")
-    tripled = None if check is None else check.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_copy"))
+    # Each row brings two probes, so a group counts as hot at a third of the limit.
+    limit = max(1, hot_rows(ordered.sparkSession) // 3)
+    hot = hot_groups(ordered, keys, limit, check)
     bare = F.struct("pos", "lo", "hi")
     points = ordered.groupBy(*keys, z.alias("pos")).agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"))
-    points = Sequence(points, keys, [F.col("pos")], check=check).neighbour("before", bare).neighbour("after", bare, ahead=True).df
+    points = Sequence(points, keys, [F.col("pos")], limit=limit, hot=hot).neighbour("before", bare).neighbour("after", bare, ahead=True).df
     kind = "struct<pos:double,lo:bigint,hi:bigint>"
     point_type = f"struct<pos:double,lo:bigint,hi:bigint,before:{kind},after:{kind}>"
     points = points.select(*keys, "pos", F.lit(0).alias("side"), F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("double").alias("z"),
@@ -75,14 +78,14 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
     probe = lambda side: F.struct((z + side * distance_mm).alias("pos"), F.lit(side).alias("side"), idx.alias("anchor"), z.alias("z"))
     probes = ordered.select(*keys, F.inline(F.array(probe(-1), probe(1)))).withColumn("point", F.lit(None).cast(point_type))
     # A probe follows the rows at its own position.
-    seq = Sequence(points.unionByName(probes), keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], check=tripled)
+    seq = Sequence(points.unionByName(probes), keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], limit=limit, hot=hot)
     near = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df
     error = lambda place: F.abs(place - F.col("target"))
     near = near.withColumn("target", F.col("pos")).withColumn(
         "reach", F.least(error(F.col("_below.pos")), error(F.col("_above.pos"))) + TOLERANCE_MM)
     rim = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("target") - F.col("side") * F.col("reach"))
     moved = near.select(*keys, rim.alias("pos"), "side", "anchor", "z", "point", "target", "reach")
-    seq = Sequence(moved, keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], check=tripled)
+    seq = Sequence(moved, keys, [F.col("pos"), F.col("side") != 0, F.col("side"), F.col("anchor")], limit=limit, hot=hot)
     found = seq.running("_below", "last", F.col("point")).running("_above", "last", F.col("point"), reverse=True).df.where("side <> 0")
     flat = lambda name: F.struct(*[F.col(f"{name}.{part}").alias(part) for part in ("pos", "lo", "hi")])
     around = [F.col("_below.before"), flat("_below"), flat("_above"), F.col("_above.after")]

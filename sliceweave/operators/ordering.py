@@ -70,17 +70,18 @@ class Sequence:
 
     ``check`` may name a cheaper frame whose groups are at least as large, so
     that the size check does not run the plan behind ``df`` a second time.
+    ``hot`` takes the answer of ``hot_groups`` where several sequences share it.
     """
 
-    def __init__(self, df: DataFrame, keys: Seq[str], order: Seq[Column],
-                 check: DataFrame | None = None, limit: int | None = None):
+    def __init__(self, df: DataFrame, keys: Seq[str], order: Seq[Column], check: DataFrame | None = None,
+                 limit: int | None = None, hot: DataFrame | None | bool = False):
         self._whole = not keys
         if self._whole:
             df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
             check = None if check is None else check.withColumn("_all", F.lit(0))
         self.keys, self.order = list(keys), list(order)
         limit = hot_rows(df.sparkSession) if limit is None else limit
-        hot = hot_groups(df, self.keys, limit, check)
+        hot = hot_groups(df, self.keys, limit, check) if hot is False else hot
         self.split = hot is not None
         if self.split:
             total = hot.agg(F.sum("_rows")).first()[0]
@@ -191,17 +192,17 @@ def group_summary(df: DataFrame, keys: Seq[str], quantiles: Mapping[str, Mapping
     One aggregate while groups are small. The exact quantile of a large group
     comes from its counted distinct values and their running count instead.
     """
+    if not keys:
+        one = group_summary(df.withColumn("_all", F.lit(0)), ["_all"], quantiles, aggregates,
+                            None if check is None else check.withColumn("_all", F.lit(0)), limit)
+        return one.drop("_all")
     if hot_groups(df, keys, limit, check) is None:
         exact = [F.percentile(column, q).alias(name) for column, levels in quantiles.items() for name, q in levels.items()]
         return df.groupBy(*_columns(keys)).agg(*aggregates, *exact)
     df = materialize(df)
     result = df.groupBy(*_columns(keys)).agg(*(aggregates or [F.count(F.lit(1)).alias("_rows")]))
     for column, levels in quantiles.items():
-        part = _counted_quantiles(df, keys, column, levels, limit)
-        if not keys:
-            result = result.crossJoin(F.broadcast(part))
-            continue
-        result = match_groups(result, part, keys, "left")
+        result = match_groups(result, _counted_quantiles(df, keys, column, levels, limit), keys, "left")
     return result if aggregates else result.drop("_rows")
 
 
@@ -214,7 +215,7 @@ def _counted_quantiles(df: DataFrame, keys: Seq[str], value: str, quantiles: Map
     counts = df.where(F.col(value).isNotNull()).groupBy(*_columns(keys), value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = Sequence(counts, keys, [F.col(value)], limit=limit).running("_upto", "sum", F.col("_n")).df
     sizes = counts.groupBy(*_columns(keys)).agg(F.sum("_n").alias("_total"))
-    ranked = match_groups(ranked, sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    ranked = match_groups(ranked, sizes, keys)
 
     def at(rank: Column) -> Column:
         inside = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)

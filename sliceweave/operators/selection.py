@@ -131,8 +131,8 @@ def slot_budgets(picks: DataFrame, study: str) -> DataFrame:
 
 def selection_report(old: DataFrame, new: DataFrame, studies: DataFrame, study: str, payload: Seq[str] = ()) -> DataFrame:
     """Old and new series of every study slot (five fixed slots each), with a changed flag."""
-    slots = F.broadcast(slot_table(studies.sparkSession).select("slot"))
-    frame = studies.select(study).distinct().crossJoin(slots)
+    slots = F.array(*[F.lit(row[0]) for row in SLOTS])
+    frame = studies.select(study).distinct().select(study, F.explode(slots).alias("slot"))
     side = lambda df, prefix: df.select(study, "slot", F.col("series").alias(f"{prefix}_series"),
                                         *[F.col(c).alias(f"{prefix}_{c}") for c in payload])
     joined = frame.join(side(old, "original"), [study, "slot"], "left").join(side(new, "selected"), [study, "slot"], "left")

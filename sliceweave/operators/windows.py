@@ -101,7 +101,7 @@ def offset_report(offsets: DataFrame, slot: str, columns: Seq[str], changed: str
 
 def cumulative_share(counts: DataFrame, order: Seq[Column], value: str) -> DataFrame:
     """Running share of ``value`` over the whole table in the given total order."""
-    total = F.broadcast(counts.agg(F.sum(value).alias("_total")))
+    total = counts.agg(F.sum(value)).scalar()
     rows = Sequence(counts, [], order).running("_upto", "sum", F.col(value)).df
-    return rows.crossJoin(total).withColumn("cumulative_share", F.col("_upto") / F.col("_total")).drop("_upto", "_total")
+    return rows.withColumn("cumulative_share", F.col("_upto") / total).drop("_upto")
 
