@@ -13,6 +13,7 @@ from sliceweave.functions.text import report_group, seeded
 from sliceweave.operators.guards import ContractError
 from sliceweave.operators.ordering import Sequence, first_per_group, group_quantiles, top_k
 from sliceweave.schemas import SLOT_WEIGHTS
+from sliceweave.session import materialize
 
 
 def sample_studies(eligible: DataFrame, key: str, limit: int, seed) -> DataFrame:
@@ -105,43 +106,69 @@ def proportional_subset(windows: DataFrame, study: str, slot: str, order: Seq[Co
     return part.select(*windows.columns).unionByName(whole.select(*windows.columns))
 
 
-def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int, seed) -> DataFrame:
+def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int | None = None) -> DataFrame:
     """``quota`` windows per group, one per equal-width depth bin; empty bins take the nearest unused window.
 
+    ``quota`` is a number or a column that is constant in its group and at most ``most``.
     Bins choose by digest on the map side. Only the windows at the rim of a bin
-    (at most ``quota`` from either end) can fill an empty bin, so a group is
+    (at most ``most`` from either end) can fill an empty bin, so a group is
     down to a few hundred rows before the fill runs.
     """
-    span = windows.groupBy(*keys).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / quota
+    most = quota if most is None else most
+    given = F.lit(quota) if isinstance(quota, int) else F.col(quota)
+    span = windows.groupBy(*keys).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"), F.max(given).cast("int").alias("_q"))
     rows = windows.join(span, list(keys)).withColumn("_h", seeded(seed, *[F.col(k) for k in keys], F.col(item)))
-    edges = F.array(*[F.lit(float(i)) * width + F.col("_lo") for i in range(1, quota)]) if quota > 1 else F.array().cast("array<double>")
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_q")
+    inner = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: i > 0)
+    edges = F.transform(inner, lambda i: i * width + F.col("_lo"))
     rows = rows.withColumn("_bin", F.size(F.filter(edges, lambda e: e <= F.col(position))))
     best = top_k(rows, [*keys, "_bin"], [F.col("_h"), F.col(item)], 1, "_r").drop("_r").withColumn("_picked", F.lit(True))
-    low = top_k(rows, [*keys, "_bin"], [F.col(position).asc(), F.col(item)], quota + 1, "_r").drop("_r")
-    high = top_k(rows, [*keys, "_bin"], [F.col(position).desc(), F.col(item)], quota + 1, "_r").drop("_r")
-    level = top_k(rows.where(F.col("_lo") == F.col("_hi")), keys, [F.col("_h"), F.col(item)], quota, "_r").drop("_r")
-    columns = [*keys, position, item, "_bin", "_h", "_lo", "_hi"]
+    low = top_k(rows, [*keys, "_bin"], [F.col(position).asc(), F.col(item)], most + 1, "_r").drop("_r")
+    high = top_k(rows, [*keys, "_bin"], [F.col(position).desc(), F.col(item)], most + 1, "_r").drop("_r")
+    level = top_k(rows.where(F.col("_lo") == F.col("_hi")), keys, [F.col("_h"), F.col(item)], most, "_r").drop("_r")
+    columns = [*keys, position, item, "_bin", "_h", "_lo", "_hi", "_q"]
     marked = lambda df, picked: df.select(*columns, F.lit(picked).alias("_picked"))
     pool = marked(low, 0).unionByName(marked(high, 0)).unionByName(marked(level, 0)).unionByName(marked(best, 1))
     pool = pool.groupBy(*columns).agg(F.max("_picked").alias("_picked"))
     entry = F.struct(F.col("_h").alias("h"), F.col(item).alias("item"), F.col(position).alias("pos"), F.col("_bin").alias("bin"), F.col("_picked").alias("picked"))
-    held = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_pool"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    held = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_pool"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_q").alias("_q"))
     taken = F.filter("_pool", lambda e: e["picked"] == 1)
     filled = F.transform(taken, lambda e: e["bin"])
-    empty = F.filter(F.array(*[F.lit(i) for i in range(quota)]), lambda i: ~F.array_contains(filled, i))
+    empty = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: ~F.array_contains(filled, i))
 
     def fill(chosen, bucket):
-        centre = F.col("_lo") + (bucket + 0.5) * (F.col("_hi") - F.col("_lo")) / quota
+        centre = F.col("_lo") + (bucket + 0.5) * (F.col("_hi") - F.col("_lo")) / F.col("_q")
         rest = F.filter("_pool", lambda e: ~F.exists(chosen, lambda c: c["item"] == e["item"]))
         nearest = F.array_min(F.transform(rest, lambda e: F.struct(F.abs(e["pos"] - centre).alias("d"), e.alias("e"))))["e"]
         return F.concat(chosen, F.array_compact(F.array(nearest)))
 
-    flat = F.slice("_pool", 1, quota)
+    flat = F.slice("_pool", F.lit(1), F.col("_q"))
     picks = F.when(F.col("_lo") == F.col("_hi"), flat).otherwise(F.aggregate(empty, taken, fill))
     return held.select(*keys, F.explode(picks).alias("_e")).select(*keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
 
 
+def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, anchor: str, order: Column, count: int, seed) -> DataFrame:
+    """``count`` windows per study: distinct anchors, weighted slot quotas, then depth strata inside each slot.
+
+    A study with fewer anchors than ``count`` repeats some; the repeats go to the slots
+    furthest below their share, whose capacity no longer matters.
+    """
+    distinct = materialize(distinct_anchors(windows, study, slot, anchor, order))
+    capacities = distinct.groupBy(study, slot).agg(F.count(F.lit(1)).alias("_cap"))
+    quotas = slot_quotas(capacities, study, slot, "_cap", count, slot_weight(F.col(slot)))
+    rows = distinct.join(quotas.select(study, slot, "quota"), [study, slot])
+    picks = stratified_by_depth(rows, [study, slot], position, anchor, "quota", seed, most=count)
+    totals = capacities.groupBy(study).agg(F.sum("_cap").alias("_held"), F.sum(slot_weight(F.col(slot))).alias("_weights")).where(F.col("_held") < count)
+    short = capacities.join(totals, study)
+    units = short.withColumn("_unit", F.explode(F.sequence(F.col("_cap") + 1, F.lit(count).cast("long"))))
+    units = units.withColumn("_deficit", count * slot_weight(F.col(slot)) / F.col("_weights") - (F.col("_unit") - 1))
+    extra = top_k(units, [study], [F.col("_deficit").desc(), F.col(slot).asc(), F.col("_unit").asc()], count, "_o").where(F.col("_o") <= count - F.col("_held"))
+    pick = F.conv(F.substring(seeded(f"{seed}|extra", F.col(study), F.col(slot), F.col("_unit")), 1, 12), 16, 10).cast("long") % F.col("_cap") + 1
+    ranked = top_k(distinct.join(totals.select(study), study, "left_semi"), [study, slot], [F.col(position), F.col(anchor)], count, "_pick")
+    repeats = extra.withColumn("_pick", pick).join(ranked.select(study, slot, "_pick", anchor, position), [study, slot, "_pick"])
+    return picks.select(study, slot, anchor, position).unionByName(repeats.select(study, slot, anchor, position))
+
+
 def cover_examples(rows: DataFrame, key: str, text: str, targets: Seq[str], count: int, seed) -> DataFrame:
     """Greedy examples that cover every (label, value) pair; positives count double, texts never repeat.
 

@@ -129,7 +129,7 @@ def exports(spark, d):
 @query("v08_fingerprint", """
     SELECT count(*) AS rows, sha256(count(*) || '|' || sum(c0) || '|' || sum(c1) || '|' || sum(c2) || '|' || sum(c3)) AS data_sha256 FROM (
     SELECT CAST('0x' || substring(h, 1, 15) AS BIGINT) AS c0, CAST('0x' || substring(h, 16, 15) AS BIGINT) AS c1, CAST('0x' || substring(h, 31, 15) AS BIGINT) AS c2,
-           CAST('0x' || substring(h, 46, 15) AS BIGINT) AS c3 FROM (SELECT sha256(doc_id || '|' || text || '|' || lang) AS h FROM documents))""")
+           CAST('0x' || substring(h, 46, 15) AS BIGINT) AS c3 FROM (SELECT sha256(length(doc_id::VARCHAR) || ':' || doc_id || '|' || length(text) || ':' || text || '|' || length(lang) || ':' || lang) AS h FROM documents))""")
 def data_fingerprint(spark, d):
     return splits.fingerprint(table(spark, d, "documents"), ["doc_id", "text", "lang"])
 
@@ -137,7 +137,7 @@ def data_fingerprint(spark, d):
 @query("a33_label_fingerprint", """
     SELECT count(*) AS rows, sha256(count(*) || '|' || sum(c0) || '|' || sum(c1) || '|' || sum(c2) || '|' || sum(c3)) AS data_sha256 FROM (
     SELECT CAST('0x' || substring(h, 1, 15) AS BIGINT) AS c0, CAST('0x' || substring(h, 16, 15) AS BIGINT) AS c1, CAST('0x' || substring(h, 31, 15) AS BIGINT) AS c2,
-           CAST('0x' || substring(h, 46, 15) AS BIGINT) AS c3 FROM (SELECT sha256(doc_id || '|' || quality || '|' || toxic) AS h FROM labels))""")
+           CAST('0x' || substring(h, 46, 15) AS BIGINT) AS c3 FROM (SELECT sha256(length(doc_id::VARCHAR) || ':' || doc_id || '|1:' || quality || '|1:' || toxic) AS h FROM labels))""")
 def label_fingerprint(spark, d):
     return splits.fingerprint(table(spark, d, "labels"), ["doc_id", "quality", "toxic"])
 

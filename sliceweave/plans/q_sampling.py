@@ -66,6 +66,14 @@ def depth_stratified(spark, d):
     return sampling.stratified_by_depth(m.windows(spark, d).select("series", "idx", "position"), ["series"], "position", "idx", 4, 5)
 
 
+@query("k05_sample_by_depth", sql("SELECT DISTINCT study, CAST(16 AS BIGINT) AS drawn FROM windows", "windows"))
+def sample_by_depth(spark, d):
+    """Distinct anchors, slot quotas and depth strata together; every study draws the full count."""
+    rows = m.windows(spark, d).withColumn("anchor", F.col("series") * 100 + F.col("idx"))
+    drawn = sampling.sample_by_depth(rows, "study", "slot", "position", "anchor", F.col("series"), 16, 5)
+    return drawn.groupBy("study").agg(F.count(F.lit(1)).alias("drawn"))
+
+
 @query("k06_distinct_anchors", sql("SELECT study, slot, idx, min(series) AS series FROM windows GROUP BY 1, 2, 3", "windows"))
 def distinct_anchors(spark, d):
     return sampling.distinct_anchors(m.windows(spark, d).select("study", "slot", "idx", "series"), "study", "slot", "idx", F.col("series"))

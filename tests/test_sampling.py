@@ -109,6 +109,28 @@ def test_depth_strata(spark, quota):
             assert min(abs(positions[i] - centre) for i in repeats) <= min(abs(positions[i] - centre) for i in left) + 1e-9
 
 
+def test_sample_by_depth_quotas_and_repeats(spark):
+    rng = random.Random(12)
+    rows = [(study, slot, rng.uniform(0, 9), rng.randrange(40), i) for study in range(20) for slot in rng.sample(range(5), rng.randrange(1, 6))
+            for i in range(rng.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "study int, slot int, position double, anchor int, i int")
+    got = defaultdict(list)
+    for r in sampling.sample_by_depth(df.repartition(5), "study", "slot", "position", "anchor", F.col("i"), 16, 3).collect():
+        got[r["study"]].append((r["slot"], r["anchor"]))
+    weights = [7.0, 5.0, 5.0, 3.0, 4.0]
+    for study in range(20):
+        anchors = {(r[1], r[3]) for r in rows if r[0] == study}
+        slots = sorted({s for s, _ in anchors})
+        caps = [sum(a[0] == s for a in anchors) for s in slots]
+        share = [weights[s] for s in slots]
+        goal = min(16, sum(caps))
+        quotas = brute_quotas(share, caps, goal, [goal * w / sum(share) for w in share])
+        while sum(quotas) < 16:
+            quotas[int(np.argmax([16 * w / sum(share) - q for w, q in zip(share, quotas)]))] += 1
+        assert [sum(s == slot for s, _ in got[study]) for slot in slots] == quotas
+        assert len(set(got[study])) == goal and set(got[study]) <= anchors
+
+
 def test_cover_examples(spark):
     rng = random.Random(2)
     rows = [(i, f"Report  {rng.randrange(12)}", rng.choice([0, 1, None]), rng.choice([0, 1]), rng.choice([0, 1])) for i in range(60)]
