@@ -170,7 +170,8 @@ def stratified_folds(spark, d):
 
 
 def _quota(spark, d):
-    wide = m.wide(spark, d, "new")
+    """The label table, written once since it is read several times, and its quota split."""
+    wide = materialize(m.wide(spark, d, "new"))
     size = -(-wide.count() // 10)
     locked = wide.where(F.col("uid") % 170 == 0).select("uid")
     return wide, splits.quota_validation(wide, "uid", TARGETS, size, 42, locked)
