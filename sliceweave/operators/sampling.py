@@ -156,7 +156,8 @@ def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, an
     distinct = materialize(distinct_anchors(windows, study, slot, anchor, order))
     capacities = distinct.groupBy(study, slot).agg(F.count(F.lit(1)).alias("_cap"))
     quotas = slot_quotas(capacities, study, slot, "_cap", count, slot_weight(F.col(slot)))
-    rows = distinct.join(quotas.select(study, slot, "quota"), [study, slot])
+    rows = materialize(distinct.join(quotas.select(study, slot, F.col("_cap"), "quota"), [study, slot]))
+    capacities = rows.groupBy(study, slot).agg(F.max("_cap").alias("_cap"))
     picks = stratified_by_depth(rows, [study, slot], position, anchor, "quota", seed, most=count)
     totals = capacities.groupBy(study).agg(F.sum("_cap").alias("_held"), F.sum(slot_weight(F.col(slot))).alias("_weights")).where(F.col("_held") < count)
     short = capacities.join(totals, study)
@@ -164,7 +165,7 @@ def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, an
     units = units.withColumn("_deficit", count * slot_weight(F.col(slot)) / F.col("_weights") - (F.col("_unit") - 1))
     extra = top_k(units, [study], [F.col("_deficit").desc(), F.col(slot).asc(), F.col("_unit").asc()], count, "_o").where(F.col("_o") <= count - F.col("_held"))
     pick = F.conv(F.substring(seeded(f"{seed}|extra", F.col(study), F.col(slot), F.col("_unit")), 1, 12), 16, 10).cast("long") % F.col("_cap") + 1
-    ranked = top_k(distinct.join(totals.select(study), study, "left_semi"), [study, slot], [F.col(position), F.col(anchor)], count, "_pick")
+    ranked = top_k(rows.join(totals.select(study), study, "left_semi"), [study, slot], [F.col(position), F.col(anchor)], count, "_pick")
     repeats = extra.withColumn("_pick", pick).join(ranked.select(study, slot, "_pick", anchor, position), [study, slot, "_pick"])
     return picks.select(study, slot, anchor, position).unionByName(repeats.select(study, slot, anchor, position))
 
