@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import broadcast_value, map_rows, per_process, project
+from sliceweave.llm.common import Shared, map_rows, project
 
 # The public pre-token pattern of this vocabulary, for any text and for texts of ASCII alone.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -208,10 +208,6 @@ class _Memo(dict):
         return ids
 
 
-def _encoder(shared) -> BpeEncoder:
-    return per_process(("bpe", shared.id), lambda: BpeEncoder(shared.value))
-
-
 def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", decode: bool = False) -> DataFrame:
     """Token ids of every whole text: ``id_column``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32 bit)
     and, with ``decode``, ``decoded``: the text that these ids decode to.
@@ -221,11 +217,11 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     the driver, and the tables (about 1 MB, bounded by the vocabulary) are broadcast. Special strings inside a text
     become their own id, as the library does by default.
     """
-    shared = broadcast_value(df.sparkSession, ByteBpe.load(path))
+    shared = Shared(df.sparkSession, "bpe", ByteBpe.load(path))
     kind = dict(df.dtypes)[id_column]
 
     def run(batch: pa.RecordBatch, state: dict) -> dict:
-        encoder = _encoder(shared)
+        encoder = shared.get(BpeEncoder)
         ids = [encoder.encode(text) for text in batch.column(1).to_pylist()]
         out = {"id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
         if decode:
@@ -240,11 +236,11 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
 
 def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """Text of every row of token ids (null: empty text). Bytes that are not UTF-8 become the replacement sign."""
-    shared = broadcast_value(df.sparkSession, ByteBpe.load(path))
+    shared = Shared(df.sparkSession, "bpe", ByteBpe.load(path))
     kind = dict(df.dtypes)[id_column]
 
     def run(batch: pa.RecordBatch, state: dict) -> dict:
-        encoder = _encoder(shared)
+        encoder = shared.get(BpeEncoder)
         return {"id": batch.column(0), "decoded": [encoder.decode(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]}
 
     narrow = project(df, id=id_column, ids=ids_column).withColumn("id", F.col("id").cast("long"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceweave.session import shared_dir
+from sliceweave.session import scratch_path
 
 _A, _Z = ord("A"), ord("Z")
 #: Bytes that separate alphanumeric words: 00-2F, 3A-60 and 7B-7F once A-Z are lower case.
@@ -23,11 +25,18 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-def per_process(key, build: Callable):
-    """A table built once per Python worker and kept for its later tasks."""
-    if key not in _PROCESS:
-        _PROCESS[key] = build()
-    return _PROCESS[key]
+class Shared:
+    """A broadcast value of bounded size, and what each worker process builds from it and keeps for later tasks."""
+
+    def __init__(self, spark: SparkSession, kind: str, value):
+        self.kind, self.key = kind, hashlib.md5(pickle.dumps(value)).hexdigest()
+        self.sent = spark.sparkContext.broadcast(value)
+
+    def get(self, build: Callable):
+        """``build(value)`` of this process; a newer value of the same kind replaces it."""
+        if self.kind not in _PROCESS or _PROCESS[self.kind][0] != self.key:
+            _PROCESS[self.kind] = (self.key, build(self.sent.value))
+        return _PROCESS[self.kind][1]
 
 
 def map_rows(df: DataFrame, fields: Sequence[tuple[str, str]], function: Callable[[list, dict], dict], schema: str,
@@ -58,13 +67,6 @@ def project(df: DataFrame, **columns: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, fixes row positions, keeps column pruning."""
-    from sliceweave.session import scratch_path
-
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_value(spark: SparkSession, value):
-    shared_dir(spark)
-    return spark.sparkContext.broadcast(value)

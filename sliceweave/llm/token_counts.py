@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import broadcast_value, map_rows, per_process, project
+from sliceweave.llm.common import Shared, map_rows, project
 
 SPACE = "▁"
 #: Parts a worker keeps with their counts, and the longest kept; only memory depends on them.
@@ -156,11 +156,11 @@ def count_tokens(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     stay; other columns are left out. The model is read on the driver and its pieces (bounded by the vocabulary,
     about 1 MB) are broadcast.
     """
-    shared = broadcast_value(df.sparkSession, Pieces(path))
+    shared = Shared(df.sparkSession, "pieces", Pieces(path))
     kind = dict(df.dtypes)[id_column]
 
     def run(batch: pa.RecordBatch, state: dict) -> dict:
-        counter = per_process(("pieces", shared.id), lambda: Counter(shared.value))
+        counter = shared.get(Counter)
         return {"id": batch.column(0), "n_bytes": batch.column(2), "n_tokens": [counter.count(t) for t in batch.column(1).to_pylist()]}
 
     narrow = project(df, id=id_column, text=text_column).select(
