@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sliceweave.llm.common import Shared, map_rows, project
+from sliceweave.llm.common import Shared, map_rows
 
 # The public pre-token pattern of this vocabulary, for any text and for texts of ASCII alone.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -218,31 +217,24 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     become their own id, as the library does by default.
     """
     shared = Shared(df.sparkSession, "bpe", ByteBpe.load(path))
-    kind = dict(df.dtypes)[id_column]
 
-    def run(batch: pa.RecordBatch, state: dict) -> dict:
+    def run(texts: pa.Array) -> dict:
         encoder = shared.get(BpeEncoder)
-        ids = [encoder.encode(text) for text in batch.column(1).to_pylist()]
-        out = {"id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+        ids = [encoder.encode(text) for text in texts.to_pylist()]
+        out = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
         if decode:
             out["decoded"] = [encoder.decode(x).decode("utf-8", "replace") for x in ids]
         return out
 
-    fields = [("id", "long"), ("n_tokens", "long"), ("ids", "binary")] + [("decoded", "string")] * decode
-    narrow = project(df, id=id_column, text=text_column).withColumn("id", F.col("id").cast("long"))
-    out = map_rows(narrow, fields, run, "id long, n_tokens long, ids binary" + ", decoded string" * decode)
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)
+    return map_rows(df, [text_column], "n_tokens long, ids binary" + ", decoded string" * decode, run, [id_column])
 
 
 def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """Text of every row of token ids (null: empty text). Bytes that are not UTF-8 become the replacement sign."""
     shared = Shared(df.sparkSession, "bpe", ByteBpe.load(path))
-    kind = dict(df.dtypes)[id_column]
 
-    def run(batch: pa.RecordBatch, state: dict) -> dict:
+    def run(ids: pa.Array) -> dict:
         encoder = shared.get(BpeEncoder)
-        return {"id": batch.column(0), "decoded": [encoder.decode(x or b"").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]}
+        return {"decoded": [encoder.decode(x or b"").decode("utf-8", "replace") for x in ids.to_pylist()]}
 
-    narrow = project(df, id=id_column, ids=ids_column).withColumn("id", F.col("id").cast("long"))
-    out = map_rows(narrow, [("id", "long"), ("decoded", "string")], run, "id long, decoded string")
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)
+    return map_rows(df, [ids_column], "decoded string", run, [id_column])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sliceweave.session import scratch_path
 
@@ -39,30 +41,31 @@ class Shared:
         return _PROCESS[self.kind][1]
 
 
-def map_rows(df: DataFrame, fields: Sequence[tuple[str, str]], function: Callable[[list, dict], dict], schema: str,
-             setup: Callable = dict) -> DataFrame:
-    """Apply ``function(columns as lists, setup())`` to Arrow batches of ``df``; it returns a dict of columns."""
-    names = [name for name, _ in fields]
-    arrow = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callable[..., Mapping], keep: Sequence[str] = ()) -> DataFrame:
+    """Columns ``keep`` as they are, and those that ``function(*inputs)`` makes of each Arrow batch (a dict by field name).
+
+    ``fields`` is a DDL string. Only ``keep`` and ``inputs`` are sent to Python, so extra columns of any name do no harm.
+    """
+    made = StructType.fromDDL(fields)
+    keep_types = {f.name: f for f in df.schema.fields}
+    sent = df.select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"`{name}`").alias(f"__in{i}") for i, name in enumerate(inputs)])
+    kept, types = len(keep), [to_arrow_type(f.dataType) for f in made.fields]
+    names = [*keep, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = setup()
         for batch in batches:
-            columns = function(batch, state)
-            yield pa.RecordBatch.from_arrays(
-                [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(name).type) for name, v in zip(names, (columns[n] for n in names), strict=True)],
-                schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
+            columns = function(*batch.columns[kept:])
+            new = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], t) for n, t in zip(made.names, types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], names=names)
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-          "longs": pa.list_(pa.int64()), "ints": pa.list_(pa.int32()), "floats": pa.list_(pa.float32())}
+    return sent.mapInArrow(run, StructType([*[keep_types[k] for k in keep], *made.fields]))
 
 
-def project(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns under fixed names, so that extra columns of any name do no harm."""
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

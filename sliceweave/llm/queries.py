@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceweave.llm import bpe, token_counts
+from sliceweave.llm import ann, bpe, decontaminate, html_extract, license_scan, sharding, simhash, token_counts, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,111 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    rows, made = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+    n_words, items = F.col(made["n_words"]), F.col(made["items"])
+    return rows.select(
+        "doc_id", n_words.alias("n_words"), decontaminate.hit_words(made).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(decontaminate.hit_words(made), n_words).alias("contaminated"))
+
+
+#: Words by the rule of the window operators: A-Z in lower case, runs of ASCII letters, digits and other characters.
+SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op9_decontamination"] = rf"""
+WITH items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {SQL_WORDS} AS w FROM documents),
+places AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+found AS (
+  SELECT p.r, p.i, p.n, v.item FROM (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM places) p
+  JOIN windows v ON p.win = v.win AND p.n = v.n),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM found) GROUP BY r),
+lists AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN lists USING (r)"""
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents"))
+    return found.withColumns({name: F.array_join(name, ",") for name in ("base_labels", "labels")})
+
+
+#: Shards of the registered query, and its seed.
+SHARDS, SHARD_SEED = 8, 20
+
+
+@query
+def op7_proportional_shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.interleave(table(spark, folder, "documents"), SHARDS, SHARD_SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql_crc32() -> str:
+    """CRC-32 of a text's bytes in SQL: one step per byte through a table that the rule (polynomial EDB88320) makes."""
+    table_ = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table_.append(value)
+    step = "xor(c >> 8, t[1 + (xor(c, b) & 255)])"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, CAST(octet_length(x) AS BIGINT) + 1), i -> CAST(('0x' || substr(hex(x), 2 * i - 1, 2)) AS BIGINT))),
+      (c, b) -> {step.replace('t[', f'({table_}::BIGINT[])[')}), 4294967295)"""
+
+
+ORACLES["op7_proportional_shards"] = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, encode(coalesce(text, '')) AS x,
+    md5('{SHARD_SEED}:' || CAST(doc_id AS VARCHAR)) AS draw FROM documents),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY draw) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, draw) - 1 AS position, count(*) OVER () AS total FROM r),
+s AS (SELECT *, CAST(position * {SHARDS} // total AS BIGINT) AS shard FROM p)
+SELECT doc_id, size, CAST({_sql_crc32()} AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(position - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+
+
+
+@query
+def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_wrapper_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    scored = toxicity.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         F.when(F.col("score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
+
+
+#: Key of the training order.
+ORDER_KEY = 2025
+
+
+@query
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    index, _ = token_output.materialise(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ORDER_KEY)
+    return index
+
+
+@query
+def op8_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)

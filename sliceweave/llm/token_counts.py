@@ -16,11 +16,11 @@ import heapq
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sliceweave.llm.common import Shared, map_rows, project
+from sliceweave.llm.common import Shared, map_rows
 
 SPACE = "▁"
 #: Parts a worker keeps with their counts, and the longest kept; only memory depends on them.
@@ -157,13 +157,9 @@ def count_tokens(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     about 1 MB) are broadcast.
     """
     shared = Shared(df.sparkSession, "pieces", Pieces(path))
-    kind = dict(df.dtypes)[id_column]
 
-    def run(batch: pa.RecordBatch, state: dict) -> dict:
+    def run(texts: pa.Array) -> dict:
         counter = shared.get(Counter)
-        return {"id": batch.column(0), "n_bytes": batch.column(2), "n_tokens": [counter.count(t) for t in batch.column(1).to_pylist()]}
+        return {"n_bytes": pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), "n_tokens": [counter.count(t) for t in texts.to_pylist()]}
 
-    narrow = project(df, id=id_column, text=text_column).select(
-        F.col("id").cast("long").alias("id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = map_rows(narrow, [("id", "long"), ("n_bytes", "long"), ("n_tokens", "long")], run, "id long, n_bytes long, n_tokens long")
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)
+    return map_rows(df, [text_column], "n_bytes long, n_tokens long", run, [id_column])
