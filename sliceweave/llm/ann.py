@@ -23,7 +23,7 @@ PART, BLOCK = 1024, 4096
 #: Neighbours in the graph.
 DEGREE = 10
 #: A query visits its most probable parts until they hold this much probability.
-MASS = 0.98
+MASS = 0.95
 #: Units of the classifier's hidden layer.
 HIDDEN = 64
 

@@ -94,9 +94,9 @@ def _sql_crc32() -> str:
         for _ in range(8):
             value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
         table_.append(value)
-    step = "xor(c >> 8, t[1 + (xor(c, b) & 255)])"
-    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, CAST(octet_length(x) AS BIGINT) + 1), i -> CAST(('0x' || substr(hex(x), 2 * i - 1, 2)) AS BIGINT))),
-      (c, b) -> {step.replace('t[', f'({table_}::BIGINT[])[')}), 4294967295)"""
+    steps = f"lambda c, b: xor(c >> 8, ({table_}::BIGINT[])[1 + (xor(c, b) & 255)])"
+    codes = "list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce({codes}, {steps}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
 ORACLES["op7_proportional_shards"] = f"""

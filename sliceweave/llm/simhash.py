@@ -98,7 +98,7 @@ class Groups:
                 return
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
-            while (up := self.label[self.label]).tobytes() != self.label.tobytes():
+            while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
             self.version += 1
 
@@ -114,7 +114,7 @@ class GrayIndex:
             self.ones.append(np.bitwise_and.reduceat(self.ones[-1], cuts))
             self.zeros.append(np.bitwise_and.reduceat(self.zeros[-1], cuts))
 
-    def connect(self, groups: Groups, offset: int, distance: int = DISTANCE, chunk: int = 4096) -> None:
+    def connect(self, groups: Groups, offset: int, distance: int = DISTANCE, chunk: int = 1024) -> None:
         """Join the groups of all pairs within ``distance``; position i of the index is ``offset + i`` there."""
         n, top = len(self.ones[0]), len(self.ones) - 1
         spans = [self.fan**level for level in range(top + 1)]
