@@ -160,7 +160,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
 
     Each row of ``queries`` (same columns) is compared with the rows of ``df`` whose id differs from its own; ties go to
     the smaller id. Vectors that are null, empty, zero, or hold null or non-finite values, and rows with a null id, take
-    no part. Rows equal in id and vector count once, and so do queries. All vectors must have one length; others are an
+    no part. Rows equal in id and vector count once, and so do queries; an id with several vectors is found by any of
+    them, and asks with all of them for its one list. All vectors must have one length; others are an
     error. Equal vectors are one point of the index that carries its ``k + 1`` smallest ids, as no more can be found.
     Fewer candidates than ``k`` give fewer rows; empty tables give an empty result. Other columns are left out.
     """

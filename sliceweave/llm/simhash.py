@@ -10,10 +10,17 @@ below is connected already; only the rest is opened.
 Ranges are cut by size, not by band value, so a crowded band value is shared by many tasks. Band values that a border
 cuts are compared again, piece by piece, with the same pruning between pieces. Each task hands on at most one link per
 fingerprint (to the smallest of its group); groups are then joined by contraction in Spark.
+
+Four of 64 bits is a strict rule: texts that share four fifths of their shingles differ in about ten. Where a similarity
+is asked for, a second, wide fingerprint of the same kind (1,024 bits) is compared as well. No band of it can be trusted
+to agree, so texts meet under shingles that both have among their smallest hashes, the rarer ones first; the same index
+then joins those within the number of bits that the similarity stands for.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,25 +37,59 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 BANDS = (13, 13, 13, 13, 12)
 #: Children of a node, and fingerprints in a piece of a cut band value.
 FAN, PIECE = 16, 20_000
+#: 64-bit words of the wide fingerprint; smallest hashes by which texts meet, and how many of them, rarest first, are used.
+WIDE, SKETCH, MEETINGS = 16, 16, 8
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """64-bit SimHash of a whole text: the majority of each bit over the XXH64 of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle of a whole text (A-Z in lower case), repeats included; none without words."""
     parts = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     n = min(words, len(parts))
     starts = (ends - sizes)[:len(parts) - n + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1:].tolist())], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1:].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray, rows: int = 1) -> np.ndarray:
+    """Bits that are set in over half the hashes, as one 64-bit word for each of ``rows`` arrays of hashes."""
+    n = hashes.shape[-1]
+    if not n:
+        return np.zeros(rows, np.uint64)
     # Each bit has a byte of its own in eight numbers, so up to 255 hashes add up without a carry.
-    lanes = np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], np.arange(0, len(hashes), 255), axis=0)
-    ones = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    lanes = np.add.reduceat(_LANES[hashes.reshape(rows, n, 1).view(np.uint8)], np.arange(0, n, 255), axis=1)
+    ones = lanes.view(np.uint8).reshape(rows, -1, 64).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def wide_words(hashes: np.ndarray) -> np.ndarray:
+    """Wide fingerprint: the majority over hashes that are mixed anew for each of its words."""
+    key = np.arange(1, WIDE + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    ones, n = np.zeros((WIDE, 64), np.int64), len(hashes)
+    for at in range(0, n, 16_384):
+        mixed = (hashes[None, at:at + 16_384] ^ key) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(30)
+        lanes = np.add.reduceat(_LANES[mixed.reshape(WIDE, -1, 1).view(np.uint8)], np.arange(0, mixed.shape[1], 255), axis=1)
+        ones += lanes.view(np.uint8).reshape(WIDE, -1, 64).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def wide_distance(similarity: float) -> int:
+    """Most differing bits of the wide fingerprint for a share ``similarity`` of common shingles, two deviations added."""
+    bits = 64 * WIDE
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * part + 2 * math.sqrt(bits * part * (1 - part)))
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """64-bit SimHash of a whole text: the majority of each bit over all shingle hashes; 0 without words."""
+    return int(majority(shingle_hashes(text, words, seed))[0])
 
 
 def fingerprints(df: DataFrame, keep: list[str], text_column: str = "text", words: int = WORDS, seed: int = SEED, name: str = "fp") -> DataFrame:
@@ -67,20 +108,15 @@ def gray_rank(code: Column) -> Column:
 
 
 def rotations(distinct: DataFrame) -> DataFrame:
-    """Five rows of each fingerprint: ``band``, ``rank`` (Gray rank of the bits from that band on) and ``fp``."""
+    """Five rows of each fingerprint: ``bucket`` (band and its value), ``rank`` (Gray rank of the bits from that band
+    on), ``code`` and ``node`` (the fingerprint)."""
     rows, at = [], 0
     for band, width in enumerate(BANDS):
         turned = F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) if at else F.col("fp")
-        rows.append(F.struct(F.lit(band).alias("band"), gray_rank(turned).alias("rank")))
+        value = F.shiftrightunsigned(turned, 64 - width)
+        rows.append(F.struct((value + (band << 32)).alias("bucket"), gray_rank(turned).alias("rank")))
         at += width
-    return distinct.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.band", "r.rank", "fp")
-
-
-def band_value() -> Column:
-    width = F.lit(None)
-    for band, bits in enumerate(BANDS):
-        width = F.when(F.col("band") == band, F.shiftrightunsigned(F.col("rank").bitwiseXOR(F.lit(-(2**63))), 64 - bits)).otherwise(width)
-    return width.cast("long")
+    return distinct.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.bucket", "r.rank", F.col("fp").alias("code"), F.col("fp").alias("node"))
 
 
 class Groups:
@@ -103,74 +139,72 @@ class Groups:
             self.version += 1
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    """Set bits of each row of 64-bit words."""
+    counts = np.bitwise_count(words)
+    return counts[:, 0] if words.shape[1] == 1 else counts.sum(axis=1, dtype=np.int32)
+
+
 class GrayIndex:
-    """Hierarchy over fingerprints in Gray order."""
+    """Hierarchy over fingerprints, rows of 64-bit words, in Gray order."""
 
     def __init__(self, codes: np.ndarray, fan: int = FAN):
-        self.fan = fan
+        self.fan, self.width = fan, 64 * codes.shape[1]
         self.ones, self.zeros = [codes], [~codes]  # level 0 are the fingerprints: every bit is shared
         while len(self.ones[-1]) > 1:
             cuts = np.arange(0, len(self.ones[-1]), fan)
             self.ones.append(np.bitwise_and.reduceat(self.ones[-1], cuts))
             self.zeros.append(np.bitwise_and.reduceat(self.zeros[-1], cuts))
 
-    def connect(self, groups: Groups, offset: int, distance: int = DISTANCE, chunk: int = 1024) -> None:
+    def connect(self, groups: Groups, offset: int, distance: int, chunk: int = 1024) -> None:
         """Join the groups of all pairs within ``distance``; position i of the index is ``offset + i`` there."""
         n, top = len(self.ones[0]), len(self.ones) - 1
         spans = [self.fan**level for level in range(top + 1)]
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         pure: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        child = np.arange(self.fan)
         while stack:
             level, a, b = stack.pop()
             if len(a) > chunk:
                 stack.append((level, a[chunk:], b[chunk:]))
                 a, b = a[:chunk], b[:chunk]
+            if pure.get(level, (-1,))[0] != groups.version:
+                cuts, part = np.arange(0, n, spans[level]), groups.label[offset:offset + n]
+                pure[level] = (groups.version, np.minimum.reduceat(part, cuts), np.maximum.reduceat(part, cuts))
+            _, low, high = pure[level]
+            apart = ~((low[a] == high[b]) & (low[b] == high[a]))
+            a, b = a[apart], b[apart]
             ones, zeros = self.ones[level], self.zeros[level]
-            near = np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b])) <= distance
+            near = _bits((ones[a] & zeros[b]) | (zeros[a] & ones[b])) <= distance
             a, b = a[near], b[near]
             if level == 0:
                 groups.join(offset + a, offset + b)
                 continue
-            if pure.get(level, (-1,))[0] != groups.version:
-                cuts = offset + np.arange(0, n, spans[level])
-                part = groups.label[:offset + n]
-                pure[level] = (groups.version, np.minimum.reduceat(part, cuts), np.maximum.reduceat(part, cuts))
-            _, low, high = pure[level]
-            open_ = ~((low[a] == high[b]) & (low[b] == high[a]))
-            a, b = a[open_], b[open_]
-            whole = 64 - np.bitwise_count((ones[a] & ones[b]) | (zeros[a] & zeros[b])) <= distance
+            whole = self.width - _bits((ones[a] & ones[b]) | (zeros[a] & zeros[b])) <= distance
             if whole.any():
-                self._join_all(groups, offset, level, a[whole], b[whole], n)
+                for side in (a[whole], b[whole]):  # the patterns leave too few bits open: all below are near each other
+                    rows = side[:, None] * spans[level] + np.arange(spans[level])
+                    first = np.broadcast_to((a[whole] * spans[level])[:, None], rows.shape)
+                    groups.join(offset + first[rows < n], offset + rows[rows < n])
                 a, b = a[~whole], b[~whole]
             if len(a):
-                width = len(self.ones[level - 1])
-                child = np.arange(self.fan)
-                left = (a[:, None, None] * self.fan + child[None, :, None] + 0 * child[None, None, :]).ravel()
-                right = (b[:, None, None] * self.fan + child[None, None, :] + 0 * child[None, :, None]).ravel()
-                fits = (left < width) & (right < width) & ((left < right) | (left == right) & (level > 1))
+                size = len(self.ones[level - 1])
+                left = np.repeat(a[:, None] * self.fan + child, self.fan, axis=1).ravel()
+                right = np.tile(b[:, None] * self.fan + child, (1, self.fan)).ravel()
+                fits = (left < size) & (right < size) & ((left < right) | (left == right) & (level > 1))
                 left, right = left[fits], right[fits]
                 same = left == right
                 # What lies nearest is opened first: it connects most, and what is connected is skipped later.
                 stack.append((level - 1, left[~same], right[~same]))
-                if same.any():
-                    stack.append((level - 1, left[same], right[same]))
-
-    def _join_all(self, groups: Groups, offset: int, level: int, a: np.ndarray, b: np.ndarray, n: int) -> None:
-        span = self.fan**level
-        members = np.arange(span)
-        for side in (a, b):
-            rows = side[:, None] * span + members
-            first = np.broadcast_to((a * span)[:, None], rows.shape)
-            inside = rows < n
-            groups.join(offset + first[inside], offset + rows[inside])
+                stack.append((level - 1, left[same], right[same]))
 
 
-def connect_sorted(codes: np.ndarray, borders: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+def connect_sorted(codes: np.ndarray, borders: np.ndarray, distance: int) -> np.ndarray:
     """Group labels of fingerprints in Gray order; only those between the same two borders are compared."""
     groups = Groups(len(codes))
     ends = np.append(borders[1:], len(codes))
     size = ends - borders
-    # Small band values are single nodes: all are compared at once, step by step along the order.
+    # Small buckets are single nodes: all are compared at once, step by step along the order.
     value = np.repeat(np.arange(len(borders)), size)
     small = np.flatnonzero(np.repeat(size <= 2 * FAN, size))
     for step in range(1, 2 * FAN):
@@ -178,62 +212,72 @@ def connect_sorted(codes: np.ndarray, borders: np.ndarray, distance: int = DISTA
         a = a[value[a] == value[a + step]]
         if not len(a):
             break
-        a = a[np.bitwise_count(codes[a] ^ codes[a + step]) <= distance]
-        groups.join(a, a + step)
+        for at in range(0, len(a), 1 << 16):
+            part = a[at:at + (1 << 16)]
+            part = part[_bits(codes[part] ^ codes[part + step]) <= distance]
+            groups.join(part, part + step)
     for i in np.flatnonzero(size > 2 * FAN):
         GrayIndex(codes[borders[i]:ends[i]]).connect(groups, int(borders[i]), distance)
     return groups.label
 
 
-def _links(codes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return codes[linked].view(np.int64), codes[label[linked]].view(np.int64)
-
-
-def _range_links(batches):
-    """Links inside one range, and the band values at its two ends."""
-    batches = [b for b in batches if b.num_rows]
-    if batches:
-        table = pa.Table.from_batches(batches)
-        band = table["band"].to_numpy().astype(np.int64)
-        rank = table["rank"].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-        codes = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        value = (rank >> (64 - np.array(BANDS, np.uint64))[band]).astype(np.int64)
-        borders = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (value[1:] != value[:-1])]))
-        a, b = _links(codes, connect_sorted(codes, borders))
-        ends = [0, len(codes) - 1]
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([-1] * len(a) + [part] * 2, pa.int32()), "a": np.concatenate([a, band[ends]]), "b": np.concatenate([b, value[ends]])})
-
-
-def _piece_links(table: pa.Table) -> pa.Table:
-    """Links inside two pieces of one band value."""
-    order = np.argsort(table["rank"].to_numpy(), kind="stable")
-    codes = table["fp"].to_numpy().astype(np.int64)[order].view(np.uint64)
-    a, b = _links(codes, connect_sorted(codes, np.zeros(1, np.int64)))
-    return pa.table({"a": a, "b": b})
-
-
-def links(distinct: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Links ``a``-``b`` that connect every two of the ``distinct`` fingerprints (column ``fp``) with at most four
-    differing bits, directly or through others. At most one link per fingerprint and task."""
-    placed = rotations(distinct)
-    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = placed.repartitionByRange(parts, "band", "rank").sortWithinPartitions("band", "rank")
-    found = stored(ranged.mapInArrow(_range_links, "part int, a long, b long"), "ranges")
-    cut = (found.where("part >= 0").select(F.col("a").cast("int").alias("band"), F.col("b").alias("value"), "part").distinct()
-           .groupBy("band", "value").count().where("count > 1").select("band", "value"))
-    again = placed.withColumn("value", band_value()).join(cut, ["band", "value"], "left_semi")
-    again = stored(numbered(again, [F.col("band"), F.col("rank")], "position").withColumn("piece", F.expr(f"position div {piece}L")), "cut")
-    nodes = again.groupBy("band", "value", "piece").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"))
+def _codes(column) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words, from longs or from binary values of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _linked(table: pa.Table, codes: np.ndarray, borders: np.ndarray, distance: int) -> tuple[pa.Array, pa.Array]:
+    label = connect_sorted(codes, borders, distance)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    node = table["node"].combine_chunks()
+    return node.take(pa.array(moved)), node.take(pa.array(label[moved]))
+
+
+def links(placed: DataFrame, distance: int = DISTANCE, piece: int = PIECE) -> DataFrame:
+    """Links ``a``-``b`` of nodes that connect, directly or through others, every two rows of ``placed`` that share a
+    ``bucket`` and whose ``code`` differs in at most ``distance`` bits. At most one link per row and task."""
+    kind = dict(placed.dtypes)["node"]
+    narrow = pa.int64() if kind == "bigint" else pa.binary()
+
+    def in_range(batches):
+        """Links inside one range, and the buckets at its two ends."""
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
+            bucket = table["bucket"].to_numpy()
+            borders = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            a, b = _linked(table, _codes(table["code"]), borders, distance)
+            none, part = pa.nulls(2, narrow), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([-1] * len(a) + [part] * 2, pa.int32()), "bucket": pa.array([0] * len(a) + [bucket[0], bucket[-1]], pa.int64()),
+                "a": pa.concat_arrays([a.cast(narrow), none]), "b": pa.concat_arrays([b.cast(narrow), none])})
+
+    def in_pieces(table: pa.Table) -> pa.Table:
+        """Links inside two pieces of one bucket."""
+        table = table.take(pa.array(np.argsort(table["rank"].to_numpy(), kind="stable")))
+        a, b = _linked(table, _codes(table["code"]), np.zeros(1, np.int64), distance)
+        return pa.table({"a": a.cast(narrow), "b": b.cast(narrow)})
+
+    parts = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = placed.repartitionByRange(parts, "bucket", "rank").sortWithinPartitions("bucket", "rank")
+    found = stored(ranged.mapInArrow(in_range, f"part int, bucket long, a {kind}, b {kind}"), "ranges")
+    cut = found.where("part >= 0").select("bucket", "part").distinct().groupBy("bucket").count().where("count > 1").select("bucket")
+    again = numbered(placed.join(cut, "bucket", "left_semi"), [F.col("bucket"), F.col("rank"), F.col("node")], "position")
+    again = stored(again.withColumn("piece", F.expr(f"position div {piece}L")), "cut")
+    if dict(again.dtypes)["code"] == "bigint":  # upper nodes over the pieces: the bits that all of a piece share
+        nodes = again.groupBy("bucket", "piece").agg(F.bit_and("code").alias("ones"), F.bit_and(F.bitwise_not("code")).alias("zeros"))
+    else:
+        nodes = again.select("bucket", "piece").distinct().select("*", F.lit(0).alias("ones"), F.lit(0).alias("zeros"))
     left = nodes.withColumnsRenamed({"piece": "p", "ones": "p1", "zeros": "p0"})
     right = nodes.withColumnsRenamed({"piece": "q", "ones": "q1", "zeros": "q0"})
     differ = F.bit_count(F.col("p1").bitwiseAND(F.col("q0")).bitwiseOR(F.col("p0").bitwiseAND(F.col("q1"))))
-    pairs = left.join(right, ["band", "value"]).where((F.col("p") <= F.col("q")) & (differ <= DISTANCE)).select("band", "value", "p", "q")
+    pairs = left.join(right, "bucket").where((F.col("p") <= F.col("q")) & (differ <= distance)).select("bucket", "p", "q")
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"))
-    compared = again.join(sides, ["band", "value", "piece"]).select("band", "value", "p", "q", "rank", "fp")
-    across = compared.groupBy("band", "value", "p", "q").applyInArrow(_piece_links, "a long, b long")
+    compared = again.join(sides, ["bucket", "piece"]).select("bucket", "p", "q", "rank", "code", "node")
+    across = compared.groupBy("bucket", "p", "q").applyInArrow(in_pieces, f"a {kind}, b {kind}")
     return found.where("part < 0").select("a", "b").union(across).distinct()
 
 
@@ -266,7 +310,7 @@ def components(edges: DataFrame) -> DataFrame:
 def fingerprint_roots(rows: DataFrame) -> DataFrame:
     """``fp`` and ``root`` of every distinct fingerprint of ``rows``; a fingerprint without links is its own root."""
     distinct = stored(rows.select("fp").distinct(), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "_fp")
+    roots = components(links(rotations(distinct))).withColumnRenamed("node", "_fp")
     return distinct.join(roots, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -286,21 +330,73 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.join(of, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_column), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
+def _meetings(classes: DataFrame) -> DataFrame:
+    """Rows by which classes with a similar set of shingles meet: ``bucket`` (a shingle hash), ``rank``, ``code``, ``node``.
+
+    Each class takes the rarest of its sketch's hashes that any other class has too. Two classes with a similarity of
+    0.8 share over half their sketch but for one case in a hundred, and then at least one of the hashes taken.
+    """
+    each = classes.select("node", F.explode("sketch").alias("bucket"))
+    shared = each.groupBy("bucket").count().where("count > 1").withColumnRenamed("bucket", "_bucket")
+    taken = each.join(shared, F.col("bucket") == F.col("_bucket")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "bucket"))).alias("all"))
+    taken = taken.select(F.col("node").alias("_node"), F.explode(F.slice("all", 1, MEETINGS)).alias("one")).select("_node", "one.bucket")
+    return classes.join(taken, F.col("node") == F.col("_node")).select("bucket", "rank", F.col("wide").alias("code"), "node")
+
+
+def similar_roots(rows: DataFrame, similarity: float) -> DataFrame:
+    """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``wide``, ``rank``, ``sketch``), one
+    row per class: linked by four bits of ``fp``, or by as many bits of ``wide`` as the similarity stands for."""
+    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "wide", "rank", "sketch")]), "classes")
+    by_fp = stored(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
+    again = by_fp.where("n > 1").select(F.col("fp").alias("_fp"), "first")
+    edges = classes.join(again, F.col("fp") == F.col("_fp")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(rotations(by_fp.select("fp")))
+    for side in ("a", "b"):
+        ends = by_fp.select(F.col("fp").alias("_fp"), "first")
+        near = near.join(ends, F.col(side) == F.col("_fp")).withColumn(side, F.col("first")).drop("_fp", "first")
+    wide = links(_meetings(classes), wide_distance(similarity))
+    return components(edges.union(near.select("a", "b")).union(wide))
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, seed: int = SEED,
+             similarity: float = 0.8, similar_words: int = 5) -> DataFrame:
     """All columns of one row of each group: the one with the smallest id (null last; of equal ids the smallest digest).
 
-    Of rows equal in every column one stays.
+    Rows are linked if their fingerprints (shingles of ``words`` words) differ in at most four bits, or if their sets of
+    ``similar_words``-word shingles have about ``similarity`` in common, as the wide fingerprint tells. Texts without
+    words are copies of each other. Of rows equal in every column one stays.
     """
     digest = fresh(df, "digest")
     others = [F.col(f"`{c}`") for c in df.columns if c != text_column]
     marked = df.withColumn(digest, F.md5(F.to_json(F.struct(*others, F.md5(F.col(f"`{text_column}`").cast("binary")).alias(digest))).cast("binary")))
-    rows = fingerprints(marked, [id_column, digest], text_column, words, seed, fresh(marked, "fp"))
-    rows = stored(rows.toDF("id", "digest", "fp"), "fingerprints")
-    roots = fingerprint_roots(rows).withColumnRenamed("fp", "_fp")
+
+    def run(texts: pa.Array) -> dict:
+        out: dict[str, list] = {"fp": [], "wide": [], "rank": [], "sketch": []}
+        for text in texts.to_pylist():
+            hashes = shingle_hashes(text, similar_words, seed)
+            words_ = wide_words(hashes)
+            distinct = np.unique(hashes)
+            out["fp"].append(int(majority(shingle_hashes(text, words, seed)).view(np.int64)[0]))
+            out["wide"].append(words_.tobytes())
+            out["rank"].append(_gray_rank_of(int(words_[0])))
+            out["sketch"].append(distinct[:SKETCH].view(np.int64).tolist())
+        return out
+
+    rows = map_rows(marked, [text_column], "fp long, wide binary, rank long, sketch array<long>", run, [id_column, digest])
+    rows = rows.toDF("id", "digest", "fp", "wide", "rank", "sketch").withColumn("node", F.unhex(F.md5(F.concat(F.hex("fp").cast("binary"), F.col("wide")))))
+    rows = stored(rows, "fingerprints")
+    roots = similar_roots(rows, similarity).withColumnRenamed("node", "_node")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    # One row per fingerprint first, so that copies are combined before they meet in their group.
-    best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(roots, F.col("fp") == F.col("_fp"))
-    kept = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.digest").alias(fresh(marked, "kept")))
-    name = kept.columns[0]
+    # One row per class first, so that copies are combined before they meet in their group.
+    best = rows.groupBy("node").agg(F.min(order).alias("best")).join(roots, F.col("node") == F.col("_node"), "left")
+    name = fresh(marked, "kept")
+    kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.digest").alias(name))
     return (marked.join(kept, F.col(digest) == F.col(name), "left_semi").dropDuplicates([digest])
             .select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
+def _gray_rank_of(code: int) -> int:
+    """Place of a word in the Gray sequence, as a signed number of the same order."""
+    for step in (1, 2, 4, 8, 16, 32):
+        code ^= code >> step
+    return code - (1 << 63)

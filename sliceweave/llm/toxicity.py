@@ -1,6 +1,6 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Each word enters as a word vector beside the mean of vectors of its character trigrams (so that unknown and misspelt
+Each word enters as a word vector beside the mean of vectors of its character n-grams (so that unknown and misspelt
 words are read by their letters). A forward and a backward gated unit run over a window of words, attention weighs
 their states, and a logistic unit scores the window. A document's score is that of its most toxic window, over all
 overlapping windows of its whole text.
@@ -9,6 +9,7 @@ overlapping windows of its whole text.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 from sliceweave.llm.common import Shared, fresh, map_rows, words_of
 
 #: Words in a window, and from one window's start to the next.
-WINDOW, STEP = 48, 32
+WINDOW, STEP = 48, 38
 #: Bound of the training sample: labelled documents, and windows of each (evenly spread over longer ones).
-TRAIN_DOCUMENTS, TRAIN_WINDOWS = 6000, 48
-#: Words with a vector of their own, and buckets for character trigrams.
-VOCABULARY, TRIGRAMS = 20_000, 4096
+TRAIN_DOCUMENTS, TRAIN_WINDOWS = 4000, 48
+#: Words with a vector of their own, sizes of character n-grams, and buckets for them.
+VOCABULARY, GRAMS, BUCKETS = 20_000, (3, 4, 5), 16_384
 #: Sizes of the word vector, the character vector, each recurrent state, and the attention layer.
 WORD_SIZE, CHAR_SIZE, STATE, ATTENTION = 12, 12, 8, 12
 #: Words a worker keeps with their inputs; only memory depends on it.
@@ -31,10 +32,11 @@ KEEP_WORDS = 300_000
 TOXIC = 0.3
 
 
-def trigrams(word: bytes) -> list[int]:
-    """Buckets of the character trigrams of a word with its borders."""
+def char_grams(word: bytes) -> list[int]:
+    """Buckets of the character n-grams of a word with its borders."""
     text = "^" + word.decode("utf-8", "replace") + "$"
-    return [zlib.crc32(text[i:i + 3].encode("utf-8", "replace")) % TRIGRAMS for i in range(len(text) - 2)]
+    parts = [text[i:i + n] for n in GRAMS for i in range(len(text) - n + 1)]
+    return [zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS for part in parts or [text]]
 
 
 def window_starts(n: int) -> range:
@@ -43,7 +45,7 @@ def window_starts(n: int) -> range:
 
 
 class Lexicon:
-    """Numbers of words: their word vector (0: unknown) and their trigrams."""
+    """Numbers of words: their word vector (0: unknown) and their n-grams."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
         self.vocabulary = vocabulary
@@ -56,7 +58,7 @@ class Lexicon:
         if found is None:
             found = self.number[word] = len(self.vector)
             self.vector.append(self.vocabulary.get(word, 0))
-            self.grams.append(trigrams(word))
+            self.grams.append(char_grams(word))
         return found
 
 
@@ -78,7 +80,7 @@ class Network:
         size, h = WORD_SIZE + CHAR_SIZE, STATE
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.p = {
-            "word": draw(vocabulary + 1, WORD_SIZE, scale=0.1), "char": draw(TRIGRAMS, CHAR_SIZE, scale=0.3),
+            "word": draw(vocabulary + 1, WORD_SIZE, scale=0.1), "char": draw(BUCKETS, CHAR_SIZE, scale=0.3),
             "in": draw(size, 6 * h, scale=size**-0.5), "in_b": np.zeros(6 * h, np.float32),
             "fwd": draw(h, 3 * h, scale=h**-0.5), "bwd": draw(h, 3 * h, scale=h**-0.5),
             "att": draw(2 * h, ATTENTION, scale=(2 * h) ** -0.5), "att_b": np.zeros(ATTENTION, np.float32), "att_v": draw(ATTENTION, scale=0.3),
@@ -89,28 +91,28 @@ class Network:
         """Gate inputs of both directions for words given by vector number and character mean."""
         return np.concatenate([self.p["word"][vector], chars], axis=1) @ self.p["in"] + self.p["in_b"]
 
-    def _run(self, gates: np.ndarray, weights: np.ndarray, mask: np.ndarray, back: bool, trace: list | None) -> np.ndarray:
-        """States of one direction, (time, batch, state). ``gates`` is (time, batch, 3 * state)."""
-        steps, batch, h = len(gates), gates.shape[1], STATE
-        states, state = np.empty((steps, batch, h), np.float32), np.zeros((batch, h), np.float32)
-        for t in range(steps - 1, -1, -1) if back else range(steps):
-            own = state @ weights
-            both = _sigmoid(gates[t, :, :2 * h] + own[:, :2 * h])
+    def _run(self, gates: Callable[[int], np.ndarray], weights: np.ndarray, mask: np.ndarray, back: bool, trace: list | None, states: np.ndarray) -> None:
+        """Write the states of one direction into ``states`` (time, batch, state). ``gates(t)`` is (batch, 3 * state)."""
+        h, whole = STATE, mask.min(axis=1) > 0
+        state = np.zeros(states.shape[1:], np.float32)
+        for t in range(len(mask) - 1, -1, -1) if back else range(len(mask)):
+            gate, own = gates(t), state @ weights
+            both = _sigmoid(gate[:, :2 * h] + own[:, :2 * h])
             z, r = both[:, :h], both[:, h:]
-            new = np.tanh(gates[t, :, 2 * h:] + r * own[:, 2 * h:])
-            m = mask[t][:, None]
-            after = state + m * ((1 - z) * (new - state))
+            new = np.tanh(gate[:, 2 * h:] + r * own[:, 2 * h:])
             if trace is not None:
                 trace.append((t, state, z, r, new, own[:, 2 * h:]))
-            states[t] = state = after
-        return states
+            after = new + z * (state - new)
+            state = after if whole[t] else np.where(mask[t][:, None] > 0, after, state)
+            states[t] = state
 
-    def forward(self, gates: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logit of each window. ``gates`` is (time, batch, 6 * state), ``mask`` (time, batch) is 1 on words."""
+    def forward(self, gates: Callable[[int], np.ndarray], mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Logit of each window. ``gates(t)`` is (batch, 6 * state), ``mask`` (time, batch) is 1 on words."""
         h, p = STATE, self.p
         traces = ([], []) if keep is not None else (None, None)
-        states = np.concatenate([self._run(gates[:, :, :3 * h], p["fwd"], mask, False, traces[0]),
-                                 self._run(gates[:, :, 3 * h:], p["bwd"], mask, True, traces[1])], axis=2)
+        states = np.empty((*mask.shape, 2 * h), np.float32)
+        self._run(lambda t: gates(t)[:, :3 * h], p["fwd"], mask, False, traces[0], states[:, :, :h])
+        self._run(lambda t: gates(t)[:, 3 * h:], p["bwd"], mask, True, traces[1], states[:, :, h:])
         hidden = np.tanh(states @ p["att"] + p["att_b"])
         score = np.where(mask > 0, hidden @ p["att_v"], np.float32(-1e9))
         weight = np.exp(score - score.max(axis=0)) * (mask > 0)
@@ -174,10 +176,12 @@ def _pack(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7) -> tuple[dict, Network]:
+def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7,
+          steps: int = 600) -> tuple[dict, Network]:
     """Fit on (windows of words, label 0 or 1) of each document; returns the vocabulary and the network.
 
-    A document is learnt through its most toxic window, which is chosen anew in every epoch.
+    A document is learnt through one window an epoch: a random one at first, later its most toxic one. Few documents
+    are gone through more often, until about ``steps`` batches are learnt.
     """
     counts: dict[bytes, int] = {}
     for windows, _ in documents:
@@ -192,11 +196,12 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batc
         return vocabulary, network
     vector, grams = np.array(lexicon.vector), lexicon.grams
     optimizer = Adam(network.p, rate)
+    epochs = max(epochs, min(4 * epochs, steps * batch // len(coded)))
     flat = [window for windows, _ in coded for window in windows]
     first = np.cumsum([0, *[len(windows) for windows, _ in coded]])
     for epoch in range(epochs):
         optimizer.rate = rate * (1 - 0.8 * epoch / epochs)
-        if epoch == 0:
+        if epoch < 0.3 * epochs:
             chosen = first[:-1] + (rng.random(len(coded)) * np.diff(first)).astype(np.int64)
         else:
             logits = window_logits(network, network.inputs(vector, _char_means(network.p["char"], grams)[0]), flat)
@@ -212,7 +217,7 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batc
             words = np.where(rng.random(ids.shape) < 0.15, 0, vector[ids])  # some words are read by their letters only
             joined = np.concatenate([network.p["word"][words], chars[inverse]], axis=2)
             keep: dict = {}
-            logit = network.forward(joined @ network.p["in"] + network.p["in_b"], mask, keep)
+            logit = network.forward((joined @ network.p["in"] + network.p["in_b"]).__getitem__, mask, keep)
             g, d_gates = network.gradients(keep, ((_sigmoid(logit) - labels) / len(part)).astype(np.float32))
             g["in"] = np.einsum("tbx,tbg->xg", joined, d_gates)
             g["in_b"] = d_gates.sum(axis=(0, 1))
@@ -226,7 +231,7 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batc
     return vocabulary, network
 
 
-def window_logits(network: Network, inputs: np.ndarray, windows: list[np.ndarray], batch: int = 2048) -> np.ndarray:
+def window_logits(network: Network, inputs: np.ndarray, windows: list[np.ndarray], batch: int = 512) -> np.ndarray:
     """Logits of windows of word numbers; ``inputs`` has the gate inputs of each word number."""
     out = np.empty(len(windows), np.float32)
     order = np.argsort([len(w) for w in windows], kind="stable")
@@ -234,7 +239,7 @@ def window_logits(network: Network, inputs: np.ndarray, windows: list[np.ndarray
         part = order[at:at + batch]
         ids, mask = _pack([windows[i] for i in part])
         longest = len(windows[part[-1]])
-        out[part] = network.forward(inputs[ids[:longest]], mask[:longest])
+        out[part] = network.forward(lambda t: inputs[ids[t]], mask[:longest])
     return out
 
 
