@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +25,23 @@ def usage_by_window(attempts: DataFrame, width: str) -> DataFrame:
              "attempts", "failures", *TOKENS, "attempts_without_usage")
 
 
-def start_usage(attempts: DataFrame, out: str, checkpoint: str, width: str = "1 day", delay: str = "1 hour") -> StreamingQuery:
-    """Writes each window once, when the watermark has passed it; state holds open windows only."""
-    rolled = usage_by_window(attempts.withWatermark("started_at", delay), width)
-    return (rolled.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+def _start(attempts: DataFrame, partial: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Appends one small table of partial results per trigger; a repeated trigger rewrites its own table only."""
+    def write(batch: DataFrame, version: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{out}/version={version}")
+
+    return attempts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_usage(attempts: DataFrame, out: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
+    """Partial usage per window and trigger. No row is late: a window that comes up again adds another partial row."""
+    return _start(attempts, lambda batch: usage_by_window(batch, width), out, checkpoint)
+
+
+def usage(spark: SparkSession, out: str) -> DataFrame:
+    """Usage per window so far, open windows included: the partial rows of all triggers added up."""
+    counts = ["attempts", "failures", *TOKENS, "attempts_without_usage"]
+    return spark.read.parquet(out).groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def latest_state(attempts: DataFrame) -> DataFrame:
@@ -37,13 +51,12 @@ def latest_state(attempts: DataFrame) -> DataFrame:
 
 
 def start_latest(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest state per key as versioned tables; a repeated batch rewrites the same version."""
-    def merge(batch: DataFrame, version: int) -> None:
-        fresh = latest_state(batch)
-        if version > 0:
-            held = batch.sparkSession.read.parquet(f"{out}/version={version - 1}")
-            fresh = held.unionByName(fresh).groupBy("uid").agg(
-                F.max("attempt").alias("attempt"), F.max_by("status", "attempt").alias("status"), F.sum("attempts").alias("attempts"))
-        fresh.write.mode("overwrite").parquet(f"{out}/version={version}")
-
-    return attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Partial latest states per trigger, of the keys that the trigger brings."""
+    return _start(attempts, latest_state, out, checkpoint)
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """Latest state per key over all triggers so far."""
+    return spark.read.parquet(out).groupBy("uid").agg(
+        F.max("attempt").alias("attempt"), F.max_by("status", "attempt").alias("status"), F.sum("attempts").alias("attempts"))
+
