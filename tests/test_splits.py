@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sliceweave.functions import labels as L
-from sliceweave.operators import guards, neardup, splits
+from sliceweave.operators import guards, labels, metrics, neardup, splits
 
 TARGETS = ["common", "rare", "missing", "unsure"]
 
@@ -41,18 +41,31 @@ def test_folds_are_even_stratified_and_stable(spark):
         assert positives.max() - positives.min() <= 3, positives
 
 
-def test_deal_equals_single_steps():
-    rng = np.random.RandomState(0)
-    for _ in range(200):
-        need, room = rng.uniform(-5, 20, 5), rng.randint(0, 30, 5)
-        count = rng.randint(0, room.sum() + 1)
-        expected, n, r = np.zeros(5, int), need.copy(), room.copy()
-        for _ in range(count):
-            pick = max((f for f in range(5) if r[f] > 0), key=lambda f: (n[f], r[f], -f))
-            expected[pick] += 1
-            n[pick] -= 1
-            r[pick] -= 1
-        assert list(splits._deal(count, need, room)) == list(expected)
+def test_folds_refuse_bad_input(spark):
+    df = frame(spark, studies(30))
+    with pytest.raises(guards.ContractError):
+        splits.assign_folds(df.limit(3), "uid", TARGETS, 5, 42)
+    for bad in (df.union(df.limit(1)), df.union(df.limit(1).withColumn("uid", F.lit(None).cast("string")))):
+        with pytest.raises(guards.ContractError):
+            splits.assign_folds(bad, "uid", TARGETS, 5, 42)
+        with pytest.raises(guards.ContractError):
+            splits.quota_validation(bad, "uid", TARGETS, 5)
+    partial = df.select("*", F.lit(1.0).alias("gold__common"), *[F.lit(None).cast("double").alias(f"gold__{t}") for t in TARGETS[1:]])
+    with pytest.raises(guards.ContractError):
+        splits.membership(partial, "uid", TARGETS, 5, 42)
+
+
+def test_locked_studies_must_exist(spark):
+    locked = spark.createDataFrame([("nobody",)], "uid string")
+    with pytest.raises(guards.ContractError):
+        splits.quota_validation(frame(spark), "uid", TARGETS, 50, 1, locked)
+
+
+def test_counts_beyond_a_long_product(spark):
+    many = 4 * 10**9
+    row = spark.createDataFrame([(many, many)], "a bigint, b bigint")
+    assert row.agg(F.sum(metrics.pair_wins(F.col("a"), F.col("b"), F.lit(0)))).first()[0] == 2 * many**2
+    assert row.select(labels.pair_lift(*[F.col("a")] * 4)).first()[0] == 1.0
 
 
 def test_gold_stays_out_of_weak_folds(spark):
@@ -93,11 +106,6 @@ def test_quota_validation_rejects_bad_sizes(spark):
     assert splits.quota_validation(constant, "uid", TARGETS, 50).where("split = 'valid'").count() == 50
 
 
-def test_coarse_patterns_when_bands_are_too_many(spark, monkeypatch):
-    monkeypatch.setattr(splits, "MAX_BANDED_PATTERNS", 3)
-    assert splits.quota_validation(frame(spark), "uid", TARGETS, 50).where("split = 'valid'").count() == 50
-
-
 def test_fingerprint(spark):
     first = splits.fingerprint(frame(spark), ["uid", *TARGETS]).first()
     assert first == splits.fingerprint(frame(spark, shuffled=True), ["uid", *TARGETS]).first()
