@@ -7,6 +7,7 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sliceweave.operators.guards import enforce_empty
 from sliceweave.operators.ordering import Sequence, hot_groups
 from sliceweave.session import hot_rows
 
@@ -101,6 +102,11 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
                        F.col("_prev.pos").alias("prev_pos"), F.col("_next.pos").alias("next_pos"))
 
 
+def short_groups(ordered: DataFrame, keys: Seq[str], count: int) -> DataFrame:
+    """Groups with fewer than ``count`` rows, with their size."""
+    return ordered.groupBy(*keys).agg(F.max("n").alias("rows")).where(F.col("rows") < count)
+
+
 def unique_anchors(ordered: DataFrame, keys: Seq[str], position: str, count: int) -> DataFrame:
     """Strictly increasing distinct rows nearest to evenly spaced targets.
 
@@ -108,8 +114,10 @@ def unique_anchors(ordered: DataFrame, keys: Seq[str], position: str, count: int
     rows for the rest, so each step depends on the one before. A pick is the
     row after the last pick, the first of the equal rows next to the target, or
     the first equal to the last allowed row; so it lies at most ``count`` rows
-    behind one of a few base rows. Only those rows enter the fold.
+    behind one of a few base rows. Only those rows enter the fold. A group with fewer than ``count`` rows has no
+    answer and is an error; ``short_groups`` lists them.
     """
+    enforce_empty(short_groups(ordered, keys, count), f"groups with fewer than {count} rows")
     span = ordered.groupBy(*keys).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"), F.max("n").alias("_n"))
     flat = F.col("_hi") == F.col("_lo")
     step = (F.col("_hi") - F.col("_lo")) / max(count - 1, 1)
@@ -119,7 +127,7 @@ def unique_anchors(ordered: DataFrame, keys: Seq[str], position: str, count: int
             return (F.col("_lo") + F.col("_hi")) / 2
         return F.when(i >= count - 1, F.col("_hi")).otherwise(i * step + F.col("_lo"))
 
-    groups = span.where(F.col("_n") >= count)
+    groups = span
     even = F.lit(0) if count == 1 else F.rint(F.col("j") * (F.col("_n") - 1) / (count - 1)).cast("long")
     if count == 1:
         even = F.floor(F.col("_n") / 2)

@@ -8,9 +8,9 @@ from collections.abc import Sequence as Seq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.functions.labels import col
+from sliceweave.functions.labels import col, strict_gold
 from sliceweave.functions.text import report_group, seeded
-from sliceweave.operators.guards import ContractError
+from sliceweave.operators.guards import ContractError, enforce_empty
 from sliceweave.operators.ordering import Sequence, first_per_group, group_quantiles, top_k
 from sliceweave.schemas import SLOT_WEIGHTS
 from sliceweave.session import materialize
@@ -28,14 +28,17 @@ def sample_studies(eligible: DataFrame, key: str, limit: int, seed) -> DataFrame
 def sample_windows(windows: DataFrame, study: str, group: str, item: Seq[str], count: int, seed, epoch: int = 0) -> DataFrame:
     """``count`` windows per study: one per group first, then the rest, then repeats when short.
 
-    Both steps are top-k per group, so no study is ordered as a whole.
+    Both steps are top-k per group, so no study is ordered as a whole. A study with more groups than ``count`` is an
+    error, since one of them would go without a window; ``crowded_studies`` lists them.
     """
+    enforce_empty(crowded_studies(windows, study, group, count), f"studies with more than {count} groups")
     order = seeded(f"{seed}|{epoch}", F.col(study), *[F.col(c) for c in item])
     tie = [F.col(c).asc() for c in item]
     rows = windows.withColumn("_h", order)
     inside = top_k(rows, [study, group], [F.col("_h").asc(), *tie], count, "_in")
     first = F.when(F.col("_in") == 1, 0).otherwise(1)
     chosen = top_k(inside, [study], [first.asc(), F.col("_h").asc(), *tie], count, "draw")
+    chosen = materialize(chosen.select(study, "draw", group, *[c for c in item if c != group]))  # read four times below
     held = chosen.groupBy(study).agg(F.max("draw").alias("_held"))
     chosen = chosen.join(held, study)
     # Fewer windows than asked for: every further draw picks one of those held.
@@ -48,6 +51,12 @@ def sample_windows(windows: DataFrame, study: str, group: str, item: Seq[str], c
     return chosen.select(*columns).unionByName(extra.select(*columns))
 
 
+def crowded_studies(windows: DataFrame, study: str, group: str, count: int) -> DataFrame:
+    """Studies with more groups than draws."""
+    groups = windows.select(study, group).distinct().groupBy(study).agg(F.count(F.lit(1)).alias("groups"))
+    return groups.where(F.col("groups") > count)
+
+
 def slot_quotas(capacities: DataFrame, study: str, slot: str, capacity: str, count: int, weight: Column, proportional: bool = False) -> DataFrame:
     """Splits a budget over the slots of a study by weight, at least one and at most its capacity each.
 
@@ -79,8 +88,9 @@ def distinct_anchors(windows: DataFrame, study: str, slot: str, anchor: str, ord
 def round_robin(capacities: DataFrame, slot: Seq[str], series: str, capacity: str, budget: int) -> DataFrame:
     """Windows per series when series take turns until the budget or their slices run out.
 
-    ``enforce_round_robin`` checks first that no slot has more series than budget.
+    A slot with more series than budget is an error, since a series would go without a window; ``overfull_slots`` lists them.
     """
+    enforce_empty(overfull_slots(capacities, slot, budget), f"slots with more than {budget} series")
     units = capacities.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.least(F.col(capacity), F.lit(budget)).cast("int"))))
     taken = top_k(units, slot, [F.col("_turn").asc(), F.col(series).asc()], budget, "_order")
     return taken.groupBy(*slot, series).agg(F.count(F.lit(1)).alias("windows"))
@@ -112,7 +122,8 @@ def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item:
     ``quota`` is a number or a column that is constant in its group and at most ``most``.
     Bins choose by digest on the map side. Only the windows at the rim of a bin
     (at most ``most`` from either end) can fill an empty bin, so a group is
-    down to a few hundred rows before the fill runs.
+    down to a few hundred rows before the fill runs. Where all positions are equal, the bins are parts of equal count in
+    item order instead.
     """
     most = quota if most is None else most
     given = F.lit(quota) if isinstance(quota, int) else F.col(quota)
@@ -122,13 +133,16 @@ def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item:
     inner = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: i > 0)
     edges = F.transform(inner, lambda i: i * width + F.col("_lo"))
     rows = rows.withColumn("_bin", F.size(F.filter(edges, lambda e: e <= F.col(position))))
+    level = Sequence(rows.where(F.col("_lo") == F.col("_hi")), list(keys), [F.col(item)]).row_number("_nth").size("_size").df
+    part = F.floor((F.col("_nth") - 1) * F.col("_q") / F.col("_size")).cast("int")
+    level = level.withColumn("_bin", part).drop("_nth", "_size")
+    rows = rows.where(F.col("_lo") != F.col("_hi")).unionByName(level)
     best = top_k(rows, [*keys, "_bin"], [F.col("_h"), F.col(item)], 1, "_r").drop("_r").withColumn("_picked", F.lit(True))
     low = top_k(rows, [*keys, "_bin"], [F.col(position).asc(), F.col(item)], most + 1, "_r").drop("_r")
     high = top_k(rows, [*keys, "_bin"], [F.col(position).desc(), F.col(item)], most + 1, "_r").drop("_r")
-    level = top_k(rows.where(F.col("_lo") == F.col("_hi")), keys, [F.col("_h"), F.col(item)], most, "_r").drop("_r")
     columns = [*keys, position, item, "_bin", "_h", "_lo", "_hi", "_q"]
     marked = lambda df, picked: df.select(*columns, F.lit(picked).alias("_picked"))
-    pool = marked(low, 0).unionByName(marked(high, 0)).unionByName(marked(level, 0)).unionByName(marked(best, 1))
+    pool = marked(low, 0).unionByName(marked(high, 0)).unionByName(marked(best, 1))
     pool = pool.groupBy(*columns).agg(F.max("_picked").alias("_picked"))
     entry = F.struct(F.col("_h").alias("h"), F.col(item).alias("item"), F.col(position).alias("pos"), F.col("_bin").alias("bin"), F.col("_picked").alias("picked"))
     held = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_pool"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_q").alias("_q"))
@@ -142,9 +156,7 @@ def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item:
         nearest = F.array_min(F.transform(rest, lambda e: F.struct(F.abs(e["pos"] - centre).alias("d"), e.alias("e"))))["e"]
         return F.concat(chosen, F.array_compact(F.array(nearest)))
 
-    flat = F.slice("_pool", F.lit(1), F.col("_q"))
-    picks = F.when(F.col("_lo") == F.col("_hi"), flat).otherwise(F.aggregate(empty, taken, fill))
-    return held.select(*keys, F.explode(picks).alias("_e")).select(*keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
+    return held.select(*keys, F.explode(F.aggregate(empty, taken, fill)).alias("_e")).select(*keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
 
 
 def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, anchor: str, order: Column, count: int, seed) -> DataFrame:
@@ -177,7 +189,9 @@ def cover_examples(rows: DataFrame, key: str, text: str, targets: Seq[str], coun
     texts of each label pattern can ever be chosen. Those (patterns x count
     rows, a bound set by the label list) are what the greedy loop looks at.
     """
-    gold = rows.dropna(subset=list(targets)).withColumn("_pattern", F.concat_ws("", *[col(t).cast("int").cast("string") for t in targets]))
+    # Only 0 and 1 are gold; a soft label is none.
+    gold = rows.withColumn("_gold", strict_gold([col(t) for t in targets])).where(F.col("_gold").isNotNull())
+    gold = gold.withColumn("_pattern", F.array_join(F.transform("_gold", lambda v: v.cast("string")), ""))
     gold = gold.withColumn("_group", report_group(col(text))).withColumn("_h", seeded(seed, col(key)))
     per_text = first_per_group(gold.select(key, "_pattern", "_group", "_h"), ["_pattern", "_group"], F.struct("_h", key))
     shelf = top_k(per_text, ["_pattern"], [F.col("_h").asc(), F.col(key).asc()], count, "_r").orderBy("_h", key).collect()
@@ -190,7 +204,7 @@ def cover_examples(rows: DataFrame, key: str, text: str, targets: Seq[str], coun
             if row["_group"] not in used and value > score:
                 best, score = row, value
         if best is None:
-            raise ContractError("not enough distinct fully labelled reports")
+            raise ContractError(f"fewer than {count} different texts have gold labels for all targets")
         chosen.append((best[key], len(chosen) + 1, score))
         covered |= {(i, v) for i, v in enumerate(best["_pattern"])}
         used.add(best["_group"])

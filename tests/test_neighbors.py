@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from sliceweave.operators.catalog import order_slices
-from sliceweave.operators.neighbors import evenly_spaced, physical_neighbours, unique_anchors
+from sliceweave.operators.guards import ContractError
+from sliceweave.operators.neighbors import evenly_spaced, physical_neighbours, short_groups, unique_anchors
 from sliceweave.operators.windows import groups_of_three
 
 
@@ -27,19 +28,18 @@ def test_known_triples(spark):
     assert got["odd", 3] == [2, 3, 4] and got["twins", 2] == [0, 2, 3] and got["flat", 1] == [1, 1, 1]
 
 
-def brute_neighbours(positions, mm):
-    positions = np.array(positions, float)
-    out = []
-    for a, z in enumerate(positions):
-        row = [None, a, None]
-        for channel, offset in ((0, -mm), (2, mm)):
-            error = np.abs(positions - (z + offset))
-            tied = [i for i in range(len(positions)) if error[i] <= error.min() + 1e-4]
-            near = min(abs(positions[i] - z) for i in tied)
-            tied = [i for i in tied if abs(positions[i] - z) <= near + 1e-4]
-            row[channel] = min(tied, key=lambda i: (abs(i - a), i))
-        out.append(row)
-    return out
+def full_ranking(positions, at, mm):
+    """Best partner on each side: every row ranked by the whole rule, written as one sort key per row.
+
+    Distances to the wanted place count in steps of the tolerance above the least one: all within it are level.
+    """
+    own, found = positions[at], []
+    for wanted in (own - mm, own + mm):
+        least = min(abs(p - wanted) for p in positions)
+        level = [(abs(p - own), abs(i - at), i) for i, p in enumerate(positions) if abs(p - wanted) <= least + 1e-4]
+        closest = min(level)[0]
+        found.append(min(rest for d, *rest in level if d <= closest + 1e-4)[1])
+    return [found[0], at, found[1]]
 
 
 def random_groups(seed, count=60):
@@ -56,13 +56,13 @@ def test_neighbours_against_brute_force(spark):
     groups = random_groups(3)
     got = neighbours(spark, groups, 3.0)
     for name, positions in groups.items():
-        assert [got[name, i] for i in range(len(positions))] == brute_neighbours(positions, 3.0), positions
+        assert [got[name, i] for i in range(len(positions))] == [full_ranking(positions, i, 3.0) for i in range(len(positions))], positions
 
 
 def test_neighbours_in_split_groups(spark, hot):
     positions = sorted(random.Random(5).uniform(0, 200) for _ in range(150))
     got = neighbours(spark, {"big": positions, "small": [0, 3, 6]}, 3.0)
-    assert [got["big", i] for i in range(150)] == brute_neighbours(positions, 3.0)
+    assert [got["big", i] for i in range(150)] == [full_ranking(positions, i, 3.0) for i in range(150)]
 
 
 @pytest.mark.parametrize("count", [1, 2, 5])
@@ -74,29 +74,47 @@ def test_evenly_spaced_against_brute_force(spark, count):
         assert [got[name, j] for j in range(count)] == [int(np.abs(p - t).argmin()) for t in np.linspace(p[0], p[-1], count)], positions
 
 
-def brute_anchors(p, count):
-    p = np.array(p)
-    if p[-1] == p[0]:
-        return [int(x) for x in np.rint(np.linspace(0, len(p) - 1, count))] if count > 1 else [len(p) // 2]
-    targets = np.linspace(p[0], p[-1], count) if count > 1 else [(p[0] + p[-1]) / 2]
-    out, low = [], 0
-    for i, t in enumerate(targets):
-        pick = low + int(np.abs(p[low:len(p) - (count - i) + 1] - t).argmin())
-        out.append(pick)
-        low = pick + 1
-    return out
-
-
-@pytest.mark.parametrize("count", [1, 2, 4, 7])
-def test_unique_anchors_against_brute_force(spark, count):
-    groups = random_groups(11) | {"clump": [0] * 12 + [5] * 9 + [9], "tail": [0, 1] + [7] * 15}
-    rows = unique_anchors(frame(spark, groups), ["series"], "position", count).collect()
-    got = {(r["series"], r["j"]): r["idx"] for r in rows}
+ANCHORS = {  # positions, count: expected rows
+    "even": ([0, 1, 2, 3, 4, 5, 6, 7, 8], 3, [0, 4, 8]),
+    "one of many": ([0, 1, 2, 10], 1, [2]),
+    "flat": ([4, 4, 4, 4, 4], 3, [0, 2, 4]),
+    "flat, one": ([4, 4, 4, 4, 4], 1, [2]),
+    "clump at the start": ([0] * 12 + [5] * 9 + [9], 4, [0, 12, 13, 21]),
+    "clump at the end": ([0, 1] + [7] * 15, 4, [0, 1, 2, 3]),
+    "just enough": ([0, 9, 9.5], 3, [0, 1, 2]),
+    "tie goes to the first": ([0, 4, 6, 10], 3, [0, 1, 3]),
+}
+
+
+@pytest.mark.parametrize("name", ANCHORS)
+def test_anchor_rows(spark, name):
+    positions, count, expected = ANCHORS[name]
+    rows = unique_anchors(frame(spark, {"s": positions}), ["series"], "position", count).orderBy("j").collect()
+    assert [r["idx"] for r in rows] == expected
+
+
+@pytest.mark.parametrize("count", [2, 4, 7])
+def test_anchors_rise_and_can_not_be_improved(spark, count):
+    groups = {k: v for k, v in random_groups(11).items() if len(v) >= count}
+    got = {}
+    for r in unique_anchors(frame(spark, groups), ["series"], "position", count).orderBy("j").collect():
+        got.setdefault(r["series"], []).append(r["idx"])
     for name, positions in groups.items():
-        if len(positions) < count:
-            assert (name, 0) not in got
-        else:
-            assert [got[name, j] for j in range(count)] == brute_anchors(positions, count), positions
+        rows, n = got[name], len(positions)
+        assert len(rows) == count and all(a < b for a, b in zip([-1, *rows], [*rows, n]))
+        if positions[0] == positions[-1]:
+            continue
+        for j, row in enumerate(rows):  # no row that was still free lies nearer to the target, nor as near and before it
+            wanted = positions[0] + j * (positions[-1] - positions[0]) / (count - 1)
+            free = range(rows[j - 1] + 1 if j else 0, n - (count - j) + 1)
+            assert row == min(free, key=lambda i: (round(abs(positions[i] - wanted), 9), i))
+
+
+def test_short_groups_are_refused(spark):
+    df = frame(spark, {"long": [0, 1, 2], "short": [0, 1]})
+    assert [r["series"] for r in short_groups(df, ["series"], 3).collect()] == ["short"]
+    with pytest.raises(ContractError):
+        unique_anchors(df, ["series"], "position", 3)
 
 
 def test_groups_of_three_pad_the_last(spark):

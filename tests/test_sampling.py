@@ -1,34 +1,33 @@
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sliceweave.operators import guards, sampling
 
 
-def brute_quotas(weights, capacities, count, ideal):
-    quotas = [1] * len(weights)
-    for _ in range(count - len(weights)):
-        deficits = [i - q if q < c else -np.inf for i, q, c in zip(ideal, quotas, capacities)]
-        quotas[int(np.argmax(deficits))] += 1
-    return quotas
+def check_quotas(quotas, capacities, shares, total):
+    """Every slot has one to its capacity, they add up, and no unit could move to a slot that lacks more of its share."""
+    assert all(1 <= q <= c for q, c in zip(quotas, capacities)) and sum(quotas) == total
+    for i, q in enumerate(quotas):
+        for j, other in enumerate(quotas):
+            if i != j and q > 1 and other < capacities[j]:
+                assert shares[i] - (q - 1) >= shares[j] - other - 1e-9
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_slot_quotas_equal_one_by_one_allocation(spark, seed):
+def test_slot_quotas_follow_the_weights(spark, seed):
     rng = random.Random(seed)
-    rows, expected = [], {}
-    for study in range(40):
-        slots = sorted(rng.sample(range(5), rng.randrange(1, 6)))
-        caps = [rng.randrange(1, 15) for _ in slots]
-        rows += [(study, s, c) for s, c in zip(slots, caps)]
-        weights = [[7.0, 5.0, 5.0, 3.0, 4.0][s] for s in slots]
-        goal = min(16, sum(caps))
-        expected |= {(study, s): q for s, q in zip(slots, brute_quotas(weights, caps, goal, [goal * w / sum(weights) for w in weights]))}
-    got = sampling.slot_quotas(spark.createDataFrame(rows, "study int, slot int, cap int"), "study", "slot", "cap", 16, sampling.slot_weight(F.col("slot")))
-    assert {(r["study"], r["slot"]): r["quota"] for r in got.collect()} == expected
+    caps = {study: {s: rng.randrange(1, 15) for s in rng.sample(range(5), rng.randrange(1, 6))} for study in range(40)}
+    rows = [(study, s, c) for study, slots in caps.items() for s, c in slots.items()]
+    got = defaultdict(dict)
+    for r in sampling.slot_quotas(spark.createDataFrame(rows, "study int, slot int, cap int"), "study", "slot", "cap", 16, sampling.slot_weight(F.col("slot"))).collect():
+        got[r["study"]][r["slot"]] = r["quota"]
+    for study, slots in caps.items():
+        total, weights = min(16, sum(slots.values())), {s: [7.0, 5.0, 5.0, 3.0, 4.0][s] for s in slots}
+        order = sorted(slots)
+        check_quotas([got[study][s] for s in order], [slots[s] for s in order], [total * weights[s] / sum(weights.values()) for s in order], total)
 
 
 def test_proportional_subset(spark):
@@ -43,14 +42,11 @@ def test_proportional_subset(spark):
         if len(mine) <= 10:
             assert got[study] == {r[3] for r in mine}
             continue
-        slots = sorted({r[1] for r in mine})
-        counts = [sum(r[1] == s for r in mine) for s in slots]
-        quotas = brute_quotas(counts, counts, 10, [c / len(mine) * 10 for c in counts])
-        wanted = set()
-        for slot, quota in zip(slots, quotas):
-            order = sorted((r[2], r[3]) for r in mine if r[1] == slot)
-            wanted |= {order[int((j + 0.5) * len(order) / quota)][1] for j in range(quota)}
-        assert got[study] == wanted
+        by_slot = {s: sorted((r[2], r[3]) for r in mine if r[1] == s) for s in sorted({r[1] for r in mine})}
+        quotas = [sum(i in got[study] for _, i in order) for order in by_slot.values()]
+        check_quotas(quotas, [len(o) for o in by_slot.values()], [10 * len(o) / len(mine) for o in by_slot.values()], 10)
+        for order, quota in zip(by_slot.values(), quotas):  # one row in the middle of each of ``quota`` equal parts
+            assert [i for _, i in order if i in got[study]] == [order[(2 * j + 1) * len(order) // (2 * quota)][1] for j in range(quota)]
 
 
 def test_samples_do_not_depend_on_partitioning(spark):
@@ -76,11 +72,21 @@ def test_seeded_sample_needs_enough_rows(spark):
         sampling.sample_studies(df, "uid", 11, 1)
 
 
+def test_too_few_draws_are_refused(spark):
+    df = spark.createDataFrame([("s", g, i) for g in range(5) for i in range(2)], "study string, series int, idx int")
+    assert [tuple(r) for r in sampling.crowded_studies(df, "study", "series", 3).collect()] == [("s", 5)]
+    with pytest.raises(guards.ContractError):
+        sampling.sample_windows(df, "study", "series", ["series", "idx"], 3, 1)
+    assert {r["series"] for r in sampling.sample_windows(df, "study", "series", ["series", "idx"], 5, 1).collect()} == set(range(5))
+
+
 def test_round_robin(spark):
     caps = spark.createDataFrame([("s", "a", 2), ("s", "b", 9), ("s", "c", 4), ("t", "x", 1)], "slot string, series string, n int")
     got = {(r["slot"], r["series"]): r["windows"] for r in sampling.round_robin(caps, ["slot"], "series", "n", 10).collect()}
     assert got == {("s", "a"): 2, ("s", "b"): 4, ("s", "c"): 4, ("t", "x"): 1}
     assert [r["slot"] for r in sampling.overfull_slots(caps, ["slot"], 2).collect()] == ["s"]
+    with pytest.raises(guards.ContractError):
+        sampling.round_robin(caps, ["slot"], "series", "n", 2)
 
 
 @pytest.mark.parametrize("quota", [1, 3, 6])
@@ -93,20 +99,22 @@ def test_depth_strata(spark, quota):
     for r in sampling.stratified_by_depth(df.repartition(3), ["series"], "position", "idx", quota, 1).collect():
         got[r["series"]].append(r["idx"])
     for name, positions in groups.items():
-        assert len(got[name]) == len(set(got[name])) == min(quota, len(positions))
-        low, high = min(positions), max(positions)
-        if low == high:
+        chosen, low, high = got[name], min(positions), max(positions)
+        assert len(chosen) == len(set(chosen)) == min(quota, len(positions))
+        if low == high:  # parts of equal count in item order
+            part = lambda i: i * quota // len(positions)
+            assert quota > len(positions) or sorted(map(part, chosen)) == list(range(quota))
             continue
-        edges = np.linspace(low, high, quota + 1)
-        bins = np.clip(np.searchsorted(edges, positions, side="right") - 1, 0, quota - 1)
-        assert set(bins) == {bins[i] for i in got[name]}
-        # Every window left out is no nearer to the first empty bin than the one that fills it.
-        empty = [b for b in range(quota) if b not in set(bins)]
-        if len(empty) == 1 and len(positions) > quota:
-            centre = (edges[empty[0]] + edges[empty[0] + 1]) / 2
-            repeats = [i for i in got[name] if sum(bins[j] == bins[i] for j in got[name]) > 1]
-            left = [i for i in range(len(positions)) if i not in got[name]]
-            assert min(abs(positions[i] - centre) for i in repeats) <= min(abs(positions[i] - centre) for i in left) + 1e-9
+        borders = [low + k * (high - low) / quota for k in range(1, quota)]
+        depth = lambda i: sum(b <= positions[i] for b in borders)
+        taken = Counter(map(depth, chosen))
+        held = Counter(map(depth, range(len(positions))))
+        assert set(taken) == set(held)  # no bin with windows goes without
+        empty = [k for k in range(quota) if not held[k]]
+        if len(empty) == 1 and len(positions) > quota:  # its stand-in is the nearest window that no bin chose
+            middle = low + (empty[0] + 0.5) * (high - low) / quota
+            spare = min(abs(positions[i] - middle) for i in chosen if taken[depth(i)] > 1)
+            assert spare <= min(abs(p - middle) for i, p in enumerate(positions) if i not in chosen) + 1e-9
 
 
 def test_sample_by_depth_quotas_and_repeats(spark):
@@ -122,12 +130,13 @@ def test_sample_by_depth_quotas_and_repeats(spark):
         anchors = {(r[1], r[3]) for r in rows if r[0] == study}
         slots = sorted({s for s, _ in anchors})
         caps = [sum(a[0] == s for a in anchors) for s in slots]
-        share = [weights[s] for s in slots]
-        goal = min(16, sum(caps))
-        quotas = brute_quotas(share, caps, goal, [goal * w / sum(share) for w in share])
-        while sum(quotas) < 16:
-            quotas[int(np.argmax([16 * w / sum(share) - q for w, q in zip(share, quotas)]))] += 1
-        assert [sum(s == slot for s, _ in got[study]) for slot in slots] == quotas
+        goal, whole = min(16, sum(caps)), sum(weights[s] for s in slots)
+        quotas = [sum(s == slot for s, _ in got[study]) for slot in slots]
+        if sum(caps) >= 16:
+            check_quotas(quotas, caps, [16 * weights[s] / whole for s in slots], 16)
+        else:  # all anchors, and repeats where most of the share is lacking
+            assert all(q >= c for q, c in zip(quotas, caps))
+            check_quotas([q - c + 1 for q, c in zip(quotas, caps)], [17] * len(caps), [16 * weights[s] / whole - c + 1 for s, c in zip(slots, caps)], 16 - sum(caps) + len(caps))
         assert len(set(got[study])) == goal and set(got[study]) <= anchors
 
 
@@ -146,3 +155,8 @@ def test_cover_examples(spark):
         used.add(mine[1])
     with pytest.raises(guards.ContractError):
         sampling.cover_examples(df, "uid", "report", ["a", "b", "c"], 40, 8)
+
+
+def test_soft_labels_are_no_examples(spark):
+    df = spark.createDataFrame([(1, "one", 0.95, 0.1), (2, "two", 1.0, 0.0), (3, "three", 0.0, 1.0)], "uid int, report string, a double, b double")
+    assert {r["uid"] for r in sampling.cover_examples(df, "uid", "report", ["a", "b"], 2, 1).collect()} == {2, 3}
