@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions import labels as L
-from sliceweave.operators.guards import ContractError, duplicate_keys, enforce_empty
+from sliceweave.operators.guards import ContractError, duplicate_keys, enforce_empty, missing_from
 
 
 def merge_gold(official: DataFrame, weak: DataFrame, key: str, targets: Sequence[str], how: str = "left") -> DataFrame:
@@ -57,24 +57,23 @@ def positive_weight(cells: DataFrame, value: str) -> DataFrame:
     c, v = L.confidence(F.col(value)), F.col(value)
     sums = cells.groupBy("target").agg(
         F.sum(F.when(L.positive(v), c).otherwise(0.0)).alias("pos"), F.sum(F.when(L.positive(v), 0.0).otherwise(c)).alias("neg"))
-    ratio = F.col("neg") / F.greatest(F.col("pos"), F.lit(1.0))
-    return sums.select("target", "pos", "neg",
-                       F.least(F.greatest(ratio, F.lit(1.0)), F.lit(10.0)).alias("pos_weight"))
+    return sums.select("target", "pos", "neg", weight_ratio(F.col("pos"), F.col("neg")).alias("pos_weight"))
+
+
+def weight_ratio(pos: Column, neg: Column) -> Column:
+    return F.least(F.greatest(neg / F.greatest(pos, F.lit(1.0)), F.lit(1.0)), F.lit(10.0))
 
 
 def comparison_rows(old: DataFrame, blend: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old, blended and new scores aligned by key; only keys of ``new`` are asked for."""
+    """Old, blended and new scores aligned by key; every key of ``new`` must be in both others."""
+    for other in (old, blend):
+        enforce_empty(missing_from(new, other, keys), "new labels without a partner to compare with")
     joined = new.join(old, list(keys), "left").join(blend, list(keys), "left")
     delta = F.col("new_score") - F.col("old_score")
     crossed = (F.col("old_score") >= 0.5) != (F.col("new_score") >= 0.5)
     return joined.withColumn("delta", delta).withColumn("direction_disagreement", crossed.cast("int"))
 
 
-def unaligned(rows: DataFrame) -> DataFrame:
-    """Compared cells without an old score; must be empty."""
-    return rows.where(F.col("old_score").isNull())
-
-
 def comparison_metrics(rows: DataFrame) -> DataFrame:
     """Paired, masked and crossing cells and the mean absolute difference, per target and overall (target NULL)."""
     paired = F.col("new_score").isNotNull()
@@ -104,7 +103,9 @@ def flip_statistics(cells: DataFrame, old: str, new: str, groups: Sequence[str]
         F.round(F.avg(L.positive(n).cast("double")), 6).alias("new_positive_rate"),
         F.round(F.avg(o), 6).alias("old_mean"), F.round(F.avg(n), 6).alias("new_mean"),
         F.round(F.sum(co), 4).alias("old_weight"), F.round(F.sum(cn), 4).alias("new_weight"),
-        F.count_if(o == 0.5).alias("old_neutral"), F.count_if(n == 0.5).alias("new_neutral"))
+        F.count_if(o == 0.5).alias("old_neutral"), F.count_if(n == 0.5).alias("new_neutral"),
+        *[F.round(weight_ratio(F.sum(F.when(L.positive(v), c).otherwise(0.0)), F.sum(F.when(L.positive(v), 0.0).otherwise(c))), 6).alias(f"{name}_pos_weight")
+          for name, v, c in (("old", o, co), ("new", n, cn))])
 
 
 def flip_cube(cells: DataFrame, old: str, new: str, first: str, second: str = "target") -> DataFrame:
@@ -134,6 +135,12 @@ def gold_contingency(cells: DataFrame, value: str, gold: str) -> DataFrame:
           for side in ("positive", "negative") for w in ("YES", "NO", "UNK")])
 
 
+def pair_lift(n: Column, together: Column, count_a: Column, count_b: Column) -> Column:
+    """Joint share over the product of single shares; in doubles, since products of counts outgrow a long."""
+    n, together, a, b = (c.cast("double") for c in (n, together, count_a, count_b))
+    return F.when((a > 0) & (b > 0), n * together / (a * b))
+
+
 def cooccurrence(wide: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Joint positives and lift of every label pair, in one pass over the studies.
 
@@ -148,7 +155,7 @@ def cooccurrence(wide: DataFrame, targets: Sequence[str]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b"), F.col(f"two_{i}").alias("together"),
                               F.col(f"one_{order.index(a)}").alias("count_a"), F.col(f"one_{order.index(b)}").alias("count_b"), F.col("n"))
                      for i, (a, b) in enumerate(pairs)])
-    lift = F.when(F.col("count_a") * F.col("count_b") > 0, F.col("n") * F.col("together") / (F.col("count_a") * F.col("count_b")))
+    lift = pair_lift(F.col("n"), F.col("together"), F.col("count_a"), F.col("count_b"))
     return counted.select(F.inline(rows)).withColumn("lift", F.round(lift, 6))
 
 
@@ -175,4 +182,4 @@ def review_queue(findings: DataFrame, focus: Sequence[str], score_focus: Sequenc
 def require_no_partial_gold(wide: DataFrame, targets: Sequence[str]) -> None:
     bad = wide.where(L.is_partial_gold([L.col(f"gold__{t}") for t in targets]))
     if not bad.isEmpty():
-        raise ContractError("partial gold rows need an explicit holdout policy")
+        raise ContractError("a study has some gold labels but not all; say first where it belongs")

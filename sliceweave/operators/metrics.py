@@ -24,6 +24,14 @@ def masked_log_loss(cells: DataFrame, target: str, score: str, weights: DataFram
     return joined.groupBy(*groups).agg(total.alias("loss"))
 
 
+def pair_wins(positives: Column, upto: Column, negatives: Column) -> Column:
+    """Twice the pairs that the positives of one score win: all negatives below, and half of those level with them.
+
+    Multiplied as decimals: the product of counts outgrows a long from some 10^9 rows with few distinct scores.
+    """
+    return positives.cast("decimal(19,0)") * (2 * (upto - negatives) + negatives).cast("decimal(19,0)")
+
+
 def auc(cells: DataFrame, groups: Seq[str], target: str, score: str) -> DataFrame:
     """Exact ROC AUC per group with ties; NULL when a group has one class only.
 
@@ -34,11 +42,10 @@ def auc(cells: DataFrame, groups: Seq[str], target: str, score: str) -> DataFram
     counted = cells.where(L.usable(y) & F.col(score).isNotNull()).groupBy(*groups, score).agg(
         F.count_if(L.positive(y)).alias("_p"), F.count_if(L.negative(y)).alias("_n"))
     ranked = Sequence(counted, groups, [F.col(score)]).running("_upto", "sum", F.col("_n")).df
-    wins = F.col("_p") * (2 * (F.col("_upto") - F.col("_n")) + F.col("_n"))
     sums = ranked.groupBy(*groups).agg(F.sum("_p").alias("positive"), F.sum("_n").alias("negative"),
-                                       F.sum(wins.cast("decimal(38,0)")).alias("_wins"))
+                                       F.sum(pair_wins(F.col("_p"), F.col("_upto"), F.col("_n"))).alias("_wins"))
     value = F.when((F.col("positive") > 0) & (F.col("negative") > 0),
-                   F.col("_wins").cast("double") / (2.0 * F.col("positive") * F.col("negative")))
+                   F.col("_wins").cast("double") / (2.0 * F.col("positive").cast("double") * F.col("negative")))
     return sums.select(*groups, "positive", "negative", value.alias("auc"))
 
 

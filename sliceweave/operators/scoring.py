@@ -50,3 +50,13 @@ def score_batches(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame
         for batch in batches:
             yield scorer(batch)
     return rows.mapInPandas(run, schema)
+
+
+def scored_report(rows: DataFrame, scores: DataFrame, key: str, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """One row of counts that must all be zero: keys scored twice, not at all, or unasked, and values that are no score."""
+    asked = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_asked"))
+    bad = ~F.coalesce(F.col(value).between(low, high) & ~F.isnan(value), F.lit(False))
+    given = scores.groupBy(key).agg(F.count(F.lit(1)).alias("_given"), F.count_if(bad).alias("_bad"))
+    both = asked.join(given, key, "full")
+    return both.agg(F.count_if(F.col("_given") > F.coalesce("_asked", F.lit(0))).alias("scored_too_often"), F.count_if(F.col("_given").isNull()).alias("not_scored"),
+                    F.count_if(F.col("_asked").isNull()).alias("unasked"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad_scores"))

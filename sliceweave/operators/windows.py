@@ -26,9 +26,9 @@ def groups_of_three(ordered: DataFrame, keys: Seq[str], position: str) -> DataFr
     """Non-overlapping groups of three; a short last group repeats its final index, its centre uses real members."""
     grouped = ordered.withColumn("grp", F.floor(F.col("idx") / 3)).groupBy(*keys, "grp").agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.max("n").alias("n"),
-        F.sum(F.col(position).cast("decimal(38,10)")).alias("_sum"), F.count(F.lit(1)).alias("members"))
+        F.sort_array(F.collect_list(F.col(position).cast("double"))).alias("_members"))
     return grouped.select(*keys, "grp", F.transform(F.array(*map(F.lit, range(3))), lambda i: F.least(F.col("first_idx") + i, F.col("last_idx"))).alias("indices"),
-                          (F.col("_sum").cast("double") / F.col("members")).alias("centre"))
+                          (F.aggregate("_members", F.lit(0.0), lambda a, x: a + x) / F.size("_members")).alias("centre"))
 
 
 def position_gaps(slices: DataFrame, keys: Seq[str], position: str, check: DataFrame | None = None) -> DataFrame:
@@ -48,9 +48,10 @@ def trimmed(ordered: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFr
 def moving_mean(df: DataFrame, keys: Seq[str], order: Seq[Column], value: str, width: int, check: DataFrame | None = None) -> DataFrame:
     """Mean of the last ``width`` rows where the frame is full.
 
-    Built on running sums and positions, so a long series is not one task.
+    Built on running sums and positions, so a long series is not one task. The sums are exact to twenty decimals, as
+    far as a double reaches for values from 10^-4 on.
     """
-    seq = Sequence(df, keys, order, check=check).row_number("_rn").running("_sum", "sum", F.col(value).cast("decimal(38,10)"))
+    seq = Sequence(df, keys, order, check=check).row_number("_rn").running("_sum", "sum", F.col(value).cast("decimal(38,20)"))
     rows = seq.df
     earlier = rows.select(*keys, (F.col("_rn") + width).alias("_rn"), F.col("_sum").alias("_base"))
     full = rows.where(F.col("_rn") >= width).join(earlier, [*keys, "_rn"], "left")

@@ -93,11 +93,12 @@ _SQL = {
                CASE (doc_id * 3 + k) % 4 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'CONFLICTING' ELSE 'INSUFFICIENT' END AS evidence_strength,
                CASE WHEN (doc_id + k) % 4 = 3 AND doc_id % 3 <> 0 THEN []::VARCHAR[]
                     WHEN (doc_id + k) % 7 = 0 THEN []::VARCHAR[]
-                    WHEN (doc_id + k) % 11 = 0 THEN [substring(text, 1, 12), '~' || substring(text, 1, 9) || '~']
-                    ELSE [substring(text, 1 + k, 15), substring(text, 3, 8)] END AS evidence,
+                    WHEN (doc_id + k) % 11 = 0 THEN [substring(text, early, 12), '~' || substring(text, early, 9) || '~']
+                    ELSE [substring(text, early, 15), substring(text, late, 8)] END AS evidence,
                CASE WHEN doc_id % 2 = 0 THEN 'stated' ELSE '' END AS score_reason,
                CASE WHEN doc_id % 3 = 0 THEN 'unclear wording' ELSE '' END AS uncertainty_reason
-        FROM documents, (VALUES ('quality', 0), ('toxic', 1)) AS targets(target, k)"""),
+        FROM (SELECT *, 1 + k + (doc_id * 7919 + k * 104729) % greatest(length(text) - 20, 1) AS early, greatest(length(text) - 8, 1) AS late
+              FROM documents, (VALUES ('quality', 0), ('toxic', 1)) AS targets(target, k))"""),
 }
 
 _SQL["quality"] = (("headers",), """
@@ -318,16 +319,17 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: its report and the answer as JSON text."""
-    doc, text = F.col("doc_id"), F.col("text")
+    doc, text, size = F.col("doc_id"), F.col("text"), F.length("text").cast("long")
 
     def finding(k: int) -> Column:
         status = F.element_at(F.array(*map(F.lit, ["PRESENT", "ABSENT", "UNCERTAIN", "NOT_MENTIONED"])), ((doc + k) % 4 + 1).cast("int"))
         strength = F.element_at(F.array(*map(F.lit, ["DIRECT", "PARTIAL", "CONFLICTING", "INSUFFICIENT"])), ((doc * 3 + k) % 4 + 1).cast("int"))
         none = F.array().cast("array<string>")
+        at = (1 + k + (doc * 7919 + k * 104_729) % F.greatest(size - 20, F.lit(1))).cast("int")  # quotes from all over the text
         evidence = (
             F.when(((doc + k) % 4 == 3) & (doc % 3 != 0), none).when((doc + k) % 7 == 0, none)
-            .when((doc + k) % 11 == 0, F.array(F.substring(text, 1, 12), F.concat(F.lit("~"), F.substring(text, 1, 9), F.lit("~"))))
-            .otherwise(F.array(F.substring(text, 1 + k, 15), F.substring(text, 3, 8))))
+            .when((doc + k) % 11 == 0, F.array(F.substr(text, at, F.lit(12)), F.concat(F.lit("~"), F.substr(text, at, F.lit(9)), F.lit("~"))))
+            .otherwise(F.array(F.substr(text, at, F.lit(15)), F.substr(text, F.greatest(size - 8, F.lit(1)).cast("int"), F.lit(8)))))
         return F.struct(
             status.alias("report_status"),
             F.when((doc + 2 * k) % 5 != 0, ((F.col("n_chars") * (k + 1)) % 900 + 50) / 1000).alias("label"),

@@ -114,16 +114,26 @@ def wide_labels(spark, d):
     return extraction.wide_labels(_validated(spark, d), NAMES)
 
 
-@query("s10_exports", _v(
-    "SELECT uid, target, report_status, label, weight, len(list_filter(evidence, lambda q: contains(report, q))) AS quotes FROM validated"))
+@query("s10_exports", _v("""
+    SELECT 'detail' AS part, CAST(uid AS VARCHAR) AS key, target, report_status AS text, label AS value, len(list_filter(evidence, lambda q: contains(report, q))) AS n FROM validated
+    UNION ALL SELECT 'labels', CAST(uid AS VARCHAR), target, NULL, label, mask FROM validated
+    UNION ALL SELECT 'usage', CAST(event_id AS VARCHAR), NULL, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'SUCCESS' END, value,
+        CASE WHEN event_id % 9 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) * 4 END FROM events"""))
 def exports(spark, d):
-    """Wide, detail and usage tables through CSV; the detail is read back."""
+    """Wide, detail and usage tables through CSV; all three are read back."""
     root = scratch_path(spark, "exports")
     rows = _validated(spark, d)
-    detail = extraction.detail_rows(rows)
-    sinks.write_exports(extraction.wide_labels(rows, NAMES), detail, m.attempts(spark, d), root)
+    detail, wide, usage = extraction.detail_rows(rows), extraction.wide_labels(rows, NAMES), m.attempts(spark, d)
+    sinks.write_exports(wide, detail, usage, root)
     back = readers.read_csv(spark, f"{root}/labels_detail", detail.schema)
-    return back.select("uid", "target", "report_status", "label", "weight", F.coalesce(F.json_array_length("evidence"), F.lit(0)).alias("quotes"))
+    labels = readers.read_csv(spark, f"{root}/labels", wide.schema)
+    log = readers.read_csv(spark, f"{root}/usage", usage.schema)
+    number = F.coalesce(F.json_array_length("evidence"), F.lit(0)).cast("long")
+    none = F.lit(None).cast("string")
+    return (back.select(F.lit("detail").alias("part"), F.col("uid").cast("string").alias("key"), "target", F.col("report_status").alias("text"), F.col("label").alias("value"), number.alias("n"))
+            .union(labels.select(F.lit("labels"), F.col("uid").cast("string"), F.inline(F.array(*[
+                F.struct(F.lit(t).alias("target"), none.alias("text"), F.col(t).alias("value"), F.col(f"{t}__mask").cast("long").alias("n")) for t in NAMES]))))
+            .union(log.select(F.lit("usage"), F.col("attempt").cast("string"), none, "status", "elapsed", "total_tokens")))
 
 
 @query("v08_fingerprint", """
@@ -204,11 +214,11 @@ def usage_totals(spark, d):
     return rows.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in rows.columns])
 
 
-@query("a13_clock", sql("""SELECT status, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock
-    FROM (SELECT status, CAST(floor(sum(CAST(round(elapsed) AS BIGINT))) AS BIGINT) % 360000 AS s FROM attempts GROUP BY 1)""", "attempts"))
+@query("a13_clock", sql("""SELECT status, lpad(CAST(s // 3600 AS VARCHAR), CAST(greatest(2, len(CAST(s // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock
+    FROM (SELECT status, CAST(floor(sum(CAST(round(elapsed) AS BIGINT))) AS BIGINT) AS s FROM attempts GROUP BY 1)""", "attempts"))
 def clock_time(spark, d):
     rows = m.attempts(spark, d).groupBy("status").agg(F.sum(F.round("elapsed").cast("long")).alias("s"))
-    return rows.select("status", clock(F.col("s") % 360000).alias("clock"))
+    return rows.select("status", clock(F.col("s")).alias("clock"))
 
 
 @query("a14_score_distribution", _v('SELECT target, count(label) AS "count", round(avg(label), 6) AS mean, min(label) AS min, max(label) AS max FROM validated GROUP BY 1'))
@@ -255,15 +265,14 @@ def mean_probability(spark, d):
     return mean.withColumn("mean", F.round(F.col("mean").cast("double"), 6))
 
 
-@query("j04_sample_join", sql("""
-    SELECT o_orderkey AS uid, max(round(CAST(CAST((p0 + p1 + p2) / 3 AS FLOAT) AS DOUBLE), 6)) FILTER (target = 'quantity') AS quantity
-    FROM orders LEFT JOIN cells ON o_orderkey = uid GROUP BY 1""", "cells"))
+@query("j04_sample_join", sql("SELECT o_orderkey AS uid, " + ", ".join(
+    f"max(round(CAST(CAST((p0 + p1 + p2) / 3 AS FLOAT) AS DOUBLE), 6)) FILTER (target = '{t}') AS {t}" for t in m.TARGETS) + " FROM orders LEFT JOIN cells ON o_orderkey = uid GROUP BY 1", "cells"))
 def sample_join(spark, d):
-    rows = m.cells(spark, d).where("target = 'quantity'").select("uid", "target", F.explode(F.array("p0", "p1", "p2")).alias("p"))
+    rows = m.cells(spark, d).select("uid", "target", F.explode(F.array("p0", "p1", "p2")).alias("p"))
     mean = ensemble.mean_probability(rows, ["uid", "target"], "p")
     sample = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderkey").alias("ordinal"))
-    joined = ensemble.submission(sample, mean, "uid", ["quantity"], "ordinal")
-    return joined.select("uid", F.round(F.col("quantity").cast("double"), 6).alias("quantity"))
+    joined = ensemble.submission(sample, mean, "uid", m.TARGETS, "ordinal")
+    return joined.select("uid", *[F.round(F.col(t).cast("double"), 6).alias(t) for t in m.TARGETS])
 
 
 @query("u01_fold_union", sql("SELECT uid, fold, round(max(p1) FILTER (target = 'returned'), 6) AS returned FROM cells GROUP BY 1, 2", "cells"))
@@ -303,20 +312,24 @@ def last_wins(spark, d):
 @query("t01_usage_stream", sql("""
     SELECT strftime(date_trunc('day', started_at), '%Y-%m-%d') AS day, count(*) AS attempts, count(*) FILTER (status <> 'SUCCESS') AS failures, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
            CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) FILTER (total_tokens IS NULL) AS attempts_without_usage
-    FROM attempts WHERE date_trunc('day', started_at) + INTERVAL 1 DAY <= (SELECT max(started_at) - INTERVAL 1 HOUR FROM attempts) GROUP BY 1""", "attempts"))
+    FROM attempts GROUP BY 1""", "attempts"))
 def usage_stream(spark, d):
-    """The log written as JSON lines and rolled up as a stream; windows still open are not emitted."""
+    """The log written as JSON lines in several files, read two files a trigger and rolled up; equal to the batch result."""
     from sliceweave.streaming import attempts as stream
 
     root = scratch_path(spark, "stream")
     rows = m.attempts(spark, d).withColumn("uid", F.col("uid").cast("string"))
-    sinks.append_jsonl(rows, f"{root}/in")
-    source = stream.read_attempts(spark, f"{root}/in", rows.schema)
+    sinks.append_jsonl(rows.repartition(LOG_FILES, "attempt"), f"{root}/in")
+    source = stream.read_attempts(spark, f"{root}/in", rows.schema, files_per_trigger=2)
     stream.start_usage(source, f"{root}/out", f"{root}/check").awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
+    out = stream.usage(spark, f"{root}/out")
     return out.select(F.date_from_unix_date(F.floor(F.unix_timestamp("window_start") / 86400).cast("int")).cast("string").alias("day"), *[c for c in out.columns if not c.startswith("window_")])
 
 
+#: Files of the written log.
+LOG_FILES = 6
+
+
 @query("t01_latest_stream", sql("SELECT CAST(uid AS VARCHAR) AS uid, max(attempt) AS attempt, arg_max(status, attempt) AS status, count(*) AS attempts FROM attempts GROUP BY 1", "attempts"))
 def latest_stream(spark, d):
     from sliceweave.streaming import attempts as stream
@@ -328,4 +341,4 @@ def latest_stream(spark, d):
     run()
     sinks.append_jsonl(rows.where("attempt % 2 = 1"), f"{root}/in")
     run()
-    return spark.read.parquet(f"{root}/out/version=1")
+    return stream.latest(spark, f"{root}/out")

@@ -12,6 +12,7 @@ from sliceweave.operators.reshape import melt
 from sliceweave.plans import models as m
 from sliceweave.plans.models import TARGETS, sql
 from sliceweave.plans.registry import query
+from sliceweave.session import materialize
 from sliceweave.sources.tables import table
 
 POS, NEG, USE = "coalesce(({0}) > 0.5, false)", "coalesce(({0}) < 0.5, false)", "coalesce(({0}) <> 0.5, false)"
@@ -196,7 +197,7 @@ def coverage_audit(spark, d):
 
 
 def _comparison(spark, d):
-    rows = m.cells(spark, d)
+    rows = materialize(m.cells(spark, d).select("uid", "target", "old", "new"))  # three sides and their guards read it
     old = rows.select("uid", "target", F.col("old").alias("old_score"))
     blended = rows.select("uid", "target", L.blend(F.col("new"), F.col("old")).alias("blend_score"))
     new = rows.select("uid", "target", F.col("new").alias("new_score"))
@@ -266,12 +267,18 @@ def gold_disagreements(spark, d):
 _UP, _DOWN = f"({neg('old')} AND {pos('new')})", f"({pos('old')} AND {neg('new')})"
 
 
+def _weight_sql(c):
+    part = f"sum(CASE WHEN {pos(c)} THEN {{}} ELSE {{}} END)"
+    return f"round(least(greatest({part.format(0, conf(c))} / greatest({part.format(conf(c), 0)}, 1), 1), 10), 6)"
+
+
 @query("a16_flip_statistics", sql(f"""
     SELECT target, count(*) FILTER ({USE.format('old')} AND {USE.format('new')}) AS comparable, count(*) FILTER ({_UP}) AS neg_to_pos, count(*) FILTER ({_DOWN}) AS pos_to_neg,
            round(count(*) FILTER ({_UP} OR {_DOWN}) / count(*) FILTER ({USE.format('old')} AND {USE.format('new')}), 6) AS flip_rate,
            round(avg(CAST({pos('old')} AS INTEGER)), 6) AS old_positive_rate, round(avg(CAST({pos('new')} AS INTEGER)), 6) AS new_positive_rate,
            round(avg(old), 6) AS old_mean, round(avg(new), 6) AS new_mean, round(sum({conf('old')}), 4) AS old_weight, round(sum({conf('new')}), 4) AS new_weight,
-           count(*) FILTER (old = 0.5) AS old_neutral, count(*) FILTER (new = 0.5) AS new_neutral FROM cells WHERE gold IS NULL GROUP BY 1""", "cells"))
+           count(*) FILTER (old = 0.5) AS old_neutral, count(*) FILTER (new = 0.5) AS new_neutral, {_weight_sql('old')} AS old_pos_weight, {_weight_sql('new')} AS new_pos_weight
+    FROM cells WHERE gold IS NULL GROUP BY 1""", "cells"))
 def flip_statistics(spark, d):
     return ops.flip_statistics(m.cells(spark, d).where(F.col("gold").isNull()), "old", "new")
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sliceweave.functions.text import report_group
-from sliceweave.operators import metrics, neardup, sampling, scoring, splits
+from sliceweave.operators import guards, metrics, neardup, sampling, scoring, splits
 from sliceweave.operators.reshape import melt
 from sliceweave.plans import models as m
 from sliceweave.plans.models import TARGETS, sql
@@ -22,27 +22,37 @@ def seeded_sample(spark, d):
     return sampling.sample_studies(m.studies(spark, d).select("uid", "lang"), "uid", 100, 7)
 
 
-def _sample_sql(group, count):
+def _sample_sql(group, least):
+    count = "(SELECT c FROM most)"
     return sql(f"""
-    WITH hashed AS (SELECT study, slot, series, idx, sha256('11|0|' || study || '|' || series || '|' || idx) AS h FROM windows),
+    WITH most AS (SELECT greatest({least}, max(g)) AS c FROM (SELECT count(DISTINCT {group}) AS g FROM windows GROUP BY study)),
+    hashed AS (SELECT study, slot, series, idx, sha256('11|0|' || study || '|' || series || '|' || idx) AS h FROM windows),
     ins AS (SELECT *, row_number() OVER (PARTITION BY study, {group} ORDER BY h, series, idx) AS r FROM hashed),
     drawn AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, h, series, idx) AS draw FROM ins QUALIFY draw <= {count}),
     held AS (SELECT study, max(draw) AS held FROM drawn GROUP BY 1),
     extra AS (SELECT study, CAST(draw AS BIGINT) AS draw, CAST('0x' || substring(sha256('11|0|extra|' || study || '|' || draw), 1, 12) AS BIGINT) % held + 1 AS pick
-              FROM held, range(1, {count} + 1) t(draw) WHERE draw > held)
+              FROM held, (SELECT unnest(range(1, {count} + 1)) AS draw) WHERE draw > held)
     SELECT study, CAST(draw AS INTEGER) AS draw, slot, series, idx FROM drawn
     UNION ALL SELECT e.study, e.draw, slot, series, idx FROM extra e JOIN drawn d ON e.study = d.study AND e.pick = d.draw""", "windows")
 
 
+def _draws(windows, group, least):
+    """Draws per study that leave no group of any study without a window."""
+    most = windows.groupBy("study").agg(F.count_distinct(group).alias("g")).agg(F.max("g")).first()[0]
+    return max(least, most or 0)
+
+
 @query("k02_sample_per_slot", _sample_sql("slot", 12))
 def sample_per_slot(spark, d):
-    rows = sampling.sample_windows(m.windows(spark, d).drop("position"), "study", "slot", ["series", "idx"], 12, 11)
+    windows = m.windows(spark, d).drop("position")
+    rows = sampling.sample_windows(windows, "study", "slot", ["series", "idx"], _draws(windows, "slot", 12), 11)
     return rows.select("study", "draw", "slot", "series", "idx")
 
 
 @query("k03_sample_per_series", _sample_sql("series", 30))
 def sample_per_series(spark, d):
-    rows = sampling.sample_windows(m.windows(spark, d).select("study", "series", "idx"), "study", "series", ["series", "idx"], 30, 11)
+    windows = m.windows(spark, d).select("study", "series", "idx")
+    rows = sampling.sample_windows(windows, "study", "series", ["series", "idx"], _draws(windows, "series", 30), 11)
     slots = m.windows(spark, d).select("series", "slot").distinct()
     return rows.join(slots, "series").select("study", "draw", "slot", "series", "idx")
 
@@ -80,12 +90,15 @@ def distinct_anchors(spark, d):
 
 
 @query("k07_round_robin", sql("""
+    WITH most AS (SELECT greatest(8, max(c)) AS b FROM (SELECT count(*) AS c FROM series WHERE num_slices > 0 GROUP BY study, plane))
     SELECT study, plane, series, count(*) AS windows FROM (
-    SELECT study, plane, series, row_number() OVER (PARTITION BY study, plane ORDER BY turn, series) AS r FROM series, range(1, 9) t(turn) WHERE turn <= num_slices)
-    WHERE r <= 8 GROUP BY 1, 2, 3""", "series"))
+    SELECT study, plane, series, row_number() OVER (PARTITION BY study, plane ORDER BY turn, series) AS r FROM series, (SELECT unnest(range(1, b + 1)) AS turn FROM most) WHERE turn <= num_slices)
+    WHERE r <= (SELECT b FROM most) GROUP BY 1, 2, 3""", "series"))
 def round_robin(spark, d):
+    """The budget is 8, or as many as the fullest slot has series, so that every series gets a window."""
     caps = m.series(spark, d).where("num_slices > 0").select("study", "plane", "series", "num_slices")
-    return sampling.round_robin(caps, ["study", "plane"], "series", "num_slices", 8)
+    most = caps.groupBy("study", "plane").count().agg(F.max("count")).first()[0]
+    return sampling.round_robin(caps, ["study", "plane"], "series", "num_slices", max(8, most or 0))
 
 
 @query("k07_overfull_slots", sql("SELECT study, plane, count(*) AS series FROM series WHERE num_slices > 0 GROUP BY 1, 2 HAVING count(*) > 8", "series"))
@@ -162,6 +175,27 @@ def fold_sizes(spark, d):
     return _fold_members(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("studies"))
 
 
+def _fold_sql():
+    """The dealing order in SQL: positive flags first, then the others, by rarity; their running parity as text, then the digest of the key."""
+    lists = ", ".join(f"CAST(coalesce({flag}, false) AS INTEGER)" for flag in _tri_sql())
+    return f"""
+    flags AS (SELECT uid, [{lists}] AS f FROM wide_new WHERE uid IN (SELECT uid FROM cells WHERE gold IS NULL)),
+    counts AS (SELECT i, sum(f[i]) AS c FROM flags, range(1, {len(_tri_sql())} + 1) t(i) GROUP BY 1 HAVING sum(f[i]) > 0),
+    ranked AS (SELECT list(i ORDER BY i > {len(TARGETS)}, c, i) AS o FROM counts),
+    placed AS (SELECT uid, array_to_string(list_transform(range(1, len(o) + 1), lambda k: list_sum(list_transform(o[1:k], lambda i: f[i])) % 2), '') AS place FROM flags, ranked),
+    folds AS (SELECT uid, CAST((row_number() OVER (ORDER BY place, sha256('42|' || uid), uid) - 1) % 5 AS INTEGER) AS fold FROM placed)"""
+
+
+def _tri_sql():
+    return [pos(t) for t in TARGETS] + [neg(t) for t in TARGETS] + [f"NOT {USE.format(t)}" for t in TARGETS]
+
+
+@query("x03_membership", sql("WITH " + _fold_sql() + """
+    SELECT uid, fold, 'weak' AS split FROM folds UNION ALL SELECT DISTINCT uid, -1, 'gold_holdout' FROM cells WHERE gold IS NOT NULL""", "wide_new", "cells"))
+def fold_membership(spark, d):
+    return _fold_members(spark, d)
+
+
 @query("x03_stratified_folds")
 def stratified_folds(spark, d):
     members = materialize(_fold_members(spark, d))
@@ -198,6 +232,19 @@ def quota_positives(spark, d):
     return counts.where("all > 0").select("target", (F.abs(F.col("valid") - goal) <= 1).alias("within_one"))
 
 
+@query("x04_quota_membership", sql("""
+    SELECT count(DISTINCT uid) AS studies, CAST(ceil(count(DISTINCT uid) / 10) AS BIGINT) AS valid, count(DISTINCT uid) AS distinct_studies,
+           count(DISTINCT uid) FILTER (uid % 170 = 0) AS locked_valid, CAST(0 AS BIGINT) AS locked_train, CAST(0 AS BIGINT) AS unknown FROM cells""", "cells"))
+def quota_membership(spark, d):
+    """Every study is in exactly one part, the size is exact and locked studies validate."""
+    wide, chosen = _quota(spark, d)
+    rows = chosen.join(wide.select(F.col("uid").alias("_uid")), F.col("uid") == F.col("_uid"), "full")
+    locked = F.col("uid") % 170 == 0
+    return rows.agg(F.count(F.lit(1)).alias("studies"), F.count_if(F.col("split") == "valid").alias("valid"), F.count_distinct("uid").alias("distinct_studies"),
+                    F.count_if(locked & (F.col("split") == "valid")).alias("locked_valid"), F.count_if(locked & (F.col("split") == "train")).alias("locked_train"),
+                    F.count_if(F.col("split").isNull() | F.col("_uid").isNull()).alias("unknown"))
+
+
 @query("x04_quota_validation")
 def quota_validation(spark, d):
     wide, chosen = _quota(spark, d)
@@ -225,10 +272,17 @@ def feature_report(spark, d):
 
 @query("x05_manifest", sql("""
     SELECT 'given' AS method, '42' AS seed, 5 AS folds, count(*) FILTER (split = 'gold_holdout') AS gold, """ + ", ".join(
-    f"count(*) FILTER (fold = {f}) AS fold_{f}" for f in range(5)) + ", 64 AS digest_length FROM members", "members"))
+    f"count(*) FILTER (fold = {f}) AS fold_{f}" for f in range(5)) + """,
+    sha256(count(*) || '|' || sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) || '|' ||
+           sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substring(h, 46, 15) AS BIGINT))) AS membership_sha256, true AS data_digest_differs
+    FROM (SELECT *, sha256(length(uid::VARCHAR) || ':' || uid || '|' || length(fold::VARCHAR) || ':' || fold || '|' || length(split) || ':' || split) AS h FROM members)""", "members"))
 def manifest(spark, d):
-    rows = splits.manifest(m.members(spark, d), m.wide(spark, d, "new"), "uid", TARGETS, "given", 42, 5)
-    return rows.select("method", "seed", "folds", "gold", *[f"fold_{f}" for f in range(5)], F.length("data_sha256").alias("digest_length"))
+    """The digest of the membership is the real one; that of the data must change with a single label."""
+    members, wide = materialize(m.members(spark, d)), materialize(m.wide(spark, d, "new"))
+    changed = wide.withColumn(TARGETS[0], F.when(F.col("uid") == wide.agg(F.min("uid")).first()[0], 0.123).otherwise(F.col(TARGETS[0])))
+    rows = splits.manifest(members, wide, "uid", TARGETS, "given", 42, 5)
+    other = splits.fingerprint(changed, ["uid", *TARGETS], "digest").first()["digest"]
+    return rows.select("method", "seed", "folds", "gold", *[f"fold_{f}" for f in range(5)], "membership_sha256", (F.col("data_sha256") != other).alias("data_digest_differs"))
 
 
 @query("x06_fold_leaks", """SELECT CAST(0 AS BIGINT) AS overlapping_roles, CAST(0 AS BIGINT) AS missing_models, CAST(0 AS BIGINT) AS not_validated_once,
@@ -288,4 +342,6 @@ def batch_scoring(spark, d):
         return pd.DataFrame({"vec_id": batch["vec_id"], "score": 1 / (1 + np.exp(-total))})
 
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return scoring.score_batches(rows, scorer, "vec_id bigint, score double").withColumn("score", F.round("score", 6))
+    scores = materialize(scoring.score_batches(rows, scorer, "vec_id bigint, score double"))
+    guards.enforce(scoring.scored_report(rows, scores, "vec_id", "score"), ignore=())
+    return scores.withColumn("score", F.round("score", 6))

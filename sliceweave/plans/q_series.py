@@ -403,9 +403,9 @@ def conversation_turns(spark, d):
     return rows.select("conv_id", "turn", F.coalesce("_b", "role").alias("before"), F.coalesce("_a", "role").alias("after"))
 
 
-@query("u06_needed_slices", sql(f"SELECT DISTINCT series, unnest([prev_idx, idx, next_idx]) AS idx FROM ({_TRIPLES}) WHERE idx % 2 = 0", "ordered_slices"))
+@query("u06_needed_slices", sql(f"SELECT DISTINCT series, unnest([prev_idx, idx, next_idx]) AS idx FROM ({_TRIPLES})", "ordered_slices"))
 def needed_slices(spark, d):
-    triples = windows.adjacent_triples(m.ordered_slices(spark, d)).where("idx % 2 = 0")
+    triples = windows.adjacent_triples(m.ordered_slices(spark, d))
     return windows.needed_slices(triples, ["series"])
 
 
@@ -499,6 +499,32 @@ def offset_report(spark, d):
     return report.select(*[F.round(c, 4).alias(c) if "_p" in c else (F.round(c, 6).alias(c) if c == "changed_fraction" else F.col(c)) for c in report.columns])
 
 
-@query("j11_unique_anchors")
+def _anchor_sql(count):
+    """One step per pick: the nearest row behind the last pick that leaves enough rows for the rest."""
+    steps = [f"p0 AS (SELECT series, CAST(-1 AS BIGINT) AS last FROM span WHERE n >= {count} AND hi > lo)"]
+    for j in range(count):
+        target = "hi" if j == count - 1 else f"{j} * ((hi - lo) / {count - 1}) + lo"
+        steps.append(f"""p{j + 1} AS (SELECT p.series, arg_min(o.idx, (abs(o.position - ({target})), o.idx)) AS last FROM p{j} p JOIN span s ON p.series = s.series
+            JOIN ordered_slices o ON o.series = p.series AND o.idx > p.last AND o.idx <= s.n - {count - j} GROUP BY p.series)""")
+    picks = " UNION ALL ".join(f"SELECT series, {j} AS j, last AS idx, 'spread' AS state FROM p{j + 1}" for j in range(count))
+    return f"""span AS (SELECT series, min(position) AS lo, max(position) AS hi, count(*) AS n FROM ordered_slices GROUP BY 1), {', '.join(steps)}
+        SELECT series, CAST(j AS INTEGER) AS j, CAST(idx AS BIGINT) AS idx, state FROM ({picks}
+        UNION ALL SELECT series, j, CAST(round_even(j * (n - 1) / {count - 1}, 0) AS BIGINT), 'flat' FROM span, range({count}) t(j) WHERE n >= {count} AND hi = lo
+        UNION ALL SELECT series, NULL, NULL, 'short' FROM span WHERE n < {count})"""
+
+
+@query("j11_unique_anchors", sql("WITH " + _anchor_sql(3), "ordered_slices"))
 def unique_anchors(spark, d):
-    return neighbors.unique_anchors(m.ordered_slices(spark, d), ["series"], "position", 3)
+    """Three anchors per series; a series with fewer slices stays in the result with its state."""
+    ordered = stored_slices(spark, d)
+    facts = ordered.groupBy("series").agg(F.max("n").alias("_rows"), (F.min("position") == F.max("position")).alias("_flat"))
+    state = F.when(F.col("_rows") < 3, "short").when(F.col("_flat"), "flat").otherwise("spread")
+    enough = ordered.where(F.col("n") >= 3)
+    picks = neighbors.unique_anchors(enough, ["series"], "position", 3)
+    return facts.select("series", state.alias("state")).join(picks, "series", "left").select(
+        "series", F.col("j").cast("int").alias("j"), F.col("idx").cast("long").alias("idx"), "state")
+
+
+def stored_slices(spark, d):
+    """The ordered slices, written once since the anchors read them several times."""
+    return materialize(m.ordered_slices(spark, d).select("series", "idx", "n", "position"))

@@ -155,18 +155,15 @@ def json_sink(spark, d):
     return readers.read_jsonl(spark, path, rows.schema)
 
 
-@query("s11_submission", sql("""
-    SELECT CAST(uid AS VARCHAR) AS uid, max(CAST((p0 + p1 + p2) / 3 AS FLOAT)) FILTER (target = 'quantity') AS quantity,
-           max(CAST((p0 + p1 + p2) / 3 AS FLOAT)) FILTER (target = 'returned') AS returned FROM cells GROUP BY 1""", "cells"))
+@query("s11_submission", sql("SELECT CAST(uid AS VARCHAR) AS uid, " + ", ".join(
+    f"max(CAST((p0 + p1 + p2) / 3 AS FLOAT)) FILTER (target = '{t}') AS {t}" for t in TARGETS) + " FROM cells GROUP BY 1", "cells"))
 def submission(spark, d):
-    targets = ["quantity", "returned"]
-    rows = m.cells(spark, d).where(F.col("target").isin(targets)).select(
-        F.col("uid").cast("string").alias("uid"), "target", F.explode(F.array("p0", "p1", "p2")).alias("p"))
+    rows = m.cells(spark, d).select(F.col("uid").cast("string").alias("uid"), "target", F.explode(F.array("p0", "p1", "p2")).alias("p"))
     mean = ensemble.enforce_mean(ensemble.mean_probability(rows, ["uid", "target"], "p"), 3)
     sample = m.members(spark, d).select(F.col("uid").cast("string").alias("uid"), F.col("uid").alias("ordinal"))
     path = scratch_path(spark, "submission")
-    sinks.write_submission(ensemble.submission(sample, mean, "uid", targets, "ordinal"), path, "uid", targets, "ordinal")
-    return readers.read_csv(spark, path, T.StructType([T.StructField("uid", T.StringType()), *[T.StructField(t, T.FloatType()) for t in targets]]))
+    sinks.write_submission(ensemble.submission(sample, mean, "uid", TARGETS, "ordinal"), path, "uid", TARGETS, "ordinal")
+    return readers.read_csv(spark, path, T.StructType([T.StructField("uid", T.StringType()), *[T.StructField(t, T.FloatType()) for t in TARGETS]]))
 
 
 @query("s12_split_export", sql("SELECT uid, fold, split FROM members", "members"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,19 @@ from sliceweave.operators import guards
 from sliceweave.operators.ensemble import prediction_report
 from sliceweave.schemas import SERIES, TARGETS, prediction_schema, study_schema
 
-CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST",
+CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST",
        "enforceSchema": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with quoted line breaks; a header that differs from the schema fails."""
-    return spark.read.options(**CSV).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV; a header that differs from the schema fails. Only a table with line breaks inside quotes needs
+    ``multi_line``, which keeps each of its files in one task."""
+    return spark.read.options(**CSV, multiLine=str(multi_line).lower()).schema(schema).csv(path)
+
+
+def file_order() -> Column:
+    """Sorts rows as their files hold them: by file, part of the file, and row, however parts are dealt to tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def study_contract(studies: DataFrame, key: str = "StudyInstanceUID", report: str = "Report") -> DataFrame:
@@ -30,7 +36,7 @@ def study_contract(studies: DataFrame, key: str = "StudyInstanceUID", report: st
 
 def read_studies(spark: SparkSession, path: str, targets: Sequence[str] = TARGETS) -> DataFrame:
     """Study table after its contract held: unique keys and no empty report."""
-    studies = read_csv(spark, path, study_schema(targets))
+    studies = read_csv(spark, path, study_schema(targets), multi_line=True)
     guards.enforce(study_contract(studies))
     return studies
 
@@ -38,9 +44,9 @@ def read_studies(spark: SparkSession, path: str, targets: Sequence[str] = TARGET
 def read_catalogue(spark: SparkSession, root: str, targets: Sequence[str] = TARGETS) -> dict[str, DataFrame]:
     """The five catalogue tables, each with its fixed schema and an explicit file order for series."""
     key = T.StructType([T.StructField("StudyInstanceUID", T.StringType())])
-    ordinal = lambda df: df.withColumn("ordinal", F.monotonically_increasing_id())
+    ordinal = lambda df: df.withColumn("ordinal", file_order())
     return {
-        "train": read_csv(spark, f"{root}/train.csv", study_schema(targets)),
+        "train": read_csv(spark, f"{root}/train.csv", study_schema(targets), multi_line=True),
         "train_series": ordinal(read_csv(spark, f"{root}/train_series.csv", SERIES)),
         "test": read_csv(spark, f"{root}/test.csv", key),
         "test_series": ordinal(read_csv(spark, f"{root}/test_series.csv", SERIES)),

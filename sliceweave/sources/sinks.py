@@ -37,7 +37,10 @@ def write_submission(ordered: DataFrame, path: str, key: str, targets: Sequence[
 
 
 def write_split(members: DataFrame, manifest: DataFrame, root: str) -> None:
-    """Folds by partition and their manifest; another manifest (one row) in place is refused before anything is written."""
+    """Folds by partition, then their manifest; another manifest (one row) in place is refused before anything is written.
+
+    Without a manifest the folds are the rest of a run that did not end, and are written anew.
+    """
     spark = members.sparkSession
     try:
         stored = spark.read.parquet(f"{root}/manifest")
@@ -48,5 +51,5 @@ def write_split(members: DataFrame, manifest: DataFrame, root: str) -> None:
         if stored.collect() != manifest.select(*stored.columns).collect():
             raise guards.ContractError(f"a different split manifest exists in {root}")
         return
-    members.write.partitionBy("fold").parquet(f"{root}/folds")
-    manifest.write.parquet(f"{root}/manifest")
+    members.write.mode("overwrite").partitionBy("fold").parquet(f"{root}/folds")
+    manifest.write.mode("overwrite").parquet(f"{root}/manifest")
