@@ -9,6 +9,7 @@ overlapping windows of its whole text.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -27,7 +28,7 @@ VOCABULARY, GRAMS, BUCKETS = 20_000, (3, 4, 5), 16_384
 #: Sizes of the word vector, the character vector, each recurrent state, and the attention layer.
 WORD_SIZE, CHAR_SIZE, STATE, ATTENTION = 12, 12, 8, 12
 #: Words a worker keeps with their inputs; only memory depends on it.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 120_000
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
 
@@ -45,31 +46,36 @@ def window_starts(n: int) -> range:
 
 
 class Lexicon:
-    """Numbers of words: their word vector (0: unknown) and their n-grams."""
+    """Numbers of words: their word vector (0: unknown) and their character n-grams, one after the other."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
         self.vocabulary = vocabulary
         self.number: dict[bytes, int] = {}
-        self.vector: list[int] = []
-        self.grams: list[list[int]] = []
+        self.vector, self.grams, self.ends = array("i"), array("H"), array("q", [0])
 
     def add(self, word: bytes) -> int:
         found = self.number.get(word)
         if found is None:
             found = self.number[word] = len(self.vector)
             self.vector.append(self.vocabulary.get(word, 0))
-            self.grams.append(char_grams(word))
+            self.grams.extend(char_grams(word))
+            self.ends.append(len(self.grams))
         return found
 
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of words given by number, one after the other, and how many each has."""
+        ends = np.frombuffer(self.ends, np.int64)
+        starts, sizes = ends[words], ends[words + 1] - ends[words]
+        shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return np.frombuffer(self.grams, np.uint16)[np.arange(len(shift)) + shift].astype(np.int64), sizes
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
-def _char_means(table: np.ndarray, grams: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(g) for g in grams], np.int64)
-    flat = np.fromiter((g for word in grams for g in word), np.int64, int(sizes.sum()))
-    return np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32), flat, sizes
+def _char_means(table: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
 
 
 class Network:
@@ -91,6 +97,14 @@ class Network:
         """Gate inputs of both directions for words given by vector number and character mean."""
         return np.concatenate([self.p["word"][vector], chars], axis=1) @ self.p["in"] + self.p["in_b"]
 
+    def inputs_of(self, lexicon: Lexicon, first: int = 0, block: int = 8192) -> np.ndarray:
+        """Gate inputs of the words of ``lexicon`` from number ``first`` on."""
+        out = np.empty((len(lexicon.vector) - first, 6 * STATE), np.float32)
+        for at in range(first, len(lexicon.vector), block):
+            words = np.arange(at, min(at + block, len(lexicon.vector)))
+            out[words - first] = self.inputs(np.frombuffer(lexicon.vector, np.int32)[words], _char_means(self.p["char"], *lexicon.grams_of(words)))
+        return out
+
     def _run(self, gates: Callable[[int], np.ndarray], weights: np.ndarray, mask: np.ndarray, back: bool, trace: list | None, states: np.ndarray) -> None:
         """Write the states of one direction into ``states`` (time, batch, state). ``gates(t)`` is (batch, 3 * state)."""
         h, whole = STATE, mask.min(axis=1) > 0
@@ -176,49 +190,53 @@ def _pack(windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, mask
 
 
-def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7,
+def train(documents: list[tuple[list[bytes], int]], epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7,
           steps: int = 600) -> tuple[dict, Network]:
-    """Fit on (windows of words, label 0 or 1) of each document; returns the vocabulary and the network.
+    """Fit on (windows, their words joined by a space; label 0 or 1) of each document; returns vocabulary and network.
 
     A document is learnt through one window an epoch: a random one at first, later its most toxic one. Few documents
     are gone through more often, until about ``steps`` batches are learnt.
     """
     counts: dict[bytes, int] = {}
     for windows, _ in documents:
-        for word in {w for window in windows for w in window}:
+        for word in set(b" ".join(windows).split(b" ")):
             counts[word] = counts.get(word, 0) + 1
-    common = sorted((w for w, c in counts.items() if c > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
+    common = sorted((w for w, c in counts.items() if c > 2 and w), key=lambda w: (-counts[w], w))[:VOCABULARY]
     vocabulary = {w: i + 1 for i, w in enumerate(common)}
+    counts.clear()
     network, lexicon, rng = Network(len(vocabulary), seed), Lexicon(vocabulary), np.random.default_rng(seed)
-    number = lexicon.add
-    coded = [([np.fromiter(map(number, window), np.int64, len(window)) for window in windows], label) for windows, label in documents if windows]
-    if not coded:
+    flat, labels_of, first = [], [], [0]
+    for windows, label in documents:
+        if windows:
+            flat += [np.fromiter(map(lexicon.add, window.split(b" ")), np.int32) for window in windows]
+            labels_of.append(label)
+            first.append(len(flat))
+    if not flat:
         return vocabulary, network
-    vector, grams = np.array(lexicon.vector), lexicon.grams
+    first, labels_of = np.array(first), np.array(labels_of, np.float32)
+    vector = np.frombuffer(lexicon.vector, np.int32)
     optimizer = Adam(network.p, rate)
-    epochs = max(epochs, min(4 * epochs, steps * batch // len(coded)))
-    flat = [window for windows, _ in coded for window in windows]
-    first = np.cumsum([0, *[len(windows) for windows, _ in coded]])
+    epochs = max(epochs, min(4 * epochs, steps * batch // len(labels_of)))
     for epoch in range(epochs):
         optimizer.rate = rate * (1 - 0.8 * epoch / epochs)
         if epoch < 0.3 * epochs:
-            chosen = first[:-1] + (rng.random(len(coded)) * np.diff(first)).astype(np.int64)
+            chosen = first[:-1] + (rng.random(len(labels_of)) * np.diff(first)).astype(np.int64)
         else:
-            logits = window_logits(network, network.inputs(vector, _char_means(network.p["char"], grams)[0]), flat)
+            logits = window_logits(network, network.inputs_of(lexicon), flat)
             chosen = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(first[:-1], first[1:])])
-        order = rng.permutation(len(coded))
+        order = rng.permutation(len(labels_of))
         for at in range(0, len(order), batch):
             part = order[at:at + batch]
             ids, mask = _pack([flat[chosen[i]] for i in part])
-            labels = np.array([coded[i][1] for i in part], np.float32)
             own, inverse = np.unique(ids, return_inverse=True)
             inverse = inverse.reshape(ids.shape)
-            chars, flat_grams, sizes = _char_means(network.p["char"], [grams[i] for i in own])
+            grams, sizes = lexicon.grams_of(own)
+            chars = _char_means(network.p["char"], grams, sizes)
             words = np.where(rng.random(ids.shape) < 0.15, 0, vector[ids])  # some words are read by their letters only
             joined = np.concatenate([network.p["word"][words], chars[inverse]], axis=2)
             keep: dict = {}
             logit = network.forward((joined @ network.p["in"] + network.p["in_b"]).__getitem__, mask, keep)
-            g, d_gates = network.gradients(keep, ((_sigmoid(logit) - labels) / len(part)).astype(np.float32))
+            g, d_gates = network.gradients(keep, ((_sigmoid(logit) - labels_of[part]) / len(part)).astype(np.float32))
             g["in"] = np.einsum("tbx,tbg->xg", joined, d_gates)
             g["in_b"] = d_gates.sum(axis=(0, 1))
             d_joined = d_gates @ network.p["in"].T
@@ -226,7 +244,7 @@ def train(documents: list[tuple[list[list[bytes]], int]], epochs: int = 10, batc
             np.add.at(g["word"], words, d_joined[:, :, :WORD_SIZE])
             d_chars = np.zeros_like(chars)
             np.add.at(d_chars, inverse, d_joined[:, :, WORD_SIZE:])
-            np.add.at(g["char"], flat_grams, np.repeat(d_chars / sizes[:, None].astype(np.float32), sizes, axis=0))
+            np.add.at(g["char"], grams, np.repeat(d_chars / sizes[:, None].astype(np.float32), sizes, axis=0))
             optimizer.step(g)
     return vocabulary, network
 
@@ -255,13 +273,10 @@ class Scorer:
 
     def _grow(self) -> None:
         """Gate inputs of the words that are new since the last call."""
-        old, new = len(self.inputs), len(self.lexicon.vector)
-        if new > old:
-            chars = _char_means(self.network.p["char"], self.lexicon.grams[old:])[0]
-            self.inputs = np.concatenate([self.inputs, self.network.inputs(np.array(self.lexicon.vector[old:]), chars)])
-            self.lexicon.grams[old:] = [None] * (new - old)
+        if len(self.lexicon.vector) > len(self.inputs):
+            self.inputs = np.concatenate([self.inputs, self.network.inputs_of(self.lexicon, len(self.inputs))])
 
-    def scores(self, texts: list[str | None], block: int = 8192) -> list[float]:
+    def scores(self, texts: list[str | None], block: int = 4096) -> list[float]:
         if self.network is None:
             return [0.0] * len(texts)
         none = float(_sigmoid(self.network.p["out_b"])[0])
@@ -317,8 +332,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
             out.append([b" ".join(words[s:s + WINDOW]) for s in starts])
         return {"windows": out}
 
-    rows = map_rows(drawn, ["text"], "windows array<binary>", cut, ["id", "label"]).orderBy("id", "label").collect()
-    documents_ = [([bytes(w).split(b" ") for w in row["windows"]], int(row["label"] > 0)) for row in rows if row["windows"]]
+    rows = map_rows(drawn, ["text"], "windows array<binary>", cut, ["id", "label"]).orderBy("id", "label").toArrow()
+    texts_, labels_ = rows.column("windows").to_pylist(), rows.column("label").to_pylist()
+    documents_ = [(windows, int(label > 0)) for windows, label in zip(texts_, labels_) if windows]
     return train(documents_) if documents_ else None
 
 
