@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -19,6 +20,8 @@ _A, _Z = ord("A"), ord("Z")
 WORD_BYTES = bytes(
     b + 32 if _A <= b <= _Z else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
+#: Rows handed to a function at once; bounds what a worker holds beside its Arrow batch.
+ROWS = 1024
 _PROCESS: dict = {}
 
 
@@ -35,10 +38,19 @@ class Shared:
         self.sent = spark.sparkContext.broadcast(value)
 
     def get(self, build: Callable):
-        """``build(value)`` of this process; a newer value of the same kind replaces it."""
-        if self.kind not in _PROCESS or _PROCESS[self.kind][0] != self.key:
-            _PROCESS[self.kind] = (self.key, build(self.sent.value))
-        return _PROCESS[self.kind][1]
+        """``build(value)`` of this process. A worker keeps one table: the next operator's replaces it."""
+        name = (self.kind, self.key)
+        if name not in _PROCESS:
+            release()
+            _PROCESS[name] = build(self.sent.value)
+        return _PROCESS[name]
+
+
+def release() -> None:
+    """Give back the table that an earlier operator left in this worker process."""
+    if _PROCESS:
+        _PROCESS.clear()
+        gc.collect()
 
 
 def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callable[..., Mapping], keep: Sequence[str] = ()) -> DataFrame:
@@ -53,7 +65,7 @@ def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callab
     names = [*keep, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             columns = function(*batch.columns[kept:])
             new = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], t) for n, t in zip(made.names, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], names=names)

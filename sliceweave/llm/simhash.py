@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import fresh, map_rows, stored
+from sliceweave.llm.common import fresh, map_rows, release, stored
 from sliceweave.llm.sharding import numbered
 
 #: Words in a shingle, seed of its hash, most differing bits of a link.
@@ -244,6 +244,7 @@ def links(placed: DataFrame, distance: int = DISTANCE, piece: int = PIECE) -> Da
 
     def in_range(batches):
         """Links inside one range, and the buckets at its two ends."""
+        release()
         batches = [b for b in batches if b.num_rows]
         if batches:
             table = pa.Table.from_batches(batches)
@@ -371,6 +372,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     marked = df.withColumn(digest, F.md5(F.to_json(F.struct(*others, F.md5(F.col(f"`{text_column}`").cast("binary")).alias(digest))).cast("binary")))
 
     def run(texts: pa.Array) -> dict:
+        release()
         out: dict[str, list] = {"fp": [], "wide": [], "rank": [], "sketch": []}
         for text in texts.to_pylist():
             hashes = shingle_hashes(text, similar_words, seed)
