@@ -273,8 +273,10 @@ def wrappers(df: DataFrame, url_column: str = "url", html_column: str = "html",
                      lambda pages: {"nodes": [skeleton(blocks_of(p)) for p in pages.to_pylist()]}, ["host", "order"])
     trees = stored(trees.where(F.size("nodes") > 0), "trees")
     sizes = trees.groupBy("host").count().select(F.col("host").alias("_host"), F.expr(f"greatest(1, count div {group}L)").alias("groups"))
-    dealt = trees.join(sizes, F.col("host") == F.col("_host")).withColumn("group", F.pmod("order", "groups")).select("host", "group", "order", "nodes")
-    votes = dealt.groupBy("host", "group").applyInArrow(_votes, "host string, path string, pairs long, same long, chars long, links long")
+    # One key of host and group: with two, the rows would stay dealt by host, and a hot host would be one task.
+    key = F.concat_ws(" ", "host", F.pmod("order", "groups").cast("string"))
+    dealt = trees.join(sizes, F.col("host") == F.col("_host")).select("host", key.alias("group"), "order", "nodes")
+    votes = dealt.groupBy("group").applyInArrow(_votes, "host string, path string, pairs long, same long, chars long, links long")
     total = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pairs", "same", "chars", "links")])
     template = (F.col("pairs") >= VOTES) & (F.col("same") > CONSTANT * F.col("pairs"))
     menu = F.col("links") >= LINKS * F.col("chars")
