@@ -28,6 +28,10 @@ from sliceweave.session import scratch_path
 
 #: Tokens in a sequence, and sequences in a shard (16 MB of 16-bit ids).
 LENGTH, PER_SHARD = 2048, 4096
+#: Tokens in a block of the stored stream, blocks cut into sequences at once, and the level at which ids are compressed.
+BLOCK, TOGETHER, LEVEL = 1 << 20, 8, 3
+#: Texts encoded at once.
+TEXTS = 128
 #: Rounds of the permutation.
 ROUNDS = 6
 _MASK = (1 << 64) - 1
@@ -86,26 +90,37 @@ def _write(folder: str, name: str, content: bytes) -> None:
 
 
 def encoded(df: DataFrame, tokenizer: str, text_column: str = "text") -> DataFrame:
-    """Token stream in the order of the table's partitions: ``part``, ``start`` (in the part), ``n`` and ``ids``.
+    """Token stream in the order of the table's partitions, in blocks: ``part``, ``start`` (in the part), ``n``, ``ids``.
 
     Ids are 16-bit, compressed; each text is closed by the first special token of the vocabulary.
     """
     bpe = ByteBpe.load(tokenizer)
     if len(bpe.tokens) > 1 << 16:
         raise ValueError("ids of this vocabulary do not fit in 16 bits")
-    end = min(bpe.special.values())
+    end = np.array([min(bpe.special.values())], "<u4").tobytes()
     shared = Shared(df.sparkSession, "bpe", bpe)
 
     def run(batches):
-        encoder, part, start = shared.get(BpeEncoder), TaskContext.get().partitionId(), 0
+        encoder, part, start, pending = shared.get(BpeEncoder), TaskContext.get().partitionId(), 0, np.zeros(0, "<u2")
+
+        def blocks(tokens, size):
+            nonlocal start
+            for at in range(0, len(tokens), size):
+                block = tokens[at:at + size]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "n": pa.array([len(block)], pa.int64()),
+                    "ids": pa.array([zstandard.compress(block.tobytes(), LEVEL)], pa.binary())})
+                start += len(block)
+
         for batch in batches:
-            ids = [np.append(np.frombuffer(encoder.encode(text), "<u4").astype("<u2"), np.uint16(end)) for text in batch.column(0).to_pylist()]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            starts = start + np.cumsum(sizes) - sizes
-            start += int(sizes.sum())
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(np.full(len(ids), part, np.int32)), "start": starts, "n": sizes,
-                "ids": pa.array([zstandard.compress(x.tobytes()) for x in ids], pa.binary())})
+            for at in range(0, batch.num_rows, TEXTS):
+                texts = batch.column(0).slice(at, TEXTS).to_pylist()
+                new = np.frombuffer(b"".join(encoder.encode(text) + end for text in texts), "<u4").astype("<u2")
+                pending = np.concatenate([pending, new])
+                whole = len(pending) // BLOCK * BLOCK
+                yield from blocks(pending[:whole], BLOCK)
+                pending = pending[whole:].copy()
+        yield from blocks(pending, BLOCK)
 
     return df.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(run, "part int, start long, n long, ids binary")
 
@@ -138,38 +153,46 @@ def materialise(df: DataFrame, tokenizer: str, key: int, folder: str | None = No
     order, stride = Feistel(sequences, key), 2 * length
 
     def cut(batches):
+        """The pieces of sequences that each few blocks hold, together for each shard."""
         for batch in batches:
-            slots, places, payloads, numbers = [], [], [], []
-            for at, ids in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist()):
-                raw = zstandard.decompress(ids)
-                n = len(raw) // 2
-                edges = [0, *range(length - at % length, n, length), n]
-                for a, b in zip(edges, edges[1:]):
-                    numbers.append((at + a) // length)
-                    places.append((at + a) % length)
-                    payloads.append(raw[2 * a:2 * b])
-            slots = order.slot(np.array(numbers, np.int64)) if numbers else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"shard": (slots // per_shard).astype(np.int64), "slot": slots, "sequence": np.array(numbers, np.int64),
-                                              "place": np.array(places, np.int32), "ids": pa.array(payloads, pa.binary())})
+            starts, blocks = batch.column("at").to_pylist(), batch.column("ids")
+            for first in range(0, len(starts), TOGETHER):
+                numbers, places, pieces = [], [], []
+                for i in range(first, min(len(starts), first + TOGETHER)):
+                    at, tokens = starts[i], np.frombuffer(zstandard.decompress(blocks[i].as_py()), "<u2")
+                    edges = [0, *range(length - at % length, len(tokens), length), len(tokens)]
+                    for a, b in zip(edges, edges[1:]):
+                        numbers.append((at + a) // length)
+                        places.append((at + a) % length)
+                        pieces.append(tokens[a:b])
+                slots = order.slot(np.array(numbers, np.int64))
+                shard = slots // per_shard
+                for of in np.unique(shard).tolist():
+                    own = np.flatnonzero(shard == of).tolist()
+                    yield pa.RecordBatch.from_pydict({
+                        "shard": pa.array([of], pa.int64()), "slots": pa.array([slots[own].tolist()], pa.list_(pa.int64())),
+                        "numbers": pa.array([[numbers[i] for i in own]], pa.list_(pa.int64())), "places": pa.array([[places[i] for i in own]], pa.list_(pa.int32())),
+                        "sizes": pa.array([[len(pieces[i]) for i in own]], pa.list_(pa.int32())),
+                        "ids": pa.array([zstandard.compress(np.concatenate([pieces[i] for i in own]).tobytes(), LEVEL)], pa.binary())})
 
     pieces = (stream.join(F.broadcast(bases.select(F.col("part").alias("_part"), "base")), F.col("part") == F.col("_part"))
               .select((F.col("base") + F.col("start")).alias("at"), "ids")
-              .mapInArrow(cut, "shard long, slot long, sequence long, place int, ids binary"))
+              .mapInArrow(cut, "shard long, slots array<long>, numbers array<long>, places array<int>, sizes array<int>, ids binary"))
 
     def write_shard(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         first = shard * per_shard
         rows = np.full((min(per_shard, sequences - first), length), end, "<u2")
-        flat = rows.reshape(-1)
-        slot, place = table["slot"].to_numpy() - first, table["place"].to_numpy()
-        for s, at, ids in zip(slot.tolist(), place.tolist(), table["ids"].to_pylist()):
-            flat[s * length + at:s * length + at + len(ids) // 2] = np.frombuffer(ids, "<u2")
-        _write(folder, f"shard-{shard:08d}.bin", rows.tobytes())
         number = np.zeros(len(rows), np.int64)
-        number[slot] = table["sequence"].to_numpy()
-        slots = first + np.arange(len(rows))
+        for slots, numbers, places, sizes, ids in zip(*(table[c].to_pylist() for c in ("slots", "numbers", "places", "sizes", "ids"))):
+            tokens, at = np.frombuffer(zstandard.decompress(ids), "<u2"), 0
+            for slot, place, size in zip(slots, places, sizes):
+                rows[slot - first, place:place + size] = tokens[at:at + size]
+                at += size
+            number[np.array(slots) - first] = numbers
+        _write(folder, f"shard-{shard:08d}.bin", rows.tobytes())
         return pa.table({
-            "slot": slots, "sequence": number, "shard": np.full(len(rows), shard), "offset": np.arange(len(rows)) * stride,
+            "slot": first + np.arange(len(rows)), "sequence": number, "shard": np.full(len(rows), shard), "offset": np.arange(len(rows)) * stride,
             "n_tokens": np.minimum(length, total - number * length), "sha256": [hashlib.sha256(r.tobytes()).hexdigest() for r in rows]})
 
     schema = "slot long, sequence long, shard long, offset long, n_tokens long, sha256 string"
