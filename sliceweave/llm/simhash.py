@@ -12,13 +12,13 @@ cuts are compared again, piece by piece, with the same pruning between pieces. E
 fingerprint (to the smallest of its group); groups are then joined by contraction in Spark.
 
 Four of 64 bits is a strict rule: texts that share four fifths of their shingles differ in about ten. Where a similarity
-is asked for, a second, wide fingerprint of the same kind (1,024 bits) is compared as well. No band of it can be trusted
-to agree, so texts meet under shingles that both have among their smallest hashes, the rarer ones first; the same index
-then joins those within the number of bits that the similarity stands for.
+is asked for, texts meet under shingles of their sets, and the exact Jaccard of the two sets decides. Texts that are
+connected already are not compared again; of the rest, those whose sizes or parity bits exclude the similarity are not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -37,8 +37,10 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 BANDS = (13, 13, 13, 13, 12)
 #: Children of a node, and fingerprints in a piece of a cut band value.
 FAN, PIECE = 16, 20_000
-#: 64-bit words of the wide fingerprint; smallest hashes by which texts meet, and how many of them, rarest first, are used.
-WIDE, SKETCH, MEETINGS = 16, 16, 8
+#: 64-bit words of a wide fingerprint, and of the parity bits of a set of shingles.
+WIDE, PARITY = 16, 8
+#: Smallest hashes by which texts meet, and texts of one meeting that are compared in one task.
+SKETCH, MEETING = 16, 4096
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -67,17 +69,11 @@ def majority(hashes: np.ndarray, rows: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def wide_words(hashes: np.ndarray) -> np.ndarray:
-    """Wide fingerprint: the majority over hashes that are mixed anew for each of its words."""
-    key = np.arange(1, WIDE + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    ones, n = np.zeros((WIDE, 64), np.int64), len(hashes)
-    for at in range(0, n, 16_384):
-        mixed = (hashes[None, at:at + 16_384] ^ key) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(30)
-        lanes = np.add.reduceat(_LANES[mixed.reshape(WIDE, -1, 1).view(np.uint8)], np.arange(0, mixed.shape[1], 255), axis=1)
-        ones += lanes.view(np.uint8).reshape(WIDE, -1, 64).sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+def parity_words(distinct: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * ``PARITY`` parts. Two sets differ in as many shingles at least as
+    these bits differ."""
+    odd = np.bincount((distinct >> np.uint64(20) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def wide_distance(similarity: float) -> int:
@@ -331,23 +327,61 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.join(of, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_column), "fp", "component_id")
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """Rows by which classes with a similar set of shingles meet: ``bucket`` (a shingle hash), ``rank``, ``code``, ``node``.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """``token`` and ``node``, once each, of the tokens that several nodes of ``rows`` have; some others stay in too."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = rows.select(F.explode("tokens").alias("token"), "node").repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
 
-    Each class takes the rarest of its sketch's hashes that any other class has too. Two classes with a similarity of
-    0.8 share over half their sketch but for one case in a hundred, and then at least one of the hashes taken.
+    def shared(batches):
+        """A row is held back until the next is known. The first and the last stay, as their token may go on elsewhere."""
+        held, begun = None, True  # the row held back, and whether it stays whatever follows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            token = table["token"].to_numpy()
+            node = np.frombuffer(b"".join(table["node"].to_pylist()), "S16")  # of one length
+            words = node.view("<u8").reshape(-1, 2)
+            same = token[1:] == token[:-1]
+            copy = np.concatenate([[False], same & (words[1:] == words[:-1]).all(axis=1)])
+            stays = np.concatenate([[begun], same]) | np.concatenate([same, [False]])
+            last = len(token) - 1
+            begun = bool(stays[last])
+            stays &= ~copy
+            if copy[last]:  # the copy goes on as the row before it
+                stays[np.flatnonzero(~copy)[-1]] = False
+            stays[last] = False
+            held = table.slice(last).combine_chunks().to_batches()[0]
+            yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
+        if held is not None:
+            yield held
+
+    return stored(each.mapInArrow(shared, "token long, node binary"), "meetings")
+
+
+def _possible(similarity: float):
+    """Whether sets of sizes ``n`` and ``m`` with parity bits ``x`` and ``y`` can have the similarity."""
+    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    near = differ <= (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6) & near
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose sets have the similarity."""
+    left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"_{side}")) for side in ("a", "b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    whole = F.size("_a") + F.size("_b") - both
+    return pairs.join(left, "a").join(right, "b").where(both + 1e-6 >= similarity * whole).select("a", "b")
+
+
+def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``n``, ``bits``, ``tokens``), one row
+    per class: linked by four bits of ``fp``, or by the exact similarity of the sets of those that share a token.
+
+    ``sets_of`` gives the sets (``node``, ``set``) of the nodes of a table. Each meeting first compares all with its
+    smallest and its largest node, so that a crowd of copies is connected without pairs; then those that are still apart.
     """
-    each = classes.select("node", F.explode("sketch").alias("bucket"))
-    shared = each.groupBy("bucket").count().where("count > 1").withColumnRenamed("bucket", "_bucket")
-    taken = each.join(shared, F.col("bucket") == F.col("_bucket")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "bucket"))).alias("all"))
-    taken = taken.select(F.col("node").alias("_node"), F.explode(F.slice("all", 1, MEETINGS)).alias("one")).select("_node", "one.bucket")
-    return classes.join(taken, F.col("node") == F.col("_node")).select("bucket", "rank", F.col("wide").alias("code"), "node")
-
-
-def similar_roots(rows: DataFrame, similarity: float) -> DataFrame:
-    """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``wide``, ``rank``, ``sketch``), one
-    row per class: linked by four bits of ``fp``, or by as many bits of ``wide`` as the similarity stands for."""
-    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "wide", "rank", "sketch")]), "classes")
+    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", "bits")]), "classes")
     by_fp = stored(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
     again = by_fp.where("n > 1").select(F.col("fp").alias("_fp"), "first")
     edges = classes.join(again, F.col("fp") == F.col("_fp")).select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -355,8 +389,25 @@ def similar_roots(rows: DataFrame, similarity: float) -> DataFrame:
     for side in ("a", "b"):
         ends = by_fp.select(F.col("fp").alias("_fp"), "first")
         near = near.join(ends, F.col(side) == F.col("_fp")).withColumn(side, F.col("first")).drop("_fp", "first")
-    wide = links(_meetings(classes), wide_distance(similarity))
-    return components(edges.union(near.select("a", "b")).union(wide))
+    meetings = _meetings(rows)
+    sets = stored(sets_of(meetings.select("node").distinct()), "sets")
+    ends = meetings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    star = meetings.join(ends, "token").select("node", F.explode(F.array("low", "high")).alias("b")).where("node <> b")
+    star = star.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    for side, size, bits in (("a", "n", "x"), ("b", "m", "y")):
+        star = star.join(classes.select(F.col("node").alias(side), F.col("n").alias(size), F.col("bits").alias(bits)), side)
+    star = _confirmed(star.where(_possible(similarity)).select("a", "b"), sets, similarity)
+    edges = stored(edges.union(near.select("a", "b")).union(star), "links")
+    roots = components(edges).withColumnRenamed("node", "_node")
+    labelled = stored(classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "n", "bits"), "labels")
+    mixed = meetings.join(labelled.select("node", "label"), "node").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("count"))
+    mixed = mixed.where("low <> high").select("token", F.expr(f"1 + count div {MEETING}L").alias("pieces"))
+    apart = meetings.join(mixed, "token").join(labelled, "node").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces"))
+    left = apart.select("token", F.col("piece").alias("p"), F.explode(F.expr("sequence(piece, pieces - 1)")).alias("q"), F.col("node").alias("a"), F.col("label").alias("c"), "n", F.col("bits").alias("x"))
+    right = apart.select("token", F.explode(F.expr("sequence(0L, piece)")).alias("p"), F.col("piece").alias("q"), F.col("node").alias("b"), F.col("label").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    rest = left.join(right.hint("merge"), ["token", "p", "q"]).where((F.col("c") != F.col("d")) & ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & _possible(similarity))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return components(edges.union(_confirmed(rest, sets, similarity)))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, seed: int = SEED,
@@ -364,8 +415,8 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """All columns of one row of each group: the one with the smallest id (null last; of equal ids the smallest digest).
 
     Rows are linked if their fingerprints (shingles of ``words`` words) differ in at most four bits, or if their sets of
-    ``similar_words``-word shingles have about ``similarity`` in common, as the wide fingerprint tells. Texts without
-    words are copies of each other. Of rows equal in every column one stays.
+    ``similar_words``-word shingles meet and have at least ``similarity`` in common (exact Jaccard). Texts without words
+    are copies of each other. Of rows equal in every column one stays.
     """
     digest = fresh(df, "digest")
     others = [F.col(f"`{c}`") for c in df.columns if c != text_column]
@@ -373,21 +424,25 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def run(texts: pa.Array) -> dict:
         release()
-        out: dict[str, list] = {"fp": [], "wide": [], "rank": [], "sketch": []}
+        out: dict[str, list] = {"fp": [], "node": [], "n": [], "bits": [], "tokens": []}
         for text in texts.to_pylist():
-            hashes = shingle_hashes(text, similar_words, seed)
-            words_ = wide_words(hashes)
-            distinct = np.unique(hashes)
-            out["fp"].append(int(majority(shingle_hashes(text, words, seed)).view(np.int64)[0]))
-            out["wide"].append(words_.tobytes())
-            out["rank"].append(_gray_rank_of(int(words_[0])))
-            out["sketch"].append(distinct[:SKETCH].view(np.int64).tolist())
+            distinct = np.unique(shingle_hashes(text, similar_words, seed))
+            fp = majority(shingle_hashes(text, words, seed))
+            out["fp"].append(int(fp.view(np.int64)[0]))
+            out["node"].append(hashlib.md5(fp.tobytes() + distinct.tobytes()).digest())
+            out["n"].append(len(distinct))
+            out["bits"].append(parity_words(distinct))
+            out["tokens"].append(distinct[:SKETCH].view(np.int64))
         return out
 
-    rows = map_rows(marked, [text_column], "fp long, wide binary, rank long, sketch array<long>", run, [id_column, digest])
-    rows = rows.toDF("id", "digest", "fp", "wide", "rank", "sketch").withColumn("node", F.unhex(F.md5(F.concat(F.hex("fp").cast("binary"), F.col("wide")))))
-    rows = stored(rows, "fingerprints")
-    roots = similar_roots(rows, similarity).withColumnRenamed("node", "_node")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("_digest"))
+        texts = marked.join(wanted, F.col(digest) == F.col("_digest")).select("node", F.col(f"`{text_column}`").alias("_text"), "_digest").dropDuplicates(["_digest"])
+        return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [np.unique(shingle_hashes(t, similar_words, seed)).view(np.int64) for t in ts.to_pylist()]}, ["node"])
+
+    rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, tokens array<long>", run, [id_column, digest])
+    rows = stored(rows.toDF("id", "digest", "fp", "node", "n", "bits", "tokens"), "fingerprints")
+    roots = similar_roots(rows, sets_of, similarity).withColumnRenamed("node", "_node")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     # One row per class first, so that copies are combined before they meet in their group.
     best = rows.groupBy("node").agg(F.min(order).alias("best")).join(roots, F.col("node") == F.col("_node"), "left")
@@ -395,10 +450,3 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     kept = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.digest").alias(name))
     return (marked.join(kept, F.col(digest) == F.col(name), "left_semi").dropDuplicates([digest])
             .select(*[F.col(f"`{c}`") for c in df.columns]))
-
-
-def _gray_rank_of(code: int) -> int:
-    """Place of a word in the Gray sequence, as a signed number of the same order."""
-    for step in (1, 2, 4, 8, 16, 32):
-        code ^= code >> step
-    return code - (1 << 63)

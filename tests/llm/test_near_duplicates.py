@@ -137,3 +137,22 @@ def test_similar_texts_meet(spark):
 
 def test_wide_distance_stands_for_the_similarity():
     assert simhash.wide_distance(1.0) == 0 and simhash.wide_distance(0.9) < simhash.wide_distance(0.8) < 200
+
+
+def kept_ids(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_sets_of_shingles_decide_not_repeats(spark):
+    """A frequent line makes no near duplicates of unlike texts; repeats of a passage do not part copies."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    line, passage = " ".join(word() for _ in range(10)), " ".join(word() for _ in range(34))
+    unlike: list[str] = []
+    while len(unlike) < 12:  # the rule of four bits links none of them
+        text = " ".join([line] * 40 + [word() for _ in range(100)])
+        if all((simhash.fingerprint(text) ^ simhash.fingerprint(other)).bit_count() > 4 for other in unlike):
+            unlike.append(text)
+    base = " ".join([*(word() for _ in range(100)), passage, *(word() for _ in range(66))])
+    kept = kept_ids(spark, [*unlike, base, base + f" {passage}" * 11])
+    assert kept == set(range(13))
