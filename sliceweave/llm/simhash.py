@@ -12,7 +12,8 @@ cuts are compared again, piece by piece, with the same pruning between pieces. E
 fingerprint (to the smallest of its group); groups are then joined by contraction in Spark.
 
 Four of 64 bits is a strict rule: texts that share four fifths of their shingles differ in about ten. Where a similarity
-is asked for, texts meet under shingles of their sets, and the exact Jaccard of the two sets decides. Texts that are
+is asked for, texts meet under the first shingles of their sets in one order of all shingles, frequent ones last: so
+many that two sets with the similarity share one of them. The exact Jaccard of the two sets decides. Texts that are
 connected already are not compared again; of the rest, those whose sizes or parity bits exclude the similarity are not.
 """
 
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sliceweave.llm.common import fresh, map_rows, release, stored
+from sliceweave.llm.common import Shared, fresh, map_rows, release, stored
 from sliceweave.llm.sharding import numbered
 
 #: Words in a shingle, seed of its hash, most differing bits of a link.
@@ -39,8 +40,11 @@ BANDS = (13, 13, 13, 13, 12)
 FAN, PIECE = 16, 20_000
 #: 64-bit words of a wide fingerprint, and of the parity bits of a set of shingles.
 WIDE, PARITY = 16, 8
-#: Smallest hashes by which texts meet, and texts of one meeting that are compared in one task.
-SKETCH, MEETING = 16, 4096
+#: Texts of one meeting that are compared in one task.
+MEETING = 4096
+#: Texts, about, in which frequent shingles are counted, texts of them that make one frequent, and most that are kept.
+#: They only set the order of shingles; any order finds all pairs.
+COUNTED, OFTEN, FREQUENT = 20_000, 8, 200_000
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -327,6 +331,36 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.join(of, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def first_tokens(distinct: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last: two sets with the similarity share one of theirs.
+
+    Of n shingles such sets share at least ``similarity`` * n, so one that is shared is among the first of the others + 1.
+    """
+    n = len(distinct)
+    if not n:
+        return distinct
+    take = n - math.ceil(similarity * n - 1e-9) + 1 if similarity > 0 else n
+    tokens, counts = frequent
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, distinct), len(tokens) - 1)
+        often = np.where(tokens[at] == distinct, counts[at], 0)
+        if often.any():
+            distinct = distinct[np.argsort(often, kind="stable")]
+    return distinct[:take]
+
+
+def frequent_shingles(df: DataFrame, text_column: str, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that are frequent among about ``COUNTED`` texts drawn by a digest, and in how many they are."""
+    every = max(1, df.count() // COUNTED)
+    drawn = df.where(F.pmod(F.xxhash64(F.col(f"`{text_column}`").cast("binary"), F.lit("frequent")), F.lit(every)) == 0)
+    sets = map_rows(drawn, [text_column], "set array<long>", lambda texts: {"set": [np.unique(shingle_hashes(t, words, seed)).view(np.int64) for t in texts.to_pylist()]})
+    counts = sets.select(F.explode("set").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN)
+    found = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT).toArrow()
+    tokens, often = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["count"].to_numpy().astype(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], often[order]
+
+
 def _meetings(rows: DataFrame) -> DataFrame:
     """``token`` and ``node``, once each, of the tokens that several nodes of ``rows`` have; some others stay in too."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -376,7 +410,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``n``, ``bits``, ``tokens``), one row
-    per class: linked by four bits of ``fp``, or by the exact similarity of the sets of those that share a token.
+    per class: linked by four bits of ``fp``, or by the exact similarity of the sets. All sets with the similarity share a token.
 
     ``sets_of`` gives the sets (``node``, ``set``) of the nodes of a table. Each meeting first compares all with its
     smallest and its largest node, so that a crowd of copies is connected without pairs; then those that are still apart.
@@ -415,15 +449,17 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """All columns of one row of each group: the one with the smallest id (null last; of equal ids the smallest digest).
 
     Rows are linked if their fingerprints (shingles of ``words`` words) differ in at most four bits, or if their sets of
-    ``similar_words``-word shingles meet and have at least ``similarity`` in common (exact Jaccard). Texts without words
-    are copies of each other. Of rows equal in every column one stays.
+    ``similar_words``-word shingles have at least ``similarity`` in common (exact Jaccard, all such pairs). Texts without
+    words are copies of each other. Of rows equal in every column one stays.
     """
     digest = fresh(df, "digest")
     others = [F.col(f"`{c}`") for c in df.columns if c != text_column]
     marked = df.withColumn(digest, F.md5(F.to_json(F.struct(*others, F.md5(F.col(f"`{text_column}`").cast("binary")).alias(digest))).cast("binary")))
 
+    shared = Shared(df.sparkSession, "frequent", frequent_shingles(df, text_column, similar_words, seed))
+
     def run(texts: pa.Array) -> dict:
-        release()
+        frequent = shared.get(lambda value: value)
         out: dict[str, list] = {"fp": [], "node": [], "n": [], "bits": [], "tokens": []}
         for text in texts.to_pylist():
             distinct = np.unique(shingle_hashes(text, similar_words, seed))
@@ -432,7 +468,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             out["node"].append(hashlib.md5(fp.tobytes() + distinct.tobytes()).digest())
             out["n"].append(len(distinct))
             out["bits"].append(parity_words(distinct))
-            out["tokens"].append(distinct[:SKETCH].view(np.int64))
+            out["tokens"].append(first_tokens(distinct, frequent, similarity).view(np.int64))
         return out
 
     def sets_of(nodes: DataFrame) -> DataFrame:

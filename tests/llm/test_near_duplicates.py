@@ -156,3 +156,45 @@ def test_sets_of_shingles_decide_not_repeats(spark):
     base = " ".join([*(word() for _ in range(100)), passage, *(word() for _ in range(66))])
     kept = kept_ids(spark, [*unlike, base, base + f" {passage}" * 11])
     assert kept == set(range(13))
+
+
+def test_all_pairs_of_the_similarity_and_no_others(spark):
+    """Brute force over short and long texts whose pairs lie on both sides of 0.8."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for family in range(120):
+        base = [word() for _ in range(rnd.choice([8, 8, 9, 12, 40, 90, 150]))]
+        texts.append(base)
+        texts.append([*base, word()])  # 8 against 9 words: 4 of 5 shingles
+        share = rnd.uniform(0.7, 0.86)  # a tail of other words brings the similarity to about this
+        texts.append(base + [word() for _ in range(round((len(base) - 4) * (1 / share - 1)))])
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    codes = [simhash.fingerprint(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i // 3 * 3, i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) or (codes[i] ^ codes[j]).bit_count() <= 4:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 60 < len(set(root)) < 300
+    assert kept_ids(spark, [" ".join(t) for t in texts]) == set(root)
+
+
+@pytest.mark.parametrize("meeting", [4096, 3])
+def test_meetings_of_crowds_are_whole(spark, monkeypatch, meeting):
+    """Chains inside one meeting are found when neither its smallest nor its largest node is near, also piece by piece."""
+    monkeypatch.setattr(simhash, "MEETING", meeting)
+    rnd = random.Random(6)
+    line = "one line that is in all of these short texts and has quite some words".split()
+    texts = [[*line, *(f"w{rnd.randrange(10**6)}" for _ in range(2 + i % 5))] for i in range(60)]
+    texts += [[*t, "more"] for t in texts[:30]]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    codes = [simhash.fingerprint(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) or (codes[i] ^ codes[j]).bit_count() <= 4:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert kept_ids(spark, [" ".join(t) for t in texts]) == set(root)
