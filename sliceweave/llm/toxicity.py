@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sliceweave.llm.common import Shared, fresh, map_rows, words_of
 
-#: Words in a window, and from one window's start to the next.
-WINDOW, STEP = 48, 38
+#: Words in a window, from one window's start to the next, and the same between the windows that are learnt from.
+WINDOW, STEP, TRAIN_STEP = 48, 1, 38
 #: Bound of the training sample: labelled documents, and windows of each (evenly spread over longer ones).
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 4000, 48
 #: Words with a vector of their own, sizes of character n-grams, and buckets for them.
@@ -40,9 +40,9 @@ def char_grams(word: bytes) -> list[int]:
     return [zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS for part in parts or [text]]
 
 
-def window_starts(n: int) -> range:
+def window_starts(n: int, step: int = STEP) -> range:
     """Starts of overlapping windows that cover n words."""
-    return range(0, max(1, n - WINDOW + STEP), STEP) if n else range(0)
+    return range(0, max(1, n - WINDOW + step), step) if n else range(0)
 
 
 class Lexicon:
@@ -261,6 +261,15 @@ def window_logits(network: Network, inputs: np.ndarray, windows: list[np.ndarray
     return out
 
 
+def stream_logits(network: Network, inputs: np.ndarray, numbers: np.ndarray, starts: np.ndarray, batch: int = 512) -> np.ndarray:
+    """Logits of the whole windows of a stream of word numbers that begin at ``starts``."""
+    out, mask = np.empty(len(starts), np.float32), np.ones((WINDOW, min(batch, len(starts))), np.float32)
+    for at in range(0, len(starts), batch):
+        part = starts[at:at + batch]
+        out[at:at + batch] = network.forward(lambda t: inputs[numbers[part + t]], mask[:, :len(part)])
+    return out
+
+
 class Scorer:
     """Scores whole texts in one process."""
 
@@ -280,14 +289,19 @@ class Scorer:
         if self.network is None:
             return [0.0] * len(texts)
         none = float(_sigmoid(self.network.p["out_b"])[0])
-        best, windows, owner = np.full(len(texts), -np.inf), [], []
+        best, short, stream, whole = np.full(len(texts), -np.inf), [], [], []
+        held = length = 0  # windows that wait, and words of the stream
 
         def flush() -> None:
-            if windows:
-                self._grow()
-                np.maximum.at(best, owner, window_logits(self.network, self.inputs, windows))
-                windows.clear()
-                owner.clear()
+            nonlocal held, length
+            self._grow()
+            if short:
+                np.maximum.at(best, [i for i, _ in short], window_logits(self.network, self.inputs, [window for _, window in short]))
+            if whole:
+                logits = stream_logits(self.network, self.inputs, np.concatenate(stream), np.concatenate([starts for _, starts in whole]))
+                np.maximum.at(best, np.repeat([i for i, _ in whole], [len(starts) for _, starts in whole]), logits)
+            short.clear(), stream.clear(), whole.clear()
+            held = length = 0
             if len(self.lexicon.vector) > KEEP_WORDS:
                 self._reset()
 
@@ -295,12 +309,17 @@ class Scorer:
             words = words_of(text)
             starts = window_starts(len(words))
             for a in range(0, len(starts), block):
-                part = starts[a:a + block]
+                part = np.asarray(starts[a:a + block])
                 begin = part[0]
                 numbers = np.fromiter(map(self.lexicon.add, words[begin:part[-1] + WINDOW]), np.int64)
-                windows += [numbers[s - begin:s - begin + WINDOW] for s in part]
-                owner += [i] * len(part)
-                if len(windows) >= block:
+                if len(words) < WINDOW:
+                    short.append((i, numbers))
+                else:
+                    stream.append(numbers)
+                    whole.append((i, part - begin + length))
+                    length += len(numbers)
+                held += len(part)
+                if held >= block:
                     flush()
         flush()
         return [none if logit == -np.inf else float(1 / (1 + np.exp(-logit))) for logit in best]
@@ -326,7 +345,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
         out = []
         for text in column.to_pylist():
             words = words_of(text)
-            starts = window_starts(len(words))
+            starts = window_starts(len(words), TRAIN_STEP)
             if len(starts) > TRAIN_WINDOWS:
                 starts = [starts[i * len(starts) // TRAIN_WINDOWS] for i in range(TRAIN_WINDOWS)]
             out.append([b" ".join(words[s:s + WINDOW]) for s in starts])

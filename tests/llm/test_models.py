@@ -81,6 +81,21 @@ def test_windows_cover_every_word():
         assert covered == set(range(n))
 
 
+def test_every_window_is_scored():
+    """The score is that of the most toxic of all windows, so words put in front of a text can not lower it."""
+    rnd = random.Random(5)
+    vocabulary = {f"w{i}".encode(): i + 1 for i in range(60)}
+    network = toxicity.Network(len(vocabulary), seed=3)
+    texts = [[f"w{rnd.randrange(80)}" for _ in range(n)] for n in (1, 20, 47, 48, 49, 70, 130, 300)]
+    scorer = toxicity.Scorer((vocabulary, network))
+    got = scorer.scores([" ".join(t) for t in texts], block=64)
+    for text, score in zip(texts, got):
+        each = scorer.scores([" ".join(text[s:s + toxicity.WINDOW]) for s in range(max(1, len(text) - toxicity.WINDOW + 1))])
+        assert abs(max(each) - score) < 1e-5
+    for k in range(1, 40):
+        assert scorer.scores([" ".join(["w1"] * k + texts[-1])])[0] >= got[-1] - 1e-5
+
+
 def test_toxicity_query(spark):
     got = queries.QUERIES["op2_toxicity"](spark, DATA).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
