@@ -334,12 +334,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
         sample: int = TRAIN_DOCUMENTS) -> tuple[dict, Network] | None:
     """Model from at most ``sample`` labelled documents that are not held out, drawn by a digest of their id.
 
-    Rows with a null id, label or text teach nothing. None if there are no rows to learn from.
+    Of rows that repeat an id, the text with the smallest digest is learnt from. Rows with a null id, label or text teach nothing. None if there are no rows to learn from.
     """
     known = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").cast("int").alias("label")).where("id is not null and label is not null")
     known = known.where(~held_out("id")).withColumn("draw", F.xxhash64("id", F.lit("toxicity"))).orderBy("draw", "id", "label").limit(sample)
     texts = documents.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("text"))
-    drawn = texts.join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "label", "text")  # ``sample`` rows at most
+    drawn = texts.where("text is not null").join(F.broadcast(known), F.col("_id") == F.col("id"))
+    digest = F.struct(F.xxhash64("text").alias("digest"), "text")
+    drawn = drawn.groupBy("id", "label").agg(F.min(digest).alias("first")).select("id", "label", "first.text")  # ``sample`` rows at most
 
     def cut(column: pa.Array) -> dict:
         out = []

@@ -75,6 +75,17 @@ def test_held_out_labels_teach_nothing(spark):
     assert toxicity.fit(docs, nulls) is None and toxicity.fit(docs.where("false"), labels) is None
 
 
+def test_repeated_ids_are_learnt_once(spark, monkeypatch):
+    """An id that repeats in many documents brings one row to the driver."""
+    rows = [(i, f"some words {i}") for i in range(40)] + [(1, f"again {i % 7}") for i in range(500)] + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda documents: seen.append(len(documents)))
+    toxicity.fit(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))] and zlib.crc32(b"1") % 4 != 2
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 47, 48, 49, 86, 87, 500, 4001):
         covered = {i for s in toxicity.window_starts(n) for i in range(s, min(n, s + toxicity.WINDOW))}
