@@ -2,9 +2,9 @@
 
 Pages of one host come from the same templates. The block structure of each page is folded into a small tree: one node
 per path of block elements, with the digests of its texts. Trees of pages of the same host are aligned by simple tree
-matching; each matched node votes whether its texts stayed the same (template) or differ (content slot). The votes of a
-host are added up over all its pages. A page's text is then read from its own tree: blocks in slots that vary, without
-the parts that their markup or their links mark as navigation, notices, adverts, forms or comments.
+matching; each matched node votes for those of its texts that stayed the same (template); all others are content. The
+votes of a host are added up over all its pages. A page's text is then read from its own tree: the texts that vary,
+without the parts that their markup or their links mark as navigation, notices, adverts, forms or comments.
 
 A host of any size is aligned in groups of about ``GROUP`` pages, so no task holds a whole host.
 """
@@ -23,11 +23,11 @@ from sliceweave.llm.common import map_rows, stored
 
 #: Pages aligned with each other at once.
 GROUP = 16
-#: Votes a slot needs before it can count as template, and the share of unchanged ones above which it does.
+#: Votes a slot needs before its texts can count as template, and the share of votes above which a text does.
 VOTES, CONSTANT = 3, 0.5
 #: Share of a slot's characters inside links from which it is a menu.
 LINKS = 0.6
-#: Two pages that share more of their text than this are copies; they say nothing about the template.
+#: Two pages that share more of their content than this are copies; they say nothing about the template.
 COPY = 0.8
 # Elements by their role.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -168,16 +168,22 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def skeleton(blocks: list[Block]) -> list[dict]:
-    """The folded tree of a page: one entry per path, with the digests of its distinct texts."""
+    """The folded tree of a page: one entry per path, with the digests and sizes of its distinct texts."""
     nodes: dict[str, dict] = {}
     for block in blocks:
-        node = nodes.setdefault(block.path, {"path": block.path, "texts": [], "chars": 0, "links": 0})
-        node["texts"].append(xxhash.xxh64_intdigest(block.text.encode("utf-8", "surrogatepass")) - (1 << 63))
-        node["chars"] += len("".join(block.text.split()))
+        node = nodes.setdefault(block.path, {"path": block.path, "texts": {}, "chars": 0, "links": 0, "main": False})
+        size = len("".join(block.text.split()))
+        node["texts"][_digest(block.text)] = size
+        node["chars"] += size
         node["links"] += block.links
+        node["main"] = node["main"] or (block.main and not block.out)
     for node in nodes.values():
-        node["texts"] = sorted(set(node["texts"]))
+        node["texts"], node["sizes"] = map(list, zip(*sorted(node["texts"].items())))
     return list(nodes.values())
 
 
@@ -221,29 +227,47 @@ def match(a: _Node, b: _Node) -> tuple[int, list[tuple[_Node, _Node]]]:
     return 1 + best[-1][-1], pairs
 
 
-def align(pages: list[list[dict]]) -> dict[str, list[int]]:
-    """Votes of neighbouring pages: path to [aligned pairs, unchanged ones, characters, characters in links]."""
-    votes: dict[str, list[int]] = {}
+def _copies(pairs: list[tuple[dict, dict]]) -> bool:
+    """Whether two pages have the same content: most characters inside main, or else most texts that are no menu."""
+    inside = [(x, y) for x, y in pairs if x["main"] and y["main"]]
+    if inside:
+        sizes = [(dict(zip(x["texts"], x["sizes"])), dict(zip(y["texts"], y["sizes"]))) for x, y in inside]
+        same = sum(a[text] for a, b in sizes for text in a.keys() & b.keys())
+        return same > COPY * min(sum(sum(a.values()) for a, _ in sizes), sum(sum(b.values()) for _, b in sizes))
+    content = [(set(x["texts"]), set(y["texts"])) for x, y in pairs if x["links"] < LINKS * x["chars"] and y["links"] < LINKS * y["chars"]]
+    return sum(len(a & b) for a, b in content) > COPY * sum(min(len(a), len(b)) for a, b in content)
+
+
+def align(pages: list[list[dict]]) -> dict[tuple[str, int | None], list[int]]:
+    """Votes of neighbouring pages: (path, None) to [aligned pairs, 0, characters, characters in links, pages], and
+    (path, digest of a text) to [0, pairs that both have the text, 0, 0, 0]."""
+    votes: dict[tuple[str, int | None], list[int]] = {}
     for nodes in pages:
         for entry in nodes:
-            vote = votes.setdefault(entry["path"], [0, 0, 0, 0])
+            vote = votes.setdefault((entry["path"], None), [0, 0, 0, 0, 0])
             vote[2] += entry["chars"]
             vote[3] += entry["links"]
+            vote[4] += 1
     trees = [_tree(nodes) for nodes in pages]
     for x, y in zip(trees, [*trees[1:], trees[0]] if len(trees) > 2 else trees[1:]):
-        pairs = [(p.entry, set(p.entry["texts"]), set(q.entry["texts"])) for p, q in match(x, y)[1] if p.entry and q.entry]
-        same = sum(len(a & b) for _, a, b in pairs)
-        if same > COPY * sum(min(len(a), len(b)) for _, a, b in pairs):
+        pairs = [(p.entry, q.entry) for p, q in match(x, y)[1] if p.entry and q.entry]
+        if _copies(pairs):
             continue
-        for entry, a, b in pairs:
-            votes[entry["path"]][0] += 1
-            votes[entry["path"]][1] += 2 * len(a & b) > min(len(a), len(b))
+        for a, b in pairs:
+            votes[a["path"], None][0] += 1
+            for text in set(a["texts"]) & set(b["texts"]):
+                votes.setdefault((a["path"], text), [0, 0, 0, 0, 0])[1] += 1
     return votes
 
 
 def read(page: str | None, template: frozenset[str] = frozenset()) -> str:
-    """Text of one page. ``template``: paths of its host that are no content."""
-    blocks = [b for b in blocks_of(page) if not b.out and b.path not in template]
+    """Text of one page. ``template``: what is no content on its host, paths of menus and single texts ("path digest").
+
+    Inside main only single texts are left out.
+    """
+    blocks = [b for b in blocks_of(page) if not b.out]
+    if template:
+        blocks = [b for b in blocks if (b.main or b.path not in template) and f"{b.path} {_digest(b.text)}" not in template]
     if any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
     return "\n".join(b.text for b in blocks)
@@ -256,31 +280,36 @@ def host_of(url: Column) -> Column:
 def _votes(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: (r["order"], str(r["nodes"])))
     votes = align([r["nodes"] for r in rows])
-    out = [(rows[0]["host"], path, *v) for path, v in votes.items()]
-    return pa.table(dict(zip(("host", "path", "pairs", "same", "chars", "links"), map(list, zip(*out)) if out else [[]] * 6)),
-                    schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("pairs", pa.int64()), ("same", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
+    out = [(rows[0]["host"], *slot, *v) for slot, v in votes.items()]
+    kinds = {"host": pa.string(), "path": pa.string(), "text": pa.int64(), **dict.fromkeys(("pairs", "same", "chars", "links", "pages"), pa.int64())}
+    return pa.table(dict(zip(kinds, map(list, zip(*out)) if out else [[]] * len(kinds))), schema=pa.schema(list(kinds.items())))
 
 
 def wrappers(df: DataFrame, url_column: str = "url", html_column: str = "html", group: int = GROUP) -> DataFrame:
-    """``host`` and ``template``: the paths of each host whose slots are template or menu. All pages of a host vote.
+    """``host`` and ``template``: the texts of each host that are template ("path digest") and the paths of its menus. All
+    pages of a host vote.
 
-    Pages without a host or without blocks do not vote. A slot counts as template after three votes, most of them for
-    unchanged texts; as a menu if most of its characters, over all pages of the host, are links.
+    Pages without a host or without blocks do not vote. A text counts as template if its slot has three votes and most
+    of them are for this text; a slot as a menu if three pages have it and most of its characters, over all pages of the
+    host, are links.
     """
     trees = map_rows(df.select(host_of(F.col(f"`{url_column}`")).alias("host"), F.coalesce(F.xxhash64(f"`{url_column}`", f"`{html_column}`"), F.lit(0)).alias("order"),
                                F.col(f"`{html_column}`").alias("html")).where("host <> ''"),
-                     ["html"], "nodes array<struct<path:string,texts:array<bigint>,chars:bigint,links:bigint>>",
+                     ["html"], "nodes array<struct<path:string,texts:array<bigint>,chars:bigint,links:bigint,main:boolean,sizes:array<bigint>>>",
                      lambda pages: {"nodes": [skeleton(blocks_of(p)) for p in pages.to_pylist()]}, ["host", "order"])
     trees = stored(trees.where(F.size("nodes") > 0), "trees")
     sizes = trees.groupBy("host").count().select(F.col("host").alias("_host"), F.expr(f"greatest(1, count div {group}L)").alias("groups"))
     # One key of host and group: with two, the rows would stay dealt by host, and a hot host would be one task.
     key = F.concat_ws(" ", "host", F.pmod("order", "groups").cast("string"))
     dealt = trees.join(sizes, F.col("host") == F.col("_host")).select("host", key.alias("group"), "order", "nodes")
-    votes = dealt.groupBy("group").applyInArrow(_votes, "host string, path string, pairs long, same long, chars long, links long")
-    total = votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pairs", "same", "chars", "links")])
-    template = (F.col("pairs") >= VOTES) & (F.col("same") > CONSTANT * F.col("pairs"))
-    menu = F.col("links") >= LINKS * F.col("chars")
-    return total.where(template | menu).groupBy("host").agg(F.collect_list("path").alias("template"))
+    votes = dealt.groupBy("group").applyInArrow(_votes, "host string, path string, text long, pairs long, same long, chars long, links long, pages long")
+    total = stored(votes.groupBy("host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("pairs", "same", "chars", "links", "pages")]), "votes")
+    slots = total.where("text is null")
+    menus = slots.where((F.col("pages") >= VOTES) & (F.col("links") >= LINKS * F.col("chars"))).select("host", F.col("path").alias("left_out"))
+    voted = slots.where(F.col("pairs") >= VOTES).select("host", "path", F.col("pairs").alias("of"))
+    texts = total.where("text is not null").join(voted, ["host", "path"]).where(F.col("same") > CONSTANT * F.col("of"))
+    texts = texts.select("host", F.concat_ws(" ", "path", F.col("text").cast("string")).alias("left_out"))
+    return menus.union(texts).groupBy("host").agg(F.collect_list("left_out").alias("template"))
 
 
 def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -55,6 +55,32 @@ def test_copies_do_not_become_template(spark):
     assert all(page[3] in r.text for r in h.extract(df).collect())
 
 
+def test_varying_paragraphs_of_an_article_stay(spark):
+    """Near copies with their own headings and menus, and paragraphs that some pages share, do not empty the others."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    line = lambda: " ".join(word() for _ in range(12))
+    common, shared, rows, wanted = "Read more stories on this site", [line() for _ in range(3)], [], {}
+    for i in range(40):
+        title, own = f"Heading {word()}", [line()] if i % 4 == 0 else []
+        paragraphs = own + [line() for _ in range(3)] if i % 4 == 0 else shared
+        menu = "".join(f"<li><a href=x>{word()}</a>" for _ in range(8))
+        links = "".join(f"<li><a href=x>{word()}</a>" for _ in range(3))
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html = f"<div><ul>{menu}</ul></div><article><h1>{title}</h1>{body}<ul>{links}</ul><p>{common}</p></article>"
+        rows.append((i, f"https://near.example/{i}", html))
+        wanted[i] = [title, *paragraphs]
+    got = {r.page_id: r.text.split("\n") for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, texts in wanted.items():
+        assert got[i][:len(texts)] == texts and len(got[i]) >= len(texts) + 3  # the list of links stands inside the article
+
+
+def test_constant_text_goes_and_its_neighbours_stay(spark):
+    rows = [(i, f"https://same.example/{i}", f"<article><h1>Title {i}</h1><p>Share this story</p><p>Own words of number {i}</p><p>Print it</p><p>Save it</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nOwn words of number {i}" for i in range(30)}
+
+
 def test_matching_keeps_labels_and_order():
     tree = lambda *paths: h._tree([{"path": p, "texts": [1], "chars": 1, "links": 0} for p in paths])
     size, pairs = h.match(tree(">a>p", ">b>p", ">c>p"), tree(">b>p", ">a>p", ">c>p"))
