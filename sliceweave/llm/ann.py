@@ -2,8 +2,8 @@
 
 A neighbour graph over a bounded sample is cut into parts of equal size with few edges across. A small classifier learns
 the part of a vector (and of its neighbours) from the vector alone. It places every vector of the table in a part and
-sends every query to its most probable parts, until their probabilities add up to ``mass``; the vectors found there are
-ranked by the exact distance.
+sends every query to its most probable parts, until their probabilities add up to ``mass`` and they hold enough vectors;
+the vectors found there are ranked by the exact distance.
 """
 
 from __future__ import annotations
@@ -196,11 +196,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
         p = router.probabilities(_matrix(vectors, np.float32))
         order = np.argsort(-p, axis=1)
         before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-        visits = 1 + (before < mass).sum(axis=1)
+        visits = 1 + np.maximum((before < mass).sum(axis=1), (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1))
         return {"parts": [o[:n].tolist() for o, n in zip(order, visits)]}
 
     placed = stored(map_rows(points, ["v"], "part int", own_part, ["v", "ids"]), "placed")
-    sizes = placed.groupBy("part").count().select(F.col("part").alias("_part"), F.expr(f"1 + count div {BLOCK}L").alias("blocks"))  # a row per part
+    counted = placed.groupBy("part").count()
+    held = np.zeros(parts, np.int64)  # vectors of each part
+    for row in counted.collect():
+        held[row["part"]] = row["count"]
+    sizes = counted.select(F.col("part").alias("_part"), F.expr(f"1 + count div {BLOCK}L").alias("blocks"))  # a row per part
     blocks = placed.join(F.broadcast(sizes), F.col("part") == F.col("_part")).withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).select("part", "block", "v", "ids")
     asked = stored(valid(queries), "queries")
     distinct = asked.groupBy("v").agg(F.min("id").alias("query"))

@@ -173,3 +173,17 @@ def test_lengths_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<float>")
     with pytest.raises(ValueError, match="length"):
         ann.nearest(df, df)
+
+
+def test_small_parts_are_filled_up(spark, monkeypatch):
+    """A query whose probable part holds three vectors still gets ten rows."""
+    router = ann.Router(3, 2)
+    for w in router.w:
+        w[:] = 0
+    router.w[0][0, 0], router.w[2][0, 0], router.w[3][1] = 1, 100, 5  # a positive first value is part 0
+    monkeypatch.setattr(ann, "learn", lambda sample, parts: router)
+    rng = np.random.default_rng(1)
+    rows = [(i, [10.0 if i < 3 else -10.0, *map(float, rng.standard_normal(2))]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.where("vec_id in (0, 5)"), 10)
+    assert sorted((r.query_id, r["rank"]) for r in got.collect()) == [(q, k) for q in (0, 5) for k in range(1, 11)]
