@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sliceweave.llm import ann, bpe, decontaminate, html_extract, license_scan, sharding, simhash, token_counts, token_output, toxicity
+from sliceweave.llm import ann, bpe, decontaminate, html_extract, identifiers, license_scan, merkle, sharding, simhash, spelling, token_counts, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,91 @@ def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
 def op8_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, folder, "documents")))
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return f"sha256({' || '.join(_sql_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Trees by recursion, level by level: the languages' own, then that of the subroots. ``side`` has the digests before and after a node.
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang AS grp, {_sql_leaf('text')} AS leaf,
+    CASE WHEN CAST({_sql_crc32().replace('hex(x)', "hex(encode(CAST(doc_id AS VARCHAR)))")} AS BIGINT) % 3 = 0 THEN {_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+up AS (
+  SELECT grp, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM r
+  UNION ALL
+  SELECT grp, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 7) // 8 FROM up WHERE n > 1 GROUP BY grp, level, place // 8),
+sub AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place, subroot AS digest, n FROM sub
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY level, place // 8),
+root AS (SELECT digest AS root FROM high WHERE n = 1),
+nodes AS (SELECT 1 AS tree, grp, level, place, digest, n FROM up UNION ALL SELECT 2, NULL, level, place, digest, n FROM high),
+side AS (
+  SELECT tree, grp, level, place, coalesce(string_agg(digest, '' ORDER BY place) OVER (PARTITION BY tree, grp, level, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '' ORDER BY place) OVER (PARTITION BY tree, grp, level, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WHERE n > 1),
+steps AS (
+  SELECT r.doc_id, r.leaf, r.grp, r.place AS spot, 1 AS tree, s.level, s.before, s.after FROM r JOIN side s ON s.tree = 1 AND s.grp IS NOT DISTINCT FROM r.grp AND s.place = r.place // CAST(pow(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT r.doc_id, r.leaf, r.grp, r.place, 2, s.level, s.before, s.after FROM r JOIN sub ON sub.grp IS NOT DISTINCT FROM r.grp JOIN side s ON s.tree = 2 AND s.place = sub.place // CAST(pow(8, s.level) AS BIGINT)),
+paths AS (
+  SELECT grp, spot, list([before, after] ORDER BY tree, level) AS path, sha256(string_agg(before || after, '' ORDER BY tree, level)) AS proof FROM steps GROUP BY grp, spot)
+SELECT r.doc_id, r.leaf, sub.subroot, root.root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(r.other, r.leaf), list_transform(coalesce(p.path, []), lambda s: s[1] || '|' || s[2])), lambda c, s: sha256(split_part(s, '|', 1) || c || split_part(s, '|', 2))) AS folded_root,
+  folded_root = root.root AS verified
+FROM r JOIN sub ON sub.grp IS NOT DISTINCT FROM r.grp CROSS JOIN root LEFT JOIN paths p ON p.grp IS NOT DISTINCT FROM r.grp AND p.spot = r.place"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+#: Near words meet under what is left after one letter is taken away: at the same place (replaced), or of the longer word (inserted).
+ORACLES["op12_spelling_variants"] = rf'''
+WITH RECURSIVE runs AS (
+  SELECT run, count(*) AS n, CAST(doc_id AS VARCHAR) AS id FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, CAST({_sql_crc32().replace('hex(x)', "hex(encode(coalesce(id, '') || ':' || run))")} AS BIGINT) AS h FROM runs),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.rest),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS best, max(w.n) AS best_n
+  FROM near JOIN words w ON w.word = near.other GROUP BY near.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL'''
+
+
+@query
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    rows, made = identifiers.find(table(spark, folder, "documents"), ["doc_id"])
+    base = F.col(made["base"])
+    return rows.select("doc_id", *[identifiers.count(base, kind).alias(f"n_{kind}") for kind in identifiers.KINDS],
+                       F.sha2(identifiers.as_text(base).cast("binary"), 256).alias("base_sha256"), identifiers.as_text(F.col(made["all"])).alias("spans"))
