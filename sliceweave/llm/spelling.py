@@ -205,7 +205,8 @@ def near_in(a: Side, b: Side | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left = np.concatenate([a.letters[here].astype(kind), -a.half[here, None].astype(kind), np.ones((len(a.half[here]), 1), kind)], axis=1)
         for u in fits:
             # The product less half of both squared norms is minus half of the squared distance.
-            x, y = np.nonzero(left @ right[u * TILE:(u + 1) * TILE].T >= -1.25)
+            near = left @ right[u * TILE:(u + 1) * TILE].T >= -1.25
+            x, y = np.divmod(np.flatnonzero(near), near.shape[1])  # several times faster than over two axes
             x, y = x + t * TILE, y + u * TILE
             if b is None and u == t:
                 x, y = x[x < y], y[x < y]
