@@ -43,7 +43,8 @@ def parse_responses(rows: DataFrame, targets: Sequence[str], response: str = "re
     """
     raw = F.from_json(F.col(response), "uid string, report_scope string, labels map<string, string>")
     outer = F.json_object_keys(F.col(response))
-    parsed = rows.withColumn("answer", F.from_json(F.col(response), RESPONSE)).withColumn("_raw", raw).withColumn("_outer", outer)
+    # One row in, one row out: the optimizer does not copy what a generator makes into later expressions, so a text is parsed once.
+    parsed = rows.select("*", F.inline(F.array(F.struct(F.from_json(F.col(response), RESPONSE).alias("answer"), raw.alias("_raw"), outer.alias("_outer")))))
     expected, fields = sorted(targets), sorted(FIELDS)
     same = lambda keys, names: F.coalesce(F.sort_array(keys) == F.array(*map(F.lit, names)), F.lit(False))
     findings, texts = F.map_values("answer.labels"), F.map_values("_raw.labels")

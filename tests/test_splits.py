@@ -137,3 +137,47 @@ def test_bands(spark):
     df = spark.createDataFrame([(0.69,), (0.7,), (0.9,), (0.05,), (0.5,), (None,)], "v double")
     assert [r[0] for r in df.select(L.band(F.col("v"))).collect()] == ["positive_low", "positive_medium" if 2 * abs(0.7 - 0.5) >= 0.4 else "positive_low",
                                                                       "positive_high", "negative_high", None, None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_frontier_ends_where_no_swap_helps(seed):
+    rng = np.random.default_rng(seed)
+    flags, quality = rng.integers(0, 2, (30, 12)).astype(float), rng.random(30)
+    take, full = rng.integers(1, 4, 30), np.full(30, 9)
+    scale, gaps = rng.random(12) + 0.1, rng.integers(-9, 9, 12).astype(float)
+
+    def rows(sign):
+        room = full - take if sign > 0 else take
+        cost = flags @ (scale * (2 * sign * gaps + 1)) - sign * 0.01 * quality
+        return [{"pattern": f"p{i}", "flags": flags[i].tolist(), "room": int(room[i]), "cost": cost[i]} for i in range(30) if room[i] > 0]
+
+    def objective(t):
+        return float((scale * (gaps + (t - take) @ flags) ** 2).sum() - 0.01 * t @ quality)
+
+    front = splits.Frontier(rows(-1), rows(1), scale, gaps)
+    front.improve()
+    after = take + np.array([front.moved.get(f"p{i}", 0) for i in range(30)])
+    assert after.sum() == take.sum() and (after >= 0).all() and (after <= full).all()
+    assert np.allclose(front.gaps, gaps + (after - take) @ flags) and objective(after) < objective(take)
+    for i in range(30):
+        for j in range(30):
+            if i != j and after[i] > 0 and after[j] < full[j]:
+                step = np.zeros(30, int)
+                step[i], step[j] = -1, 1
+                assert objective(after + step) >= objective(after) - 1e-5
+    assert front.rest_is_worse(None, None) and not front.rest_is_worse(-1e9, None) and front.rest_is_worse(1e9, 1e9)
+
+
+def test_quota_of_many_patterns_does_not_depend_on_the_frontier_cut(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"u{i:05d}", *[rng.choice([None, 0.05, 0.3, 0.6, 0.75, 0.95]) for _ in TARGETS]) for i in range(1500)]
+    got = {}
+    for frontier, widest in ((1000, 4000), (40, 4000), (40, 40)):
+        monkeypatch.setattr(splits, "FRONTIER", frontier)
+        monkeypatch.setattr(splits, "WIDEST", widest)
+        valid = {u for u, s in assigned(splits.quota_validation(frame(spark, rows), "uid", TARGETS, 150, 1)).items() if s == "valid"}
+        got[frontier, widest] = [sum(v is not None and v > 0.5 for u, *vs in rows if u in valid for v in vs[i:i + 1]) for i in range(4)]
+        assert len(valid) == 150
+        for i in range(4):
+            everyone = sum(r[1 + i] is not None and r[1 + i] > 0.5 for r in rows)
+            assert abs(got[frontier, widest][i] - round(everyone / 10)) <= 1
