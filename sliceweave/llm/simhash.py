@@ -473,7 +473,8 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("_digest"))
-        texts = marked.join(wanted, F.col(digest) == F.col("_digest")).select("node", F.col(f"`{text_column}`").alias("_text"), "_digest").dropDuplicates(["_digest"])
+        own = marked.select(F.col(digest).alias("_own"), F.col(f"`{text_column}`").alias("_text"))  # no other column of the input meets ours
+        texts = own.join(wanted, F.col("_own") == F.col("_digest")).dropDuplicates(["_digest"])
         return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [np.unique(shingle_hashes(t, similar_words, seed)).view(np.int64) for t in ts.to_pylist()]}, ["node"])
 
     rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, tokens array<long>", run, [id_column, digest])

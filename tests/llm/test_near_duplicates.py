@@ -198,3 +198,12 @@ def test_meetings_of_crowds_are_whole(spark, monkeypatch, meeting):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert kept_ids(spark, [" ".join(t) for t in texts]) == set(root)
+
+
+def test_own_columns_of_any_name_stay(spark):
+    names = ["node", "digest", "_digest", "_text", "_node", "fp", "_own", "id", "tokens", "kept"]
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, *["x"] * len(names)), (2, long + " end", *["y"] * len(names)), (3, "another text of few words", *["z"] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
