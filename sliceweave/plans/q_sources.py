@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions.text import report_group
-from sliceweave.operators import catalog, ensemble, extraction
+from sliceweave.operators import catalog, ensemble, extraction, guards
 from sliceweave.plans import models as m
 from sliceweave.plans.models import TARGETS, sql
 from sliceweave.plans.registry import query
 from sliceweave.schemas import ATTEMPT, SERIES, prediction_schema
 from sliceweave.session import scratch_path
-from sliceweave.sources import readers, sinks
+from sliceweave.sources import readers, sinks, snapshots
 from sliceweave.sources.tables import table
 from pyspark.sql import types as T
 
@@ -155,6 +159,21 @@ def json_sink(spark, d):
     return readers.read_jsonl(spark, path, rows.schema)
 
 
+@query("s09_versioned_sink", sql("SELECT uid, target, new AS value FROM cells", "cells"))
+def versioned_sink(spark, d):
+    """The second version replaces the first; a job that fails after it changes nothing."""
+    root = scratch_path(spark, "versions")
+    rows = m.cells(spark, d).select("uid", "target", F.col("old").alias("value"), "new")
+    sinks.replace_json(rows.drop("new"), root)
+    latest = rows.select("uid", "target", F.col("new").alias("value"))
+    sinks.replace_json(latest, root)
+    try:
+        sinks.replace_json(latest.withColumn("value", F.raise_error(F.lit("a task fails")).cast("double")), root)
+    except PySparkException:
+        pass
+    return readers.read_jsonl(spark, snapshots.current(spark, root), latest.schema)
+
+
 @query("s11_submission", sql("SELECT CAST(uid AS VARCHAR) AS uid, " + ", ".join(
     f"max(CAST((p0 + p1 + p2) / 3 AS FLOAT)) FILTER (target = '{t}') AS {t}" for t in TARGETS) + " FROM cells GROUP BY 1", "cells"))
 def submission(spark, d):
@@ -178,6 +197,29 @@ def split_export(spark, d):
     return spark.read.parquet(f"{root}/folds").select("uid", "fold", "split")
 
 
+@query("s12_whole_export", sql("""
+    SELECT 'folds' AS output, count(*) AS n, false AS refused FROM members UNION ALL SELECT 'targets', (SELECT count(DISTINCT uid) FROM cells), false
+    UNION ALL SELECT 'distribution', (SELECT count(*) FROM (SELECT DISTINCT members.fold, target FROM cells JOIN members USING (uid))), false
+    UNION ALL SELECT 'manifest', 1, false UNION ALL SELECT 'rival', 0, true""", "members", "cells"))
+def whole_export(spark, d):
+    """All four outputs of a split, read back; a rival with another seed is refused."""
+    from sliceweave.operators import splits
+    from sliceweave.operators.reshape import melt
+
+    root = scratch_path(spark, "split")
+    rows, wide = m.members(spark, d), m.wide(spark, d, "new")
+    counts = splits.distribution(melt(wide, TARGETS, ["uid"]), rows, "uid", "value")
+    refused = False
+    for seed in (42, 42, 43):
+        try:
+            snapshots.export_split(root, rows, wide, counts, splits.manifest(rows, wide, "uid", TARGETS, "given", seed, 5))
+        except guards.ContractError:
+            refused = seed == 43
+    sizes = [df.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n"), F.lit(False).alias("refused")) for name, df in snapshots.read_split(spark, root).items()]
+    rival = spark.range(1).select(F.lit("rival").alias("output"), F.lit(0).cast("long").alias("n"), F.lit(refused).alias("refused"))
+    return reduce(DataFrame.union, [*sizes, rival])
+
+
 @query("s13_report_manifest", f"""
     SELECT doc_id AS uid, sha256(text) AS report_hash, {group_sql('text')} AS report_group, lang, 'READY' AS input_state FROM documents""")
 def report_manifest(spark, d):

@@ -1,4 +1,4 @@
-"""Writers. The file commit protocol publishes a result as a whole or not at all."""
+"""Writers. ``replace_csv`` and ``replace_json`` publish a new version as a whole or not at all; the plain ones write one folder."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from sliceweave.operators import guards
 from sliceweave.operators.ensemble import prediction_report
+from sliceweave.sources import snapshots
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -24,6 +25,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def replace_csv(df: DataFrame, root: str) -> None:
+    """New version of a CSV output; a job that fails leaves the old one current."""
+    snapshots.publish(df.sparkSession, root, lambda folder: write_csv(df, folder))
+
+
+def replace_json(df: DataFrame, root: str) -> None:
+    """New version of a JSON output; a job that fails leaves the old one current."""
+    snapshots.publish(df.sparkSession, root, lambda folder: write_json(df, folder))
+
+
 def write_exports(wide: DataFrame, detail: DataFrame, usage: DataFrame, root: str) -> None:
     """Label, detail and usage exports side by side."""
     for name, df in (("labels", wide), ("labels_detail", detail), ("usage", usage)):
