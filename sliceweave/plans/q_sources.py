@@ -141,6 +141,20 @@ def prediction_report(spark, d):
     return ensemble.prediction_report(_prediction_table(spark, d), "StudyInstanceUID", TARGETS, fold=0)
 
 
+@query("s05_bad_line_numbers", """
+    SELECT part, CAST(line AS BIGINT) AS line, bad FROM (
+        SELECT doc_id % 8 AS part, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS line, doc_id, '{"uid": "' || doc_id || '", ' AS bad FROM documents) WHERE doc_id % 13 = 5""")
+def bad_line_numbers(spark, d):
+    """Eight logs with broken lines; each is found by file and number."""
+    path, uid = scratch_path(spark, "broken"), F.col("doc_id").cast("string")
+    good = F.to_json(F.struct(uid.alias("uid"), F.lit(1).alias("attempt")))
+    text = F.when(F.col("doc_id") % 13 == 5, F.concat(F.lit('{"uid": "'), uid, F.lit('", '))).otherwise(good)
+    logs = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("part"), "doc_id", text.alias("value"))
+    logs.repartition(8, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    rows = readers.bad_json_lines(spark, path, ATTEMPT)
+    return rows.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line", F.col("_bad").alias("bad"))
+
+
 @query("s08_append_log", sql("SELECT status, count(*) AS attempts, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM attempts GROUP BY 1", "attempts"))
 def append_log(spark, d):
     path = scratch_path(spark, "appended")

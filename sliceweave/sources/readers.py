@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,11 +66,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def bad_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """File and text of every line that is not valid JSON of the schema."""
+    """File, line number (from 1) and text of every line that is not valid JSON of the schema.
+
+    A file is read in blocks by many tasks. One pass counts the lines of each block and notes its bad ones by their place;
+    the number of a line is its place plus the lines of the blocks before it in the file, one row per block.
+    """
     audit = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("id"), "value")
     parsed = F.from_json("value", audit, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return lines.withColumn("_bad", parsed["_bad"]).where("_bad IS NOT NULL").select("file", "_bad")
+    lines = lines.withColumn("_bad", parsed["_bad"])
+    # A block is read by one task, so the ids of its lines follow each other.
+    blocks = lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("id").alias("first"),
+        F.collect_list(F.when(F.col("_bad").isNotNull(), F.struct("id", "_bad"))).alias("found"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = blocks.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    each = numbered.select("file", "before", "first", F.explode("found").alias("bad"))
+    return each.select("file", (F.col("before") + F.col("bad.id") - F.col("first") + 1).alias("line"), F.col("bad._bad").alias("_bad"))
 
 
 def read_unique(spark: SparkSession, path: str, schema: T.StructType, key: str = "StudyInstanceUID") -> DataFrame:

@@ -61,7 +61,26 @@ def test_broken_json_line_stops_and_is_named(spark, tmp_path):
     with pytest.raises((PySparkException, Py4JJavaError)):
         readers.read_jsonl(spark, path, ATTEMPT).collect()
     bad = readers.bad_json_lines(spark, path, ATTEMPT).collect()
-    assert [r["_bad"] for r in bad] == ['{"uid": "b", '] and bad[0]["file"].endswith("log.jsonl")
+    assert [r["_bad"] for r in bad] == ['{"uid": "b", '] and bad[0]["file"].endswith("log.jsonl") and bad[0]["line"] == 2
+
+
+@pytest.mark.parametrize("block", [64, 1000, 10**8])
+def test_line_numbers_of_files_in_many_parts(spark, tmp_path, block):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        expected = set()
+        for name in ("a", "b", "c"):
+            lines = [json.dumps({"uid": f"{name}{i}" * (1 + i % 7), "attempt": i}) if (i * 7) % 5 else f'{{"uid": "{name}{i}' for i in range(120)]
+            lines[50] = ""
+            (tmp_path / "logs").mkdir(exist_ok=True)
+            write(tmp_path / "logs" / f"{name}.jsonl", *lines)
+            expected |= {(name, i, line) for i, line in enumerate(lines, 1) if line and not line.endswith("}")}
+        bad = readers.bad_json_lines(spark, str(tmp_path / "logs"), ATTEMPT).collect()
+        assert {(r["file"].rsplit("/", 1)[1][0], r["line"], r["_bad"]) for r in bad} == expected and len(bad) == len(expected)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_predictions_contract(spark, tmp_path):
