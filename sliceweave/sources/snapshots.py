@@ -17,7 +17,7 @@ from sliceweave.operators.guards import ContractError
 POINTER = "_current"
 
 
-def _files(spark: SparkSession, path: str):
+def files(spark: SparkSession, path: str):
     """File system of a path, and the path with its scheme."""
     jvm = spark.sparkContext._jvm
     plain = jvm.org.apache.hadoop.fs.Path(path)
@@ -29,7 +29,7 @@ def _point(spark: SparkSession, root: str, version: str, replace: bool) -> bool:
     """Make ``version`` the current one; without ``replace`` only where there is none. Whether it was made so."""
     context = spark.sparkContext
     fs = context._jvm.org.apache.hadoop.fs
-    system, pointer = _files(spark, f"{root}/{POINTER}")
+    system, pointer = files(spark, f"{root}/{POINTER}")
     beside = fs.Path(pointer.getParent(), f"_pointer-{uuid.uuid4().hex}")
     out = system.create(beside, False)
     out.write(bytearray(version.encode()))
@@ -49,7 +49,7 @@ def _point(spark: SparkSession, root: str, version: str, replace: bool) -> bool:
 
 def current(spark: SparkSession, root: str) -> str | None:
     """Folder of the current version, None before the first."""
-    system, pointer = _files(spark, f"{root}/{POINTER}")
+    system, pointer = files(spark, f"{root}/{POINTER}")
     if not system.exists(pointer):
         return None
     stream = system.open(pointer)
@@ -77,18 +77,19 @@ def publish(spark: SparkSession, root: str, write: Callable[[str], None], replac
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    system, folder = _files(spark, path)
+    system, folder = files(spark, path)
     system.delete(folder, True)
 
 
-def remove_old(spark: SparkSession, root: str) -> int:
-    """Delete all versions but the current one, finished or not; how many went. No writer may be at work."""
-    keep = current(spark, root)
-    system, folder = _files(spark, root)
-    old = [s.getPath() for s in system.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("v-")]
-    old = [p for p in old if keep is None or p.getName() != keep.rsplit("/", 1)[-1]]
-    for path in old:
-        system.delete(path, True)
+def remove_old(spark: SparkSession, root: str, keep: int = 1) -> int:
+    """Delete all versions but the current one and the newest up to ``keep`` in all; how many went. No other writer may be at work."""
+    held = current(spark, root)
+    system, folder = files(spark, root)
+    old = [s for s in system.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("v-")]
+    old = [s for s in old if held is None or s.getPath().getName() != held.rsplit("/", 1)[-1]]
+    old = sorted(old, key=lambda s: -s.getModificationTime())[max(0, keep - (held is not None)):]
+    for status in old:
+        system.delete(status.getPath(), True)
     return len(old)
 
 

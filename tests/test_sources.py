@@ -130,6 +130,27 @@ def test_stream_equals_batch(spark, tmp_path, files):
     assert sorted(map(tuple, stream.latest(spark, f"{root}/latest").collect())) == sorted(map(tuple, stream.latest_state(df).collect()))
 
 
+def test_compaction_keeps_the_batch_result_and_bounds_the_files(spark, tmp_path):
+    """Late rows, repeated triggers (also of merged tables) and a failure between publication and the next trigger."""
+    schema = "uid string, attempt bigint, started_at string, status string, input_tokens bigint, output_tokens bigint, total_tokens bigint"
+    rows = [(f"u{i % 4}", i, f"2024-01-0{1 + (i * 7) % 4} 0{i % 10}:00:00", "ERROR" if i % 4 == 0 else "SUCCESS", i, 1, i + 1) for i in range(23)]
+    df = spark.createDataFrame(rows, schema).withColumn("started_at", F.col("started_at").cast("timestamp"))
+    usage, latest = str(tmp_path / "usage"), str(tmp_path / "latest")
+    write = stream.writer(lambda batch: stream.usage_by_window(batch, "1 day"), stream._summed, usage, 4)
+    write_latest = stream.writer(stream.latest_state, stream._newest, latest, 4)
+    both = ["window_start", "window_end", "attempts", "failures", *stream.TOKENS, "attempts_without_usage"]
+    for i in range(23):
+        write(df.where(F.col("attempt") == i), i)
+        if i in (3, 11, 14):
+            write(df.where(F.col("attempt") == i), i)  # the trigger comes again after a restart
+        write_latest(df.where(F.col("attempt") == i), i)
+        if i in (2, 3, 9, 22):
+            done = df.where(F.col("attempt") <= i)
+            assert sorted(map(tuple, stream.usage(spark, usage).select(both).collect())) == sorted(map(tuple, stream.usage_by_window(done, "1 day").select(both).collect()))
+            assert sorted(map(tuple, stream.latest(spark, latest).collect())) == sorted(map(tuple, stream.latest_state(done).collect()))
+        assert len(list((tmp_path / "usage").glob("version=*"))) <= 8 and len(list((tmp_path / "usage" / "_compacted").glob("v-*"))) <= 2
+
+
 def test_linear_heads_learn_and_ignore_missing(spark):
     rows = [(i, [float(i % 2), float(i % 5)], 0.9 if i % 2 else 0.1, None if i % 3 else 0.5) for i in range(60)]
     df = spark.createDataFrame(rows, "uid int, features array<double>, a double, b double")
