@@ -4,13 +4,16 @@ Each word enters as a word vector beside the mean of vectors of its character n-
 words are read by their letters). A forward and a backward gated unit run over a window of words, attention weighs
 their states, and a logistic unit scores the window. A document's score is that of its most toxic window, over all
 overlapping windows of its whole text.
+
+The gates read the word alone (as in minimal recurrent units whose gates do not read the state): what a word does to a
+state, its move, is computed once per distinct word, and a step of a window is one multiplication and one addition.
 """
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +28,31 @@ WINDOW, STEP, TRAIN_STEP = 48, 1, 38
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 4000, 48
 #: Words with a vector of their own, sizes of character n-grams, and buckets for them.
 VOCABULARY, GRAMS, BUCKETS = 20_000, (3, 4, 5), 16_384
-#: Sizes of the word vector, the character vector, each recurrent state, and the attention layer.
-WORD_SIZE, CHAR_SIZE, STATE, ATTENTION = 12, 12, 8, 12
+#: Sizes of the word vector, the character vector and each recurrent state.
+WORD_SIZE, CHAR_SIZE, STATE = 12, 12, 8
 #: Words a worker keeps with their inputs; only memory depends on it.
 KEEP_WORDS = 120_000
+#: Bytes of new words, or n-grams, that are read at once (a longer word alone); only memory depends on it.
+READ_BYTES = 1 << 19
 #: Score from which a document counts as toxic.
 TOXIC = 0.3
 
 
-def char_grams(word: bytes) -> list[int]:
-    """Buckets of the character n-grams of a word with its borders."""
-    text = "^" + word.decode("utf-8", "replace") + "$"
-    parts = [text[i:i + n] for n in GRAMS for i in range(len(text) - n + 1)]
-    return [zlib.crc32(part.encode("utf-8", "replace")) % BUCKETS for part in parts or [text]]
+def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of words with their borders, one word after the other, and how many each has."""
+    marked = ("^" + "$^".join(word.decode("utf-8", "replace") for word in words) + "$").encode("utf-32-le", "surrogatepass")
+    letters = np.frombuffer(marked, np.uint32)
+    owner = np.cumsum(letters == ord("^"), dtype=np.int32) - 1
+    buckets, owners, code = [], [], letters.copy()
+    for n in range(2, max(GRAMS) + 1):
+        code = code[:-1] * np.uint32(0x01000193) + letters[n - 1:]  # wraps around
+        if n in GRAMS:
+            inside = owner[:len(code)] == owner[n - 1:]
+            mixed = (code[inside] ^ (code[inside] >> np.uint32(15))) * np.uint32(0x9E3779B1)
+            buckets.append((mixed >> np.uint32(16)).astype(np.uint16) % np.uint16(BUCKETS))
+            owners.append(owner[:len(code)][inside])
+    flat, of = np.concatenate(buckets), np.concatenate(owners)
+    return flat if len(words) == 1 else flat[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 def window_starts(n: int, step: int = STEP) -> range:
@@ -45,29 +60,34 @@ def window_starts(n: int, step: int = STEP) -> range:
     return range(0, max(1, n - WINDOW + step), step) if n else range(0)
 
 
-class Lexicon:
-    """Numbers of words: their word vector (0: unknown) and their character n-grams, one after the other."""
+class Lexicon(dict):
+    """Numbers of words, given when first looked up; their word vector (0: unknown) and character n-grams, one after the other."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
         self.vocabulary = vocabulary
-        self.number: dict[bytes, int] = {}
         self.vector, self.grams, self.ends = array("i"), array("H"), array("q", [0])
 
-    def add(self, word: bytes) -> int:
-        found = self.number.get(word)
-        if found is None:
-            found = self.number[word] = len(self.vector)
-            self.vector.append(self.vocabulary.get(word, 0))
-            self.grams.extend(char_grams(word))
-            self.ends.append(len(self.grams))
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
         return found
 
+    def settle(self) -> None:
+        """Read the words that are new since the last call, about ``READ_BYTES`` at a time."""
+        new = list(islice(self, len(self.vector), None))
+        self.vector.extend(self.vocabulary.get(word, 0) for word in new)
+        piece = np.cumsum([len(word) for word in new]) // READ_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(new)]
+        for words in (new[a:b] for a, b in zip(cuts, cuts[1:]) if b > a):
+            grams, sizes = char_grams(words)
+            self.grams.frombytes(grams.tobytes())
+            self.ends.frombytes((np.cumsum(sizes) + self.ends[-1]).astype(np.int64).tobytes())
+
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of words given by number, one after the other, and how many each has."""
         ends = np.frombuffer(self.ends, np.int64)
         starts, sizes = ends[words], ends[words + 1] - ends[words]
         shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return np.frombuffer(self.grams, np.uint16)[np.arange(len(shift)) + shift].astype(np.int64), sizes
+        return np.frombuffer(self.grams, np.uint16)[np.arange(len(shift)) + shift], sizes
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,9 +95,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _char_means(table: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    if len(sizes) == 1:  # one word may be a whole long text
+        return (np.bincount(flat, minlength=len(table)).astype(np.float32) @ table / np.float32(len(flat)))[None]
     return np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
 
 
+def _split(gates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is kept of the state, what passes of the new value, and that value; (..., 2 * state): both directions."""
+    of = gates.reshape(*gates.shape[:-1], 2, 3, STATE)
+    keep, pass_, new = (np.ascontiguousarray(of[..., i, :]).reshape(*gates.shape[:-1], 2 * STATE) for i in range(3))
+    return _sigmoid(keep), _sigmoid(pass_), np.tanh(new)
+
+
+def _run(keep: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """States of both directions, from arrays (time, batch, 2 * state)."""
+    h, states = STATE, np.empty_like(add)
+    forth = back = np.zeros((add.shape[1], h), add.dtype)
+    for t in range(len(add)):
+        states[t, :, :h] = forth = keep[t, :, :h] * forth + add[t, :, :h]
+    for t in range(len(add) - 1, -1, -1):
+        states[t, :, h:] = back = keep[t, :, h:] * back + add[t, :, h:]
+    return states
+
+
 class Network:
     """Parameters, forward pass and gradients. Arrays are float32; ``p`` holds them by name."""
 
@@ -88,83 +128,64 @@ class Network:
         self.p = {
             "word": draw(vocabulary + 1, WORD_SIZE, scale=0.1), "char": draw(BUCKETS, CHAR_SIZE, scale=0.3),
             "in": draw(size, 6 * h, scale=size**-0.5), "in_b": np.zeros(6 * h, np.float32),
-            "fwd": draw(h, 3 * h, scale=h**-0.5), "bwd": draw(h, 3 * h, scale=h**-0.5),
-            "att": draw(2 * h, ATTENTION, scale=(2 * h) ** -0.5), "att_b": np.zeros(ATTENTION, np.float32), "att_v": draw(ATTENTION, scale=0.3),
-            "out": draw(2 * h, scale=0.3), "out_b": np.full(1, -1.0, np.float32),
+            "att": draw(2 * h, scale=0.3), "out": draw(2 * h, scale=0.3), "out_b": np.full(1, -1.0, np.float32),
         }
 
-    def inputs(self, vector: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    def gates(self, vector: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Gate inputs of both directions for words given by vector number and character mean."""
         return np.concatenate([self.p["word"][vector], chars], axis=1) @ self.p["in"] + self.p["in_b"]
 
-    def inputs_of(self, lexicon: Lexicon, first: int = 0, block: int = 8192) -> np.ndarray:
-        """Gate inputs of the words of ``lexicon`` from number ``first`` on."""
-        out = np.empty((len(lexicon.vector) - first, 6 * STATE), np.float32)
-        for at in range(first, len(lexicon.vector), block):
-            words = np.arange(at, min(at + block, len(lexicon.vector)))
-            out[words - first] = self.inputs(np.frombuffer(lexicon.vector, np.int32)[words], _char_means(self.p["char"], *lexicon.grams_of(words)))
+    def moves_of(self, lexicon: Lexicon, first: int = 0, block: int = READ_BYTES) -> np.ndarray:
+        """Moves of the words of ``lexicon`` from number ``first`` on (4 * state each), read by about ``block`` n-grams."""
+        lexicon.settle()
+        out = np.empty((len(lexicon) - first, 4 * STATE), np.float32)
+        piece = np.array(lexicon.ends[first + 1:], np.int64) // block
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+        for words in (np.arange(first + a, first + b) for a, b in zip(cuts, cuts[1:]) if b > a):
+            gates = self.gates(np.frombuffer(lexicon.vector, np.int32)[words], _char_means(self.p["char"], *lexicon.grams_of(words)))
+            keep, pass_, new = _split(gates)
+            out[words - first] = np.concatenate([keep, (1 - keep) * pass_ * new], axis=1)
         return out
 
-    def _run(self, gates: Callable[[int], np.ndarray], weights: np.ndarray, mask: np.ndarray, back: bool, trace: list | None, states: np.ndarray) -> None:
-        """Write the states of one direction into ``states`` (time, batch, state). ``gates(t)`` is (batch, 3 * state)."""
-        h, whole = STATE, mask.min(axis=1) > 0
-        state = np.zeros(states.shape[1:], np.float32)
-        for t in range(len(mask) - 1, -1, -1) if back else range(len(mask)):
-            gate, own = gates(t), state @ weights
-            both = _sigmoid(gate[:, :2 * h] + own[:, :2 * h])
-            z, r = both[:, :h], both[:, h:]
-            new = np.tanh(gate[:, 2 * h:] + r * own[:, 2 * h:])
-            if trace is not None:
-                trace.append((t, state, z, r, new, own[:, 2 * h:]))
-            after = new + z * (state - new)
-            state = after if whole[t] else np.where(mask[t][:, None] > 0, after, state)
-            states[t] = state
-
-    def forward(self, gates: Callable[[int], np.ndarray], mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Logit of each window. ``gates(t)`` is (batch, 6 * state), ``mask`` (time, batch) is 1 on words."""
-        h, p = STATE, self.p
-        traces = ([], []) if keep is not None else (None, None)
-        states = np.empty((*mask.shape, 2 * h), np.float32)
-        self._run(lambda t: gates(t)[:, :3 * h], p["fwd"], mask, False, traces[0], states[:, :, :h])
-        self._run(lambda t: gates(t)[:, 3 * h:], p["bwd"], mask, True, traces[1], states[:, :, h:])
-        hidden = np.tanh(states @ p["att"] + p["att_b"])
-        score = np.where(mask > 0, hidden @ p["att_v"], np.float32(-1e9))
+    def pool(self, states: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logit, attention weights and pooled state of each window from its states (time, batch, 2 * state)."""
+        score = np.where(mask > 0, states @ self.p["att"], np.float32(-1e9))
         weight = np.exp(score - score.max(axis=0)) * (mask > 0)
         weight /= np.maximum(weight.sum(axis=0), np.float32(1e-9))
         pooled = np.einsum("tb,tbh->bh", weight, states)
-        if keep is not None:
-            keep.update(traces=traces, states=states, hidden=hidden, weight=weight, pooled=pooled, mask=mask)
-        return pooled @ p["out"] + p["out_b"]
+        return pooled @ self.p["out"] + self.p["out_b"], weight, pooled
 
-    def gradients(self, keep: dict, d_logit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    def forward(self, gates: Callable[[int], np.ndarray], mask: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """Logit of each window. ``gates(t)`` is (batch, 6 * state), ``mask`` (time, batch) is 1 on words."""
+        m = mask[:, :, None]
+        keep, pass_, new = _split(np.stack([gates(t) for t in range(len(mask))]))
+        hold = 1 - m * (1 - keep)
+        states = _run(hold, (1 - hold) * pass_ * new)
+        logit, weight, pooled = self.pool(states, mask)
+        if trace is not None:
+            trace.update(moves=(keep, pass_, new, hold), states=states, weight=weight, pooled=pooled, mask=mask)
+        return logit
+
+    def gradients(self, trace: dict, d_logit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters behind the gates, and of the gates, for ``d_logit`` of each window."""
         p, h = self.p, STATE
-        states, hidden, weight, mask = keep["states"], keep["hidden"], keep["weight"], keep["mask"]
-        g = {"out": keep["pooled"].T @ d_logit, "out_b": d_logit.sum(keepdims=True)}
+        states, weight, m = trace["states"], trace["weight"], trace["mask"][:, :, None]
+        keep, pass_, new, hold = trace["moves"]
+        g = {"out": trace["pooled"].T @ d_logit, "out_b": d_logit.sum(keepdims=True)}
         d_pooled = d_logit[:, None] * p["out"]
         d_weight = np.einsum("bh,tbh->tb", d_pooled, states)
         d_score = weight * (d_weight - (weight * d_weight).sum(axis=0))
-        d_hidden = d_score[:, :, None] * p["att_v"] * (1 - hidden**2)
-        g["att_v"] = np.einsum("tb,tba->a", d_score, hidden)
-        g["att"] = np.einsum("tbh,tba->ha", states, d_hidden)
-        g["att_b"] = d_hidden.sum(axis=(0, 1))
-        d_states = weight[:, :, None] * d_pooled + d_hidden @ p["att"].T
-        d_gates = np.zeros((*mask.shape, 6 * h), np.float32)
-        for side, name in enumerate(("fwd", "bwd")):
-            weights, d_w = p[name], np.zeros_like(p[name])
-            carried = np.zeros((mask.shape[1], h), np.float32)
-            for t, before, z, r, new, own in reversed(keep["traces"][side]):
-                d = d_states[t, :, side * h:(side + 1) * h] + carried
-                m = mask[t][:, None]
-                d_new = d * m * (1 - z) * (1 - new**2)
-                d_z = d * m * (before - new) * z * (1 - z)
-                d_r = d_new * own * r * (1 - r)
-                d_gates[t, :, side * 3 * h:(side + 1) * 3 * h] = np.concatenate([d_z, d_r, d_new], axis=1)
-                d_own = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                d_w += before.T @ d_own
-                carried = d * (1 - m * (1 - z)) + d_own @ weights.T
-            g[name] = d_w
-        return g, d_gates
+        g["att"] = np.einsum("tb,tbh->h", d_score, states)
+        d_states = weight[:, :, None] * d_pooled + d_score[:, :, None] * p["att"]
+        before = np.zeros_like(states)
+        before[1:, :, :h], before[:-1, :, h:] = states[:-1, :, :h], states[1:, :, h:]
+        for t in range(len(states) - 2, -1, -1):
+            d_states[t, :, :h] += hold[t + 1, :, :h] * d_states[t + 1, :, :h]
+        for t in range(1, len(states)):
+            d_states[t, :, h:] += hold[t - 1, :, h:] * d_states[t - 1, :, h:]
+        added = d_states * m * (1 - keep)
+        parts = [added * keep * (before - pass_ * new), added * new * pass_ * (1 - pass_), added * pass_ * (1 - new**2)]
+        return g, np.concatenate([part[:, :, at:at + h] for at in (0, h) for part in parts], axis=2)
 
 
 class Adam:
@@ -208,12 +229,13 @@ def train(documents: list[tuple[list[bytes], int]], epochs: int = 10, batch: int
     flat, labels_of, first = [], [], [0]
     for windows, label in documents:
         if windows:
-            flat += [np.fromiter(map(lexicon.add, window.split(b" ")), np.int32) for window in windows]
+            flat += [np.fromiter(map(lexicon.__getitem__, window.split(b" ")), np.int32) for window in windows]
             labels_of.append(label)
             first.append(len(flat))
     if not flat:
         return vocabulary, network
     first, labels_of = np.array(first), np.array(labels_of, np.float32)
+    lexicon.settle()
     vector = np.frombuffer(lexicon.vector, np.int32)
     optimizer = Adam(network.p, rate)
     epochs = max(epochs, min(4 * epochs, steps * batch // len(labels_of)))
@@ -222,7 +244,7 @@ def train(documents: list[tuple[list[bytes], int]], epochs: int = 10, batch: int
         if epoch < 0.3 * epochs:
             chosen = first[:-1] + (rng.random(len(labels_of)) * np.diff(first)).astype(np.int64)
         else:
-            logits = window_logits(network, network.inputs_of(lexicon), flat)
+            logits = window_logits(network, network.moves_of(lexicon), flat)
             chosen = np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(first[:-1], first[1:])])
         order = rng.permutation(len(labels_of))
         for at in range(0, len(order), batch):
@@ -234,39 +256,59 @@ def train(documents: list[tuple[list[bytes], int]], epochs: int = 10, batch: int
             chars = _char_means(network.p["char"], grams, sizes)
             words = np.where(rng.random(ids.shape) < 0.15, 0, vector[ids])  # some words are read by their letters only
             joined = np.concatenate([network.p["word"][words], chars[inverse]], axis=2)
-            keep: dict = {}
-            logit = network.forward((joined @ network.p["in"] + network.p["in_b"]).__getitem__, mask, keep)
-            g, d_gates = network.gradients(keep, ((_sigmoid(logit) - labels_of[part]) / len(part)).astype(np.float32))
+            trace: dict = {}
+            logit = network.forward((joined @ network.p["in"] + network.p["in_b"]).__getitem__, mask, trace)
+            g, d_gates = network.gradients(trace, ((_sigmoid(logit) - labels_of[part]) / len(part)).astype(np.float32))
             g["in"] = np.einsum("tbx,tbg->xg", joined, d_gates)
             g["in_b"] = d_gates.sum(axis=(0, 1))
             d_joined = d_gates @ network.p["in"].T
-            g["word"], g["char"] = np.zeros_like(network.p["word"]), np.zeros_like(network.p["char"])
+            g["word"] = np.zeros_like(network.p["word"])
             np.add.at(g["word"], words, d_joined[:, :, :WORD_SIZE])
             d_chars = np.zeros_like(chars)
             np.add.at(d_chars, inverse, d_joined[:, :, WORD_SIZE:])
-            np.add.at(g["char"], grams, np.repeat(d_chars / sizes[:, None].astype(np.float32), sizes, axis=0))
+            spread = np.repeat(d_chars / sizes[:, None].astype(np.float32), sizes, axis=0)
+            g["char"] = np.stack([np.bincount(grams, column, BUCKETS) for column in spread.T], axis=1).astype(np.float32)
             optimizer.step(g)
     return vocabulary, network
 
 
-def window_logits(network: Network, inputs: np.ndarray, windows: list[np.ndarray], batch: int = 512) -> np.ndarray:
-    """Logits of windows of word numbers; ``inputs`` has the gate inputs of each word number."""
-    out = np.empty(len(windows), np.float32)
+def window_logits(network: Network, moves: np.ndarray, windows: list[np.ndarray], batch: int = 512) -> np.ndarray:
+    """Logits of windows of word numbers; ``moves`` has those of each word number."""
+    h, out = STATE, np.empty(len(windows), np.float32)
     order = np.argsort([len(w) for w in windows], kind="stable")
     for at in range(0, len(order), batch):
         part = order[at:at + batch]
         ids, mask = _pack([windows[i] for i in part])
-        longest = len(windows[part[-1]])
-        out[part] = network.forward(lambda t: inputs[ids[t]], mask[:longest])
+        ids, mask = ids[:len(windows[part[-1]])], mask[:len(windows[part[-1]])]
+        move, m = moves[ids], mask[:, :, None]
+        states = _run(np.where(m > 0, move[:, :, :2 * h], np.float32(1)), move[:, :, 2 * h:] * m)
+        out[part] = network.pool(states, mask)[0]
     return out
 
 
-def stream_logits(network: Network, inputs: np.ndarray, numbers: np.ndarray, starts: np.ndarray, batch: int = 512) -> np.ndarray:
-    """Logits of the whole windows of a stream of word numbers that begin at ``starts``."""
-    out, mask = np.empty(len(starts), np.float32), np.ones((WINDOW, min(batch, len(starts))), np.float32)
-    for at in range(0, len(starts), batch):
-        part = starts[at:at + batch]
-        out[at:at + batch] = network.forward(lambda t: inputs[numbers[part + t]], mask[:, :len(part)])
+def stream_logits(network: Network, moves: np.ndarray, numbers: np.ndarray, batch: int = 2048) -> np.ndarray:
+    """Logits of every whole window (step 1) of a stream of word numbers.
+
+    All windows of a batch take their t-th step together, on a slice of the stream that is shifted by t. Of a state
+    only its share of the attention score and of the output is kept.
+    """
+    h, p = STATE, network.p
+    out = np.empty(max(0, len(numbers) - WINDOW + 1), np.float32)
+    heads = [np.ascontiguousarray(np.stack([p["att"][at:at + h], p["out"][at:at + h]])) for at in (0, h)]
+    for at in range(0, len(out), batch):
+        size = min(batch, len(out) - at)
+        move = np.ascontiguousarray(moves[numbers[at:at + size + WINDOW - 1]].T)
+        shares, product = np.zeros((WINDOW, 2, size), np.float32), np.empty((2, size), np.float32)
+        for side in range(2):
+            keep, add = move[h * side:h * (side + 1)], move[h * (side + 2):h * (side + 3)]
+            state = np.zeros((h, size), np.float32)
+            for t in range(WINDOW - 1, -1, -1) if side else range(WINDOW):
+                state *= keep[:, t:t + size]
+                state += add[:, t:t + size]
+                shares[t] += np.matmul(heads[side], state, out=product)
+        score, value = shares[:, 0], shares[:, 1]
+        weight = np.exp(score - score.max(axis=0))
+        out[at:at + size] = (weight * value).sum(axis=0) / weight.sum(axis=0) + p["out_b"]
     return out
 
 
@@ -278,14 +320,17 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.lexicon, self.inputs = Lexicon(self.vocabulary), np.zeros((0, 6 * STATE), np.float32)
+        self.lexicon, self.known, self.moves = Lexicon(self.vocabulary), 0, np.empty((4096, 4 * STATE), np.float32)
 
     def _grow(self) -> None:
-        """Gate inputs of the words that are new since the last call."""
-        if len(self.lexicon.vector) > len(self.inputs):
-            self.inputs = np.concatenate([self.inputs, self.network.inputs_of(self.lexicon, len(self.inputs))])
-
-    def scores(self, texts: list[str | None], block: int = 4096) -> list[float]:
+        """Moves of the words that are new since the last call."""
+        size = len(self.lexicon)
+        if size > len(self.moves):
+            self.moves = np.concatenate([self.moves, np.empty((size, 4 * STATE), np.float32)])
+        self.moves[self.known:size] = self.network.moves_of(self.lexicon, self.known)
+        self.known = size
+
+    def scores(self, texts: list[str | None], block: int = 16_384) -> list[float]:
         if self.network is None:
             return [0.0] * len(texts)
         none = float(_sigmoid(self.network.p["out_b"])[0])
@@ -296,13 +341,14 @@ class Scorer:
             nonlocal held, length
             self._grow()
             if short:
-                np.maximum.at(best, [i for i, _ in short], window_logits(self.network, self.inputs, [window for _, window in short]))
+                np.maximum.at(best, [i for i, _ in short], window_logits(self.network, self.moves, [window for _, window in short]))
             if whole:
-                logits = stream_logits(self.network, self.inputs, np.concatenate(stream), np.concatenate([starts for _, starts in whole]))
+                # Windows across two texts of the stream are left out here.
+                logits = stream_logits(self.network, self.moves, np.concatenate(stream))[np.concatenate([starts for _, starts in whole])]
                 np.maximum.at(best, np.repeat([i for i, _ in whole], [len(starts) for _, starts in whole]), logits)
             short.clear(), stream.clear(), whole.clear()
             held = length = 0
-            if len(self.lexicon.vector) > KEEP_WORDS:
+            if len(self.lexicon) > KEEP_WORDS:
                 self._reset()
 
         for i, text in enumerate(texts):
@@ -311,7 +357,7 @@ class Scorer:
             for a in range(0, len(starts), block):
                 part = np.asarray(starts[a:a + block])
                 begin = part[0]
-                numbers = np.fromiter(map(self.lexicon.add, words[begin:part[-1] + WINDOW]), np.int64)
+                numbers = np.fromiter(map(self.lexicon.__getitem__, words[begin:part[-1] + WINDOW]), np.int64)
                 if len(words) < WINDOW:
                     short.append((i, numbers))
                 else:

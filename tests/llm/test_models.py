@@ -21,7 +21,7 @@ def test_gradients():
     keep: dict = {}
     network.forward(gates.__getitem__, mask, keep)
     g, d_gates = network.gradients(keep, weights)
-    for array, gradient in [(network.p[k], g[k]) for k in ("fwd", "bwd", "att", "att_b", "att_v", "out", "out_b")] + [(gates, d_gates)]:
+    for array, gradient in [(network.p[k], g[k]) for k in ("att", "out", "out_b")] + [(gates, d_gates)]:
         for _ in range(6):
             at = tuple(rng.integers(0, s) for s in array.shape)
             old = array[at]
@@ -107,6 +107,24 @@ def test_every_window_is_scored():
         assert scorer.scores([" ".join(["w1"] * k + texts[-1])])[0] >= got[-1] - 1e-5
 
 
+def test_character_grams(monkeypatch):
+    """Words are read by all n-grams with their borders, the same alone, among others and in small pieces."""
+    words = ["ab", "abc", "größe", "a", "日本語", "x" * 50]
+    words = [w.encode() for w in words] + [b"\xed\xa0\x80"]
+    flat, sizes = toxicity.char_grams(words)
+    want = [sum(max(0, len(w.decode("utf-8", "replace")) + 2 - n + 1) for n in toxicity.GRAMS) for w in words]
+    assert sizes.tolist() == want and flat.max() < toxicity.BUCKETS
+    ends = np.cumsum(sizes)
+    for word, a, b in zip(words, ends - sizes, ends):
+        assert sorted(toxicity.char_grams([word])[0]) == sorted(flat[a:b])
+    long = ["y" * 5000 + " z " + "w" * 30, "ab abc", None, "q" * 700]
+    model = ({b"ab": 1}, toxicity.Network(1, seed=2))
+    whole = toxicity.Scorer(model).scores(long)
+    monkeypatch.setattr(toxicity, "READ_BYTES", 16)
+    monkeypatch.setattr(toxicity, "KEEP_WORDS", 1)
+    assert np.allclose(toxicity.Scorer(model).scores(long), whole, atol=1e-6)
+
+
 def test_toxicity_query(spark):
     got = queries.QUERIES["op2_toxicity"](spark, DATA).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
