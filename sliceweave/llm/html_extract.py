@@ -205,26 +205,47 @@ def _tree(nodes: list[dict]) -> _Node:
 
 
 def match(a: _Node, b: _Node) -> tuple[int, list[tuple[_Node, _Node]]]:
-    """Simple tree matching: the largest number of matched nodes that keeps labels and order, and the matched pairs."""
+    """Simple tree matching: the largest number of matched nodes that keeps labels and order, and the matched pairs.
+
+    Trees may be of any depth: pairs that can match are listed from the roots on, and counted from the last one back.
+    """
     if a.label != b.label:
         return 0, []
-    left, right = list(a.children.values()), list(b.children.values())
-    # best[i][j]: matched nodes of the first i and j children; each pair of equal labels is matched below first.
-    below = {(i, j): match(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if x.label == y.label}
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(len(left)):
-        for j in range(len(right)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + below.get((i, j), (0,))[0])
-    pairs, i, j = [(a, b)], len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += below[i, j][1]
-    return 1 + best[-1][-1], pairs
+    met, inner = [(a, b)], []
+    for x, y in met:  # grows on the way
+        place = {label: j for j, label in enumerate(y.children)}
+        inside = {}
+        for i, (label, child) in enumerate(x.children.items()):
+            if label in place:
+                inside[i, place[label]] = len(met)
+                met.append((child, y.children[label]))
+        inner.append(inside)
+    size, chosen = [1] * len(met), [[] for _ in met]
+    for k in range(len(met) - 1, -1, -1):
+        if not inner[k]:
+            continue
+        i, j = (len(node.children) for node in met[k])
+        # best[i][j]: matched nodes of the first i and j children.
+        best = [[0] * (j + 1) for _ in range(i + 1)]
+        for row in range(i):
+            for column in range(j):
+                below = inner[k].get((row, column))
+                best[row + 1][column + 1] = max(best[row][column + 1], best[row + 1][column], best[row][column] + (size[below] if below else 0))
+        size[k] += best[i][j]
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                chosen[k].append(inner[k][i, j])
+    pairs, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        pairs.append(met[k])
+        todo += chosen[k]
+    return size[0], pairs
 
 
 def _copies(pairs: list[tuple[dict, dict]]) -> bool:

@@ -105,3 +105,31 @@ def test_query_reads_the_article(spark):
         inside = page.html.split("<article>")[1].split("</article>")[0]
         blocks = [b for b in (h.read(part) for part in inside.replace("</p>", "<p>").replace("</h1>", "<p>").split("<p>")) if b]
         assert got[page.page_id].text == "\n".join(blocks)
+
+
+def test_deep_pages_of_one_host(spark):
+    """Nesting has no limit: pages of one host are aligned however deep they are."""
+    deep = [(i, "http://deep.example/", "<div>" * 5000 + f"<p>own text {i}" + "</div>" * 5000) for i in range(4)]
+    got = h.extract(spark.createDataFrame(deep, "page_id long, url string, html string")).select("page_id", "text").collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"own text {i}") for i in range(4)]
+
+
+def longest(x, y):
+    """Matched nodes of two trees by trying every choice (brute force)."""
+    if x.label != y.label:
+        return 0
+
+    def best(left, right):
+        if not left or not right:
+            return 0
+        return max(best(left[1:], right), best(left, right[1:]), longest(left[0], right[0]) + best(left[1:], right[1:]))
+
+    return 1 + best(list(x.children.values()), list(y.children.values()))
+
+
+def test_tree_matching():
+    rnd = random.Random(4)
+    for _ in range(200):
+        trees = [h._tree([{"path": ">" + ">".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 4)))} for _ in range(rnd.randrange(6))]) for _ in range(2)]
+        found, pairs = h.match(*trees)
+        assert found == len(pairs) == longest(*trees) and all(x.label == y.label for x, y in pairs)
