@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sliceweave.functions.text import report_group
-from sliceweave.operators import guards, metrics, neardup, sampling, scoring, splits
+from sliceweave.operators import guards, metrics, neardup, sampling, scoring, splits, stratify
 from sliceweave.operators.reshape import melt
 from sliceweave.plans import models as m
 from sliceweave.plans.models import TARGETS, sql
@@ -196,13 +199,67 @@ def fold_membership(spark, d):
     return _fold_members(spark, d)
 
 
-@query("x03_stratified_folds")
+@query("x03_stratified_folds", sql("WITH " + _fold_sql() + f"""
+    , everyone AS (SELECT uid, fold FROM folds UNION ALL SELECT DISTINCT uid, -1 FROM cells WHERE gold IS NOT NULL)
+    SELECT e.fold AS split_fold, target, count(*) AS studies, count(*) FILTER ({pos('new')}) AS positive, count(*) FILTER ({neg('new')}) AS negative,
+           count(*) FILTER (NOT {USE.format('new')}) AS excluded FROM cells c JOIN everyone e ON c.uid = e.uid GROUP BY 1, 2""", "wide_new", "cells"))
 def stratified_folds(spark, d):
     members = materialize(_fold_members(spark, d))
     cells = melt(m.wide(spark, d, "new"), TARGETS, ["uid"])
     return splits.distribution(cells, members, "uid", "value")
 
 
+def _need_sql(folds: int = 5) -> str:
+    """Dealing by remaining need in SQL: rounds by recursion over patterns, then round by round all places of all folds
+    in the order of their needs beside the carriers in the order of their digests."""
+    lists = ", ".join(f"CAST(coalesce({flag}, false) AS BIGINT)" for flag in _tri_sql())
+    width = len(_tri_sql())
+    room = ", ".join(f"n // {folds} + CASE WHEN {f} < n % {folds} THEN 1 ELSE 0 END" for f in range(folds))
+    taken = ", ".join(f"room[{f + 1}] - count(*) FILTER (fold = {f})" for f in range(folds))
+    given = ", ".join(f"got[{f * width + i}] + CAST(coalesce(sum(f[{i}]) FILTER (fold = {f}), 0) AS BIGINT)" for f in range(folds) for i in range(1, width + 1))
+    places = f"""
+        SELECT k, room, got, fold, row_number() OVER (PARTITION BY k ORDER BY cap[fold + 1] * total[done[k + 1]] - n * (got[fold * {width} + done[k + 1]] + j) DESC, room[fold + 1] - j DESC, fold) AS rn
+        FROM state, whole, places WHERE k < len(done) AND j < room[fold + 1]"""
+    return f"""
+    flags AS (SELECT uid, [{lists}] AS f FROM wide_new WHERE uid IN (SELECT uid FROM cells WHERE gold IS NULL)),
+    patterns AS (SELECT f, count(*) AS c FROM flags GROUP BY 1),
+    rounds AS (
+        SELECT 0 AS k, CAST([] AS BIGINT[]) AS done
+        UNION ALL
+        SELECT k + 1, list_append(any_value(done), arg_min(i, c * {width + 1} + i)) FROM (
+            SELECT k, done, i, sum(c * f[i]) AS c FROM rounds, patterns, range(1, {width + 1}) t(i)
+            WHERE len(list_filter(done, lambda d: f[d] = 1)) = 0 GROUP BY ALL) WHERE c > 0 GROUP BY k),
+    final AS (SELECT done FROM rounds ORDER BY k DESC LIMIT 1),
+    whole AS (SELECT done, n, [{room}] AS cap, total FROM final, (SELECT count(*) AS n FROM flags),
+        (SELECT list(t ORDER BY i) AS total FROM (SELECT i, CAST(sum(f[i]) AS BIGINT) AS t FROM flags, range(1, {width + 1}) t(i) GROUP BY 1))),
+    ranked AS (SELECT uid, f, r, row_number() OVER (PARTITION BY r ORDER BY sha256('42|' || uid), uid) AS rn FROM (
+        SELECT uid, f, list_min(list_filter(range(1, len(done) + 1), lambda k: f[done[k]] = 1)) AS r FROM flags, final)),
+    places AS (SELECT fold, j FROM range({folds}) t(fold), (SELECT row_number() OVER () - 1 AS j FROM flags) WHERE {folds} * j < (SELECT n FROM whole) + {folds}),
+    state AS (
+        SELECT CAST(0 AS BIGINT) AS k, cap AS room, CAST(list_transform(range({folds * width}), lambda i: 0) AS BIGINT[]) AS got FROM whole
+        UNION ALL
+        SELECT p.k + 1, [{taken}], [{given}] FROM ({places}) p JOIN ranked q ON q.r = p.k + 1 AND q.rn = p.rn GROUP BY p.k, p.room, p.got),
+    dealt AS (SELECT uid, CAST(fold AS INTEGER) AS fold FROM ({places}) p JOIN ranked q ON q.r = p.k + 1 AND q.rn = p.rn)"""
+
+
+def _iterative(spark, d):
+    gold = [F.col(f"gold__{t}").isNotNull() for t in TARGETS]
+    return stratify.iterative_folds(m.wide_with_gold(spark, d).where(~reduce(and_, gold)), "uid", TARGETS, 5, 42)
+
+
+@query("x03_iterative_folds", sql("WITH " + _need_sql() + " SELECT uid, fold FROM dealt", "wide_new", "cells").replace("WITH ", "WITH RECURSIVE ", 1))
+def iterative_folds(spark, d):
+    return _iterative(spark, d)
+
+
+@query("x03_iterative_balance", sql("WITH " + _need_sql() + f"""
+    SELECT e.fold AS split_fold, target, count(*) AS studies, count(*) FILTER ({pos('new')}) AS positive, count(*) FILTER ({neg('new')}) AS negative,
+           count(*) FILTER (NOT {USE.format('new')}) AS excluded FROM cells c JOIN dealt e ON c.uid = e.uid GROUP BY 1, 2""", "wide_new", "cells").replace("WITH ", "WITH RECURSIVE ", 1))
+def iterative_balance(spark, d):
+    """Positive, negative and excluded studies per fold and label."""
+    return splits.distribution(melt(m.wide(spark, d, "new"), TARGETS, ["uid"]), _iterative(spark, d), "uid", "value")
+
+
 def _quota(spark, d):
     """The label table, written once since it is read several times, and its quota split."""
     wide = materialize(m.wide(spark, d, "new"))
