@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sliceweave.functions.text import report_group
-from sliceweave.operators import guards, metrics, neardup, sampling, scoring, splits, stratify
+from sliceweave.operators import guards, heads, metrics, neardup, sampling, scoring, splits, stratify
 from sliceweave.operators.reshape import melt
 from sliceweave.plans import models as m
 from sliceweave.plans.models import TARGETS, sql
@@ -378,17 +378,41 @@ def near_duplicates(spark, d):
 
 # Scoring
 
+HEADS = [f"label_{i}" for i in range(10)]
+
+
+def _head_rows(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), *[
+        F.when(F.col("label") == i, 0.95).otherwise(0.05).alias(name) for i, name in enumerate(HEADS)])
+
+
 @query("m01_linear_heads")
 def linear_heads(spark, d):
-    """One-vs-rest heads on the embeddings, judged by their AUC per label."""
-    labels = [f"label_{i}" for i in range(10)]
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), *[
-        F.when(F.col("label") == i, 0.95).otherwise(0.05).alias(name) for i, name in enumerate(labels)])
-    scores = melt(scoring.score_heads(rows, scoring.fit_heads(rows, labels, iterations=10), "vec_id"), labels, ["vec_id"], "score")
-    cells = melt(rows, labels, ["vec_id"], "truth").join(scores, ["vec_id", "target"])
+    """Heads on the embeddings from one joint fit, judged by their AUC per label."""
+    rows = _head_rows(spark, d)
+    scores = melt(heads.score_joint(rows, heads.fit_joint(rows, HEADS), "vec_id"), HEADS, ["vec_id"], "score")
+    cells = melt(rows, HEADS, ["vec_id"], "truth").join(scores, ["vec_id", "target"])
     return metrics.auc(cells, ["target"], "truth", "score").select("target", "positive", "negative", F.round("auc", 6).alias("auc"))
 
 
+@query("m01_first_step", """
+    WITH rows AS (SELECT vec_id, label, list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), 1.0::DOUBLE) AS x FROM embeddings),
+    heads AS (SELECT l, count(*) FILTER (label = l) AS p, count(*) FILTER (coalesce(label <> l, true)) AS q FROM rows, range(10) t(l) GROUP BY 1),
+    weighted AS (SELECT l, coalesce(label = l, false) AS y, 0.9::DOUBLE * CASE WHEN label = l THEN least(greatest(0.9 * q / greatest(0.9 * p, 1), 1), 10) ELSE 1 END AS w, x FROM rows, heads),
+    cells AS (SELECT l, y, w, x, i, x[i] AS v FROM weighted, range(1, 66) t(i) WHERE i <= len(x)),
+    slopes AS (SELECT l, i, sum(w * (0.5 - CAST(y AS INTEGER)) * v) AS gradient FROM cells GROUP BY 1, 2),
+    curves AS (SELECT l, i, j, sum(w * 0.25 * v * x[j]) AS curvature FROM cells, range(1, 66) t(j) WHERE j >= i GROUP BY 1, 2, 3)
+    SELECT 'label_' || c.l AS target, CAST(c.i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(gradient, 4) AS gradient, round(curvature, 4) AS curvature
+    FROM curves c JOIN slopes s ON c.l = s.l AND c.i = s.i""")
+def first_step(spark, d):
+    """Gradient (of row i) and upper triangle of the curvature of each head at the start of the joint fit."""
+    gradient, curvature = heads.first_step(_head_rows(spark, d), HEADS)
+    rows = spark.createDataFrame(list(zip(HEADS, gradient.tolist(), curvature.tolist())), "target string, g array<double>, c array<array<double>>")
+    lines = rows.select("target", "g", F.posexplode("c").alias("i", "line"))
+    cells = lines.select("target", "i", F.col("g")[F.col("i")].alias("gradient"), F.posexplode("line").alias("j", "curvature")).where("j >= i")
+    return cells.select("target", "i", "j", F.round("gradient", 4).alias("gradient"), F.round("curvature", 4).alias("curvature"))
+
+
 @query("m02_batch_scoring", """
     SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))))), 6) AS score FROM embeddings""")
 def batch_scoring(spark, d):
