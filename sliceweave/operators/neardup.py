@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sliceweave.functions.text import normalise, report_group
+from sliceweave.session import materialize
 
 PRIME = 2_147_483_647
 
@@ -16,26 +17,70 @@ def permutation(value: Column, i: int) -> Column:
     return F.pmod(value * a + b, F.lit(PRIME))
 
 
-def near_duplicates(rows: DataFrame, uid: str = "uid", text: str = "report", words: int = 3, bands: int = 10, per_band: int = 5) -> DataFrame:
-    """Texts whose MinHash agrees with another text in at least one band.
+def _texts(rows: DataFrame, uid: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the group of their text, and one text of each group."""
+    keyed = rows.select(F.col(f"`{uid}`").alias("_uid"), report_group(F.col(f"`{text}`")).alias("report_group"), F.col(f"`{text}`").alias("_text"))
+    return keyed, keyed.groupBy("report_group").agg(F.min_by("_text", "_uid").alias("_text"))
 
-    Exact copies collapse to one text first. Bands are counted, not paired, so a
-    large family of near copies costs one row per text and band.
-    """
-    keyed = rows.select(uid, report_group(F.col(text)).alias("report_group"), F.col(text).alias("_text"))
-    texts = keyed.groupBy("report_group").agg(F.min_by("_text", uid).alias("_text"))
+
+def _shingles(texts: DataFrame, words: int) -> DataFrame:
+    """``report_group`` and ``_all``: every word shingle of its text, repeats included; shorter texts are one shingle."""
     split = F.split(normalise(F.col("_text")), " ")
     last = F.greatest(F.size("_w") - (words - 1), F.lit(1))
     shingles = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(F.col("_w"), i, words), " "))
-    tokens = texts.select("report_group", split.alias("_w")).select("report_group", F.explode(shingles).alias("_s"))
+    return texts.select("report_group", split.alias("_w")).select("report_group", shingles.alias("_all"))
+
+
+def _banded(shingles: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """One row per text and MinHash band."""
+    tokens = shingles.select("report_group", F.explode("_all").alias("_s"))
     number = F.conv(F.substring(F.md5("_s"), 1, 7), 16, 10).cast("long")
     size = bands * per_band
     hashed = tokens.select("report_group", number.alias("_n")).groupBy("report_group").agg(
         *[F.min(permutation(F.col("_n"), i)).alias(f"m{i}") for i in range(size)])
     keys = F.array(*[F.concat_ws(":", F.lit(b), *[F.col(f"m{b * per_band + i}") for i in range(per_band)]) for b in range(bands)])
-    banded = hashed.select("report_group", F.explode(keys).alias("band"))
+    return hashed.select("report_group", F.explode(keys).alias("band"))
+
+
+def near_duplicates(rows: DataFrame, uid: str = "uid", text: str = "report", words: int = 3, bands: int = 10, per_band: int = 5) -> DataFrame:
+    """Texts whose MinHash agrees with another text in at least one band.
+
+    Exact copies collapse to one text first. Bands are counted, not paired, so a
+    large family of near copies costs one row per text and band.
+    """
+    keyed, texts = _texts(rows, uid, text)
+    banded = _banded(_shingles(texts, words), bands, per_band)
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     flags = banded.join(shared, "band").groupBy("report_group").agg(F.count(F.lit(1)).alias("shared_bands"))
     return keyed.drop("_text").join(flags, "report_group", "left").select(
-        uid, "report_group", F.coalesce("shared_bands", F.lit(0)).alias("shared_bands"),
+        F.col("_uid").alias(uid), "report_group", F.coalesce("shared_bands", F.lit(0)).alias("shared_bands"),
         (F.coalesce("shared_bands", F.lit(0)) > 0).cast("int").alias("near_duplicate"))
+
+
+def verified_near_duplicates(rows: DataFrame, uid: str = "uid", text: str = "report", words: int = 3, bands: int = 10, per_band: int = 5,
+                             similarity: float = 0.8) -> DataFrame:
+    """``near_duplicates`` with its evidence: the nearest partner found, their similarity, and the representative.
+
+    In each band the smallest group stands for all; every other text there is compared with it by the exact Jaccard of
+    their distinct shingles, so a text has at most ``bands`` comparisons and a large family is never paired. Both ends
+    of a pair at or above ``similarity`` are flagged, so no flag is wrong; a near text is missed when no band brings
+    both together under one representative. ``partner`` is the most similar of those (ties: the smallest),
+    ``representative`` the smallest group among a text and its partners. Null texts have no group and are not flagged;
+    exact copies share one group and are not near duplicates of each other. One row per input row, other columns are left out.
+    """
+    keyed, texts = _texts(rows, uid, text)
+    shingles = materialize(_shingles(texts.where(F.col("report_group").isNotNull()), words))
+    sets = shingles.select("report_group", F.array_distinct("_all").alias("set"))
+    banded = _banded(shingles, bands, per_band)
+    firsts = banded.groupBy("band").agg(F.min("report_group").alias("a"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
+    pairs = banded.join(firsts, "band").select("a", F.col("report_group").alias("b")).where("a <> b").distinct()
+    left, right = (sets.select(F.col("report_group").alias(side), F.col("set").alias(f"_{side}")) for side in ("a", "b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    small, large = F.least(F.size("_a"), F.size("_b")), F.greatest(F.size("_a"), F.size("_b"))
+    likely = pairs.join(left, "a").join(right, "b").where(small / large >= similarity)  # sizes alone exclude the rest
+    found = likely.select("a", "b", (common / (F.size("_a") + F.size("_b") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to")), F.struct(F.col("b").alias("of"), F.col("a").alias("to")))).alias("e"), "similarity")
+    best = ends.groupBy("e.of").agg(F.min(F.struct((-F.col("similarity")).alias("far"), F.col("e.to").alias("to"))).alias("near"), F.min("e.to").alias("_least"))
+    return keyed.drop("_text").join(best, F.col("report_group") == F.col("of"), "left").select(
+        F.col("_uid").alias(uid), "report_group", F.col("near.to").alias("partner"), (-F.col("near.far")).alias("similarity"),
+        F.least("report_group", "_least").alias("representative"), F.col("of").isNotNull().cast("int").alias("near_duplicate"))

@@ -356,7 +356,7 @@ def group_folds(spark, d):
     return per.agg(F.count(F.lit(1)).alias("text_groups"), F.count_if(F.col("folds") > 1).alias("split_groups"), F.sum("n").alias("studies"))
 
 
-def _minhash_sql():
+def _bands_sql():
     prime = neardup.PRIME
     mins = ", ".join(f"min((n * {(i * 1_000_003 + 7_919) % prime} + {(i * 15_485_863 + 104_729) % prime}) % {prime}) AS m{i}" for i in range(50))
     keys = ", ".join("'{}:' || ".format(b) + " || ':' || ".join(f"m{b * 5 + i}" for i in range(5)) for b in range(10))
@@ -365,17 +365,41 @@ def _minhash_sql():
     texts AS (SELECT report_group, string_split(trim(lower(regexp_replace(arg_min(text, uid), '{SPACE}', ' ', 'g'))), ' ') AS w FROM keyed GROUP BY 1),
     shingles AS (SELECT report_group, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS s FROM texts),
     hashed AS (SELECT report_group, {mins} FROM (SELECT report_group, CAST('0x' || substring(md5(s), 1, 7) AS BIGINT) AS n FROM shingles) GROUP BY 1),
-    bands AS (SELECT report_group, unnest([{keys}]) AS band FROM hashed),
+    bands AS (SELECT report_group, unnest([{keys}]) AS band FROM hashed)"""
+
+
+def _minhash_sql():
+    return _bands_sql() + """,
     flags AS (SELECT report_group, count(*) AS shared FROM bands WHERE band IN (SELECT band FROM bands GROUP BY 1 HAVING count(*) > 1) GROUP BY 1)
     SELECT uid, k.report_group, coalesce(shared, 0) AS shared_bands, CAST(coalesce(shared, 0) > 0 AS INTEGER) AS near_duplicate
     FROM keyed k LEFT JOIN flags f ON k.report_group = f.report_group"""
 
 
+def _verified_sql(similarity: float = 0.8):
+    return _bands_sql() + f""",
+    firsts AS (SELECT band, min(report_group) AS a FROM bands GROUP BY 1 HAVING count(*) > 1),
+    pairs AS (SELECT DISTINCT a, report_group AS b FROM bands b JOIN firsts f ON b.band = f.band WHERE a <> report_group),
+    distinct_shingles AS (SELECT DISTINCT report_group, s FROM shingles),
+    sizes AS (SELECT report_group, count(*) AS n FROM distinct_shingles GROUP BY 1),
+    common AS (SELECT a, b, count(*) AS c FROM pairs JOIN distinct_shingles x ON x.report_group = a JOIN distinct_shingles y ON y.report_group = b AND y.s = x.s GROUP BY 1, 2),
+    found AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM common JOIN sizes x ON x.report_group = a JOIN sizes y ON y.report_group = b WHERE c / (x.n + y.n - c) >= {similarity}::DOUBLE),
+    ends AS (SELECT a AS g, b AS other, similarity FROM found UNION ALL SELECT b, a, similarity FROM found),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY similarity DESC, other) AS rn, min(other) OVER (PARTITION BY g) AS smallest FROM ends)
+    SELECT uid, k.report_group, other AS partner, round(similarity, 9) AS similarity, least(k.report_group, smallest) AS representative, CAST(g IS NOT NULL AS INTEGER) AS near_duplicate
+    FROM keyed k LEFT JOIN ranked r ON k.report_group = r.g AND rn = 1"""
+
+
 @query("x08_near_duplicates", _minhash_sql())
 def near_duplicates(spark, d):
     return neardup.near_duplicates(m.studies(spark, d))
 
 
+@query("x08_verified_near_duplicates", _verified_sql())
+def verified_near_duplicates(spark, d):
+    """Partner, similarity and representative of every flagged text."""
+    return neardup.verified_near_duplicates(m.studies(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
 # Scoring
 
 HEADS = [f"label_{i}" for i in range(10)]
