@@ -45,6 +45,8 @@ MEETING = 4096
 #: Texts, about, in which frequent shingles are counted, texts of them that make one frequent, and most that are kept.
 #: They only set the order of shingles; any order finds all pairs.
 COUNTED, OFTEN, FREQUENT = 20_000, 8, 200_000
+#: Odd multipliers that spread the bits of a 64-bit key.
+_MIX = tuple(np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -62,6 +64,23 @@ def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1:].tolist())], "<u8")
 
 
+def longer_shingles(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the shingles one word longer, from the hashes of a text in order: two that overlap in all but one word
+    make each. A single shingle, which may be the whole of a short text, stays as it is."""
+    if len(hashes) < 2:
+        return hashes
+    mixed = hashes[:-1] * _MIX[0] + (hashes[1:] ^ hashes[1:] >> np.uint64(29)) * _MIX[1]
+    mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX[2]
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def shingle_set(text: str | None, words: int, seed: int, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct keys of the shingles of ``words`` words; ``hashes`` are those of one word less, if at hand."""
+    if words < 2:
+        return np.unique(shingle_hashes(text, words, seed))
+    return np.unique(longer_shingles(shingle_hashes(text, words - 1, seed) if hashes is None else hashes))
+
+
 def majority(hashes: np.ndarray, rows: int = 1) -> np.ndarray:
     """Bits that are set in over half the hashes, as one 64-bit word for each of ``rows`` arrays of hashes."""
     n = hashes.shape[-1]
@@ -353,7 +372,7 @@ def frequent_shingles(df: DataFrame, text_column: str, words: int, seed: int) ->
     """Shingles, in order, that are frequent among about ``COUNTED`` texts drawn by a digest, and in how many they are."""
     every = max(1, df.count() // COUNTED)
     drawn = df.where(F.pmod(F.xxhash64(F.col(f"`{text_column}`").cast("binary"), F.lit("frequent")), F.lit(every)) == 0)
-    sets = map_rows(drawn, [text_column], "set array<long>", lambda texts: {"set": [np.unique(shingle_hashes(t, words, seed)).view(np.int64) for t in texts.to_pylist()]})
+    sets = map_rows(drawn, [text_column], "set array<long>", lambda texts: {"set": [shingle_set(t, words, seed).view(np.int64) for t in texts.to_pylist()]})
     counts = sets.select(F.explode("set").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN)
     found = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT).toArrow()
     tokens, often = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["count"].to_numpy().astype(np.int64)
@@ -423,7 +442,7 @@ def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     for side in ("a", "b"):
         ends = by_fp.select(F.col("fp").alias("_fp"), "first")
         near = near.join(ends, F.col(side) == F.col("_fp")).withColumn(side, F.col("first")).drop("_fp", "first")
-    meetings = _meetings(rows)
+    meetings = _meetings(rows.select("node", "tokens").dropDuplicates(["node"]))  # copies are one class, however many
     sets = stored(sets_of(meetings.select("node").distinct()), "sets")
     ends = meetings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     star = meetings.join(ends, "token").select("node", F.explode(F.array("low", "high")).alias("b")).where("node <> b")
@@ -462,8 +481,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         frequent = shared.get(lambda value: value)
         out: dict[str, list] = {"fp": [], "node": [], "n": [], "bits": [], "tokens": []}
         for text in texts.to_pylist():
-            distinct = np.unique(shingle_hashes(text, similar_words, seed))
-            fp = majority(shingle_hashes(text, words, seed))
+            hashes = shingle_hashes(text, words, seed)
+            distinct = shingle_set(text, similar_words, seed, hashes if similar_words == words + 1 else None)
+            fp = majority(hashes)
             out["fp"].append(int(fp.view(np.int64)[0]))
             out["node"].append(hashlib.md5(fp.tobytes() + distinct.tobytes()).digest())
             out["n"].append(len(distinct))
@@ -475,7 +495,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("_digest"))
         own = marked.select(F.col(digest).alias("_own"), F.col(f"`{text_column}`").alias("_text"))  # no other column of the input meets ours
         texts = own.join(wanted, F.col("_own") == F.col("_digest")).dropDuplicates(["_digest"])
-        return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [np.unique(shingle_hashes(t, similar_words, seed)).view(np.int64) for t in ts.to_pylist()]}, ["node"])
+        return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [shingle_set(t, similar_words, seed).view(np.int64) for t in ts.to_pylist()]}, ["node"])
 
     rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, tokens array<long>", run, [id_column, digest])
     rows = stored(rows.toDF("id", "digest", "fp", "node", "n", "bits", "tokens"), "fingerprints")

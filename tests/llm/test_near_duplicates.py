@@ -135,6 +135,19 @@ def test_similar_texts_meet(spark):
     assert linked > 60 and missed <= 0.03 * linked
 
 
+def test_keys_of_longer_shingles_stand_for_the_shingles():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 4, 5, 6, 40, 900):
+        for _ in range(5):
+            words = [f"w{i}" for i in rng.integers(0, 12, n)]
+            plain = {" ".join(words[i:i + 5]) for i in range(max(n - 4, 1))} if n else set()
+            got = simhash.shingle_set(" ".join(words), 5, 42)
+            assert len(got) == len(plain) and (np.diff(got.astype(object)) > 0).all()
+            cut = words[n // 3:]
+            other = {" ".join(cut[i:i + 5]) for i in range(max(len(cut) - 4, 1))} if cut else set()
+            assert len(np.intersect1d(got, simhash.shingle_set(" ".join(cut), 5, 42))) == len(plain & other)
+
+
 def test_wide_distance_stands_for_the_similarity():
     assert simhash.wide_distance(1.0) == 0 and simhash.wide_distance(0.9) < simhash.wide_distance(0.8) < 200
 
