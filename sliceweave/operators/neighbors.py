@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceweave.operators.guards import enforce_empty
-from sliceweave.operators.ordering import Sequence, hot_groups
+from sliceweave.operators.ordering import Sequence, hot_groups, match_groups
 from sliceweave.session import hot_rows
 
 TOLERANCE_MM = 1e-4
+#: Rows of whole groups that are searched together in one call.
+BUCKET_ROWS = 250_000
 
 
 def evenly_spaced(ordered: DataFrame, keys: Seq[str], position: str, count: int) -> DataFrame:
@@ -59,6 +65,86 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
     tolerance of the best error and wins, or every tied row lies on the asked
     side and the one next to the anchor wins.
 
+    Whole groups are dealt into buckets of bounded size, once and with three
+    columns beside the keys, and searched there. A group above the limit is
+    ordered in value ranges instead.
+    """
+    # Each row of a split group brings two probes, so a group counts as hot at a third of the limit.
+    limit = max(1, hot_rows(ordered.sparkSession) // 3)
+    hot = hot_groups(ordered, keys, limit, check)
+    buckets = (ordered if check is None else check).count() // BUCKET_ROWS + 1
+    if hot is None:
+        return _search_buckets(ordered, keys, position, distance_mm, buckets)
+    hot_keys = F.broadcast(hot.select(*keys))
+    cold = _search_buckets(match_groups(ordered, hot_keys, keys, "left_anti"), keys, position, distance_mm, buckets)
+    return cold.unionByName(_search_ranges(match_groups(ordered, hot_keys, keys, "left_semi"), keys, position, distance_mm, hot, limit))
+
+
+def _search_buckets(ordered: DataFrame, keys: Seq[str], position: str, distance_mm: float, buckets: int) -> DataFrame:
+    """``physical_neighbours`` of groups that each fit into one bucket."""
+    rows = ordered.select(*keys, F.col("idx").cast("long").alias("idx"), F.col(position).cast("double").alias(position))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)))
+    kinds = [("prev_idx", T.LongType()), ("next_idx", T.LongType()), ("prev_pos", T.DoubleType()), ("next_pos", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(name, kind) for name, kind in kinds]])
+
+    def run(bucket: pa.Table) -> pa.Table:
+        return _nearest_in(bucket, list(keys), position, distance_mm)
+
+    return dealt.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(run, schema)
+
+
+def _nearest_in(bucket: pa.Table, keys: Seq[str], position: str, distance_mm: float) -> pa.Table:
+    """Binary search of both targets of every row among the distinct positions of its group, all rows in step."""
+    group = np.zeros(len(bucket), np.int64)
+    for key in keys:
+        codes = pc.dictionary_encode(bucket[key].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        group = np.unique(group * (len(bucket) + 1) + codes, return_inverse=True)[1]
+    z, idx = bucket[position].to_numpy(), bucket["idx"].to_numpy()
+    real = np.flatnonzero(np.isfinite(z))
+    order = real[np.lexsort((idx[real], z[real], group[real]))]
+    group, own, row = group[order], z[order], idx[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (group[1:] != group[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(new)
+    pos, low, high, owner = own[first], row[first], row[np.append(first[1:], len(order)) - 1], group[first]
+    begin, end = np.searchsorted(owner, group, "left"), np.searchsorted(owner, group, "right")
+
+    def after(target: np.ndarray) -> np.ndarray:
+        """First position of the group behind the target."""
+        lower, upper = begin.copy(), end.copy()
+        while (open_ := lower < upper).any():
+            middle = (lower + upper) // 2
+            passed = open_ & (pos[np.minimum(middle, len(pos) - 1)] <= target)
+            lower, upper = np.where(passed, middle + 1, lower), np.where(open_ & ~passed, middle, upper)
+        return lower
+
+    out = bucket.select([*keys, "idx", position])
+    # Without a number there is no distance: null has no neighbours, other such positions have themselves.
+    found = {}
+    for side, name in ((-1, "prev"), (1, "next")):
+        target = own + side * distance_mm
+        error = lambda at: np.where((at >= begin) & (at < end), np.abs(pos[np.clip(at, 0, len(pos) - 1)] - target), np.inf)
+        at = after(target)
+        reach = np.minimum(error(at - 1), error(at)) + TOLERANCE_MM
+        rim = after(target - side * reach)
+        best = np.full(len(order), -1)
+        for step in ((1, 0, -1, -2) if side > 0 else (-2, -1, 0, 1)):  # the last one within reach is next to the anchor
+            best = np.where(error(rim + step) <= reach, rim + step, best)
+        alone, none = np.abs(own - target) <= reach, best < 0
+        for part, values, mine, edge in (("idx", idx, row, high if side < 0 else low), ("pos", z, own, pos)):
+            filled, missing = values.copy(), bucket[position].is_null().to_numpy().copy()
+            if len(order):
+                filled[order] = np.where(alone, mine, edge[best])
+                missing[order] = ~alone & none
+            found[f"{name}_{part}"] = pa.array(filled, mask=missing)
+    for name in ("prev_idx", "next_idx", "prev_pos", "next_pos"):
+        out = out.append_column(name, found[name])
+    return out
+
+
+def _search_ranges(ordered: DataFrame, keys: Seq[str], position: str, distance_mm: float, hot: DataFrame, limit: int) -> DataFrame:
+    """``physical_neighbours`` of groups of any size.
+
     Positions and the two probes of every row form one ordered sequence. A
     first pass finds the best error of each probe; a second moves the probe to
     the rim of its tied positions. The positions around the rim are then tested
@@ -66,9 +152,6 @@ def physical_neighbours(ordered: DataFrame, keys: Seq[str], position: str, dista
     partitioning by key.
     """
     z, idx = F.col(position).cast("double"), F.col("idx").cast("long")
-    # Each row brings two probes, so a group counts as hot at a third of the limit.
-    limit = max(1, hot_rows(ordered.sparkSession) // 3)
-    hot = hot_groups(ordered, keys, limit, check)
     bare = F.struct("pos", "lo", "hi")
     points = ordered.groupBy(*keys, z.alias("pos")).agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"))
     points = Sequence(points, keys, [F.col("pos")], limit=limit, hot=hot).neighbour("before", bare).neighbour("after", bare, ahead=True).df

@@ -121,3 +121,23 @@ def test_groups_of_three_pad_the_last(spark):
     rows = groups_of_three(frame(spark, {"s": [0, 1, 2, 3, 5]}), ["series"], "position").orderBy("grp").collect()
     assert [r["indices"] for r in rows] == [[0, 1, 2], [3, 4, 4]]
     assert [r["centre"] for r in rows] == [1.0, 4.0]
+
+
+def test_neighbours_cost_one_narrow_shuffle(spark):
+    """No probes beside the rows: the plan neither unites nor orders them again, and buckets hold whole groups."""
+    ordered = frame(spark, random_groups(4))
+    plan = physical_neighbours(ordered, ["series"], "position", 3.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Window") <= ordered._jdf.queryExecution().optimizedPlan().toString().count("Window")
+
+
+def test_neighbours_over_many_buckets_and_odd_rows(spark, monkeypatch):
+    from sliceweave.operators import neighbors as module
+
+    monkeypatch.setattr(module, "BUCKET_ROWS", 50)
+    groups = random_groups(8)
+    got = neighbours(spark, groups, 3.0)
+    assert len(got) == sum(map(len, groups.values()))
+    assert all(got[name, i] == full_ranking(positions, i, 3.0) for name, positions in groups.items() for i in range(len(positions)))
+    rows = spark.createDataFrame([(None, 0, 1.0), (None, 1, 4.0), ("a", 0, None), ("a", 1, 2.0)], "series string, idx int, position double")
+    found = {(r["series"], r["idx"]): (r["prev_idx"], r["next_idx"], r["next_pos"]) for r in physical_neighbours(rows, ["series"], "position", 3.0).collect()}
+    assert found == {(None, 0): (0, 1, 4.0), (None, 1): (0, 1, 4.0), ("a", 0): (None, None, None), ("a", 1): (1, 1, 2.0)}
