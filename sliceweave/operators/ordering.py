@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence as Seq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sliceweave.session import broadcast_rows, hot_rows, materialize
 
@@ -61,6 +62,10 @@ def first_per_group(df: DataFrame, keys: Seq[str], order: Column, largest: bool
     """One row per group by a unique order value, as a map-side combined aggregate."""
     payload = [name for name in df.columns if name not in keys]
     pick = F.max_by if largest else F.min_by
+    kinds = [field.dataType for field in df.select(*_columns(payload), order).schema]
+    if all(isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for kind in kinds):
+        # Plain values in the buffer need no sort before the aggregate; every column sees the same order values, so all come from one row.
+        return df.groupBy(*_columns(keys)).agg(*[pick(F.col(f"`{name}`"), order).alias(name) for name in payload])
     best = df.groupBy(*_columns(keys)).agg(pick(F.struct(*_columns(payload)), order).alias("_best"))
     return best.select(*_columns(keys), *[F.col(f"_best.`{name}`").alias(name) for name in payload])
 

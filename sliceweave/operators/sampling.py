@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from sliceweave.functions.labels import col, strict_gold
 from sliceweave.functions.text import report_group, seeded
 from sliceweave.operators.guards import ContractError, enforce_empty
-from sliceweave.operators.ordering import Sequence, first_per_group, group_quantiles, top_k
+from sliceweave.operators.ordering import Sequence, first_per_group, group_quantiles, hot_groups, top_k
 from sliceweave.schemas import SLOT_WEIGHTS
-from sliceweave.session import materialize
+from sliceweave.session import hot_rows, materialize
+
+#: Windows of a group that one array may hold, and windows that one task may group.
+SMALL_GROUP, TASK_ROWS = 1000, 500_000
 
 
 def sample_studies(eligible: DataFrame, key: str, limit: int, seed) -> DataFrame:
@@ -116,16 +119,79 @@ def proportional_subset(windows: DataFrame, study: str, slot: str, order: Seq[Co
     return part.select(*windows.columns).unionByName(whole.select(*windows.columns))
 
 
-def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int | None = None) -> DataFrame:
+def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int | None = None,
+                        check: DataFrame | None = None) -> DataFrame:
     """``quota`` windows per group, one per equal-width depth bin; empty bins take the nearest unused window.
 
     ``quota`` is a number or a column that is constant in its group and at most ``most``.
-    Bins choose by digest on the map side. Only the windows at the rim of a bin
-    (at most ``most`` from either end) can fill an empty bin, so a group is
-    down to a few hundred rows before the fill runs. Where all positions are equal, the bins are parts of equal count in
-    item order instead.
+    Only the windows at the rim of a bin (at most ``most`` from either end) can fill an empty bin. Where all positions
+    are equal, the bins are parts of equal count in item order instead. A group of few windows is shuffled once and
+    stratified as one array; a larger one is cut down to its bins' rims first. ``check`` may name a cheaper frame
+    whose groups are at least as large.
     """
     most = quota if most is None else most
+    large = hot_groups(windows, keys, _small(windows), check)
+    rows = (windows if check is None else check).count()
+    return _stratified(windows, keys, position, item, quota, seed, most, large, rows)
+
+
+def _small(df: DataFrame) -> int:
+    return min(SMALL_GROUP, hot_rows(df.sparkSession))
+
+
+def _stratified(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int, large: DataFrame | None, rows: int) -> DataFrame:
+    """``stratified_by_depth`` of ``rows`` windows; ``large`` holds the keys of the groups that no array should hold."""
+    if large is None:
+        return _in_arrays(windows, keys, position, item, quota, seed, most, rows)
+    large = large.select(*keys)
+    few = _in_arrays(windows.join(large, list(keys), "left_anti"), keys, position, item, quota, seed, most, rows)
+    return few.unionByName(_by_rims(windows.join(large, list(keys), "left_semi"), keys, position, item, quota, seed, most))
+
+
+def _filled(held: DataFrame, keys: Seq[str], position: str, item: str) -> DataFrame:
+    """The ``_taken`` windows of a group, and for each bin without one the nearest unused window of its ``_pool``."""
+    filled = F.transform("_taken", lambda e: e["bin"])
+    empty = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: ~F.array_contains(filled, i))
+
+    def fill(chosen, bucket):
+        centre = F.col("_lo") + (bucket + 0.5) * (F.col("_hi") - F.col("_lo")) / F.col("_q")
+        rest = F.filter("_pool", lambda e: ~F.exists(chosen, lambda c: c["item"] == e["item"]))
+        nearest = F.array_min(F.transform(rest, lambda e: F.struct(F.abs(e["pos"] - centre).alias("d"), e.alias("e"))))["e"]
+        return F.concat(chosen, F.array_compact(F.array(nearest)))
+
+    return held.select(*keys, F.explode(F.aggregate(empty, F.col("_taken"), fill)).alias("_e")).select(
+        *keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
+
+
+def _in_arrays(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int, rows: int) -> DataFrame:
+    """One array per group, which holds at most ``SMALL_GROUP`` windows."""
+    given = F.lit(quota) if isinstance(quota, int) else F.col(quota)
+    parts = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS + 1)
+    dealt = windows.dropna(subset=list(keys)).select(*keys, position, item, given.cast("int").alias("_given")).repartition(parts, *keys)
+    entry = F.struct(F.col(item).alias("item"), F.col(position).alias("pos"))
+    whole = dealt.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"), F.min(position).alias("_lo"), F.max(position).alias("_hi"),
+                                     F.max("_given").alias("_q")).where(F.col("_lo").isNotNull())
+    inner = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: i > 0)
+    edges = F.transform(inner, lambda i: i * ((F.col("_hi") - F.col("_lo")) / F.col("_q")) + F.col("_lo"))
+
+    def placed(e, i):
+        part = F.floor(i * F.col("_q") / F.size("_all")).cast("int")
+        place = F.when(F.col("_lo") == F.col("_hi"), part).otherwise(F.size(F.filter(edges, lambda edge: edge <= e["pos"])))
+        return F.struct(seeded(seed, *[F.col(k) for k in keys], e["item"]).alias("h"), e["item"].alias("item"), e["pos"].alias("pos"), place.alias("bin"))
+
+    held = whole.select(*keys, "_lo", "_hi", "_q", F.transform("_all", placed).alias("_rows"))
+    bins = F.sequence(F.lit(0), F.col("_q") - 1)
+    inside = lambda b: F.filter("_rows", lambda e: e["bin"] == b)
+    first = lambda b, *order: F.transform(F.slice(F.array_sort(F.transform(
+        inside(b), lambda e: F.struct(*[o(e).alias(f"o{i}") for i, o in enumerate(order)], e["item"].alias("item"), e.alias("e")))), 1, most + 1), lambda x: x["e"])
+    rim = lambda b: F.concat(first(b, lambda e: e["pos"]), first(b, lambda e: e["pos"].isNull(), lambda e: -e["pos"]))
+    pool = F.when(F.size("_rows") <= most + 1, F.col("_rows")).otherwise(F.flatten(F.transform(bins, rim)))
+    taken = F.array_compact(F.transform(bins, lambda b: F.array_min(inside(b))))
+    return _filled(held.select(*keys, "_lo", "_hi", "_q", taken.alias("_taken"), F.array_distinct(pool).alias("_pool")), keys, position, item)
+
+
+def _by_rims(windows: DataFrame, keys: Seq[str], position: str, item: str, quota: int | str, seed, most: int) -> DataFrame:
+    """Bins choose by digest on the map side, so a group is down to a few hundred rows before the fill runs."""
     given = F.lit(quota) if isinstance(quota, int) else F.col(quota)
     span = windows.groupBy(*keys).agg(F.min(position).alias("_lo"), F.max(position).alias("_hi"), F.max(given).cast("int").alias("_q"))
     rows = windows.join(span, list(keys)).withColumn("_h", seeded(seed, *[F.col(k) for k in keys], F.col(item)))
@@ -146,17 +212,8 @@ def stratified_by_depth(windows: DataFrame, keys: Seq[str], position: str, item:
     pool = pool.groupBy(*columns).agg(F.max("_picked").alias("_picked"))
     entry = F.struct(F.col("_h").alias("h"), F.col(item).alias("item"), F.col(position).alias("pos"), F.col("_bin").alias("bin"), F.col("_picked").alias("picked"))
     held = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_pool"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_q").alias("_q"))
-    taken = F.filter("_pool", lambda e: e["picked"] == 1)
-    filled = F.transform(taken, lambda e: e["bin"])
-    empty = F.filter(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: ~F.array_contains(filled, i))
-
-    def fill(chosen, bucket):
-        centre = F.col("_lo") + (bucket + 0.5) * (F.col("_hi") - F.col("_lo")) / F.col("_q")
-        rest = F.filter("_pool", lambda e: ~F.exists(chosen, lambda c: c["item"] == e["item"]))
-        nearest = F.array_min(F.transform(rest, lambda e: F.struct(F.abs(e["pos"] - centre).alias("d"), e.alias("e"))))["e"]
-        return F.concat(chosen, F.array_compact(F.array(nearest)))
-
-    return held.select(*keys, F.explode(F.aggregate(empty, taken, fill)).alias("_e")).select(*keys, F.col("_e.item").alias(item), F.col("_e.pos").alias(position))
+    held = held.withColumn("_taken", F.filter("_pool", lambda e: e["picked"] == 1))
+    return _filled(held, keys, position, item)
 
 
 def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, anchor: str, order: Column, count: int, seed) -> DataFrame:
@@ -165,12 +222,15 @@ def sample_by_depth(windows: DataFrame, study: str, slot: str, position: str, an
     A study with fewer anchors than ``count`` repeats some; the repeats go to the slots
     furthest below their share, whose capacity no longer matters.
     """
-    distinct = materialize(distinct_anchors(windows, study, slot, anchor, order))
+    narrow = windows.select(study, slot, anchor, position, order.alias("_order"))
+    distinct = materialize(distinct_anchors(narrow, study, slot, anchor, F.col("_order")).drop("_order"))
     capacities = distinct.groupBy(study, slot).agg(F.count(F.lit(1)).alias("_cap"))
     quotas = slot_quotas(capacities, study, slot, "_cap", count, slot_weight(F.col(slot)))
-    rows = materialize(distinct.join(quotas.select(study, slot, F.col("_cap"), "quota"), [study, slot]))
-    capacities = rows.groupBy(study, slot).agg(F.max("_cap").alias("_cap"))
-    picks = stratified_by_depth(rows, [study, slot], position, anchor, "quota", seed, most=count)
+    quotas = materialize(quotas.select(study, slot, "_cap", "quota").dropna(subset=[study, slot]))
+    rows = distinct.join(quotas, [study, slot])
+    capacities = quotas.select(study, slot, "_cap")
+    large = quotas.where(F.col("_cap") > _small(windows)).select(study, slot)
+    picks = _stratified(rows, [study, slot], position, anchor, "quota", seed, count, None if large.isEmpty() else large, distinct.count())
     totals = capacities.groupBy(study).agg(F.sum("_cap").alias("_held"), F.sum(slot_weight(F.col(slot))).alias("_weights")).where(F.col("_held") < count)
     short = capacities.join(totals, study)
     units = short.withColumn("_unit", F.explode(F.sequence(F.col("_cap") + 1, F.lit(count).cast("long"))))

@@ -76,7 +76,8 @@ def slot_quotas(spark, d):
 
 @query("k05_depth_stratified")
 def depth_stratified(spark, d):
-    return sampling.stratified_by_depth(m.windows(spark, d).select("series", "idx", "position"), ["series"], "position", "idx", 4, 5)
+    return sampling.stratified_by_depth(m.windows(spark, d).select("series", "idx", "position"), ["series"], "position", "idx", 4, 5,
+                                        check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
 
 
 @query("k05_sample_by_depth", sql("SELECT DISTINCT study, CAST(16 AS BIGINT) AS drawn FROM windows", "windows"))

@@ -160,3 +160,30 @@ def test_cover_examples(spark):
 def test_soft_labels_are_no_examples(spark):
     df = spark.createDataFrame([(1, "one", 0.95, 0.1), (2, "two", 1.0, 0.0), (3, "three", 0.0, 1.0)], "uid int, report string, a double, b double")
     assert {r["uid"] for r in sampling.cover_examples(df, "uid", "report", ["a", "b"], 2, 1).collect()} == {2, 3}
+
+
+def test_depth_strata_of_small_groups_take_one_shuffle(spark):
+    """Small groups become one array each, without windows, and give the same picks as the plan for large groups."""
+    rng = random.Random(6)
+    rows = [(f"g{g}", i, float(rng.choice([rng.randrange(6), rng.uniform(0, 9)]))) for g in range(40) for i in range(rng.randrange(1, 60))]
+    rows += [("flat", i, 2.0) for i in range(11)] + [("twice", i // 2, float(i // 2)) for i in range(20)] + [("holes", i, None if i % 3 else float(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "series string, idx int, position double")
+    whole = sampling.stratified_by_depth(df, ["series"], "position", "idx", 4, 5)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    picks = lambda frame: sorted((r["series"], r["idx"], str(r["position"])) for r in frame.collect())
+    assert picks(whole) == picks(sampling._by_rims(df, ["series"], "position", "idx", 4, 5, 4))
+
+
+def test_large_groups_are_not_held_as_arrays(spark, hot):
+    df = spark.createDataFrame([("big" if i else "small", i, float(i % 37)) for i in range(200)], "series string, idx int, position double")
+    rows = sampling.stratified_by_depth(df, ["series"], "position", "idx", 5, 5).collect()
+    assert sorted(r["series"] for r in rows) == ["big"] * 5 + ["small"]
+
+
+def test_first_per_group_needs_no_sort(spark):
+    from sliceweave.operators.ordering import first_per_group
+
+    df = spark.createDataFrame([(1, 3, 0.5, 7), (1, 2, None, 8), (2, 5, 1.5, 9)], "k int, o int, x double, y int")
+    first = first_per_group(df, ["k"], F.col("o"))
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+    assert sorted(first.collect()) == [(1, 2, None, 8), (2, 5, 1.5, 9)]
