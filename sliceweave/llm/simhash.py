@@ -419,8 +419,10 @@ def _possible(similarity: float):
     return (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6) & near
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (``a``, ``b``) whose sets have the similarity."""
+def _confirmed(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose sets have the similarity. Only the sets of these pairs are built and stored."""
+    pairs = stored(pairs, "pairs")
+    sets = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"_{side}")) for side in ("a", "b"))
     both = F.size(F.array_intersect("_a", "_b"))
     whole = F.size("_a") + F.size("_b") - both
@@ -443,13 +445,12 @@ def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
         ends = by_fp.select(F.col("fp").alias("_fp"), "first")
         near = near.join(ends, F.col(side) == F.col("_fp")).withColumn(side, F.col("first")).drop("_fp", "first")
     meetings = _meetings(rows.select("node", "tokens").dropDuplicates(["node"]))  # copies are one class, however many
-    sets = stored(sets_of(meetings.select("node").distinct()), "sets")
     ends = meetings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     star = meetings.join(ends, "token").select("node", F.explode(F.array("low", "high")).alias("b")).where("node <> b")
     star = star.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     for side, size, bits in (("a", "n", "x"), ("b", "m", "y")):
         star = star.join(classes.select(F.col("node").alias(side), F.col("n").alias(size), F.col("bits").alias(bits)), side)
-    star = _confirmed(star.where(_possible(similarity)).select("a", "b"), sets, similarity)
+    star = _confirmed(star.where(_possible(similarity)).select("a", "b"), sets_of, similarity)
     edges = stored(edges.union(near.select("a", "b")).union(star), "links")
     roots = components(edges).withColumnRenamed("node", "_node")
     labelled = stored(classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "n", "bits"), "labels")
@@ -460,7 +461,7 @@ def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     right = apart.select("token", F.explode(F.expr("sequence(0L, piece)")).alias("p"), F.col("piece").alias("q"), F.col("node").alias("b"), F.col("label").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
     rest = left.join(right.hint("merge"), ["token", "p", "q"]).where((F.col("c") != F.col("d")) & ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & _possible(similarity))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(edges.union(_confirmed(rest, sets, similarity)))
+    return components(edges.union(_confirmed(rest, sets_of, similarity)))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, seed: int = SEED,

@@ -220,3 +220,22 @@ def test_own_columns_of_any_name_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_sets_are_stored_for_possible_pairs_only(spark, monkeypatch):
+    """Unlike texts that share one phrase meet, but sizes and parity exclude their pairs, so their sets are not built."""
+    rnd, stored, sets = random.Random(12), simhash.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    unlike = [" ".join([word() for _ in range(40)] + ["one phrase that all of these texts have in common here"] + [word() for _ in range(40)]) for _ in range(60)]
+    likes = [" ".join(word() for _ in range(80)) for _ in range(2)]
+    texts = unlike + likes + [likes[0] + " end", likes[1] + " end"]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(62)) and sets == [4, 0]
