@@ -14,7 +14,7 @@ fingerprint (to the smallest of its group); groups are then joined by contractio
 Four of 64 bits is a strict rule: texts that share four fifths of their shingles differ in about ten. Where a similarity
 is asked for, texts meet under the first shingles of their sets in one order of all shingles, frequent ones last: so
 many that two sets with the similarity share one of them. The exact Jaccard of the two sets decides. Texts that are
-connected already are not compared again; of the rest, those whose sizes or parity bits exclude the similarity are not.
+connected already are not compared again; of the rest, those whose sizes or parity bits exclude the similarity are not. Each set has as many parity bits as shingles or more.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from sliceweave.llm.common import Shared, fresh, map_rows, release, stored
 from sliceweave.llm.sharding import numbered
+from sliceweave.operators.ordering import broadcast_checked
 
 #: Words in a shingle, seed of its hash, most differing bits of a link.
 WORDS, SEED, DISTANCE = 4, 42, 4
@@ -38,13 +39,15 @@ WORDS, SEED, DISTANCE = 4, 42, 4
 BANDS = (13, 13, 13, 13, 12)
 #: Children of a node, and fingerprints in a piece of a cut band value.
 FAN, PIECE = 16, 20_000
-#: 64-bit words of a wide fingerprint, and of the parity bits of a set of shingles.
+#: 64-bit words of a wide fingerprint, and of the parity bits that each set of shingles has at least.
 WIDE, PARITY = 16, 8
 #: Texts of one meeting that are compared in one task.
 MEETING = 4096
 #: Texts, about, in which frequent shingles are counted, texts of them that make one frequent, and most that are kept.
 #: They only set the order of shingles; any order finds all pairs.
 COUNTED, OFTEN, FREQUENT = 20_000, 8, 200_000
+#: Most texts whose digests are broadcast to fetch them; for more, texts and digests are shuffled.
+WANTED = 200_000
 #: Odd multipliers that spread the bits of a 64-bit key.
 _MIX = tuple(np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -92,13 +95,28 @@ def majority(hashes: np.ndarray, rows: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def parity_words(distinct: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 64 * ``PARITY`` parts. Two sets differ in as many shingles at least as
-    these bits differ."""
-    odd = np.bincount((distinct >> np.uint64(20) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity_words(distinct: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * ``words`` parts, a power of two. Two sets differ in as many
+    shingles at least as these bits differ."""
+    odd = np.bincount((distinct >> np.uint64(20) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def long_parity(distinct: np.ndarray) -> bytes | None:
+    """At least one parity bit for each shingle, as a fixed number tells nothing of large sets; None if ``PARITY`` words do."""
+    words = 1 << max(0, (len(distinct) - 1).bit_length() - 6)
+    return parity_words(distinct, words).tobytes() if words > PARITY else None
+
+
+def parity_distance(one: bytes, other: bytes) -> int:
+    """Differing parity bits of two sets. The longer words are folded to the length of the shorter, as parities of parts
+    add up to that of their union."""
+    x, y = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(side.reshape(-1, width), axis=0) for side in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def wide_distance(similarity: float) -> int:
     """Most differing bits of the wide fingerprint for a share ``similarity`` of common shingles, two deviations added."""
     bits = 64 * WIDE
@@ -419,9 +437,23 @@ def _possible(similarity: float):
     return (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-6) & near
 
 
-def _confirmed(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (``a``, ``b``) whose sets have the similarity. Only the sets of these pairs are built and stored."""
-    pairs = stored(pairs, "pairs")
+def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose ``parity`` in ``classes`` allows the similarity. Those of small sets stay."""
+    for side, size, bits in (("a", "n", "x"), ("b", "m", "y")):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(size), F.col("parity").alias(bits)), side)
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(*columns: pa.Array) -> dict:
+        rows = zip(*(c.to_pylist() for c in columns))
+        return {"likely": [x is None or y is None or parity_distance(x, y) <= (n + m) * share + 1e-6 for n, m, x, y in rows]}
+
+    return map_rows(pairs, ["n", "m", "x", "y"], "likely boolean", run, ["a", "b"]).where("likely").select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (``a``, ``b``) whose sets have the similarity. Only the sets of pairs that parity allows are
+    built and stored."""
+    pairs = stored(_likely(pairs, classes, similarity), "pairs")
     sets = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
     left, right = (sets.select(F.col("node").alias(side), F.col("set").alias(f"_{side}")) for side in ("a", "b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -430,13 +462,13 @@ def _confirmed(pairs: DataFrame, sets_of, similarity: float) -> DataFrame:
 
 
 def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``n``, ``bits``, ``tokens``), one row
+    """``node`` and ``root`` of the linked classes of ``rows`` (``node``, ``fp``, ``n``, ``bits``, ``parity``, ``tokens``), one row
     per class: linked by four bits of ``fp``, or by the exact similarity of the sets. All sets with the similarity share a token.
 
     ``sets_of`` gives the sets (``node``, ``set``) of the nodes of a table. Each meeting first compares all with its
     smallest and its largest node, so that a crowd of copies is connected without pairs; then those that are still apart.
     """
-    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", "bits")]), "classes")
+    classes = stored(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", "bits", "parity")]), "classes")
     by_fp = stored(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "by_fp")
     again = by_fp.where("n > 1").select(F.col("fp").alias("_fp"), "first")
     edges = classes.join(again, F.col("fp") == F.col("_fp")).select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -450,7 +482,7 @@ def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     star = star.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     for side, size, bits in (("a", "n", "x"), ("b", "m", "y")):
         star = star.join(classes.select(F.col("node").alias(side), F.col("n").alias(size), F.col("bits").alias(bits)), side)
-    star = _confirmed(star.where(_possible(similarity)).select("a", "b"), sets_of, similarity)
+    star = _confirmed(star.where(_possible(similarity)).select("a", "b"), classes, sets_of, similarity)
     edges = stored(edges.union(near.select("a", "b")).union(star), "links")
     roots = components(edges).withColumnRenamed("node", "_node")
     labelled = stored(classes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("label"), "n", "bits"), "labels")
@@ -461,7 +493,7 @@ def similar_roots(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
     right = apart.select("token", F.explode(F.expr("sequence(0L, piece)")).alias("p"), F.col("piece").alias("q"), F.col("node").alias("b"), F.col("label").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
     rest = left.join(right.hint("merge"), ["token", "p", "q"]).where((F.col("c") != F.col("d")) & ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & _possible(similarity))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(edges.union(_confirmed(rest, sets_of, similarity)))
+    return components(edges.union(_confirmed(rest, classes, sets_of, similarity)))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, seed: int = SEED,
@@ -480,7 +512,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def run(texts: pa.Array) -> dict:
         frequent = shared.get(lambda value: value)
-        out: dict[str, list] = {"fp": [], "node": [], "n": [], "bits": [], "tokens": []}
+        out: dict[str, list] = {"fp": [], "node": [], "n": [], "bits": [], "parity": [], "tokens": []}
         for text in texts.to_pylist():
             hashes = shingle_hashes(text, words, seed)
             distinct = shingle_set(text, similar_words, seed, hashes if similar_words == words + 1 else None)
@@ -489,17 +521,19 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             out["node"].append(hashlib.md5(fp.tobytes() + distinct.tobytes()).digest())
             out["n"].append(len(distinct))
             out["bits"].append(parity_words(distinct))
+            out["parity"].append(long_parity(distinct))
             out["tokens"].append(first_tokens(distinct, frequent, similarity).view(np.int64))
         return out
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("_digest"))
+        wanted = stored(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("_digest")), "wanted")
+        wanted = broadcast_checked(wanted, WANTED)  # where few texts are wanted, the others are not shuffled
         own = marked.select(F.col(digest).alias("_own"), F.col(f"`{text_column}`").alias("_text"))  # no other column of the input meets ours
         texts = own.join(wanted, F.col("_own") == F.col("_digest")).dropDuplicates(["_digest"])
         return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [shingle_set(t, similar_words, seed).view(np.int64) for t in ts.to_pylist()]}, ["node"])
 
-    rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, tokens array<long>", run, [id_column, digest])
-    rows = stored(rows.toDF("id", "digest", "fp", "node", "n", "bits", "tokens"), "fingerprints")
+    rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, parity binary, tokens array<long>", run, [id_column, digest])
+    rows = stored(rows.toDF("id", "digest", "fp", "node", "n", "bits", "parity", "tokens"), "fingerprints")
     roots = similar_roots(rows, sets_of, similarity).withColumnRenamed("node", "_node")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     # One row per class first, so that copies are combined before they meet in their group.

@@ -239,3 +239,34 @@ def test_sets_are_stored_for_possible_pairs_only(spark, monkeypatch):
     texts = unlike + likes + [likes[0] + " end", likes[1] + " end"]
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == set(range(62)) and sets == [4, 0]
+
+
+def test_long_unlike_texts_are_excluded_by_parity(spark, monkeypatch):
+    """512 parity bits exclude no pair of sets of 2,500 shingles; as many bits as shingles do, and folded ones too."""
+    rnd, stored, sets = random.Random(13), simhash.stored, []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    long = lambda n: " ".join([word() for _ in range(n)] + ["one phrase that all of these texts have in common here"])
+    unlike = [long(n) for n in (1900, 2000, 2100, 2200, 2300, 2400, 4200, 4300)]  # sizes on both sides of 2,048 and 4,096
+    like = unlike[2].split()
+    for at in rnd.sample(range(2000), 30):
+        like[at] = "other"
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate([*unlike, " ".join(like)])), "doc_id long, text string")).collect()}
+    assert kept == set(range(8)) and sets[0] <= 2 and sum(sets) == 2
+
+
+def test_folded_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(600, 9000))
+        one = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        other = np.unique(np.concatenate([one[rng.random(len(one)) < rng.random()], rng.integers(0, 2**64, int(rng.integers(600, 9000)), np.uint64)]))
+        assert simhash.parity_distance(simhash.long_parity(one), simhash.long_parity(other)) <= len(np.setxor1d(one, other))
+    assert simhash.long_parity(one[:512]) is None and len(simhash.long_parity(one[:513])) == 128
