@@ -2,19 +2,57 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sliceweave.functions.text import normalise, report_group
+from sliceweave.functions.text import digest, normalise, report_group
 from sliceweave.session import materialize
 
 PRIME = 2_147_483_647
+#: Shingles that are hashed at once.
+CHUNK = 512
+
+
+def coefficients(i: int) -> tuple[int, int]:
+    """Factor and addend of the i-th reproducible hash ``(value * a + b) % PRIME`` of a number below 2^28."""
+    return (i * 1_000_003 + 7_919) % PRIME, (i * 15_485_863 + 104_729) % PRIME
+
 
+def text_minima(text: bytes, words: int, factors: np.ndarray, addends: np.ndarray) -> np.ndarray:
+    """Smallest value of every hash over the word shingles of a normalised text; a shorter text is one shingle."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist()
+    starts, ends = [0, *(i + 1 for i in ends)], [*ends, len(text)]
+    found = b"".join([md5(text[a:b]).digest() for a, b in zip(starts, ends[words - 1:] or ends[-1:])])
+    numbers = (np.frombuffer(found, ">u4")[::4] >> 4).astype(np.uint64)  # the first seven hexadecimal digits
+    prime, least = np.uint64(PRIME), np.full(len(factors), PRIME, np.uint64)
+    values, upper = np.empty((2, len(factors), min(CHUNK, len(numbers))), np.uint64)
+    for at in range(0, len(numbers), CHUNK):
+        part = numbers[at:at + CHUNK]
+        value, high = values[:, :len(part)], upper[:, :len(part)]
+        np.multiply(factors[:, None], part, out=value)
+        np.add(value, addends[:, None], out=value)
+        for _ in range(2):  # the remainder by 2^31 - 1: its upper bits are added to the lower ones
+            np.right_shift(value, np.uint64(31), out=high)
+            np.bitwise_and(value, prime, out=value)
+            np.add(value, high, out=value)
+        np.copyto(value, np.uint64(0), where=value == prime)
+        least = np.minimum(least, value.min(axis=1))
+    return least
 
-def permutation(value: Column, i: int) -> Column:
-    """i-th reproducible hash of a number below 2^28."""
-    a, b = (i * 1_000_003 + 7_919) % PRIME, (i * 15_485_863 + 104_729) % PRIME
-    return F.pmod(value * a + b, F.lit(PRIME))
+
+def minima(plain: Column, words: int, size: int) -> Column:
+    """The ``size`` MinHash values of every normalised text, null for null."""
+    pairs = np.array([coefficients(i) for i in range(size)], np.uint64)
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else text_minima(t, words, pairs[:, 0], pairs[:, 1]).astype(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run(plain.cast("binary"))
 
 
 def _texts(rows: DataFrame, uid: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -24,35 +62,34 @@ def _texts(rows: DataFrame, uid: str, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
-    """``report_group`` and ``_all``: every word shingle of its text, repeats included; shorter texts are one shingle."""
+    """The text's columns but ``_text``, and ``_all``: its word shingles, repeats included; a shorter text is one shingle."""
     split = F.split(normalise(F.col("_text")), " ")
     last = F.greatest(F.size("_w") - (words - 1), F.lit(1))
     shingles = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(F.col("_w"), i, words), " "))
-    return texts.select("report_group", split.alias("_w")).select("report_group", shingles.alias("_all"))
+    kept = [c for c in texts.columns if c != "_text"]
+    return texts.select(*kept, split.alias("_w")).select(*kept, shingles.alias("_all"))
 
 
-def _banded(shingles: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """One row per text and MinHash band."""
-    tokens = shingles.select("report_group", F.explode("_all").alias("_s"))
-    number = F.conv(F.substring(F.md5("_s"), 1, 7), 16, 10).cast("long")
-    size = bands * per_band
-    hashed = tokens.select("report_group", number.alias("_n")).groupBy("report_group").agg(
-        *[F.min(permutation(F.col("_n"), i)).alias(f"m{i}") for i in range(size)])
-    keys = F.array(*[F.concat_ws(":", F.lit(b), *[F.col(f"m{b * per_band + i}") for i in range(per_band)]) for b in range(bands)])
-    return hashed.select("report_group", F.explode(keys).alias("band"))
+def _banded(signed: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """One row per text and MinHash band, from the minima of each text."""
+    keys = F.array(*[F.concat_ws(":", F.lit(b), *[F.col("_minima")[b * per_band + i] for i in range(per_band)]) for b in range(bands)])
+    return signed.where(F.col("_minima").isNotNull()).select("report_group", F.explode(keys).alias("band"))
 
 
 def near_duplicates(rows: DataFrame, uid: str = "uid", text: str = "report", words: int = 3, bands: int = 10, per_band: int = 5) -> DataFrame:
     """Texts whose MinHash agrees with another text in at least one band.
 
-    Exact copies collapse to one text first. Bands are counted, not paired, so a
+    Each text gives its minima where it is read, so neither texts nor shingles are
+    shuffled; minima of exact copies collapse to one, and are stored. Bands are counted, not paired, so a
     large family of near copies costs one row per text and band.
     """
-    keyed, texts = _texts(rows, uid, text)
-    banded = _banded(_shingles(texts, words), bands, per_band)
+    plain = rows.select(F.col(f"`{uid}`").alias("_uid"), normalise(F.col(f"`{text}`")).alias("_plain"))
+    keyed = plain.select("_uid", digest(F.col("_plain")).alias("report_group"), "_plain")
+    signed = keyed.where(F.col("_uid").isNotNull() & F.col("_plain").isNotNull()).select("report_group", minima(F.col("_plain"), words, bands * per_band).alias("_minima"))
+    banded = _banded(materialize(signed.dropDuplicates(["report_group"])), bands, per_band)
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     flags = banded.join(shared, "band").groupBy("report_group").agg(F.count(F.lit(1)).alias("shared_bands"))
-    return keyed.drop("_text").join(flags, "report_group", "left").select(
+    return keyed.drop("_plain").join(flags, "report_group", "left").select(
         F.col("_uid").alias(uid), "report_group", F.coalesce("shared_bands", F.lit(0)).alias("shared_bands"),
         (F.coalesce("shared_bands", F.lit(0)) > 0).cast("int").alias("near_duplicate"))
 
@@ -69,7 +106,8 @@ def verified_near_duplicates(rows: DataFrame, uid: str = "uid", text: str = "rep
     exact copies share one group and are not near duplicates of each other. One row per input row, other columns are left out.
     """
     keyed, texts = _texts(rows, uid, text)
-    shingles = materialize(_shingles(texts.where(F.col("report_group").isNotNull()), words))
+    texts = texts.where(F.col("report_group").isNotNull())
+    shingles = materialize(_shingles(texts.withColumn("_minima", minima(normalise(F.col("_text")), words, bands * per_band)), words))
     sets = shingles.select("report_group", F.array_distinct("_all").alias("set"))
     banded = _banded(shingles, bands, per_band)
     firsts = banded.groupBy("band").agg(F.min("report_group").alias("a"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")

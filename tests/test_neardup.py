@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from hashlib import md5
 
 from sliceweave.operators import neardup
 
@@ -56,3 +58,27 @@ def test_a_family_is_never_paired(spark):
     rows = [(i, " ".join([*base[:i % 120], f"x{i}", *base[i % 120 + 1:]])) for i in range(400)]
     got = neardup.verified_near_duplicates(spark.createDataFrame(rows, "uid int, report string")).collect()
     assert sum(r["near_duplicate"] for r in got) >= 396
+
+
+def test_minima_are_made_once_a_text_and_equal_the_plain_hashes(spark, monkeypatch):
+    """The band test stores one row of minima per distinct text; they are those of the formula, shingle by shingle."""
+    rng, rows, kept = random.Random(5), [], []
+    stored = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df: kept.append(stored(df)) or kept[-1])
+    for i in range(12):
+        base = [rng.choice("abcdefgh") * rng.randrange(1, 9) + str(rng.randrange(90)) for _ in range(40 * i + 20)]
+        rows += [(len(rows) + k, " ".join(w if at else f"{w}é{k // 2}" for at, w in enumerate(base))) for k in range(3)]  # two copies, one edit
+    rows += [(None, "no uid here"), (100, None), (101, ""), (102, " \n"), (103, "two words"), (104, "Two\twords ")]
+    got = {r["uid"]: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "uid int, report string")).collect()}
+    plain = {u: " ".join((t or "").lower().split()) for u, t in rows if u is not None and t is not None}
+
+    def minima(text):
+        numbers = [int(md5(s.encode()).hexdigest()[:7], 16) for s in shingles(text)]
+        return [min((n * ((i * 1_000_003 + 7_919) % neardup.PRIME) + (i * 15_485_863 + 104_729) % neardup.PRIME) % neardup.PRIME for n in numbers) for i in range(50)]
+
+    signs = {t: minima(t) for t in set(plain.values())}
+    assert len(kept) == 1 and sorted(map(tuple, signs.values())) == sorted(tuple(r["_minima"]) for r in kept[0].collect())
+    bands = {t: [(b, *s[5 * b:5 * b + 5]) for b in range(10)] for t, s in signs.items()}
+    many = Counter(b for each in bands.values() for b in each)
+    assert {u: got[u]["shared_bands"] for u in plain} == {u: sum(many[b] > 1 for b in bands[t]) for u, t in plain.items()}
+    assert len(got) == len(rows) and got[100]["shared_bands"] == got[None]["shared_bands"] == 0
