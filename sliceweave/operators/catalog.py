@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence as Seq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sliceweave.functions import geometry
-from sliceweave.operators.ordering import Sequence, group_quantiles, group_summary
+from sliceweave.operators.ordering import Sequence, group_quantiles, group_summary, hot_groups
 from sliceweave.schemas import PLANES
 
 
@@ -62,24 +62,32 @@ def middle_reference(ordered: DataFrame, key: str, value: Column, name: str) ->
 
 
 def series_quality(headers: DataFrame, series: str, file_order: Seq[str], unreadable: Column,
-                   check: DataFrame | None = None) -> DataFrame:
+                   check: DataFrame | None = None, hot: DataFrame | None | bool = False) -> DataFrame:
     """Geometry quality per series from its slice headers.
 
     The normal of the first valid header places every slice; equal positions
     (4 decimals) count once. Spacing and field of view come from the middle.
+    Unless a series is large, rows that are partitioned by series, and sorted by
+    ``file_order`` in it, are not shuffled or sorted for the first normal again.
     """
     flagged = header_flags(headers, unreadable).withColumn("_ok", ~F.col("header_error") & ~F.col("geometry_error"))
     flagged = geometry.with_normal(flagged, "orientation", "_normal")
-    first = F.min_by("_normal", F.when(F.col("_ok"), F.struct(*file_order)))
-    groups = flagged.groupBy(series).agg(first.alias("_first"), F.count_if("_ok").alias("_n"))
+    hot = hot_groups(flagged, [series], check=check) if hot is False else hot
+    if hot is None:
+        whole = Window.partitionBy(series).orderBy(*file_order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first = F.first(F.when(F.col("_ok"), F.col("_normal")), ignorenulls=True)
+        first_known = flagged.where(F.col(series).isNotNull()).withColumn("_first", first.over(whole)).withColumn("_n", F.count_if("_ok").over(whole))
+    else:
+        first = F.min_by("_normal", F.when(F.col("_ok"), F.struct(*file_order)))
+        first_known = flagged.join(flagged.groupBy(series).agg(first.alias("_first"), F.count_if("_ok").alias("_n")), series)
     # Faulty headers stay in, behind the valid ones, so a series without any valid header is still reported.
-    placed = flagged.join(groups, series).select(
+    placed = first_known.select(
         series, *file_order, "_ok", "_n", "header_error", "geometry_error",
         F.when(F.col("_ok"), F.struct("rows", "columns")).alias("_matrix"),
         F.when(F.col("_ok"), geometry.valid_spacing(F.col("pixel_spacing"))).alias("_spacing"),
         F.when(F.col("_ok"), F.abs(geometry.dot(F.col("_normal"), F.col("_first")))).alias("_cosine"),
         F.when(F.col("_ok"), F.bround(geometry.dot(F.col("location"), F.col("_first")), 4)).alias("_pos"))
-    seq = Sequence(placed, [series], [F.col("_ok").desc(), F.col("_pos"), *[F.col(c) for c in file_order]], check=check)
+    seq = Sequence(placed, [series], [F.col("_ok").desc(), F.col("_pos"), *[F.col(c) for c in file_order]], check=check, hot=hot)
     rows = seq.row_number("_rn").neighbour("_before", F.col("_pos")).df
     new = F.col("_ok") & ((F.col("_rn") == 1) | (F.col("_pos") != F.col("_before")))
     rows = rows.withColumn("_new", new).withColumn("_gap", F.when(F.col("_new") & (F.col("_rn") > 1), F.col("_pos") - F.col("_before")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sliceweave.operators import catalog
+from sliceweave.operators.ordering import hot_groups
 from sliceweave.operators.reshape import to_long
 from sliceweave.sources.tables import table
 
@@ -200,10 +201,11 @@ _DIRECTIONS = [(0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 1.0]), (1, [0.0, 1
                (2, [0.0, 0.6, 0.8, 1.0, 0.0, 0.0], [0.0, 0.8, -0.6]), (3, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 0.0])]
 
 
-def headers(spark: SparkSession, d: str) -> DataFrame:
+def headers(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
+    """Headers of all slices, or of ``found``, whose partitions and order stay."""
     directions = spark.createDataFrame(_DIRECTIONS, "kind int, orientation array<double>, axis array<double>")
     turned = (F.col("series") + F.when(F.col("supp") % 43 == 0, 1).otherwise(0)) % 3
-    rows = slices(spark, d).withColumn("kind", F.when(F.col("supp") % 41 == 0, 3).otherwise(turned).cast("int"))
+    rows = (slices(spark, d) if found is None else found).withColumn("kind", F.when(F.col("supp") % 41 == 0, 3).otherwise(turned).cast("int"))
     rows = rows.withColumn("lane", (F.col("series") % 3).cast("int"))
     rows = rows.join(F.broadcast(directions.select("kind", "orientation")), "kind")
     rows = rows.join(F.broadcast(directions.select(F.col("kind").alias("lane"), "axis")), "lane")
@@ -227,8 +229,11 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 def quality(spark: SparkSession, d: str) -> DataFrame:
     """Measured quality, rounded so that both engines rank equal series equally."""
-    found = catalog.series_quality(headers(spark, d), "series", FILE_ORDER, F.col("unreadable"),
-                                   check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
+    check = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series"))
+    hot, rows = hot_groups(check, ["series"]), slices(spark, d)
+    if hot is None:  # plain columns are shuffled and sorted, the arrays of a header are made after it
+        rows = rows.repartition("series").sortWithinPartitions("series", *FILE_ORDER)
+    found = catalog.series_quality(headers(spark, d, rows), "series", FILE_ORDER, F.col("unreadable"), check=check, hot=hot)
     digits = {"coverage_mm": 6, "slice_spacing_mm": 6, "pixel_spacing_mm": 6, "fov_mm": 3}
     return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in found.columns])
 

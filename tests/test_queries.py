@@ -35,3 +35,20 @@ def test_has_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_quality_shuffles_plain_columns_once(spark, monkeypatch, hot):
+    """Headers are made behind the shuffle by series, which also serves the first normal; large series give the same rows."""
+    from sliceweave.plans import models
+    from sliceweave.session import HOT_ROWS_CONF
+
+    rows = [(s, line, part, supp, 100.0 * (part % 13), 5.0) for s in (1, 2, 3, None) for line in (1, 2, 3, 4, 5) for part, supp in ((97, 41), (98 + line, 41 if s == 2 else 43 + line))]
+    rows += [(4, line, 100 + line, 7, 10.0 * line, 5.0) for line in range(1, 50)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    monkeypatch.setattr(models, "table", lambda *_: lines)
+    cut = sorted(map(str, models.quality(spark, "").collect()))
+    spark.conf.unset(HOT_ROWS_CONF)
+    whole = models.quality(spark, "")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, whole.collect())) == cut and len(cut) == 4
+    assert plan.count("Exchange hashpartitioning(series") == 1 and "min_by(_normal" not in plan
