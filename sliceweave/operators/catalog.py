@@ -37,9 +37,10 @@ def header_scan(headers: DataFrame, series: str, unreadable: Column) -> DataFram
         F.count_if("geometry_error").alias("geometry_errors"))
 
 
-def order_slices(slices: DataFrame, keys: Seq[str], position: str, tie: Seq[str], check: DataFrame | None = None) -> DataFrame:
+def order_slices(slices: DataFrame, keys: Seq[str], position: str, tie: Seq[str], check: DataFrame | None = None,
+                 hot: DataFrame | None | bool = False) -> DataFrame:
     """Zero-based ``idx`` in spatial order and the group size ``n``."""
-    seq = Sequence(slices, keys, [F.col(position), *[F.col(name) for name in tie]], check=check).row_number("_rn").size("n")
+    seq = Sequence(slices, keys, [F.col(position), *[F.col(name) for name in tie]], check=check, hot=hot).row_number("_rn").size("n")
     return seq.df.withColumn("idx", F.col("_rn") - 1).drop("_rn")
 
 

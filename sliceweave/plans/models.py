@@ -16,6 +16,8 @@ from sliceweave.sources.tables import table
 
 TARGETS = ["discount", "tax", "quantity", "returned"]
 CROP_MM, IMAGE_SIZE = 60.0, 336
+#: Slices, about, that one task orders.
+SERIES_ROWS = 250_000
 
 _SQL = {
     # documents as studies with a report; labels as their partial gold columns
@@ -227,12 +229,22 @@ def series(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(counts, "series", "left").withColumn("num_slices", F.coalesce("num_slices", F.lit(0)))
 
 
-def quality(spark: SparkSession, d: str) -> DataFrame:
-    """Measured quality, rounded so that both engines rank equal series equally."""
+def _by_series(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Slices, the frame that counts them and the large series. Without such, slices lie in partitions of whole series
+    and of ``SERIES_ROWS`` on average, however many there are, so that a task sorts them in memory."""
     check = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series"))
     hot, rows = hot_groups(check, ["series"]), slices(spark, d)
+    if hot is None:
+        least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(max(1, least, -(-check.count() // SERIES_ROWS)), "series")
+    return rows, check, hot
+
+
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    """Measured quality, rounded so that both engines rank equal series equally."""
+    rows, check, hot = _by_series(spark, d)
     if hot is None:  # plain columns are shuffled and sorted, the arrays of a header are made after it
-        rows = rows.repartition("series").sortWithinPartitions("series", *FILE_ORDER)
+        rows = rows.sortWithinPartitions("series", *FILE_ORDER)
     found = catalog.series_quality(headers(spark, d, rows), "series", FILE_ORDER, F.col("unreadable"), check=check, hot=hot)
     digits = {"coverage_mm": 6, "slice_spacing_mm": 6, "pixel_spacing_mm": 6, "fov_mm": 3}
     return found.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in found.columns])
@@ -250,8 +262,8 @@ def train_thresholds(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
 
 
 def ordered_slices(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.order_slices(slices(spark, d), ["series"], "position", FILE_ORDER,
-                                check=table(spark, d, "lineitem").select(F.col("l_orderkey").alias("series")))
+    rows, check, hot = _by_series(spark, d)
+    return catalog.order_slices(rows, ["series"], "position", FILE_ORDER, check=check, hot=hot)
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:

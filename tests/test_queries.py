@@ -52,3 +52,13 @@ def test_quality_shuffles_plain_columns_once(spark, monkeypatch, hot):
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, whole.collect())) == cut and len(cut) == 4
     assert plan.count("Exchange hashpartitioning(series") == 1 and "min_by(_normal" not in plan
+
+
+def test_tasks_order_a_bounded_number_of_slices(spark, monkeypatch):
+    """Partitions grow with the slices, whatever the session's number of shuffle partitions is."""
+    from sliceweave.plans import models
+
+    monkeypatch.setattr(models, "SERIES_ROWS", 200)
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    for found in (models.ordered_slices(spark, DATA), models.quality(spark, DATA)):
+        assert found.rdd.getNumPartitions() == -(-rows // 200)
