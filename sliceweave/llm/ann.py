@@ -199,7 +199,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
         visits = 1 + np.maximum((before < mass).sum(axis=1), (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1))
         return {"parts": [o[:n].tolist() for o, n in zip(order, visits)]}
 
-    placed = stored(map_rows(points, ["v"], "part int", own_part, ["v", "ids"]), "placed")
+    placed = stored(map_rows(points, ["v"], "part int", own_part, ["v", "ids"], shared), "placed")
     counted = placed.groupBy("part").count()
     held = np.zeros(parts, np.int64)  # vectors of each part
     for row in counted.collect():
@@ -208,7 +208,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "ve
     blocks = placed.join(F.broadcast(sizes), F.col("part") == F.col("_part")).withColumn("block", F.pmod(F.xxhash64("v"), "blocks")).select("part", "block", "v", "ids")
     asked = stored(valid(queries), "queries")
     distinct = asked.groupBy("v").agg(F.min("id").alias("query"))
-    routed = map_rows(distinct, ["v"], "parts array<int>", likely_parts, ["query", "v"])
+    routed = map_rows(distinct, ["v"], "parts array<int>", likely_parts, ["query", "v"], shared)
     routed = routed.select("query", "v", F.explode("parts").alias("part")).join(F.broadcast(sizes), F.col("part") == F.col("_part"))
     routed = routed.select("query", "v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     found = blocks.groupBy("part", "block").cogroup(routed.groupBy("part", "block")).applyInArrow(_rank_block(k + 1), "query long, distance double, ids array<long>")

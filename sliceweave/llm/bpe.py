@@ -226,7 +226,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             out["decoded"] = [encoder.decode(x).decode("utf-8", "replace") for x in ids]
         return out
 
-    return map_rows(df, [text_column], "n_tokens long, ids binary" + ", decoded string" * decode, run, [id_column])
+    return map_rows(df, [text_column], "n_tokens long, ids binary" + ", decoded string" * decode, run, [id_column], shared)
 
 
 def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -237,4 +237,4 @@ def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str
         encoder = shared.get(BpeEncoder)
         return {"decoded": [encoder.decode(x or b"").decode("utf-8", "replace") for x in ids.to_pylist()]}
 
-    return map_rows(df, [ids_column], "decoded string", run, [id_column])
+    return map_rows(df, [ids_column], "decoded string", run, [id_column], shared)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import pickle
@@ -23,6 +24,7 @@ WORD_BYTES = bytes(
 #: Rows handed to a function at once; bounds what a worker holds beside its Arrow batch.
 ROWS = 1024
 _PROCESS: dict = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,29 +36,38 @@ class Shared:
     """A broadcast value of bounded size, and what each worker process builds from it and keeps for later tasks."""
 
     def __init__(self, spark: SparkSession, kind: str, value):
-        self.kind, self.key = kind, hashlib.md5(pickle.dumps(value)).hexdigest()
+        self.name = (kind, hashlib.md5(pickle.dumps(value)).hexdigest())
         self.sent = spark.sparkContext.broadcast(value)
 
     def get(self, build: Callable):
         """``build(value)`` of this process. A worker keeps one table: the next operator's replaces it."""
-        name = (self.kind, self.key)
-        if name not in _PROCESS:
+        if self.name not in _PROCESS:
             release()
-            _PROCESS[name] = build(self.sent.value)
-        return _PROCESS[name]
+            _PROCESS[self.name] = build(self.sent.value)
+        return _PROCESS[self.name]
 
 
-def release() -> None:
-    """Give back the table that an earlier operator left in this worker process."""
-    if _PROCESS:
+def release(but: Shared | None = None) -> None:
+    """Give back the table that an earlier operator left in this worker process, unless it is that of ``but``."""
+    if _PROCESS and not (but and but.name in _PROCESS):
         _PROCESS.clear()
         gc.collect()
+        trim()
 
 
-def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callable[..., Mapping], keep: Sequence[str] = ()) -> DataFrame:
+def trim() -> None:
+    """Give freed memory back to the system: allocators keep it, and a worker lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callable[..., Mapping], keep: Sequence[str] = (),
+             shared: Shared | None = None) -> DataFrame:
     """Columns ``keep`` as they are, and those that ``function(*inputs)`` makes of each Arrow batch (a dict by field name).
 
     ``fields`` is a DDL string. Only ``keep`` and ``inputs`` are sent to Python, so extra columns of any name do no harm.
+    ``shared`` is what ``function`` reads; a worker gives back every other table before it reads rows.
     """
     made = StructType.fromDDL(fields)
     keep_types = {f.name: f for f in df.schema.fields}
@@ -65,10 +76,12 @@ def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callab
     names = [*keep, *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(shared)
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             columns = function(*batch.columns[kept:])
             new = [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], t) for n, t in zip(made.names, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *new], names=names)
+        trim()
 
     return sent.mapInArrow(run, StructType([*[keep_types[k] for k in keep], *made.fields]))
 

@@ -140,7 +140,7 @@ def scan(df: DataFrame, items: DataFrame, keep: list[str], size: int = SIZE, tex
         last = i == blocks - 1
         rows = map_rows(rows, [text_column, made["starts"], made["ends"], made["items"]],
                         f"`{made['n_words']}` long, `{made['starts']}` array<long>, `{made['ends']}` array<long>, `{made['items']}` array<string>",
-                        run, keep if last else list(dict.fromkeys([*keep, text_column])))
+                        run, keep if last else list(dict.fromkeys([*keep, text_column])), shared)
     windows.unpersist()
     return rows, made
 

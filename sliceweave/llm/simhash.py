@@ -532,7 +532,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         texts = own.join(wanted, F.col("_own") == F.col("_digest")).dropDuplicates(["_digest"])
         return map_rows(texts, ["_text"], "set array<long>", lambda ts: {"set": [shingle_set(t, similar_words, seed).view(np.int64) for t in ts.to_pylist()]}, ["node"])
 
-    rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, parity binary, tokens array<long>", run, [id_column, digest])
+    rows = map_rows(marked, [text_column], "fp long, node binary, n int, bits array<long>, parity binary, tokens array<long>", run, [id_column, digest], shared)
     rows = stored(rows.toDF("id", "digest", "fp", "node", "n", "bits", "parity", "tokens"), "fingerprints")
     roots = similar_roots(rows, sets_of, similarity).withColumnRenamed("node", "_node")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")

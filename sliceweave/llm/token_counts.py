@@ -162,4 +162,4 @@ def count_tokens(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
         counter = shared.get(Counter)
         return {"n_bytes": pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), "n_tokens": [counter.count(t) for t in texts.to_pylist()]}
 
-    return map_rows(df, [text_column], "n_bytes long, n_tokens long", run, [id_column])
+    return map_rows(df, [text_column], "n_bytes long, n_tokens long", run, [id_column], shared)

@@ -412,7 +412,7 @@ def score(df: DataFrame, model: tuple[dict, Network] | None, keep: list[str], te
     get the score of no evidence (the network's bias). Without a model all scores are 0.
     """
     shared = Shared(df.sparkSession, "toxicity", model)
-    return map_rows(df, [text_column], f"`{name}` double", lambda texts: {name: shared.get(Scorer).scores(texts.to_pylist())}, keep)
+    return map_rows(df, [text_column], f"`{name}` double", lambda texts: {name: shared.get(Scorer).scores(texts.to_pylist())}, keep, shared)
 
 
 def clean_documents(df: DataFrame, model: tuple[dict, Network] | None, text_column: str = "text", limit: float = TOXIC) -> DataFrame:
