@@ -28,6 +28,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker keeps with their ids, and the longest kept; only memory depends on them.
 KEEP_PIECES, KEEP_LENGTH = 800_000, 64
+#: Marks, by hash, of pre-tokens that were met once: with marks only those met again are kept, as most never are.
+MARKS = 1 << 22
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,7 +75,7 @@ class ByteBpe:
 class BpeEncoder:
     """Encoder and decoder of one process."""
 
-    def __init__(self, bpe: ByteBpe):
+    def __init__(self, bpe: ByteBpe, marks: int = 0):
         self.bpe, tokens = bpe, bpe.tokens
         self.merged = {pair: made for made, pair in bpe.parts.items()}
         self._right, self._left = {}, {}
@@ -96,7 +98,7 @@ class BpeEncoder:
         self._find = regex.compile(PATTERN).findall
         self._find_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(bpe.special, key=len, reverse=True)) or r"(?!)")
-        self.memo = _Memo(self)
+        self.memo = _Memo(self, marks)
 
     def _spine(self, token: int, side: int, kept: dict) -> list[tuple[int, int]]:
         """Tokens that stand at one edge while ``token`` is merged, each with the id that ends it."""
@@ -193,17 +195,21 @@ class BpeEncoder:
 
 
 class _Memo(dict):
-    def __init__(self, encoder: BpeEncoder):
+    def __init__(self, encoder: BpeEncoder, marks: int):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.met = encoder, bytearray(marks)
 
     def __missing__(self, piece: str) -> bytes:
         found = self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))
         ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= KEEP_LENGTH:
-            if len(self) >= KEEP_PIECES:
-                self.clear()
-            self[piece] = ids
+            if self.met and not self.met[mark := hash(piece) % len(self.met)]:
+                self.met[mark] = 1
+            else:
+                if len(self) >= KEEP_PIECES:
+                    self.clear()
+                    self.met = bytearray(len(self.met))
+                self[piece] = ids
         return ids
 
 
@@ -219,7 +225,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     shared = Shared(df.sparkSession, "bpe", ByteBpe.load(path))
 
     def run(texts: pa.Array) -> dict:
-        encoder = shared.get(BpeEncoder)
+        encoder = shared.get(lambda value: BpeEncoder(value, MARKS))
         ids = [encoder.encode(text) for text in texts.to_pylist()]
         out = {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
         if decode:

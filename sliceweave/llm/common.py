@@ -6,6 +6,7 @@ import ctypes
 import gc
 import hashlib
 import pickle
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ WORD_BYTES = bytes(
 )
 #: Rows handed to a function at once; bounds what a worker holds beside its Arrow batch.
 ROWS = 1024
+#: Spark's setting for the bytes of an Arrow batch, and the most that is left there: a batch stands in the worker and, outside the
+#: heap, in the JVM, on the way in and out. Only memory depends on it.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _PROCESS: dict = {}
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
@@ -62,6 +66,13 @@ def trim() -> None:
         _TRIM(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH_BYTES`` from now on in this session, as Spark reads the setting when a job begins; a smaller one stays."""
+    held = re.fullmatch(r"(\d+)([kmg]?)b?", str(spark.conf.get(BATCH_CONF)).strip().lower())
+    if not held or not 0 < int(held[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[held[2]] <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callable[..., Mapping], keep: Sequence[str] = (),
              shared: Shared | None = None) -> DataFrame:
     """Columns ``keep`` as they are, and those that ``function(*inputs)`` makes of each Arrow batch (a dict by field name).
@@ -69,6 +80,7 @@ def map_rows(df: DataFrame, inputs: Sequence[str], fields: str, function: Callab
     ``fields`` is a DDL string. Only ``keep`` and ``inputs`` are sent to Python, so extra columns of any name do no harm.
     ``shared`` is what ``function`` reads; a worker gives back every other table before it reads rows.
     """
+    bound_batches(df.sparkSession)
     made = StructType.fromDDL(fields)
     keep_types = {f.name: f for f in df.schema.fields}
     sent = df.select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"`{name}`").alias(f"__in{i}") for i, name in enumerate(inputs)])

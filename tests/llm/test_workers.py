@@ -47,3 +47,26 @@ def test_stage_without_a_table_gives_back_that_of_the_stage_before(spark):
     with_table = common.map_rows(docs, ["text"], "kinds string", lambda texts: (shared.get(str), tables(texts))[1], shared=shared)
     for df, wanted in ((common.map_rows(docs, ["text"], "kinds string", tables), ""), (with_table, "own"), (with_table, "own")):
         assert {r.kinds for r in df.collect()} == {wanted}
+
+
+def test_arrow_batches_of_texts_are_bounded_by_bytes(spark):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('text ', 2000) text")
+    before = spark.conf.get(common.BATCH_CONF)
+    try:
+        common.bound_batches(spark)
+        sizes = docs.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert len(sizes) > 5 and max(r.n for r in sizes) < 2 * common.BATCH_BYTES
+        for held, wanted in (("1m", "1m"), ("4096kb", "4096kb"), ("64m", str(common.BATCH_BYTES)), (str(1 << 20), str(1 << 20)), ("5000000", str(common.BATCH_BYTES))):
+            spark.conf.set(common.BATCH_CONF, held)
+            common.bound_batches(spark)
+            assert spark.conf.get(common.BATCH_CONF) == wanted
+    finally:
+        spark.conf.set(common.BATCH_CONF, before)
+
+
+def test_pieces_met_once_are_not_kept():
+    encoder = bpe.BpeEncoder(bpe.ByteBpe.load(public_tokenizers.path("byte_bpe_50k.json")), bpe.MARKS)
+    text = " ".join(f"{a}q{b}xz{c}" for a in "abcdefgh" for b in "bdfhjkmp" for c in "abcdefgh")
+    first = encoder.encode(text)
+    assert len(encoder.memo) < 50  # 512 pieces, met once
+    assert encoder.encode(text) == first and len(encoder.memo) > 450
