@@ -31,7 +31,7 @@ def _study_csv(spark, d):
     path = scratch_path(spark, "studies")
     rows = m.studies(spark, d).select(F.col("uid").cast("string").alias("StudyInstanceUID"), F.col("report").alias("Report"),
                                       F.col("quality").cast("int").cast("string").alias("quality"), F.col("toxic").cast("int").cast("string").alias("toxic"))
-    sinks.write_csv(rows, path)
+    sinks.write_csv(rows, path, per_file=sinks.TEXT_ROWS)
     return path
 
 

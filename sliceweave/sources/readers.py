@@ -13,13 +13,13 @@ from sliceweave.operators import guards
 from sliceweave.operators.ensemble import prediction_report
 from sliceweave.schemas import SERIES, TARGETS, prediction_schema, study_schema
 
-CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "FAILFAST",
+CSV = {"header": "true", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "encoding": "UTF-8", "mode": "FAILFAST",
        "enforceSchema": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """CSV; a header that differs from the schema fails. Only a table with line breaks inside quotes needs
-    ``multi_line``, which keeps each of its files in one task."""
+    ``multi_line``, which keeps each of its files in one task (``sinks.write_csv`` bounds the files by ``per_file``)."""
     return spark.read.options(**CSV, multiLine=str(multi_line).lower()).schema(schema).csv(path)
 
 

@@ -17,8 +17,16 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', encoding="UTF-8", nullValue="", emptyValue='""').csv(path)
+#: Texts of any kind come back as they are: outer white space is kept, and a zero byte before a quote is no escape.
+CSV = {"header": "true", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "encoding": "UTF-8", "nullValue": "", "emptyValue": '""',
+       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Rows in a file of long texts at most, as a file with line breaks inside quotes is read by one task.
+TEXT_ROWS = 20_000
+
+
+def write_csv(df: DataFrame, path: str, per_file: int = 0) -> None:
+    """One folder of CSV, with at most ``per_file`` rows in a file (0: one file for each task)."""
+    df.write.mode("overwrite").options(**CSV, maxRecordsPerFile=str(per_file)).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sliceweave.operators import guards, scoring, splits
-from sliceweave.schemas import ATTEMPT, TARGETS
+from sliceweave.schemas import ATTEMPT, TARGETS, study_schema
 from sliceweave.sources import readers, sinks
 from sliceweave.streaming import attempts as stream
 
@@ -24,6 +24,16 @@ def test_study_csv_with_breaks_quotes_and_bom(spark, tmp_path):
     assert rows["a"]["Report"] == 'first line\nsecond "quoted" line' and rows["a"]["Baker's"] == "1" and rows["b"]["ACL"] is None
 
 
+def test_written_studies_come_back_as_they_are(spark, tmp_path):
+    """White space around a report, zero bytes before quotes; many files, as each is read by one task."""
+    reports = [" a ", "\ta\n", "\na\r", ' "a" ', 'a" ', 'a\0"b', 'a\0",b', "\x01\x02", "a\r\nb", '"', "\\", "a\0"]
+    rows = [(str(i), report, "1", None) for i, report in enumerate(reports)]
+    df = spark.createDataFrame(rows, study_schema(["x", "y"])).coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "studies"), per_file=5)
+    assert sorted(map(tuple, readers.read_studies(spark, str(tmp_path / "studies"), ["x", "y"]).collect())) == sorted(rows)
+    assert len(list((tmp_path / "studies").glob("part-*"))) == 3
+
+
 @pytest.mark.parametrize("lines", [
     ['"a","x",' + "," * 11, '"a","y",' + "," * 11], ['"","x",' + "," * 11], ['"a"," ",' + "," * 11]])
 def test_study_contract(spark, tmp_path, lines):
