@@ -282,7 +282,7 @@ def quota_sizes(spark, d):
 def quota_positives(spark, d):
     """Positives of every label in the validation part lie within one of their quota."""
     wide, chosen = _quota(spark, d)
-    cells = melt(wide, TARGETS, ["uid"]).join(chosen, "uid")
+    cells = melt(wide.join(chosen, "uid"), TARGETS, ["uid", "split"])
     counts = cells.groupBy("target").agg(
         F.count_if(F.col("value") > 0.5).alias("all"), F.count_if((F.col("value") > 0.5) & (F.col("split") == "valid")).alias("valid"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "valid").alias("v"))

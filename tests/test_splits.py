@@ -99,6 +99,18 @@ def test_quota_validation(spark, locked_count):
         assert abs(len(valid & set(positive)) - round(len(positive) / 10)) <= 1, TARGETS[i]
 
 
+def test_quota_orders_only_parted_patterns(spark, monkeypatch):
+    """Patterns that give all their studies, or locked ones only, are not sorted, and studies are not shuffled to the locked ones."""
+    rows = studies()
+    df, sorted_rows, sequence = frame(spark), [], splits.Sequence
+    monkeypatch.setattr(splits, "Sequence", lambda df, keys, *args, **more: (sorted_rows.append((keys, df.count())), sequence(df, keys, *args, **more))[1])
+    locked = spark.createDataFrame([(r[0],) for r in rows[:12]], "uid string")
+    got = splits.quota_validation(df, "uid", TARGETS, 50, 1, locked)
+    assert got.where("split = 'valid'").count() == 50 and got.count() == 500
+    ordered = [n for keys, n in sorted_rows if keys == ["pattern"]]
+    assert len(ordered) == 1 and ordered[0] < 500
+
+
 def test_quota_validation_rejects_bad_sizes(spark):
     for size in (0, 500):
         with pytest.raises(guards.ContractError):
